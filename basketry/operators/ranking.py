@@ -175,7 +175,10 @@ def average_ranks(
 
 
 def exact_quantiles(
-    df: DataFrame, groups: list[str], wanted: dict[str, tuple[str, float]]
+    df: DataFrame,
+    groups: list[str],
+    wanted: dict[str, tuple[str, float]],
+    few_groups: bool = False,
 ) -> DataFrame:
     """Exact linear-interpolated quantiles per group, as one row per group.
 
@@ -183,6 +186,7 @@ def exact_quantiles(
     distinct values replace the per-group value map of the built-in exact
     percentile, which has to fit one task. Missing values are left out; a
     group without any value is absent, and with no groups one row comes back.
+    Set ``few_groups`` only where the groups are bounded, such as months.
     """
     require_columns(df, [*groups, *{m for m, _ in wanted.values()}], "Quantile input")
     measures = list(dict.fromkeys(m for m, _ in wanted.values()))
@@ -235,9 +239,9 @@ def exact_quantiles(
             for edge in (F.floor, F.ceil)
         ],
     )
-    # Without groups there is one block per measure. With groups their number
-    # is not bounded, so Spark decides by the real size of the blocks.
-    blocks_side = renamed if groups else F.broadcast(renamed)
+    # One block per group and measure: broadcast where that is bounded, else
+    # Spark decides by the real size and splits hot groups.
+    blocks_side = F.broadcast(renamed) if few_groups or not groups else renamed
     picked = totals.join(blocks_side, same_block).where(needed)
     parts, results = [], []
     for i, (out, (measure, p)) in enumerate(wanted.items()):

@@ -91,13 +91,21 @@ def vectors(scaled: DataFrame) -> DataFrame:
     return scaled.withColumn("features", array_to_vector(F.array(*SCALED)))
 
 
+def training_table(rfm: DataFrame, rows_per_task: int = 50_000) -> DataFrame:
+    """Vectors in memory, in as few partitions as their number allows.
+
+    K-Means runs a job per iteration, so tiny partitions cost more than they
+    spread. Lost blocks are read again from the pinned copy.
+    """
+    data = pin(vectors(scaled_features(rfm)))
+    return data.coalesce(max(1, data.count() // rows_per_task)).persist()
+
+
 def fit(data: DataFrame, k: int, seed: int, n_init: int = N_INIT) -> KMeansModel:
     """Best of ``n_init`` starts by training cost."""
     def once(i: int) -> KMeansModel:
         start = seed * 1000 + i
-        return KMeans(k=k, seed=start, maxIter=MAX_ITER, initMode="k-means||").fit(
-            data.select("features")
-        )
+        return KMeans(k=k, seed=start, maxIter=MAX_ITER, initMode="k-means||").fit(data)
 
     return min((once(i) for i in range(n_init)), key=lambda m: m.summary.trainingCost)
 
@@ -501,7 +509,9 @@ def cluster_profiles(clusters: DataFrame, home: str) -> DataFrame:
         F.count_if(F.col("frequency_orders") >= 2).alias("_repeat"),
         F.count_if(F.col("primary_country") == home).alias("_home"),
     )
-    medians = exact_quantiles(clusters, ["cluster_id"], {o: (c, 0.5) for o, c in _MEDIANS.items()})
+    medians = exact_quantiles(
+        clusters, ["cluster_id"], {o: (c, 0.5) for o, c in _MEDIANS.items()}, few_groups=True
+    )
     totals = clusters.agg(
         F.struct(F.count(F.lit(1)).alias("n"), F.sum(value).alias("v")).alias("s")
     ).scalar()
@@ -626,7 +636,7 @@ def build_clusters(
 ) -> dict[str, DataFrame]:
     """Assignments, evaluation, profiles, labels and crosstab of one run."""
     check_input(rfm)
-    data = pin(vectors(scaled_features(rfm)))
+    data = training_table(rfm)
     evaluation = select_k(evaluate_k(data, k_values, seeds, n_init, exact_silhouette))
     metric_optimal_k(evaluation)
     evaluation = choose_k(evaluation, k)

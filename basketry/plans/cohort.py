@@ -102,5 +102,7 @@ def retention_curve(long: DataFrame) -> DataFrame:
         F.year("acquisition_month").alias("acquisition_year"), "cohort_month_index"
     ).agg(
         F.count(F.lit(1)).alias("cohorts"),
-        F.avg(F.col("retention_pct").cast("decimal(9,2)")).cast("double").alias("mean_retention_pct"),
+        C.ratio(
+            F.sum(F.col("retention_pct").cast("decimal(9,2)")), F.count(F.lit(1))
+        ).alias("mean_retention_pct"),
     )

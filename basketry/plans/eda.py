@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketry.functions import columns as C
-from basketry.operators.dedup import latest_text
+from basketry.operators.dedup import latest_text, most_common
 from basketry.operators.ranking import decile_bin, exact_quantiles, global_row_number
 from basketry.plans.star import UNKNOWN, UNKNOWN_PRODUCT
 
@@ -38,15 +38,17 @@ def order_summary(sales: DataFrame) -> DataFrame:
 
 def buyer_features(identified: DataFrame) -> DataFrame:
     """Per identified customer: usual country, dates, orders, value, breadth."""
+    # The usual country is counted apart: a mode in this aggregate would turn
+    # it into a sort of all lines, three times over for the distinct counts.
+    usual = most_common(identified, "customer_id", "country", "primary_country", UNKNOWN)
     return identified.groupBy("customer_id").agg(
-        F.coalesce(F.mode("country", True), F.lit(UNKNOWN)).alias("primary_country"),
         F.min("invoice_date").alias("first_purchase"),
         F.max("invoice_date").alias("last_purchase"),
         F.count_distinct("invoice_no").alias("orders"),
         F.sum(REVENUE).alias("revenue"),
         F.sum("quantity").alias("units"),
         F.count_distinct("stock_code").alias("distinct_products"),
-    )
+    ).join(usual, "customer_id")
 
 
 def customer_summary(sales: DataFrame) -> DataFrame:
@@ -87,7 +89,7 @@ def monthly_performance(sales: DataFrame, orders: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("orders"), F.sum("order_value").alias("_value")
     )
     medians = exact_quantiles(
-        begun, ["year_month"], {"median_order_value_gbp": ("order_value", 0.5)}
+        begun, ["year_month"], {"median_order_value_gbp": ("order_value", 0.5)}, few_groups=True
     )
     # A window over months: bounded by the calendar.
     previous = F.lag("revenue_gbp").over(Window.orderBy("year_month"))
@@ -373,9 +375,17 @@ def histogram(
 
 
 def box_summary(df: DataFrame, group: str, value: str) -> DataFrame:
-    """Quartiles per group and whiskers at the last value within 1.5 IQR."""
-    quartiles = exact_quantiles(
-        df, [group], {"q1": (value, 0.25), "median": (value, 0.5), "q3": (value, 0.75)}
+    """Quartiles per group and whiskers at the last value within 1.5 IQR.
+
+    For groups one would draw side by side: a handful of them.
+    """
+    quartiles = F.broadcast(
+        exact_quantiles(
+            df,
+            [group],
+            {"q1": (value, 0.25), "median": (value, 0.5), "q3": (value, 0.75)},
+            few_groups=True,
+        )
     )
     counts = df.groupBy(group, F.col(value).cast("double").alias("_v")).agg(
         F.count(F.lit(1)).alias("_c")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketry.functions import columns as C
+from basketry.operators.dedup import latest_text
 from basketry.operators.ranking import exact_quantiles
 from basketry.plans.rfm import segment_plan
 from basketry.plans.star import UNKNOWN_PRODUCT
@@ -101,15 +102,16 @@ def product_month(sales: DataFrame) -> DataFrame:
         "quantity",
         "line_revenue",
     )
+    lines = lines.where(F.col("month_start").isNotNull())
     keys = ["month_start", "stock_code"]
     facts = lines.groupBy(*keys).agg(
-        F.max(F.struct("invoice_date", "description"))["description"].alias("description"),
         C.money(F.sum("line_revenue")).alias("revenue_gbp"),
         F.sum("quantity").alias("units_sold"),
         F.count_distinct("invoice_no").alias("orders"),
         F.count_distinct("customer_id").alias("identified_customers"),
     )
-    return facts.where(F.col("month_start").isNotNull())
+    # Text in the same aggregate would turn it into a sort of all lines.
+    return facts.join(latest_text(lines, keys, "description", "invoice_date"), keys)
 
 
 def country_month(sales: DataFrame) -> DataFrame:
@@ -154,6 +156,7 @@ def segment_mart(rfm: DataFrame) -> DataFrame:
             "median_frequency_orders": ("frequency_orders", 0.5),
             "median_monetary_value_gbp": ("monetary_value_gbp", 0.5),
         },
+        few_groups=True,
     )
     totals = rfm.agg(
         F.struct(F.count(F.lit(1)).alias("n"), F.sum(value).alias("v")).alias("s")

@@ -212,7 +212,9 @@ def segment_summary(rfm: DataFrame) -> DataFrame:
         F.sum("units_purchased").alias("units_purchased"),
         F.sum("distinct_products").alias("_products"),
     )
-    medians = exact_quantiles(rfm, ["segment"], {"median_recency_days": ("recency_days", 0.5)})
+    medians = exact_quantiles(
+        rfm, ["segment"], {"median_recency_days": ("recency_days", 0.5)}, few_groups=True
+    )
     totals = (
         rfm.agg(
             F.struct(

@@ -6,6 +6,8 @@ then computed from those few numbers on the driver.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+from functools import partial
 from itertools import combinations
 
 from pyspark.sql import DataFrame
@@ -177,12 +179,13 @@ def group_summaries(customers: DataFrame, orders: DataFrame, home: str) -> DataF
     sales = with_groups(orders, "country", home)
     status = F.when(F.col("is_repeat_customer"), "repeat").otherwise("one_time")
     by_status = exact_quantiles(
-        people.withColumn("group", status), ["group"], {"value": ("monetary_value_gbp", 0.5)}
+        people.withColumn("group", status), ["group"], {"value": ("monetary_value_gbp", 0.5)}, few_groups=True
     ).withColumn("measure", F.lit("median_customer_value"))
     by_place = exact_quantiles(
         sales.withColumnRenamed("geography", "group"),
         ["group"],
         {"value": ("order_value_gbp", 0.5)},
+        few_groups=True,
     ).withColumn("measure", F.lit("median_order_value"))
     shares = people.groupBy(F.col("geography").alias("group")).agg(
         F.avg(F.col("is_repeat_customer").cast("int")).alias("value")
@@ -190,12 +193,9 @@ def group_summaries(customers: DataFrame, orders: DataFrame, home: str) -> DataF
     return by_status.unionByName(by_place).unionByName(shares).select("measure", "group", "value")
 
 
-def _correlation_rows(customers: DataFrame) -> list[tuple]:
-    medians = exact_quantiles(customers, [], {f: (f, 0.5) for f in MEASURES}).first()
-    n = customers.count()
+def _correlation_rows(pairs: list, medians, n: int) -> list[tuple]:
     rows = []
-    # Bounded: one row per pair of features.
-    for a, b, rho in spearman_pairs(customers, "customer_id", MEASURES).collect():
+    for a, b, rho in pairs:
         rho = float("nan") if rho is None else rho
         direction = "rise together" if rho > 0 else "move in opposite directions"
         rows.append(
@@ -212,8 +212,7 @@ def _correlation_rows(customers: DataFrame) -> list[tuple]:
     return rows
 
 
-def _mann_whitney_row(test: DataFrame, medians: dict, groups, names, test_id, what) -> tuple:
-    r = test.first()
+def _mann_whitney_row(r, medians: dict, groups, names, test_id, what) -> tuple:
     summaries = [f"median_gbp={medians.get(g, float('nan')):.2f}" for g in groups]
     n1, n2 = r["n_group_1"] or 0, r["n_group_2"] or 0
     u = r["u_statistic"] if n1 and n2 else float("nan")
@@ -233,14 +232,29 @@ def hypothesis_tests(customers: DataFrame, orders: DataFrame, home: str) -> Data
     """All correlation and group tests with Holm-adjusted p-values per family."""
     people = with_groups(customers, "primary_country", home)
     sales = with_groups(orders, "country", home)
-    values = {
-        (r["measure"], r["group"]): r["value"]
-        for r in group_summaries(customers, orders, home).collect()
-    }
-    rows = _correlation_rows(customers)
+    table = contingency(customers, home)
+    value_test = partial(mann_whitney, people, "monetary_value_gbp", F.col("is_repeat_customer"))
+    order_test = partial(mann_whitney, sales, "order_value_gbp", F.col("geography") == home)
+    # Independent jobs of a few result rows each, submitted side by side.
+    with ThreadPoolExecutor(7) as pool:
+        jobs = [
+            pool.submit(job)
+            for job in (
+                lambda: group_summaries(customers, orders, home).collect(),
+                lambda: spearman_pairs(customers, "customer_id", MEASURES).collect(),
+                lambda: exact_quantiles(customers, [], {f: (f, 0.5) for f in MEASURES}).first(),
+                customers.count,
+                lambda: value_test().first(),
+                lambda: order_test().first(),
+                lambda: (table.collect(), chi_square(table).first()),
+            )
+        ]
+        summaries, pairs, medians, n, by_status, by_place, (counts, chi) = [j.result() for j in jobs]
+    values = {(r["measure"], r["group"]): r["value"] for r in summaries}
+    rows = _correlation_rows(pairs, medians, n)
     rows.append(
         _mann_whitney_row(
-            mann_whitney(people, "monetary_value_gbp", F.col("is_repeat_customer")),
+            by_status,
             {g: v for (m, g), v in values.items() if m == "median_customer_value"},
             ["repeat", "one_time"], ["Repeat customers", "One-time customers"],
             "mann_whitney__repeat_vs_one_time_customer_value", "Customer value",
@@ -248,15 +262,13 @@ def hypothesis_tests(customers: DataFrame, orders: DataFrame, home: str) -> Data
     )
     rows.append(
         _mann_whitney_row(
-            mann_whitney(sales, "order_value_gbp", F.col("geography") == home),
+            by_place,
             {g: v for (m, g), v in values.items() if m == "median_order_value"},
             [home, "International"], [f"{home} orders", "International orders"],
             "mann_whitney__home_vs_international_order_value", "Order value",
         )
     )
-    table = contingency(customers, home)
-    chi = chi_square(table).first()
-    sizes = {r["geography"]: r["one_time_customers"] + r["repeat_customers"] for r in table.collect()}
+    sizes = {r["geography"]: r["one_time_customers"] + r["repeat_customers"] for r in counts}
     share = {g: v for (m, g), v in values.items() if m == "repeat_proportion"}
     parts = [f"repeat_proportion={share.get(g, float('nan')):.4f}" for g in (home, "International")]
     statistic = chi["chi_square"] if chi["chi_square"] is not None else float("nan")
@@ -284,13 +296,9 @@ def hypothesis_tests(customers: DataFrame, orders: DataFrame, home: str) -> Data
     )
 
 
-def strongest(tests: DataFrame, n: int = 5) -> DataFrame:
-    """The n correlations of greatest absolute size."""
-    return (
-        tests.where(F.col("family") == CORRELATIONS)
-        .orderBy(F.desc(F.abs("effect_size")), "test_id")
-        .limit(n)
-    )
+def strongest(correlations: DataFrame, n: int = 5) -> DataFrame:
+    """The n rows of greatest absolute effect."""
+    return correlations.orderBy(F.desc(F.abs("effect_size")), "comparison").limit(n)
 
 
 def statistical_summary(tests: DataFrame) -> DataFrame:

@@ -146,9 +146,7 @@ class Tables:
         )
 
     def vectors(self) -> DataFrame:
-        return self._staged(
-            "vectors", lambda: cluster.vectors(cluster.scaled_features(self.rfm()))
-        ).cache()
+        return cluster.training_table(self.rfm())
 
     def summary(self) -> DataFrame:
         return eda.eda_summary(self.sales(), self.returns(), self.orders(), self.customers())
@@ -485,8 +483,15 @@ def top_n_by(t: Tables) -> DataFrame:
 
 
 def strongest_correlations(t: Tables) -> DataFrame:
-    return stats.strongest(hypothesis_tests(t)).select(
-        "comparison", "effect_size", "adjusted_p_value", "effect_magnitude"
+    pairs = stats.spearman_pairs(t.rfm(), "customer_id", rfm.MEASURES)
+    effects = rounded(
+        pairs.select(
+            F.concat("feature_1", F.lit(" versus "), "feature_2").alias("comparison"),
+            F.col("rho").alias("effect_size"),
+        )
+    )
+    return stats.strongest(effects).withColumn(
+        "effect_magnitude", C.effect_magnitude(F.col("effect_size"))
     )
 
 
@@ -832,7 +837,7 @@ QUERIES = {
     "cohort_counts_wide": cohort_wide("active_customers"),
     "cohort_retention_wide": cohort_wide("retention_pct"),
     "cohort_metadata": lambda t: cohort.cohort_metadata(t.cohorts()),
-    "retention_curve": lambda t: rounded(cohort.retention_curve(t.cohorts()), 5),
+    "retention_curve": lambda t: cohort.retention_curve(t.cohorts()),
     "geo_repeat_rate": lambda t: rounded(stats.geo_repeat_rate(t.rfm(), HOME)),
     "spearman_pairs": spearman_pairs,
     "correlation_matrix": correlation_matrix,
