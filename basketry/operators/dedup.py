@@ -21,22 +21,12 @@ def drop_exact_copies(df: DataFrame) -> DataFrame:
     return df.groupBy(*IDENTITY).agg(F.min("load_seq").alias("load_seq"))
 
 
-def duplicate_counts(df: DataFrame) -> DataFrame:
-    """Total rows and surplus copies within a batch and across all batches."""
-    per_batch = (
-        df.withColumn("_batch", batch_number())
-        .groupBy(*IDENTITY, "_batch")
-        .agg(F.count(F.lit(1)).alias("_copies"))
-    )
-    per_line = per_batch.groupBy(*IDENTITY).agg(
-        F.sum("_copies").alias("_copies"), F.count(F.lit(1)).alias("_batches")
-    )
-    return per_line.agg(
-        F.coalesce(F.sum("_copies"), F.lit(0)).alias("total"),
-        F.coalesce(F.sum(F.col("_copies") - F.col("_batches")), F.lit(0)).alias(
-            "duplicates_within_batch"
-        ),
-        F.coalesce(F.sum(F.col("_copies") - 1), F.lit(0)).alias("duplicates_across_batches"),
+def copies_per_batch(df: DataFrame) -> DataFrame:
+    """Distinct lines of every batch with the number of their copies."""
+    return (
+        df.withColumn("batch", batch_number())
+        .groupBy(*IDENTITY, "batch")
+        .agg(F.count(F.lit(1)).alias("copies"))
     )
 
 

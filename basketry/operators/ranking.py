@@ -21,11 +21,11 @@ from basketry.session import pin
 _PARTITION_BITS = 33
 
 
-def _place(df: DataFrame, order_by: list) -> DataFrame:
+def _place(df: DataFrame, order_by: list, wide: bool = False) -> DataFrame:
     """Sorted rows with ``_part`` (sorted partition) and ``_row`` (row in it)."""
     # The sample that picks range bounds may differ between two runs of the
     # same plan, so positions are only usable once they are pinned.
-    placed = pin(df.orderBy(*order_by).withColumn("_pos", F.monotonically_increasing_id()))
+    placed = pin(df.orderBy(*order_by).withColumn("_pos", F.monotonically_increasing_id()), wide)
     return placed.select(
         *df.columns,
         F.shiftright("_pos", _PARTITION_BITS).cast("int").alias("_part"),
@@ -41,9 +41,11 @@ def _before_partition(per_partition: DataFrame, total: str) -> DataFrame:
     )
 
 
-def global_row_number(df: DataFrame, order_by: list, out: str = "row_number") -> DataFrame:
+def global_row_number(
+    df: DataFrame, order_by: list, out: str = "row_number", wide: bool = False
+) -> DataFrame:
     """Dense 1..n numbering in the order of ``order_by``, which must be unique."""
-    placed = _place(df, order_by)
+    placed = _place(df, order_by, wide)
     sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
     # Bounded: one row per shuffle partition.
     return placed.join(F.broadcast(_before_partition(sizes, "_size")), "_part").select(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketry.functions import columns as C
-from basketry.operators.dedup import drop_exact_copies, duplicate_counts
+from basketry.operators.dedup import copies_per_batch, drop_exact_copies
 from basketry.operators.ranking import exact_quantiles, global_row_number
 from basketry.schema import IDENTITY
 
@@ -43,7 +43,7 @@ def load_order() -> list:
 
 
 def with_line_ids(unique_lines: DataFrame) -> DataFrame:
-    return global_row_number(unique_lines, load_order(), "transaction_line_id")
+    return global_row_number(unique_lines, load_order(), "transaction_line_id", wide=True)
 
 
 def upper_fences(df: DataFrame, measures: list[str], where=None) -> DataFrame:
@@ -81,34 +81,56 @@ def canonical_table(lines: DataFrame, batch_names: list[str]) -> DataFrame:
 
 
 def raw_profile(lines: DataFrame, batch_names: list[str]) -> DataFrame:
-    """One row that describes the raw lines without changing them."""
-    data = classify(lines).withColumn("source_batch", C.batch_name(batch_names))
-    sale, back = F.col("is_completed_sale"), F.col("is_return")
-    copies = duplicate_counts(lines).select(F.struct("*").alias("s")).scalar()
-    revenue = F.col("line_revenue")
+    """One row that describes the raw lines without changing them.
+
+    Copies collapse to one row with a count first, and everything else is
+    weighted by that count. All parts share this one shuffle.
+    """
+    copies = copies_per_batch(lines)
+    data = classify(copies)
+    sale, back, n = F.col("is_completed_sale"), F.col("is_return"), F.col("copies")
+    revenue = F.col("line_revenue") * n
+
+    def rows(condition):
+        return F.coalesce(F.sum(F.when(condition, n)), F.lit(0))
+
+    def distinct(column: str):
+        # One light aggregate each; together they would repeat every row.
+        present = copies.where(F.col(column).isNotNull()).select(column).distinct()
+        return present.agg(F.count(F.lit(1)).alias("n")).scalar()
+
+    # Bounded: batch names are a list held by the driver.
+    names = F.array(*[F.lit(name) for name in batch_names])
+    present = F.sort_array(F.collect_list("batch"))
+    batches = (
+        copies.select("batch")
+        .distinct()
+        .agg(F.array_join(F.transform(present, lambda i: F.element_at(names, i + 1)), ",").alias("b"))
+        .scalar()
+    )
+    unique = copies.select(*IDENTITY).distinct().agg(F.count(F.lit(1)).alias("n")).scalar()
     return data.agg(
-        F.count(F.lit(1)).alias("total"),
-        F.count_if(sale).alias("completed_sales"),
-        F.count_if(back).alias("returns_or_cancellations"),
-        F.count_if(F.col("customer_id").isNull()).alias("anonymous_rows"),
-        F.count_if(F.col("unit_price") <= 0).alias("non_positive_price_rows"),
-        F.count_if(F.col("quantity") <= 0).alias("non_positive_quantity_rows"),
-        F.count_if(F.col("invoice_date").isNull()).alias("unparseable_date_rows"),
+        F.coalesce(F.sum(n), F.lit(0)).alias("total"),
+        F.coalesce(F.sum(n - 1), F.lit(0)).alias("duplicates_within_batch"),
+        rows(sale).alias("completed_sales"),
+        rows(back).alias("returns_or_cancellations"),
+        rows(F.col("customer_id").isNull()).alias("anonymous_rows"),
+        rows(F.col("unit_price") <= 0).alias("non_positive_price_rows"),
+        rows(F.col("quantity") <= 0).alias("non_positive_quantity_rows"),
+        rows(F.col("invoice_date").isNull()).alias("unparseable_date_rows"),
         F.min("invoice_date").alias("minimum_invoice_date"),
         F.max("invoice_date").alias("maximum_invoice_date"),
-        # Bounded: batch names are a list held by the driver.
-        F.concat_ws(",", F.sort_array(F.collect_set("source_batch"))).alias("source_batches"),
-        F.count_distinct("country").alias("countries"),
-        F.count_distinct("stock_code").alias("products"),
-        F.count_distinct("customer_id").alias("customers"),
-        F.count_distinct("invoice_no").alias("invoices"),
         C.money(F.sum(revenue)).alias("all_signed_value"),
         C.money(F.sum(F.when(sale, revenue))).alias("completed_sales_value"),
         C.money(F.sum(F.when(back, revenue))).alias("returns_value"),
     ).withColumns(
         {
-            "duplicates_within_batch": copies["duplicates_within_batch"],
-            "duplicates_across_batches": copies["duplicates_across_batches"],
+            "duplicates_across_batches": F.col("total") - unique,
+            "source_batches": batches,
+            "countries": distinct("country"),
+            "products": distinct("stock_code"),
+            "customers": distinct("customer_id"),
+            "invoices": distinct("invoice_no"),
         }
     )
 

@@ -366,7 +366,7 @@ def evaluate_k(
     seeds=SEEDS,
     n_init: int = N_INIT,
     exact_silhouette: bool = True,
-    workers: int = 4,
+    workers: int = 8,
 ) -> DataFrame:
     """One row per k. ``data`` is vectors() of the scaled features, cached.
 
@@ -381,8 +381,8 @@ def evaluate_k(
     jobs = [(k, s) for k in k_values for s in seeds]
     with ThreadPoolExecutor(workers) as pool:
         models = dict(zip(jobs, pool.map(lambda j: fit(data, *j, n_init), jobs)))
-    result, previous = [], None
-    for k in k_values:
+
+    def judge(k: int):
         labelled = data
         names = [f"_label_{s}" for s in seeds]
         for s, name in zip(seeds, names):
@@ -390,7 +390,12 @@ def evaluate_k(
         agreement = adjusted_rand(labelled, names).agg(
             F.avg("adjusted_rand"), F.min("adjusted_rand"), F.count(F.lit(1))
         ).first()
-        q = label_quality(labelled, names[0], exact_silhouette)
+        return label_quality(labelled, names[0], exact_silhouette), agreement
+
+    with ThreadPoolExecutor(workers) as pool:
+        judged = list(pool.map(judge, k_values))
+    result, previous = [], None
+    for k, (q, agreement) in zip(k_values, judged):
         drop = None if previous is None else 100 * (previous - q["inertia"]) / previous
         previous = q["inertia"]
         result.append(

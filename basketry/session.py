@@ -38,13 +38,19 @@ def shared_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="basketry-")
 
 
-def pin(df: DataFrame) -> DataFrame:
+def pin(df: DataFrame, wide: bool = False) -> DataFrame:
     """Compute ``df`` once into reliable storage and read it from there on.
 
     Needed wherever a later step relies on values that a recomputation may
-    change, such as the row positions of a sampled range partitioning.
+    change, such as the row positions of a sampled range partitioning. Wide
+    rows go to a columnar table, of which later steps read few columns; narrow
+    ones to a checkpoint, which is quicker to set up.
     """
     spark = df.sparkSession
+    if wide:
+        path = f"{shared_folder(spark)}/basketry-pins/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return spark.read.parquet(path)
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
