@@ -9,6 +9,7 @@ from basketry.functions import columns as C
 from basketry.operators.dedup import latest_text, most_common
 from basketry.operators.ranking import decile_bin, exact_quantiles, global_row_number
 from basketry.plans.star import UNKNOWN, UNKNOWN_PRODUCT
+from basketry.session import pin
 
 REVENUE = "line_revenue"
 
@@ -312,36 +313,23 @@ def value_percentiles(df: DataFrame, column: str, probs=(0.25, 0.5, 0.75, 0.9, 0
 
 def describe(df: DataFrame, columns: list[str], probs=(0.25, 0.5, 0.75, 0.9)) -> DataFrame:
     """(metric, count, mean, std, min, percentiles, max), one row per column."""
-    wanted = {f"{c}_p{round(p * 100)}": (c, p) for c in columns for p in probs}
-    quantiles = exact_quantiles(df, [], wanted).select(F.struct("*").alias("s")).scalar()
-    plain = df.agg(
-        *[
-            F.struct(
-                F.lit(c).alias("metric"),
-                F.count(c).alias("count"),
-                F.avg(F.col(c).cast("double")).alias("mean"),
-                F.stddev(F.col(c).cast("double")).alias("std"),
-                F.min(F.col(c).cast("double")).alias("min"),
-                F.max(F.col(c).cast("double")).alias("max"),
-            ).alias(c)
-            for c in columns
-        ]
-    )
-    rows = F.array(
-        *[
-            F.struct(
-                F.col(f"{c}.metric"),
-                F.col(f"{c}.count"),
-                F.col(f"{c}.mean"),
-                F.col(f"{c}.std"),
-                F.col(f"{c}.min"),
-                *[quantiles[f"{c}_p{round(p * 100)}"].alias(f"p{round(p * 100)}") for p in probs],
-                F.col(f"{c}.max"),
-            )
-            for c in columns
-        ]
-    )
-    return plain.select(F.explode(rows).alias("r")).select("r.*")
+    labels = {f"p{round(p * 100)}": p for p in probs}
+    wanted = {f"{c}_{name}": (c, p) for c in columns for name, p in labels.items()}
+    # One row of numbers, read first so that the table below is one plain pass.
+    quantiles = exact_quantiles(df, [], wanted).first()
+    rows = [
+        F.struct(
+            F.lit(c).alias("metric"),
+            F.count(c).alias("count"),
+            F.avg(F.col(c).cast("double")).alias("mean"),
+            F.stddev(F.col(c).cast("double")).alias("std"),
+            F.min(F.col(c).cast("double")).alias("min"),
+            *[F.lit(quantiles[f"{c}_{name}"]).cast("double").alias(name) for name in labels],
+            F.max(F.col(c).cast("double")).alias("max"),
+        )
+        for c in columns
+    ]
+    return df.agg(F.array(*rows).alias("r")).select(F.explode("r").alias("r")).select("r.*")
 
 
 def histogram(
@@ -355,22 +343,29 @@ def histogram(
     value = F.col(column).cast("double")
     data = df.select(value.alias("v")).where(F.col("v").isNotNull())
     if cap is not None:
-        limit = exact_quantiles(df, [], {"limit": (column, cap)}).scalar()
-        data = data.select(F.least("v", limit).alias("v")) if clip else data.where(F.col("v") <= limit)
+        limit = exact_quantiles(df, [], {"limit": (column, cap)}).first()[0]
+        if limit is not None:
+            data = (
+                data.select(F.least("v", F.lit(limit)).alias("v"))
+                if clip
+                else data.where(F.col("v") <= limit)
+            )
     if log:
         data = data.select(F.log1p("v").alias("v"))
     # Collapsing equal values first keeps the two later passes small.
     counts = data.groupBy("v").agg(F.count(F.lit(1)).alias("c"))
-    ends = counts.agg(F.struct(F.min("v").alias("lo"), F.max("v").alias("hi")).alias("s")).scalar()
-    lo, width = ends["lo"], (ends["hi"] - ends["lo"]) / bins
+    lo, hi = counts.agg(F.min("v"), F.max("v")).first()
+    lo = F.lit(lo).cast("double")
+    width = (F.lit(hi).cast("double") - lo) / bins
     place = F.coalesce(F.floor(F.try_divide(F.col("v") - lo, width)), F.lit(0))
-    filled = (
-        counts.groupBy(F.least(place, F.lit(bins - 1)).cast("int").alias("bin"))
-        .agg(F.sum("c").alias("count"))
+    filled = counts.groupBy(F.least(place, F.lit(bins - 1)).cast("int").alias("bin")).agg(
+        F.sum("c").alias("count")
     )
     return filled.select(
-        "bin", (lo + F.col("bin") * width).alias("bin_start"),
-        (lo + (F.col("bin") + 1) * width).alias("bin_end"), "count",
+        "bin",
+        (lo + F.col("bin") * width).alias("bin_start"),
+        (lo + (F.col("bin") + 1) * width).alias("bin_end"),
+        "count",
     )
 
 
@@ -424,3 +419,20 @@ def top_n(df: DataFrame, group: str, value: str, n: int, cut: int | None = None)
     totals = df.groupBy(group).agg(F.sum(value).alias(value))
     label = F.substring(group, 1, cut) if cut else F.col(group)
     return totals.orderBy(F.desc(value), group).limit(n).withColumn("label", label)
+
+
+def build_eda(sales: DataFrame, returns: DataFrame) -> dict[str, DataFrame]:
+    """All descriptive tables and the summary. Orders and customers feed several."""
+    orders, customers = pin(order_summary(sales), wide=True), pin(customer_summary(sales), wide=True)
+    return {
+        "monthly_performance": monthly_performance(sales, orders),
+        "country_performance": country_share(sales),
+        "product_performance": product_performance(sales),
+        "return_product_performance": return_product_performance(returns),
+        "weekday_performance": weekday_performance(sales),
+        "hourly_performance": hourly_performance(sales),
+        "order_summary": orders,
+        "customer_summary": customers,
+        "customer_revenue_deciles": revenue_deciles_qcut(customers),
+        "eda_summary": eda_summary(sales, returns, orders, customers),
+    }

@@ -111,10 +111,11 @@ def identified_sales(lines: DataFrame) -> DataFrame:
     return lines.where(keep)
 
 
-def require_rows(df: DataFrame, message: str) -> DataFrame:
-    if df.isEmpty():
-        raise ValueError(message)
-    return df
+def require_identified_sales(lines: DataFrame) -> DataFrame:
+    sales = identified_sales(lines)
+    if sales.isEmpty():
+        raise ValueError("No identified completed sales were found.")
+    return sales
 
 
 def snapshot_day(sales: DataFrame):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from basketry.functions import columns as C
 from basketry.operators.dedup import latest_text
-from basketry.operators.ranking import global_row_number
+from basketry.operators.ranking import global_row_number, ntile_bin
 from basketry.sources.sinks import datasets
 
 UNKNOWN_PRODUCT = "Unknown product"
@@ -257,17 +257,40 @@ def constraint_report(tables: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, reports)
 
 
-def publish(tables: dict[str, DataFrame], folder: str) -> dict[str, DataFrame]:
+def publish(lines: DataFrame, folder: str) -> dict[str, DataFrame]:
     """Write the star tables, check them, and hand them out only if they hold.
 
-    Dimensions come first in ``tables``; facts are checked against what was
-    written. Callers swap ``folder`` in only after this returns.
+    Facts look their keys up in the written dimensions, whose file sizes let
+    Catalyst broadcast the small ones. Swap ``folder`` in after this returns.
     """
-    written = {}
-    for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{folder}/{name}")
-        written[name] = df.sparkSession.read.parquet(f"{folder}/{name}")
-    broken = orphan_counts(written).where("failure_count > 0").collect()
+    spark = lines.sparkSession
+
+    def written(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+        for name, df in tables.items():
+            df.write.mode("overwrite").parquet(f"{folder}/{name}")
+        return {name: spark.read.parquet(f"{folder}/{name}") for name in tables}
+
+    dims = written(dimensions(lines))
+    tables = {**dims, **written(facts(lines, dims))}
+    broken = orphan_counts(tables).where("failure_count > 0").collect()
     if broken:
         raise RuntimeError(f"Foreign keys do not resolve: {broken}")
-    return written
+    return tables
+
+
+def register(tables: dict[str, DataFrame]) -> None:
+    """Temporary views for the named statements."""
+    for name, df in tables.items():
+        df.createOrReplaceTempView(name)
+
+
+def ranked_customers(fact_sales: DataFrame) -> DataFrame:
+    """One row per customer with revenue and NTILE(10) by falling revenue."""
+    per_customer = (
+        fact_sales.where(F.col("customer_key").isNotNull())
+        .groupBy("customer_key")
+        .agg(F.sum("line_revenue").alias("revenue"))
+    )
+    ranked = global_row_number(per_customer, [F.desc("revenue"), "customer_key"], "place")
+    n = ranked.agg(F.count(F.lit(1)).alias("n")).scalar()
+    return ranked.withColumn("value_decile", ntile_bin(F.col("place"), n, 10))

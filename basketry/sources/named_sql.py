@@ -6,6 +6,9 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+_FOLDER = Path(__file__).resolve().parents[1] / "sql"
+FILES = [_FOLDER / "quality_checks.sql", _FOLDER / "business_questions.sql"]
+
 # Fixed value: the line prefix that starts a statement.
 MARKER = "-- name: "
 

@@ -70,3 +70,15 @@ def write_bundle(tables: dict[str, DataFrame], folder: str) -> DataFrame:
         write_csv(df, paths[name])
     spark = next(iter(tables.values())).sparkSession
     return size_gate(spark, paths)
+
+
+def swap_in(spark: SparkSession, fresh: str, final: str) -> None:
+    """Put a finished folder in the place of an earlier one."""
+    jvm = spark.sparkContext._jvm
+    source, target = jvm.org.apache.hadoop.fs.Path(fresh), jvm.org.apache.hadoop.fs.Path(final)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(target):
+        fs.delete(target, True)
+    fs.mkdirs(target.getParent())
+    if not fs.rename(source, target):
+        raise RuntimeError(f"Could not move {fresh} to {final}.")

@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import basketry
 from basketry.functions import columns as C
 from basketry.operators import dedup, ranking
 from basketry.plans import clean, cluster, cohort, eda, gates, marts, measures, rfm, star, stats
@@ -15,10 +12,6 @@ from basketry.schema import IDENTITY, LINE
 from basketry.session import pin, stage_of
 from basketry.sources import named_sql, sample_tables, scan, sinks
 
-SQL_FILES = [
-    Path(basketry.__file__).parent / "sql" / "quality_checks.sql",
-    Path(basketry.__file__).parent / "sql" / "business_questions.sql",
-]
 HOME = sample_tables.HOME
 BATCHES = sample_tables.BATCHES
 QUICK_K, QUICK_STARTS = (2, 3, 4), 1
@@ -92,24 +85,15 @@ class Tables:
         }
         return {**dims, **{n: self._staged(n, b) for n, b in facts.items()}}
 
-    def ranked_customers(self) -> DataFrame:
-        """One row per customer with NTILE(10) by falling revenue."""
-        sales = self.star()["fact_sales"].where(F.col("customer_key").isNotNull())
-        per_customer = sales.groupBy("customer_key").agg(F.sum("line_revenue").alias("revenue"))
-        ranked = ranking.global_row_number(
-            per_customer, [F.desc("revenue"), "customer_key"], "place"
-        )
-        n = ranked.agg(F.count(F.lit(1)).alias("n")).scalar()
-        return ranked.withColumn("value_decile", ranking.ntile_bin(F.col("place"), n, 10))
-
     def named(self, names: set[str] | None = None) -> dict[str, DataFrame]:
-        for name, df in self.star().items():
-            df.createOrReplaceTempView(name)
+        tables = self.star()
+        star.register(tables)
         if names is None or "customer_revenue_deciles" in names:
-            self._staged("ranked_customers", self.ranked_customers).createOrReplaceTempView(
-                "ranked_customers"
+            ranked = self._staged(
+                "ranked_customers", lambda: star.ranked_customers(tables["fact_sales"])
             )
-        return named_sql.run_named(self.spark, SQL_FILES, names)
+            star.register({"ranked_customers": ranked})
+        return named_sql.run_named(self.spark, named_sql.FILES, names)
 
     def fixed_clusters(self) -> DataFrame:
         """RFM rows with stand-in labels: quartiles by value, units and recency."""
