@@ -279,7 +279,7 @@ def eda_summary(sales: DataFrame, returns: DataFrame, orders: DataFrame, custome
         order["orders"].alias("orders"),
         "units_sold",
         C.rounded_ratio(order["value"], order["orders"]).alias("average_order_value_gbp"),
-        F.round(median, 2).alias("median_order_value_gbp"),
+        C.money(F.round(median.cast("decimal(28,4)"), 2)).alias("median_order_value_gbp"),
         customer["customers"].alias("identified_customers"),
         customer["repeats"].alias("repeat_customers"),
         C.rounded_ratio(customer["repeats"], customer["customers"], 100).alias(

@@ -427,7 +427,7 @@ ld AS (SELECT CAST(MAX(invoice_date) AS DATE) AS d FROM sales),
 monthly AS (SELECT lm.*, orders, average_order_value_gbp, median_order_value_gbp,
   (revenue_gbp / LAG(revenue_gbp) OVER (ORDER BY lm.year_month) - 1) * 100 AS month_over_month_growth_pct,
   lm.year_month = strftime(d, '%Y-%m') AND d < last_day(d) AS is_partial_period FROM lm LEFT JOIN om USING (year_month), ld)"""
-add("monthly_performance", [LINES, ORDER_SUMMARY, MONTHLY], "SELECT * FROM monthly")
+add("monthly_performance", [LINES, ORDER_SUMMARY, MONTHLY], "SELECT * REPLACE (round(median_order_value_gbp, 6) AS median_order_value_gbp) FROM monthly")
 add("complete_months", [LINES, ORDER_SUMMARY, MONTHLY], "SELECT year_month, revenue_gbp, orders FROM monthly WHERE NOT is_partial_period")
 add("country_share", [LINES, "tot AS (SELECT SUM(line_revenue) AS total FROM sales)"], f"""SELECT country, {dbl('SUM(line_revenue)')} AS revenue_gbp,
   COUNT(DISTINCT invoice_no) AS orders, COUNT(DISTINCT customer_id) AS identified_customers, {big('SUM(quantity)')} AS units,
@@ -465,7 +465,7 @@ s AS (SELECT COUNT(*) AS n, SUM(line_revenue) AS total, SUM(quantity) AS units,
   SUM(CASE WHEN customer_id IS NULL THEN line_revenue ELSE 0 END) AS an, SUM(CASE WHEN {FLAGGED} THEN line_revenue ELSE 0 END) AS fl,
   COUNT(*) FILTER ({FLAGGED}) AS fn, CAST(MAX(invoice_date) AS DATE) AS d FROM sales, fence),
 summary AS (SELECT n AS completed_sales_rows, {dbl('total')} AS completed_sales_value_gbp, orders, {big('units')} AS units_sold,
-  {rounded('v', 'orders')} AS average_order_value_gbp, round(med, 2) AS median_order_value_gbp, customers AS identified_customers,
+  {rounded('v', 'orders')} AS average_order_value_gbp, CAST(round(CAST(med AS DECIMAL(28,4)), 2) AS DOUBLE) AS median_order_value_gbp, customers AS identified_customers,
   repeats AS repeat_customers, {rounded('repeats', 'customers', 100)} AS repeat_customer_rate_pct, {dbl('kn')} AS identified_revenue_gbp,
   {dbl('an')} AS anonymous_revenue_gbp, {rounded('an', 'total', 100)} AS anonymous_revenue_share_pct, {dbl('back')} AS signed_returns_value_gbp,
   {rounded('abs(back)', 'total', 100)} AS absolute_return_value_to_sales_pct, fn AS line_revenue_outlier_rows,

@@ -483,7 +483,8 @@ def strongest_correlations(t: Tables) -> DataFrame:
 
 
 def monthly_performance(t: Tables) -> DataFrame:
-    return eda.monthly_performance(t.sales(), t.orders())
+    monthly = eda.monthly_performance(t.sales(), t.orders())
+    return monthly.withColumn("median_order_value_gbp", F.round("median_order_value_gbp", 6))
 
 
 def complete_months(t: Tables) -> DataFrame:
