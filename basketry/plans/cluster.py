@@ -630,6 +630,28 @@ def pca_projection(data: DataFrame, k: int = 2) -> DataFrame:
     )
 
 
+def clustering_summary(evaluation: DataFrame, profiles: DataFrame) -> DataFrame:
+    """One row: both choices of k with their metrics, and the cluster sizes.
+
+    Both inputs have one row per k or per cluster.
+    """
+    metrics = [
+        "k", "inertia", "silhouette_score", "calinski_harabasz_score", "davies_bouldin_score",
+        "minimum_cluster_count", "minimum_cluster_share_pct", "mean_pairwise_ari",
+        "minimum_pairwise_ari", "selection_rank_sum",
+    ]
+    candidate = F.struct(*metrics)
+    size = F.struct("cluster_id", "cluster_label", "customer_count", "customer_share_pct",
+                    "revenue_share_pct", "recommended_action")
+    sizes = profiles.agg(F.sort_array(F.collect_list(size)).alias("s")).scalar()
+    return evaluation.agg(
+        F.count(F.lit(1)).alias("evaluated_candidates"),
+        F.count_if("eligible").alias("eligible_candidates"),
+        F.max(F.when(F.col("metric_optimal"), candidate)).alias("metric_optimal"),
+        F.max(F.when(F.col("operational_chosen"), candidate)).alias("operational_chosen"),
+    ).withColumn("clusters", sizes)
+
+
 def build_clusters(
     rfm: DataFrame,
     home: str,

@@ -3,7 +3,7 @@
 Each stage reads what the one before wrote, and stops the run when one of its
 gates fails. From the command line:
 
-    python -m basketry.pipeline OUT NAME=PATH NAME=PATH ... [--format csv] [--home COUNTRY]
+    python -m basketry.run OUT NAME=PATH NAME=PATH ... [--format csv] [--home COUNTRY]
 """
 
 from __future__ import annotations
@@ -65,7 +65,8 @@ def sql_stage(spark: SparkSession, tables: dict[str, DataFrame], out: str) -> di
         raise RuntimeError("Foreign keys do not resolve.")
     for name, df in results.items():
         sinks.write_csv(df, f"{out}/sql_results/{name}")
-    sinks.write_json_summary(named_sql.manifest(spark, results), f"{out}/reports/sql_manifest")
+    listing = named_sql.manifest(spark, results, f"{out}/sql_results")
+    sinks.write_json_summary(listing, f"{out}/reports/sql_manifest")
     return results
 
 
@@ -133,6 +134,10 @@ def cluster_stage(spark: SparkSession, table: DataFrame, out: str, home: str, **
         "clustering",
     )
     sinks.write_parquet(built["customer_clusters"], f"{out}/customer_clusters")
+    sinks.write_json_summary(
+        cluster.clustering_summary(built["k_evaluation"], built["cluster_profiles"]),
+        f"{out}/reports/clustering_summary",
+    )
     for name in ("k_evaluation", "cluster_profiles", "rfm_cluster_comparison"):
         sinks.write_csv(built[name], f"{out}/clustering/{name}")
     return {**built, "customer_clusters": spark.read.parquet(f"{out}/customer_clusters")}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _FOLDER = Path(__file__).resolve().parents[1] / "sql"
 FILES = [_FOLDER / "quality_checks.sql", _FOLDER / "business_questions.sql"]
@@ -54,7 +55,12 @@ def run_named(
     return {n: spark.sql(s) for n, s in statements.items() if only is None or n in only}
 
 
-def manifest(spark: SparkSession, results: dict[str, DataFrame]) -> DataFrame:
-    """Row count and column list per named result."""
+def manifest(
+    spark: SparkSession, results: dict[str, DataFrame], folder: str | None = None
+) -> DataFrame:
+    """Row count and column list per named result, and where it was written."""
     rows = [(n, df.count(), ",".join(df.columns)) for n, df in results.items()]
-    return spark.createDataFrame(rows, "query string, row_count long, column_list string")
+    listing = spark.createDataFrame(rows, "query string, row_count long, column_list string")
+    if folder is None:
+        return listing
+    return listing.withColumn("output", F.concat(F.lit(f"{folder}/"), "query"))

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from itertools import combinations
 
+from basketry.plans.cluster import ACTIONS_BY_RECENCY, LABELS
+from basketry.plans.rfm import SEGMENTS
+
 HOME = "NATION_0"
 SHIFT = 2**55
 IDENTITY = [
@@ -13,27 +16,6 @@ IDENTITY = [
 IDS = ", ".join(IDENTITY)
 LOAD_ORDER = "load_seq, " + ", ".join(f"{c} NULLS FIRST" for c in IDENTITY)
 
-# Segment, order, rule, action, priority.
-SEGMENTS = [
-    ("Champions", "R >= 4, F >= 4, M >= 4, and at least 2 completed orders.",
-     "Protect with early access, premium service, and referral invitations.", "Protect"),
-    ("Loyal Customers", "R >= 3, F >= 4, M >= 3, and at least 2 completed orders.",
-     "Use loyalty rewards, replenishment reminders, and cross-sell offers.", "Grow"),
-    ("Potential Loyalists", "R >= 4, F between 2 and 3, M >= 2, and at least 2 completed orders.",
-     "Nurture with second-next-purchase offers and category recommendations.", "Nurture"),
-    ("New Customers", "R >= 4 and exactly 1 completed order.",
-     "Send onboarding, product education, and a timely second-order incentive.", "Onboard"),
-    ("Cannot Lose Them", "R <= 2, F >= 4, M >= 4, and at least 2 completed orders.",
-     "Prioritise personal reactivation and service recovery before discounting.", "Recover"),
-    ("At Risk", "R <= 2 and either F >= 3 or M >= 3.",
-     "Trigger win-back journeys based on past categories and purchase timing.", "Win back"),
-    ("Hibernating", "R <= 2, F <= 2, and M <= 2.",
-     "Use low-cost reactivation tests and suppress if engagement stays absent.", "Test"),
-    ("Need Attention", "All remaining customers after the ordered rules above.",
-     "Monitor behaviour and use light-touch merchandising or survey prompts.", "Monitor"),
-]
-
-
 def dbl(x: str) -> str:
     return f"CAST({x} AS DOUBLE)"
 
@@ -516,6 +498,9 @@ def histogram(name: str, source: str, value: str, bins: int, clip: bool) -> str:
 add("order_value_histogram", [LINES, ORDER_SUMMARY, histogram("h", "osum", dbl("order_value"), 60, False)], "SELECT * FROM h")
 add("rfm_histograms", [LINES, RFM, histogram("h1", "rfm", dbl("recency_days"), 45, True), histogram("h2", "rfm", dbl("frequency_orders"), 35, True)],
     "SELECT *, 'recency_days' AS metric FROM h1 UNION ALL SELECT *, 'frequency_orders' AS metric FROM h2")
+add("customer_value_histogram", [LINES, BUYERS, f"lv AS (SELECT ln(1 + {dbl('revenue')}) AS v FROM buyers)", "e AS (SELECT MIN(v) AS lo, (MAX(v) - MIN(v)) / 60 AS w FROM lv)"],
+    """SELECT bin, round(lo + bin * w, 6) AS bin_start, round(lo + (bin + 1) * w, 6) AS bin_end, COUNT(*) AS count FROM (
+  SELECT CAST(LEAST(floor((v - lo) / w), 59) AS INTEGER) AS bin, lo, w FROM lv, e) GROUP BY bin, lo, w""")
 PLACE = f"CASE WHEN country = '{HOME}' THEN '{HOME}' ELSE 'International' END"
 add("box_summary", [LINES, ORDER_SUMMARY, f"p AS (SELECT {PLACE} AS geography, {dbl('order_value')} AS v FROM osum)",
     "q AS (SELECT geography, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.5) AS median, quantile_cont(v, 0.75) AS q3 FROM p GROUP BY 1)"],
@@ -740,15 +725,6 @@ PROFILE_DOUBLES = ["customer_share_pct", "total_monetary_value_gbp", "revenue_sh
                    "average_frequency_orders", "median_monetary_value_gbp", "average_monetary_value_gbp", "average_order_value_gbp", "median_active_span_days",
                    "median_distinct_products", "repeat_customer_rate_pct", "home_customer_share_pct", "dominant_rfm_segment_share_pct"]
 add("cluster_profiles", [*CLUSTERS, DOMINANT, PROFILES], "SELECT * REPLACE (" + ", ".join(f"round({c}, 6) AS {c}" for c in PROFILE_DOUBLES) + ") FROM prof")
-LABELS = {1: "High-Value Champions", 2: "Recent Growth Customers", 3: "Lapsed Established Customers", 4: "Dormant Low-Value Customers"}
-ACTIONS = {
-    1: "Protect current value with recognition, priority service, and relevant loyalty offers.",
-    2: "Nurture the next purchase with timely cross-sell and replenishment prompts.",
-    3: "Prioritise profile-based reactivation using known categories before broad discounting.",
-    4: "Use low-cost re-engagement tests and suppress outreach if inactivity persists.",
-}
-
-
 def cases(column: str, values: dict[int, str]) -> str:
     return f"CASE {column} " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in values.items()) + " END"
 
@@ -758,7 +734,7 @@ LABELLED = f"""lr AS (SELECT *, ROW_NUMBER() OVER (ORDER BY median_recency_days,
 lb AS (SELECT cluster_id, {cases('cluster_id', LABELS)} AS cluster_label,
   format('Median recency={{:.1f}} days (rank {{}}/4); frequency={{:.1f}} orders (rank {{}}/4); monetary value=GBP {{}} (rank {{}}/4).',
     median_recency_days, rr, median_frequency_orders, rf, format('{{:,.2f}}', median_monetary_value_gbp), rm) AS label_basis,
-  {cases('rr', ACTIONS)} AS recommended_action FROM lr)"""
+  {cases('rr', ACTIONS_BY_RECENCY)} AS recommended_action FROM lr)"""
 add("cluster_labels", [*CLUSTERS, DOMINANT, PROFILES, LABELLED], "SELECT * FROM lb")
 add("cluster_mart", [*CLUSTERS, DOMINANT, PROFILES, LABELLED], """SELECT cluster_id, cluster_label, customer_count, round(customer_share_pct, 6) AS customer_share_pct,
   round(total_monetary_value_gbp, 6) AS historical_customer_value_gbp, round(revenue_share_pct, 6) AS historical_value_share_pct, round(median_recency_days, 6) AS median_recency_days,

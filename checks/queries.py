@@ -544,6 +544,10 @@ def rfm_histograms(t: Tables) -> DataFrame:
     )
 
 
+def customer_value_histogram(t: Tables) -> DataFrame:
+    return rounded(eda.histogram(t.customers(), "customer_revenue_gbp", 60, log=True), 6)
+
+
 def box_summary(t: Tables) -> DataFrame:
     placed = stats.with_groups(t.orders(), "country", HOME)
     return rounded(eda.box_summary(placed, "geography", "order_value_gbp"))
@@ -799,6 +803,7 @@ QUERIES = {
     "rfm_describe": rfm_describe,
     "order_value_histogram": order_value_histogram,
     "rfm_histograms": rfm_histograms,
+    "customer_value_histogram": customer_value_histogram,
     "box_summary": box_summary,
     "revenue_splits": lambda t: eda.revenue_splits(t.sales()),
     "dim_date": lambda t: star.dim_date(t.canonical()),
