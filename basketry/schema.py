@@ -47,7 +47,7 @@ LINE = T.StructType(
         T.StructField("stock_code", T.StringType()),
         T.StructField("description", T.StringType()),
         T.StructField("quantity", T.IntegerType()),
-        T.StructField("invoice_date", T.TimestampType()),
+        T.StructField("invoice_date", T.TimestampNTZType()),  # wall-clock time of the shop
         T.StructField("unit_price", MONEY),
         T.StructField("customer_id", T.StringType()),
         T.StructField("country", T.StringType()),

@@ -25,7 +25,7 @@ def coerce_types(df: DataFrame) -> DataFrame:
     return df.withColumns(
         {
             "quantity": F.when(whole == F.floor(whole), whole).try_cast("int"),
-            "invoice_date": F.col("invoice_date").try_cast(T.TimestampType()),
+            "invoice_date": F.col("invoice_date").try_cast(T.TimestampNTZType()),
             "unit_price": F.col("unit_price").try_cast(MONEY),
         }
     )

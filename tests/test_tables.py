@@ -95,6 +95,13 @@ def test_measures_follow_filters(tables):
     assert detail.count() == customers.where(F.col("customer_id") == one).first()["frequency_orders"]
 
 
+def test_monthly_trend_of_one_country(tables):
+    mart = marts.country_month(tables.sales())
+    trend = measures.monthly_trend(mart, "country", {"country": ["NATION_0"]}).collect()
+    months = [r["month_start"] for r in trend]
+    assert months == sorted(months) and {r["country"] for r in trend} == {"NATION_0"}
+
+
 def test_month_without_predecessor_has_no_growth(spark):
     orders = spark.createDataFrame([("2020-01-01", 10.0), ("2020-03-01", 20.0), ("2020-04-01", 30.0)], "m string, order_revenue_gbp double")
     orders = orders.select(F.to_date("m").alias("month_start"), "order_revenue_gbp")
