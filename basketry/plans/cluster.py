@@ -43,6 +43,9 @@ ACTIONS_BY_RECENCY = {
 
 SCALED = [f"z_{f}" for f in FEATURES]
 TILE = 2048
+# The exact silhouette is quadratic; above this many rows the linear one on
+# squared distances stands in unless the caller insists.
+EXACT_SILHOUETTE_ROWS = 200_000
 
 
 def input_contract(rfm: DataFrame) -> DataFrame:
@@ -356,7 +359,7 @@ EVALUATION_SCHEMA = (
     "k int, inertia double, inertia_reduction_from_previous_k_pct double, silhouette_score double, "
     "calinski_harabasz_score double, davies_bouldin_score double, minimum_cluster_count long, "
     "minimum_cluster_share_pct double, mean_pairwise_ari double, minimum_pairwise_ari double, "
-    "stability_seed_count int, stability_pair_count int"
+    "stability_seed_count int, stability_pair_count int, silhouette_distance string"
 )
 
 
@@ -365,16 +368,18 @@ def evaluate_k(
     k_values=K_VALUES,
     seeds=SEEDS,
     n_init: int = N_INIT,
-    exact_silhouette: bool = True,
+    exact_silhouette: bool | None = None,
     workers: int = 8,
 ) -> DataFrame:
-    """One row per k. ``data`` is vectors() of the scaled features, cached.
+    """One row per k over a ``training_table``.
 
-    Fits are independent Spark jobs, submitted from a few driver threads.
+    Fits are independent Spark jobs, submitted from a few driver threads. The
+    column silhouette_distance tells which silhouette was taken.
     """
     if len(seeds) < 5:
         raise ValueError("Label stability needs at least five seeds.")
     rows = data.count()
+    exact = rows <= EXACT_SILHOUETTE_ROWS if exact_silhouette is None else exact_silhouette
     for k in k_values:
         if k < 2 or k >= rows:
             raise ValueError(f"k={k} does not fit {rows} rows.")
@@ -390,7 +395,7 @@ def evaluate_k(
         agreement = adjusted_rand(labelled, names).agg(
             F.avg("adjusted_rand"), F.min("adjusted_rand"), F.count(F.lit(1))
         ).first()
-        return label_quality(labelled, names[0], exact_silhouette), agreement
+        return label_quality(labelled, names[0], exact), agreement
 
     with ThreadPoolExecutor(workers) as pool:
         judged = list(pool.map(judge, k_values))
@@ -403,6 +408,7 @@ def evaluate_k(
                 k, q["inertia"], drop, q["silhouette_score"], q["calinski_harabasz_score"],
                 q["davies_bouldin_score"], q["minimum_cluster_count"],
                 q["minimum_cluster_share_pct"], agreement[0], agreement[1], len(seeds), agreement[2],
+                "euclidean" if exact else "squared_euclidean",
             )
         )
     return data.sparkSession.createDataFrame(result, EVALUATION_SCHEMA)
@@ -659,7 +665,7 @@ def build_clusters(
     k_values=K_VALUES,
     seeds=SEEDS,
     n_init: int = N_INIT,
-    exact_silhouette: bool = True,
+    exact_silhouette: bool | None = None,
 ) -> dict[str, DataFrame]:
     """Assignments, evaluation, profiles, labels and crosstab of one run."""
     check_input(rfm)

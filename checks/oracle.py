@@ -829,3 +829,32 @@ add("mart_gates", [LINES, RFM, ORDER_SUMMARY, COHORT], " UNION ALL ".join([
     gate("customer_labels_complete", "(SELECT COUNT(*) FROM rfm WHERE segment IS NULL)", "0"), gate("partial_period_flags", FLAGGED_DAYS, FLAGGED_DAYS),
     gate("product_revenue_reconciles", TOTAL, TOTAL), gate("country_revenue_reconciles", TOTAL, TOTAL),
     gate("product_units_reconcile", UNITS, UNITS), gate("country_units_reconcile", UNITS, UNITS), gate("cohort_retention_bounds", BAD_CELLS, "0")]))
+
+# Columns that Spark gives as 32-bit integers.
+_INTEGERS = {
+    "parquet_roundtrip": ["year"],
+    "date_features": ["year", "quarter", "month", "day_of_month", "hour"],
+    "customer_revenue_deciles": ["value_decile"],
+    "customer_summary": ["active_span_days"],
+    "weekday_performance": ["weekday_order"],
+    "hourly_performance": ["hour"],
+    "revenue_deciles_qcut": ["value_decile"],
+    "dim_date": ["year", "quarter", "month", "day_of_month", "day_of_week_number"],
+    "rfm_features": ["recency_days", "active_span_days"],
+    "rfm_scores": ["r_score", "f_score", "m_score", "rfm_score"],
+    "cohort_long": ["cohort_month_index"],
+    "cohort_metadata": ["max_cohort_month_index"],
+    "retention_curve": ["acquisition_year", "cohort_month_index"],
+    "k_selection": ["rank_silhouette", "rank_calinski_harabasz", "rank_davies_bouldin", "rank_stability", "selection_rank_sum"],
+    "dominant_segment": ["cluster_id"],
+    "cluster_profiles": ["cluster_id"],
+    "cluster_labels": ["cluster_id"],
+    "cluster_mart": ["cluster_id"],
+    "segment_cluster_crosstab": ["cluster_id"],
+    "calendar": ["year", "quarter", "month_number"],
+    "dim_customer_mart": ["recency_days", "r_score", "f_score", "m_score", "rfm_score", "cluster_id"],
+    "measures_by_place": ["year"],
+}
+for name, columns in _INTEGERS.items():
+    casts = ", ".join(f"CAST({c} AS INTEGER) AS {c}" for c in columns)
+    ORACLE[name] = f"SELECT * REPLACE ({casts}) FROM (\n{ORACLE[name]}\n)"

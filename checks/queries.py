@@ -718,7 +718,7 @@ def product_month_matrix(t: Tables) -> DataFrame:
 
 
 def minimum_contract(t: Tables) -> DataFrame:
-    """Failures per country; a country with early or late lines only has one batch."""
+    """Failures of all lines, and of the returns alone as if they were one batch."""
     first = clean.contract_failures(clean.classify(t.lines()))
     lone = clean.classify(t.lines().where(F.col("invoice_no").startswith("C")))
     second = clean.contract_failures(lone.withColumn("load_seq", F.lit(0).cast("long")))
