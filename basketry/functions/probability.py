@@ -13,10 +13,6 @@ import math
 EXACT_TABLE_LIMIT = 5_000_000
 
 
-def normal_two_sided(z: float) -> float:
-    return min(1.0, math.erfc(abs(z) / math.sqrt(2.0)))
-
-
 def chi_square_one_df(x: float) -> float:
     return math.erfc(math.sqrt(x / 2.0))
 

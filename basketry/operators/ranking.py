@@ -223,38 +223,33 @@ def exact_quantiles(
         [F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(groups)],
         F.col("_measure") == F.col("_bm"),
     )
-    first = F.col("before") - F.col("_start")
+    # One block per group and measure: broadcast where that is bounded, else
+    # Spark decides by the real size and splits hot groups.
+    blocks_side = F.broadcast(renamed) if few_groups or not groups else renamed
+    placed = totals.join(blocks_side, same_block).withColumn(
+        "_first", F.col("before") - F.col("_start")
+    )
 
-    def position(p: float) -> Column:
-        return (F.col("_n") - 1).cast("double") * F.lit(float(p))
+    # SQL text here: many small expressions are slow to build one by one.
+    def position(p: float) -> str:
+        return f"((_n - 1) * {float(p)!r}D)"
 
-    def at(index: Column, measure: int) -> Column:
-        inside = (first <= index) & (index < first + F.col("_count"))
-        return F.max(F.when((F.col("_measure") == measure) & inside, F.col("_value")))
+    def holds(index: str) -> str:
+        return f"(_first <= {index} AND {index} < _first + _count)"
 
     probabilities = sorted({p for _, p in wanted.values()})
-    needed = reduce(
-        lambda a, b: a | b,
-        [
-            (first <= edge(position(p))) & (edge(position(p)) < first + F.col("_count"))
-            for p in probabilities
-            for edge in (F.floor, F.ceil)
-        ],
+    picked = placed.where(
+        " OR ".join(holds(f"{f}({position(p)})") for p in probabilities for f in ("floor", "ceil"))
     )
-    # One block per group and measure: broadcast where that is bounded, else
-    # Spark decides by the real size and splits hot groups.
-    blocks_side = F.broadcast(renamed) if few_groups or not groups else renamed
-    picked = totals.join(blocks_side, same_block).where(needed)
     parts, results = [], []
     for i, (out, (measure, p)) in enumerate(wanted.items()):
-        h = position(p)
+        h, own = position(p), f"_measure = {code[measure]}"
         parts += [
-            at(F.floor(h), code[measure]).alias(f"_lo{i}"),
-            at(F.ceil(h), code[measure]).alias(f"_hi{i}"),
-            F.max(F.when(F.col("_measure") == code[measure], h - F.floor(h))).alias(f"_f{i}"),
+            F.expr(f"max(CASE WHEN {own} AND {holds(f'floor({h})')} THEN _value END) AS _lo{i}"),
+            F.expr(f"max(CASE WHEN {own} AND {holds(f'ceil({h})')} THEN _value END) AS _hi{i}"),
+            F.expr(f"max(CASE WHEN {own} THEN {h} - floor({h}) END) AS _part{i}"),
         ]
-        low, high = F.col(f"_lo{i}"), F.col(f"_hi{i}")
-        results.append((low + (high - low) * F.col(f"_f{i}")).alias(out))
+        results.append(F.expr(f"_lo{i} + (_hi{i} - _lo{i}) * _part{i}").alias(out))
     aggregated = picked.groupBy(*groups).agg(*parts) if groups else picked.agg(*parts)
     return aggregated.select(*groups, *results)
 
