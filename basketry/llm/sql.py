@@ -18,7 +18,7 @@ WITH d AS (
  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t,
   regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
 ), m AS (
- SELECT rid, doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, x -> length(x))), 0) AS word_chars,
+ SELECT rid, doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS word_chars,
   len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols,
   len(regexp_extract_all(t, '[A-Z]')) AS n_upper, len(regexp_extract_all(t, '[A-Za-z]')) AS n_letters,
   len(regexp_extract_all(t, '[|]')) AS n_bars, len(regexp_extract_all(t, '!')) AS n_shouts FROM d
