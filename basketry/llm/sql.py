@@ -45,6 +45,37 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM b
 """
 
+OP7 = r"""
+WITH RECURSIVE d AS (
+ SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+ FROM documents
+), s AS (
+ SELECT DISTINCT doc_id, k FROM (
+  SELECT doc_id, CASE WHEN len(w) < 2 THEN w ELSE list_slice(w, i, i + 1) END AS k
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w), 2))) AS i FROM d WHERE len(w) > 0))
+), n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), df AS (SELECT k, count(*) AS f FROM s GROUP BY k
+), o AS MATERIALIZED (
+ SELECT s.doc_id, s.k, row_number() OVER (PARTITION BY s.doc_id ORDER BY f, s.k) AS at, n.n
+ FROM s JOIN df USING (k) JOIN n USING (doc_id)
+), c AS (
+ SELECT DISTINCT a.doc_id AS x, b.doc_id AS y FROM o a JOIN o b ON a.k = b.k AND a.doc_id < b.doc_id
+ WHERE 5 * a.at <= a.n + 5 AND 5 * b.at <= b.n + 5 AND 100 * a.n >= 80 * b.n AND 100 * b.n >= 80 * a.n
+), e AS MATERIALIZED (
+ SELECT x, y FROM (
+  SELECT c.x, c.y, count(*) AS i FROM c JOIN s a ON a.doc_id = c.x JOIN s b ON b.doc_id = c.y AND b.k = a.k GROUP BY c.x, c.y)
+ JOIN n na ON na.doc_id = x JOIN n nb ON nb.doc_id = y WHERE 100 * i >= 80 * (na.n + nb.n - i)
+), b AS (SELECT x AS u, y AS v FROM e UNION ALL SELECT y, x FROM e
+), r AS (
+ SELECT doc_id, doc_id AS seen FROM n
+ UNION
+ SELECT r.doc_id, b.v FROM r JOIN b ON b.u = r.seen
+), m AS (SELECT doc_id, min(seen) AS component_id FROM r GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(component_id, d.doc_id) AS component_id,
+ d.doc_id = coalesce(component_id, d.doc_id) AS kept
+FROM (SELECT doc_id FROM documents) d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN m ON m.doc_id = d.doc_id
+"""
+
 OP9 = r"""
 WITH p AS (
  SELECT page_id, CASE WHEN contains(coalesce(url, ''), '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
@@ -69,5 +100,6 @@ FROM v
 ORACLE = {
     "op3_warc": OP3,
     "op5_quality_rules": OP5,
+    "op7_minmax_near_duplicates": OP7,
     "op9_url_filters": OP9,
 }
