@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, neardup, packing, rules, urls, warc
+from . import mixing, neardup, packing, rules, substrings, urls, warc
 from .shared import table
 
 
@@ -31,6 +31,10 @@ def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 def op7_minmax_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return neardup.near_duplicates(docs, neardup.NearDuplicates(shingle=2)).drop("repeats")
@@ -61,5 +65,5 @@ def op9_url_filters(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_best_fit_packing, op3_warc, op5_quality_rules, op7_minmax_near_duplicates, op8_source_mixing, op9_url_filters)
+    for f in (op1_best_fit_packing, op3_warc, op5_quality_rules, op6_substring_dedup, op7_minmax_near_duplicates, op8_source_mixing, op9_url_filters)
 }

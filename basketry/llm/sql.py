@@ -45,6 +45,24 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM b
 """
 
+OP6 = r"""
+WITH d AS (
+ SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), v AS (
+ SELECT doc_id, i, row_number() OVER (PARTITION BY list_slice(w, i, i + 19) ORDER BY doc_id, i) AS nth
+ FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20)
+), g AS (
+ SELECT DISTINCT doc_id, i + j AS i FROM v, (SELECT unnest(range(0, 20)) AS j) WHERE nth > 1
+), k AS (
+ SELECT doc_id, i, w[i] AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d)
+), t AS (
+ SELECT k.doc_id, string_agg(x, ' ' ORDER BY k.i) AS kept, count(*) AS n FROM k LEFT JOIN g ON g.doc_id = k.doc_id AND g.i = k.i
+ WHERE g.i IS NULL GROUP BY k.doc_id
+)
+SELECT d.doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN t ON t.doc_id = d.doc_id
+"""
+
 OP7 = r"""
 WITH RECURSIVE d AS (
  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
@@ -100,6 +118,7 @@ FROM v
 ORACLE = {
     "op3_warc": OP3,
     "op5_quality_rules": OP5,
+    "op6_substring_dedup": OP6,
     "op7_minmax_near_duplicates": OP7,
     "op9_url_filters": OP9,
 }
