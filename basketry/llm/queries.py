@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, neardup, packing, rules, substrings, urls, warc
+from . import mixing, neardup, packing, rules, substrings, toxicity, urls, warc
 from .shared import table
 
 
@@ -16,6 +16,11 @@ def op1_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return toxicity.judged(docs, table(spark, folder, "labels"))
+
+
 def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
     pages = table(spark, folder, "pages").select("page_id", "url", "html")
     columns = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -65,5 +70,5 @@ def op9_url_filters(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_best_fit_packing, op3_warc, op5_quality_rules, op6_substring_dedup, op7_minmax_near_duplicates, op8_source_mixing, op9_url_filters)
+    for f in (op1_best_fit_packing, op2_toxicity, op3_warc, op5_quality_rules, op6_substring_dedup, op7_minmax_near_duplicates, op8_source_mixing, op9_url_filters)
 }
