@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, neardup, packing, rules, substrings, toxicity, urls, warc
+from . import ann, mixing, neardup, packing, rules, substrings, toxicity, urls, warc
 from .shared import table
 
 
@@ -27,6 +27,11 @@ def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.archived(pages).select(*columns)
 
 
+def op4_learned_partitions(spark: SparkSession, folder: str) -> DataFrame:
+    """Queries: every hundredth id, against all rows."""
+    return ann.search(table(spark, folder, "embeddings"), F.col("id") % 100 == 0)
+
+
 def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     book = rules.ledger(table(spark, folder, "documents").select("doc_id", "text"))
     return book.select(
@@ -70,5 +75,5 @@ def op9_url_filters(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_best_fit_packing, op2_toxicity, op3_warc, op5_quality_rules, op6_substring_dedup, op7_minmax_near_duplicates, op8_source_mixing, op9_url_filters)
+    for f in (op1_best_fit_packing, op2_toxicity, op3_warc, op4_learned_partitions, op5_quality_rules, op6_substring_dedup, op7_minmax_near_duplicates, op8_source_mixing, op9_url_filters)
 }
