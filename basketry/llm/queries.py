@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, mixing, neardup, packing, rules, substrings, toxicity, urls, warc
+from . import ann, mixing, neardup, packing, pseudo, rules, substrings, toxicity, urls, warc
 from .shared import table
 
 
@@ -73,7 +73,11 @@ def op9_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("page_id", "host", "path", F.when(host_rules, F.col("rule")).alias("rule"), "verdict")
 
 
+def op10_pseudo_likelihood(spark: SparkSession, folder: str) -> DataFrame:
+    return pseudo.pseudo_likelihood(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_best_fit_packing, op2_toxicity, op3_warc, op4_learned_partitions, op5_quality_rules, op6_substring_dedup, op7_minmax_near_duplicates, op8_source_mixing, op9_url_filters)
+    for f in (op1_best_fit_packing, op2_toxicity, op3_warc, op4_learned_partitions, op5_quality_rules, op6_substring_dedup, op7_minmax_near_duplicates, op8_source_mixing, op9_url_filters, op10_pseudo_likelihood)
 }
