@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from basketry.llm.mixing import mixed_documents
 from basketry.llm.neardup import NearDuplicates, without_near_duplicates
@@ -23,8 +24,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the words of passages that occur earlier."""
-    return without_repeats(docs)
+    """All documents, without the words of passages that occur earlier; ``n_chars`` follows the text."""
+    length = F.coalesce(F.length("text").cast("long"), F.col("n_chars"))
+    return without_repeats(docs).withColumn("n_chars", length).select(*docs.columns)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
