@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from basketry.schema import BATCH_SHIFT, MONEY
+from basketry.schema import BATCH_STEP, LOAD_SEQ, REVENUE
 
 SALE = "completed_sale"
 RETURN = "return_or_cancellation"
@@ -44,7 +46,7 @@ def amount_text(c) -> Column:
 
 
 def line_revenue() -> Column:
-    return (F.col("quantity") * F.col("unit_price")).cast(MONEY)
+    return (F.col("quantity") * F.col("unit_price")).cast(REVENUE)
 
 
 def is_cancelled() -> Column:
@@ -150,8 +152,18 @@ def partial_month(month_label, last_day) -> Column:
     return (month_label == F.date_format(last_day, "yyyy-MM")) & (last_day < F.last_day(last_day))
 
 
+def load_position(batch, position) -> Column:
+    """Load position of row ``position`` of batch number ``batch``."""
+    batch = batch if isinstance(batch, Column) else F.lit(batch)
+    return (batch.cast(LOAD_SEQ) * F.lit(Decimal(BATCH_STEP)) + position.cast(LOAD_SEQ)).cast(LOAD_SEQ)
+
+
 def batch_number(c: str = "load_seq") -> Column:
-    return F.shiftright(F.col(c), BATCH_SHIFT).cast("int")
+    return F.expr(f"CAST({c} div CAST({BATCH_STEP} AS DECIMAL(38,0)) AS INT)")
+
+
+def place_in_batch(c: str = "load_seq") -> Column:
+    return (F.col(c) % F.lit(Decimal(BATCH_STEP))).cast("long")
 
 
 def batch_name(names: list[str], c: str = "load_seq") -> Column:

@@ -21,13 +21,20 @@ def drop_exact_copies(df: DataFrame) -> DataFrame:
     return df.groupBy(*IDENTITY).agg(F.min("load_seq").alias("load_seq"))
 
 
-def copies_per_batch(df: DataFrame) -> DataFrame:
-    """Distinct lines of every batch with the number of their copies."""
-    return (
-        df.withColumn("batch", batch_number())
-        .groupBy(*IDENTITY, "batch")
-        .agg(F.count(F.lit(1)).alias("copies"))
-    )
+def copies_by_identity(df: DataFrame, batches: int) -> DataFrame:
+    """Distinct lines with the number of their copies and of the batches that hold one.
+
+    One shuffle: the batches of a line are bits of longs, 63 to each, so that
+    copies combine on the map side in a plain hash aggregate.
+    """
+    number, words = batch_number(), range(0, max(batches, 1), 63)
+    one = F.lit(1).cast("long")
+    bits = [F.when(number.between(w, w + 62), F.call_function("shiftleft", one, number - w)) for w in words]
+    held = [F.bit_or(bit).alias(f"_held{i}") for i, bit in enumerate(bits)]
+    counted = df.groupBy(*IDENTITY).agg(F.count(F.lit(1)).alias("copies"), *held)
+    counts = [F.coalesce(F.bit_count(f"_held{i}"), F.lit(0)) for i in range(len(held))]
+    total = sum(counts[1:], counts[0])
+    return counted.select(*IDENTITY, "copies", total.cast("long").alias("batches"))
 
 
 def latest_text(

@@ -19,6 +19,7 @@ from basketry.schema import require_columns
 from basketry.session import pin
 
 _PARTITION_BITS = 33
+_HOT = 1000
 
 
 def _place(df: DataFrame, order_by: list, wide: bool = False) -> DataFrame:
@@ -150,9 +151,10 @@ def average_ranks(
 ) -> DataFrame:
     """Tie-shared ranks of several features: start + (count + 1) / 2 per value.
 
-    Works on the histogram of distinct values, then joins the ranks back. Join
-    keys may be hot; the histogram side has one row per value, so Spark splits
-    the hot side (AQE skew join) or broadcasts the ranks by their real size.
+    Works on the histogram of distinct values, then joins the ranks back. Values
+    held by more than one row in ``_HOT`` of their feature are joined apart: there
+    are at most ``_HOT`` of them per feature, so they are broadcast, and no shuffle
+    gathers their rows.
     """
     long = _unpivot(df, [key], features, "_feature").where(F.col("_value").isNotNull())
     histogram = long.groupBy("_feature", "_value").agg(F.count(F.lit(1)).alias("_count"))
@@ -163,9 +165,19 @@ def average_ranks(
         "_feature",
         "_value",
         (F.col("before") - F.col("_start") + (F.col("_count") + 1) / 2).alias("_rank"),
+        "_count",
     )
+    ranks = pin(ranks)
+    sizes = ranks.groupBy("_feature").agg(F.sum("_count").alias("_rows"))
+    hot = F.col("_count") * _HOT > F.col("_rows")
+    marked = ranks.join(F.broadcast(sizes), "_feature").withColumn("_hot", hot)
+    few = marked.where("_hot").select("_feature", "_value", F.col("_rank").alias("_hot_rank"))
+    rest = marked.where("NOT _hot").select("_feature", "_value", "_rank")
+    matched = long.join(F.broadcast(few), ["_feature", "_value"], "left")
+    common = matched.where(F.col("_hot_rank").isNotNull()).withColumnRenamed("_hot_rank", "_rank")
+    rare = matched.where(F.col("_hot_rank").isNull()).drop("_hot_rank").join(rest, ["_feature", "_value"])
     return (
-        long.join(ranks, ["_feature", "_value"])
+        common.unionByName(rare)
         .groupBy(key)
         .agg(
             *[
@@ -180,7 +192,6 @@ def exact_quantiles(
     df: DataFrame,
     groups: list[str],
     wanted: dict[str, tuple[str, float]],
-    few_groups: bool = False,
 ) -> DataFrame:
     """Exact linear-interpolated quantiles per group, as one row per group.
 
@@ -188,7 +199,6 @@ def exact_quantiles(
     distinct values replace the per-group value map of the built-in exact
     percentile, which has to fit one task. Missing values are left out; a
     group without any value is absent, and with no groups one row comes back.
-    Set ``few_groups`` only where the groups are bounded, such as months.
     """
     require_columns(df, [*groups, *{m for m, _ in wanted.values()}], "Quantile input")
     measures = list(dict.fromkeys(m for m, _ in wanted.values()))
@@ -223,9 +233,9 @@ def exact_quantiles(
         [F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(groups)],
         F.col("_measure") == F.col("_bm"),
     )
-    # One block per group and measure: broadcast where that is bounded, else
-    # Spark decides by the real size and splits hot groups.
-    blocks_side = F.broadcast(renamed) if few_groups or not groups else renamed
+    # One block per group and measure; without groups, one per measure. With
+    # groups Spark decides by the real size and splits hot groups.
+    blocks_side = renamed if groups else F.broadcast(renamed)
     placed = totals.join(blocks_side, same_block).withColumn(
         "_first", F.col("before") - F.col("_start")
     )
@@ -257,12 +267,13 @@ def exact_quantiles(
 def holm(df: DataFrame, family: str, p: str, test: str, out: str = "adjusted_p_value") -> DataFrame:
     """Step-down adjusted p-values inside each family of tests.
 
-    A family is a list of hypothesis tests, so a window per family is small.
+    A family is a list of hypothesis tests, so a window per family is small. A
+    test without a p-value (null or NaN) keeps none and does not count.
     """
-    order = Window.partitionBy(family).orderBy(p, test)
-    size = F.count(F.lit(1)).over(Window.partitionBy(family))
+    known = F.col(p).isNotNull() & ~F.isnan(F.col(p).cast("double"))
+    order = Window.partitionBy(family, "_known").orderBy(p, test)
+    size = F.count(F.lit(1)).over(Window.partitionBy(family, "_known"))
     step = F.least(F.col(p) * (size - F.row_number().over(order) + 1), F.lit(1.0))
     climbing = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return (
-        df.withColumn("_step", step).withColumn(out, F.max("_step").over(climbing)).drop("_step")
-    )
+    adjusted = df.withColumn("_known", known).withColumn("_step", F.when(F.col("_known"), step))
+    return adjusted.withColumn(out, F.max("_step").over(climbing)).drop("_step", "_known")

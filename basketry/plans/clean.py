@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketry.functions import columns as C
-from basketry.operators.dedup import copies_per_batch, drop_exact_copies
+from basketry.operators.dedup import copies_by_identity, drop_exact_copies
 from basketry.operators.ranking import exact_quantiles, global_row_number
 from basketry.schema import IDENTITY
 
@@ -83,10 +83,11 @@ def canonical_table(lines: DataFrame, batch_names: list[str]) -> DataFrame:
 def raw_profile(lines: DataFrame, batch_names: list[str]) -> DataFrame:
     """One row that describes the raw lines without changing them.
 
-    Copies collapse to one row with a count first, and everything else is
-    weighted by that count. All parts share this one shuffle.
+    Lines collapse by identity first, in the only full-width shuffle, with their
+    count and the number of batches that hold them; everything else is weighted
+    by that count. Distinct values are counted by narrow aggregates.
     """
-    copies = copies_per_batch(lines)
+    copies = copies_by_identity(lines, len(batch_names))
     data = classify(copies)
     sale, back, n = F.col("is_completed_sale"), F.col("is_return"), F.col("copies")
     revenue = F.col("line_revenue") * n
@@ -96,22 +97,22 @@ def raw_profile(lines: DataFrame, batch_names: list[str]) -> DataFrame:
 
     def distinct(column: str):
         # One light aggregate each; together they would repeat every row.
-        present = copies.where(F.col(column).isNotNull()).select(column).distinct()
+        present = lines.where(F.col(column).isNotNull()).select(column).distinct()
         return present.agg(F.count(F.lit(1)).alias("n")).scalar()
 
     # Bounded: batch names are a list held by the driver.
     names = F.array(*[F.lit(name) for name in batch_names])
     present = F.sort_array(F.collect_list("batch"))
     batches = (
-        copies.select("batch")
+        lines.select(C.batch_number().alias("batch"))
         .distinct()
         .agg(F.array_join(F.transform(present, lambda i: F.element_at(names, i + 1)), ",").alias("b"))
         .scalar()
     )
-    unique = copies.select(*IDENTITY).distinct().agg(F.count(F.lit(1)).alias("n")).scalar()
     return data.agg(
         F.coalesce(F.sum(n), F.lit(0)).alias("total"),
-        F.coalesce(F.sum(n - 1), F.lit(0)).alias("duplicates_within_batch"),
+        F.coalesce(F.sum(n - F.col("batches")), F.lit(0)).alias("duplicates_within_batch"),
+        F.coalesce(F.sum(n - 1), F.lit(0)).alias("duplicates_across_batches"),
         rows(sale).alias("completed_sales"),
         rows(back).alias("returns_or_cancellations"),
         rows(F.col("customer_id").isNull()).alias("anonymous_rows"),
@@ -125,7 +126,6 @@ def raw_profile(lines: DataFrame, batch_names: list[str]) -> DataFrame:
         C.money(F.sum(F.when(back, revenue))).alias("returns_value"),
     ).withColumns(
         {
-            "duplicates_across_batches": F.col("total") - unique,
             "source_batches": batches,
             "countries": distinct("country"),
             "products": distinct("stock_code"),

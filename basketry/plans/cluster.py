@@ -521,7 +521,7 @@ def cluster_profiles(clusters: DataFrame, home: str) -> DataFrame:
         F.count_if(F.col("primary_country") == home).alias("_home"),
     )
     medians = exact_quantiles(
-        clusters, ["cluster_id"], {o: (c, 0.5) for o, c in _MEDIANS.items()}, few_groups=True
+        clusters, ["cluster_id"], {o: (c, 0.5) for o, c in _MEDIANS.items()}
     )
     totals = clusters.agg(
         F.struct(F.count(F.lit(1)).alias("n"), F.sum(value).alias("v")).alias("s")

@@ -20,36 +20,70 @@ def first_known(value: str, by: str = "transaction_line_id"):
 
 
 def order_summary(sales: DataFrame) -> DataFrame:
-    """One row per invoice."""
-    return (
+    """One row per invoice.
+
+    All lines meet in one hash aggregate by invoice and its attributes; the
+    picks and counts then see one row per product, buyer and country of an
+    invoice.
+    """
+    grain = (
         sales.where(F.col("invoice_no").isNotNull())
-        .groupBy("invoice_no")
+        .groupBy("invoice_no", "customer_id", "country", "stock_code")
         .agg(
-            F.min("invoice_date").alias("invoice_date"),
-            first_known("customer_id").alias("customer_id"),
-            first_known("country").alias("country"),
-            F.sum(REVENUE).alias("order_value"),
-            F.sum("quantity").alias("units"),
-            F.count(F.lit(1)).alias("product_lines"),
+            F.min("invoice_date").alias("_date"),
+            F.min("transaction_line_id").alias("_line"),
+            F.sum(REVENUE).alias("_value"),
+            F.sum("quantity").alias("_units"),
+            F.count(F.lit(1)).alias("_lines"),
+        )
+    )
+    return (
+        grain.groupBy("invoice_no")
+        .agg(
+            F.min("_date").alias("invoice_date"),
+            first_known("customer_id", "_line").alias("customer_id"),
+            first_known("country", "_line").alias("country"),
+            F.sum("_value").alias("order_value"),
+            F.sum("_units").alias("units"),
+            F.sum("_lines").alias("product_lines"),
             F.count_distinct("stock_code").alias("distinct_products"),
         )
         .withColumn("order_value_gbp", C.money("order_value"))
     )
 
 
+def distinct_per(df: DataFrame, key: str, column: str, out: str) -> DataFrame:
+    """Distinct non-null values of ``column`` per ``key``, by two light aggregates."""
+    pairs = df.where(F.col(column).isNotNull()).groupBy(key, column).agg(F.lit(1).alias("_one"))
+    return pairs.groupBy(key).agg(F.count(F.lit(1)).alias(out))
+
+
 def buyer_features(identified: DataFrame) -> DataFrame:
-    """Per identified customer: usual country, dates, orders, value, breadth."""
-    # The usual country is counted apart: a mode in this aggregate would turn
-    # it into a sort of all lines, three times over for the distinct counts.
+    """Per identified customer: usual country, dates, orders, value, breadth.
+
+    Lines meet once, by customer, invoice and country; the products are counted
+    apart, so no line is expanded.
+    """
     usual = most_common(identified, "customer_id", "country", "primary_country", UNKNOWN)
-    return identified.groupBy("customer_id").agg(
-        F.min("invoice_date").alias("first_purchase"),
-        F.max("invoice_date").alias("last_purchase"),
-        F.count_distinct("invoice_no").alias("orders"),
-        F.sum(REVENUE).alias("revenue"),
-        F.sum("quantity").alias("units"),
-        F.count_distinct("stock_code").alias("distinct_products"),
-    ).join(usual, "customer_id")
+    per_order = identified.groupBy("customer_id", "invoice_no").agg(
+        F.min("invoice_date").alias("_first"),
+        F.max("invoice_date").alias("_last"),
+        F.sum(REVENUE).alias("_revenue"),
+        F.sum("quantity").alias("_units"),
+    )
+    totals = per_order.groupBy("customer_id").agg(
+        F.min("_first").alias("first_purchase"),
+        F.max("_last").alias("last_purchase"),
+        F.count("invoice_no").alias("orders"),
+        F.sum("_revenue").alias("revenue"),
+        F.sum("_units").alias("units"),
+    )
+    products = distinct_per(identified, "customer_id", "stock_code", "distinct_products")
+    return (
+        totals.join(products, "customer_id", "left")
+        .withColumn("distinct_products", F.coalesce("distinct_products", F.lit(0)).cast("long"))
+        .join(usual, "customer_id")
+    )
 
 
 def customer_summary(sales: DataFrame) -> DataFrame:
@@ -90,7 +124,7 @@ def monthly_performance(sales: DataFrame, orders: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("orders"), F.sum("order_value").alias("_value")
     )
     medians = exact_quantiles(
-        begun, ["year_month"], {"median_order_value_gbp": ("order_value", 0.5)}, few_groups=True
+        begun, ["year_month"], {"median_order_value_gbp": ("order_value", 0.5)}
     )
     # A window over months: bounded by the calendar.
     previous = F.lag("revenue_gbp").over(Window.orderBy("year_month"))
@@ -125,18 +159,28 @@ def total_of(df: DataFrame, column: str):
     return df.agg(F.sum(column).alias("t")).scalar()
 
 
-def country_share(sales: DataFrame) -> DataFrame:
-    by_country = (
-        sales.where(F.col("country").isNotNull())
-        .groupBy("country")
-        .agg(
-            F.sum(REVENUE).alias("revenue"),
-            F.count_distinct("invoice_no").alias("orders"),
-            F.count_distinct("customer_id").alias("identified_customers"),
-            F.sum("quantity").alias("units"),
-        )
+def _totals_and_breadth(sales: DataFrame, key: str, units: str) -> DataFrame:
+    """Revenue, units, orders and identified customers per key.
+
+    Lines collapse to (key, invoice) first, which carries the sums and counts the
+    orders; customers are counted by a second light aggregate.
+    """
+    per_order = sales.groupBy(key, "invoice_no").agg(
+        F.sum(REVENUE).alias("_revenue"), F.sum("quantity").alias("_units")
+    )
+    totals = per_order.groupBy(key).agg(
+        F.sum("_units").alias(units), F.sum("_revenue").alias("revenue"), F.count("invoice_no").alias("orders")
     )
-    total = total_of(sales.where(F.col("country").isNotNull()), "line_revenue")
+    buyers = distinct_per(sales, key, "customer_id", "identified_customers")
+    return totals.join(buyers, key, "left").withColumn(
+        "identified_customers", F.coalesce("identified_customers", F.lit(0)).cast("long")
+    )
+
+
+def country_share(sales: DataFrame) -> DataFrame:
+    placed = sales.where(F.col("country").isNotNull())
+    by_country = _totals_and_breadth(placed, "country", "units")
+    total = total_of(placed, "line_revenue")
     return by_country.select(
         "country",
         C.money("revenue").alias("revenue_gbp"),
@@ -161,12 +205,7 @@ def latest_descriptions(lines: DataFrame) -> DataFrame:
 def product_performance(sales: DataFrame) -> DataFrame:
     """One row per product; sort or limit it where a report needs that."""
     coded = sales.where(F.col("stock_code").isNotNull())
-    by_product = coded.groupBy("stock_code").agg(
-        F.sum("quantity").alias("units_sold"),
-        F.sum(REVENUE).alias("revenue"),
-        F.count_distinct("invoice_no").alias("orders"),
-        F.count_distinct("customer_id").alias("identified_customers"),
-    )
+    by_product = _totals_and_breadth(coded, "stock_code", "units_sold")
     return by_product.join(latest_descriptions(coded), "stock_code", "left").select(
         "stock_code",
         "units_sold",
@@ -374,13 +413,8 @@ def box_summary(df: DataFrame, group: str, value: str) -> DataFrame:
 
     For groups one would draw side by side: a handful of them.
     """
-    quartiles = F.broadcast(
-        exact_quantiles(
-            df,
-            [group],
-            {"q1": (value, 0.25), "median": (value, 0.5), "q3": (value, 0.75)},
-            few_groups=True,
-        )
+    quartiles = exact_quantiles(
+        df, [group], {"q1": (value, 0.25), "median": (value, 0.5), "q3": (value, 0.75)}
     )
     counts = df.groupBy(group, F.col(value).cast("double").alias("_v")).agg(
         F.count(F.lit(1)).alias("_c")

@@ -155,8 +155,7 @@ def segment_mart(rfm: DataFrame) -> DataFrame:
             "median_recency_days": ("recency_days", 0.5),
             "median_frequency_orders": ("frequency_orders", 0.5),
             "median_monetary_value_gbp": ("monetary_value_gbp", 0.5),
-        },
-        few_groups=True,
+        }
     )
     totals = rfm.agg(
         F.struct(F.count(F.lit(1)).alias("n"), F.sum(value).alias("v")).alias("s")

@@ -214,7 +214,7 @@ def segment_summary(rfm: DataFrame) -> DataFrame:
         F.sum("distinct_products").alias("_products"),
     )
     medians = exact_quantiles(
-        rfm, ["segment"], {"median_recency_days": ("recency_days", 0.5)}, few_groups=True
+        rfm, ["segment"], {"median_recency_days": ("recency_days", 0.5)}
     )
     totals = (
         rfm.agg(

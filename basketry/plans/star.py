@@ -14,7 +14,6 @@ from basketry.sources.sinks import datasets
 
 UNKNOWN_PRODUCT = "Unknown product"
 UNKNOWN = "Unknown"
-NULL_SALTS = 512
 OUTLIER_FLAGS = ["is_quantity_outlier", "is_unit_price_outlier", "is_line_revenue_outlier"]
 
 
@@ -97,10 +96,11 @@ def look_up(facts: DataFrame, dim: DataFrame, on: str, dim_id: str, key: str) ->
     """Left lookup of a surrogate key that spreads missing ids over many tasks.
 
     A null id matches nothing, yet a shuffled join would send all of them to
-    one task. They get salted stand-ins that no id can equal. No hint: by its
+    one task. Each gets a stand-in of its own, made from its line id, that no id
+    can equal. No hint: by its
     written size the dimension is broadcast, or else AQE splits hot ids.
     """
-    salt = F.pmod(F.xxhash64("transaction_line_id"), F.lit(NULL_SALTS)).cast("string")
+    salt = F.xxhash64("transaction_line_id").cast("string")
     stand_in = F.coalesce(F.col(on), F.concat(F.lit("\u0000"), salt))
     keys = dim.select(F.col(dim_id).alias("_dim_id"), F.col(key))
     return (

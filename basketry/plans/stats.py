@@ -179,13 +179,12 @@ def group_summaries(customers: DataFrame, orders: DataFrame, home: str) -> DataF
     sales = with_groups(orders, "country", home)
     status = F.when(F.col("is_repeat_customer"), "repeat").otherwise("one_time")
     by_status = exact_quantiles(
-        people.withColumn("group", status), ["group"], {"value": ("monetary_value_gbp", 0.5)}, few_groups=True
+        people.withColumn("group", status), ["group"], {"value": ("monetary_value_gbp", 0.5)}
     ).withColumn("measure", F.lit("median_customer_value"))
     by_place = exact_quantiles(
         sales.withColumnRenamed("geography", "group"),
         ["group"],
-        {"value": ("order_value_gbp", 0.5)},
-        few_groups=True,
+        {"value": ("order_value_gbp", 0.5)}
     ).withColumn("measure", F.lit("median_order_value"))
     shares = people.groupBy(F.col("geography").alias("group")).agg(
         F.avg(F.col("is_repeat_customer").cast("int")).alias("value")

@@ -32,26 +32,28 @@ HEADER_SPELLINGS = {
     "country": ("country",),
 }
 
-MONEY = T.DecimalType(18, 4)
+# Wide enough that neither fractions of a unit nor the digits of a price are
+# rounded away: two lines are copies only if their values are equal.
+QUANTITY = T.DecimalType(18, 4)
+MONEY = T.DecimalType(28, 12)
+REVENUE = T.DecimalType(38, 7)
 
-# Load order packs the batch number into the high bits, so that one long
-# compares first by batch and then by position inside the batch. Below it lie
-# 22 bits of input split and 33 bits of row, as monotonically_increasing_id
-# numbers them: 255 batches of 4 million splits each.
-BATCH_SHIFT = 55
-MAX_BATCHES = 255
+# Load position: batch number times this step, plus the position in the batch.
+# One decimal, so that the first copy is a plain minimum in a hash aggregate.
+LOAD_SEQ = T.DecimalType(38, 0)
+BATCH_STEP = 10**19
 
 LINE = T.StructType(
     [
         T.StructField("invoice_no", T.StringType()),
         T.StructField("stock_code", T.StringType()),
         T.StructField("description", T.StringType()),
-        T.StructField("quantity", T.IntegerType()),
+        T.StructField("quantity", QUANTITY),
         T.StructField("invoice_date", T.TimestampNTZType()),  # wall-clock time of the shop
         T.StructField("unit_price", MONEY),
         T.StructField("customer_id", T.StringType()),
         T.StructField("country", T.StringType()),
-        T.StructField("load_seq", T.LongType()),
+        T.StructField("load_seq", LOAD_SEQ),
     ]
 )
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,19 +25,29 @@ def build_session(app_name: str = "basketry", master: str | None = None, **conf)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach, taken from ``spark.checkpoint.dir``.
-
-    A machine-local folder is only good enough where driver and executors are
-    one process, so it is the fallback for ``local`` masters alone.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder every executor can reach: ``spark.checkpoint.dir``, else one under the warehouse."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder
-    if spark.sparkContext.getCheckpointDir():
-        return spark.sparkContext.getCheckpointDir()
-    if not spark.sparkContext.master.startswith("local"):
+    warehouse = spark.conf.get("spark.sql.warehouse.dir", None)
+    if not warehouse:
         raise RuntimeError("Set spark.checkpoint.dir to a folder shared by all executors.")
-    return tempfile.mkdtemp(prefix="basketry-")
+    return f"{warehouse}/_shared"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete everything this application has pinned or staged; call it once nothing reads it any more."""
+    app = spark.sparkContext.applicationId
+    for path in (*_PINS.pop(app, []), *([_STAGES.pop(app).root] if app in _STAGES else [])):
+        remove(spark, path)
+
+
+_PINS: dict[str, list[str]] = {}
 
 
 def pin(df: DataFrame, wide: bool = False) -> DataFrame:
@@ -53,6 +62,7 @@ def pin(df: DataFrame, wide: bool = False) -> DataFrame:
     if wide:
         path = f"{shared_folder(spark)}/basketry-pins/{uuid.uuid4().hex}"
         df.write.parquet(path)
+        _PINS.setdefault(spark.sparkContext.applicationId, []).append(path)
         return spark.read.parquet(path)
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(shared_folder(spark))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.schema import BATCH_SHIFT, IDENTITY
+from basketry.functions import columns as C
+from basketry.schema import IDENTITY, MONEY, QUANTITY
 
 BATCHES = ["batch_1", "batch_2"]
 HOME = "NATION_0"
@@ -42,16 +43,14 @@ def transaction_lines(spark: SparkSession, folder: str) -> DataFrame:
         ),
         F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("stock_code"),
         F.when(F.col("l_partkey") % 50 != 0, F.col("p_name")).alias("description"),
-        (F.when(returned, -1).otherwise(1) * F.col("l_quantity").cast("int")).alias("quantity"),
+        (F.when(returned, -1).otherwise(1) * F.col("l_quantity").cast("int")).cast(QUANTITY).alias("quantity"),
         F.col("o_orderdate").alias("invoice_date"),
-        F.when(free, F.lit(0)).otherwise(F.col("p_retailprice")).cast("decimal(18,4)").alias(
-            "unit_price"
-        ),
+        F.when(free, F.lit(0)).otherwise(F.col("p_retailprice")).cast(MONEY).alias("unit_price"),
         F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_custkey").cast("string")).alias(
             "customer_id"
         ),
         F.col("n_name").alias("country"),
-        (F.shiftleft(batch, BATCH_SHIFT) + F.col("l_linenumber")).alias("load_seq"),
+        C.load_position(batch, F.col("l_linenumber")).alias("load_seq"),
     )
 
 
@@ -65,16 +64,16 @@ def raw_batches(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
         F.concat(F.lit(" "), F.replace("description", F.lit(" "), F.lit("  ")), F.lit(" ")).alias(
             "Description"
         ),
-        F.when(code % 97 == 0, "n/a").otherwise(F.col("quantity").cast("string")).alias("Quantity"),
+        F.when(code % 97 == 0, "n/a").otherwise(F.col("quantity").cast("int").cast("string")).alias("Quantity"),
         F.when(code % 89 == 0, "not a date")
         .otherwise(F.date_format("invoice_date", "yyyy-MM-dd HH:mm"))
         .alias("InvoiceDate"),
-        F.when(code % 83 == 0, "free").otherwise(F.col("unit_price").cast("string")).alias("Price"),
+        F.when(code % 83 == 0, "free").otherwise(F.col("unit_price").cast("decimal(18,4)").cast("string")).alias("Price"),
         F.concat("customer_id", F.lit(".0")).alias("Customer ID"),
         F.concat("country", F.lit(" ")).alias("Country"),
         F.lit("ignored").alias("Remark"),
-        F.col("load_seq").bitwiseAND(F.lit((1 << BATCH_SHIFT) - 1)).alias("line_no"),
-        F.shiftright("load_seq", BATCH_SHIFT).alias("_batch"),
+        C.place_in_batch().alias("line_no"),
+        C.batch_number().alias("_batch"),
     )
     return {
         name: text.where(F.col("_batch") == i).drop("_batch") for i, name in enumerate(BATCHES)
@@ -85,7 +84,7 @@ def overlapping_batches(spark: SparkSession, folder: str) -> DataFrame:
     """The lines once, and the early lines again as a third batch of copies."""
     lines = transaction_lines(spark, folder)
     again = lines.where(F.col("invoice_date") < F.lit("1997-01-01").cast("timestamp"))
-    third = F.lit(2 << BATCH_SHIFT) + F.col("load_seq").bitwiseAND(F.lit((1 << BATCH_SHIFT) - 1))
+    third = C.load_position(2, C.place_in_batch())
     return lines.unionByName(again.withColumn("load_seq", third)).select(*IDENTITY, "load_seq")
 
 

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basketry.functions.columns import EXCLUDED, RETURN, SALE
 
-# Fixed value: largest single export in bytes.
-FILE_LIMIT = 100 * 1024 * 1024
-
 
 def write_parquet(df: DataFrame, path: str, partition_by: str | None = None) -> None:
     writer = df.write.mode("overwrite").option("compression", "snappy")
@@ -49,36 +48,47 @@ def datasets(lines: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def written_bytes(spark: SparkSession, path: str) -> int:
-    """Size of a file or folder on whatever file system the path names."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
+def written_files(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """Name and size of the data files in a folder, on whatever file system the path names."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return int(fs.getContentSummary(target).getLength())
+    found = [(s.getPath().getName(), int(s.getLen())) for s in fs.listStatus(target) if s.isFile()]
+    return sorted(f for f in found if f[0][0] not in "_.")
 
 
-def size_gate(spark: SparkSession, paths: dict[str, str], limit: int = FILE_LIMIT) -> DataFrame:
-    """One row per written table: bytes, limit, passed."""
-    rows = [(n, size, limit, size < limit) for n, p in paths.items() for size in [written_bytes(spark, p)]]
-    return spark.createDataFrame(rows, "table string, bytes long, limit_bytes long, passed boolean")
+def size_report(spark: SparkSession, paths: dict[str, str], limit: int | None = None) -> DataFrame:
+    """One row per written file, and one with the total: bytes, limit, passed.
+
+    ``limit`` is the largest file the receiver takes, in bytes; without one
+    every row passes. The total has no limit.
+    """
+    rows = [(n, f, size) for n, p in paths.items() for f, size in written_files(spark, p)]
+    rows = [(*r, limit, limit is None or r[2] < limit) for r in rows]
+    rows.append(("total", None, sum(r[2] for r in rows), None, True))
+    return spark.createDataFrame(rows, "table string, file string, bytes long, limit_bytes long, passed boolean")
 
 
-def write_bundle(tables: dict[str, DataFrame], folder: str) -> DataFrame:
-    """Write every mart as CSV and return its size gates."""
+def write_bundle(tables: dict[str, DataFrame], folder: str) -> dict[str, str]:
+    """Write every table as CSV; the folder of each."""
     paths = {name: f"{folder}/{name}" for name in tables}
     for name, df in tables.items():
         write_csv(df, paths[name])
-    spark = next(iter(tables.values())).sparkSession
-    return size_gate(spark, paths)
+    return paths
 
 
 def swap_in(spark: SparkSession, fresh: str, final: str) -> None:
-    """Put a finished folder in the place of an earlier one."""
+    """Put a finished folder in the place of an earlier one, which goes only after that."""
     jvm = spark.sparkContext._jvm
     source, target = jvm.org.apache.hadoop.fs.Path(fresh), jvm.org.apache.hadoop.fs.Path(final)
     fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.exists(target):
-        fs.delete(target, True)
+    aside = jvm.org.apache.hadoop.fs.Path(f"{final}.{uuid.uuid4().hex}.old")
+    replaced = fs.exists(target)
+    if replaced and not fs.rename(target, aside):
+        raise RuntimeError(f"Could not move {final} aside.")
     fs.mkdirs(target.getParent())
     if not fs.rename(source, target):
+        if replaced:
+            fs.rename(aside, target)
         raise RuntimeError(f"Could not move {fresh} to {final}.")
+    if replaced:
+        fs.delete(aside, True)

@@ -4,8 +4,70 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from basketry.plans.cluster import ACTIONS_BY_RECENCY, LABELS
-from basketry.plans.rfm import SEGMENTS
+
+# Fixed values, stated here a second time so that a wrong one in the library fails.
+SEGMENTS = [
+    (
+        "Champions",
+        "R >= 4, F >= 4, M >= 4, and at least 2 completed orders.",
+        "Protect with early access, premium service, and referral invitations.",
+        "Protect",
+    ),
+    (
+        "Loyal Customers",
+        "R >= 3, F >= 4, M >= 3, and at least 2 completed orders.",
+        "Use loyalty rewards, replenishment reminders, and cross-sell offers.",
+        "Grow",
+    ),
+    (
+        "Potential Loyalists",
+        "R >= 4, F between 2 and 3, M >= 2, and at least 2 completed orders.",
+        "Nurture with second-next-purchase offers and category recommendations.",
+        "Nurture",
+    ),
+    (
+        "New Customers",
+        "R >= 4 and exactly 1 completed order.",
+        "Send onboarding, product education, and a timely second-order incentive.",
+        "Onboard",
+    ),
+    (
+        "Cannot Lose Them",
+        "R <= 2, F >= 4, M >= 4, and at least 2 completed orders.",
+        "Prioritise personal reactivation and service recovery before discounting.",
+        "Recover",
+    ),
+    (
+        "At Risk",
+        "R <= 2 and either F >= 3 or M >= 3.",
+        "Trigger win-back journeys based on past categories and purchase timing.",
+        "Win back",
+    ),
+    (
+        "Hibernating",
+        "R <= 2, F <= 2, and M <= 2.",
+        "Use low-cost reactivation tests and suppress if engagement stays absent.",
+        "Test",
+    ),
+    (
+        "Need Attention",
+        "All remaining customers after the ordered rules above.",
+        "Monitor behaviour and use light-touch merchandising or survey prompts.",
+        "Monitor",
+    ),
+]
+LABELS = {
+    1: "High-Value Champions",
+    2: "Recent Growth Customers",
+    3: "Lapsed Established Customers",
+    4: "Dormant Low-Value Customers",
+}
+ACTIONS_BY_RECENCY = {
+    1: "Protect current value with recognition, priority service, and relevant loyalty offers.",
+    2: "Nurture the next purchase with timely cross-sell and replenishment prompts.",
+    3: "Prioritise profile-based reactivation using known categories before broad discounting.",
+    4: "Use low-cost re-engagement tests and suppress outreach if inactivity persists.",
+}
 
 HOME = "NATION_0"
 SHIFT = 2**55
@@ -206,7 +268,7 @@ add("alias_columns", [TXN], f"""SELECT '  ' || invoice_no || chr(9) AS invoice_n
   CASE WHEN {CODE} % 97 = 0 THEN 'n/a' ELSE CAST(quantity AS VARCHAR) END AS quantity,
   CASE WHEN {CODE} % 89 = 0 THEN 'not a date' ELSE strftime(invoice_date, '%Y-%m-%d %H:%M') END AS invoice_date,
   CASE WHEN {CODE} % 83 = 0 THEN 'free' ELSE CAST(unit_price AS VARCHAR) END AS unit_price,
-  customer_id || '.0' AS customer_id, country || ' ' AS country FROM txn WHERE load_seq >= {SHIFT}""")
+  customer_id || '.0' AS customer_id, country || ' ' AS country FROM txn""")
 add("csv_roundtrip", [LINES], f"SELECT transaction_line_id, invoice_no, invoice_date, {dbl('unit_price')} AS unit_price FROM lines")
 add("parquet_roundtrip", [LINES], f"""SELECT transaction_type, year, COUNT(*) AS row_count, {dbl('SUM(line_revenue)')} AS value
   FROM lines GROUP BY transaction_type, year""")
@@ -244,11 +306,6 @@ KPI_COLUMNS = ["revenue_gbp", "orders", "identified_customers", "average_order_v
                "revenue_per_identified_customer_gbp"]
 RECON_COLUMNS = ["completed_sales", "returns_or_cancellations", "excluded_non_sales", "reconciled_unique_rows"]
 OUTLIER_COLUMNS = ["quantity_outlier_lines", "price_outlier_lines", "revenue_outlier_lines", "flagged_revenue_gbp"]
-add("named_query_batch",
-    [LINES, STAR, SALES_KPI, FENCES, f"a AS ({EXEC})", f"b AS ({RECON})", f"c AS ({OUTLIERS})"],
-    " UNION ALL ".join([unpivoted("executive_kpis", "a", KPI_COLUMNS),
-                        unpivoted("partition_reconciliation", "b", RECON_COLUMNS),
-                        unpivoted("outlier_profile", "c", OUTLIER_COLUMNS)]))
 MANIFEST = {
     "foreign_key_resolution": ("5", "check_name,failure_count"),
     "partition_reconciliation": ("1", ",".join(RECON_COLUMNS)),
@@ -858,3 +915,20 @@ _INTEGERS = {
 for name, columns in _INTEGERS.items():
     casts = ", ".join(f"CAST({c} AS INTEGER) AS {c}" for c in columns)
     ORACLE[name] = f"SELECT * REPLACE ({casts}) FROM (\n{ORACLE[name]}\n)"
+
+# Rows and column sums of every named statement, from the statements' own SQL.
+_TEXT = {"check_name", "year_month", "country_name", "stock_code", "product_description", "customer_id",
+         "primary_country", "first_purchase", "last_purchase"}
+
+
+def _column_sums(name: str) -> str:
+    columns = [c for c in MANIFEST[name][1].split(",") if c not in _TEXT]
+    parts = [f"SELECT '{name}' AS query, 'rows' AS measure, CAST(COUNT(*) AS DOUBLE) AS value FROM (SELECT 1 FROM r_{name})"]
+    parts += [f"SELECT '{name}', '{c}', round(SUM(CAST({c} AS DOUBLE)), 4) FROM r_{name}" for c in columns]
+    return " UNION ALL ".join(parts)
+
+
+ORACLE["named_query_batch"] = (
+    "WITH " + ", ".join(f"r_{n} AS MATERIALIZED ({ORACLE[n]})" for n in MANIFEST)
+    + " " + " UNION ALL ".join(_column_sums(n) for n in MANIFEST)
+)

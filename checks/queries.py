@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basketry.functions import columns as C
 from basketry.operators import dedup, ranking
 from basketry.plans import clean, cluster, cohort, eda, gates, marts, measures, rfm, star, stats
-from basketry.schema import IDENTITY, LINE
+from basketry.schema import IDENTITY, LINE, LOAD_SEQ, QUANTITY
 from basketry.session import pin, stage_of
 from basketry.sources import named_sql, sample_tables, scan, sinks
 
@@ -153,15 +155,15 @@ class Tables:
 
 
 def doubles(df: DataFrame) -> DataFrame:
-    """Decimals leave as doubles."""
-    return df.select(
-        *[
-            F.col(f.name).cast("double").alias(f.name)
-            if f.dataType.typeName() == "decimal"
-            else F.col(f.name)
-            for f in df.schema.fields
-        ]
-    )
+    """Decimals leave as doubles, and units (whole in these tables) as longs."""
+
+    def edge(f):
+        if f.dataType.typeName() != "decimal":
+            return F.col(f.name)
+        kind = "long" if f.dataType.scale == QUANTITY.scale else "double"
+        return F.col(f.name).cast(kind).alias(f.name)
+
+    return df.select(*[edge(f) for f in df.schema.fields])
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -191,8 +193,8 @@ def scan_union_batches(t: Tables) -> DataFrame:
 
 
 def alias_columns(t: Tables) -> DataFrame:
-    renamed = scan.rename_to_canonical(t.raw()["batch_2"])
-    return renamed.select(*IDENTITY)
+    both = [scan.rename_to_canonical(raw).select(*IDENTITY) for raw in t.raw().values()]
+    return both[0].unionByName(both[1])
 
 
 def csv_roundtrip(t: Tables) -> DataFrame:
@@ -229,19 +231,18 @@ def partition_datasets(t: Tables) -> DataFrame:
 
 
 def named_query_batch(t: Tables) -> DataFrame:
-    """Three statements of the files, unpivoted into one report."""
-    names = ["executive_kpis", "partition_reconciliation", "outlier_profile"]
-    results = t.named(set(names))
-    rows = []
-    for name in names:
-        df = results[name]
-        wide = df.select(*[F.col(c).cast("double").alias(c) for c in df.columns])
-        rows.append(
-            wide.unpivot([], wide.columns, "measure", "value").select(
-                F.lit(name).alias("query"), "measure", "value"
-            )
+    """All statements of the files: rows, and the sum of every numeric column, as one report."""
+    reports = []
+    for name, df in t.named().items():
+        numeric = [f.name for f in df.schema.fields if f.dataType.typeName() in ("integer", "long", "double", "decimal", "float")]
+        sums = df.agg(
+            F.count(F.lit(1)).cast("double").alias("rows"),
+            *[F.round(F.sum(F.col(c).cast("double")), 4).alias(c) for c in numeric],
+        )
+        reports.append(
+            sums.unpivot([], sums.columns, "measure", "value").select(F.lit(name).alias("query"), "measure", "value")
         )
-    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+    return reduce(DataFrame.unionByName, reports)
 
 
 def query_manifest(t: Tables) -> DataFrame:
@@ -721,7 +722,7 @@ def minimum_contract(t: Tables) -> DataFrame:
     """Failures of all lines, and of the returns alone as if they were one batch."""
     first = clean.contract_failures(clean.classify(t.lines()))
     lone = clean.classify(t.lines().where(F.col("invoice_no").startswith("C")))
-    second = clean.contract_failures(lone.withColumn("load_seq", F.lit(0).cast("long")))
+    second = clean.contract_failures(lone.withColumn("load_seq", F.lit(0).cast(LOAD_SEQ)))
     return first.withColumn("scope", F.lit("all_lines")).unionByName(
         second.withColumn("scope", F.lit("returns_as_one_batch"))
     )
@@ -876,6 +877,6 @@ QUERIES = {
 
 def registered():
     def bind(build):
-        return lambda spark, folder: build(Tables(spark, folder.rstrip("/")))
+        return lambda spark, folder: doubles(build(Tables(spark, folder.rstrip("/"))))
 
     return {name: bind(build) for name, build in QUERIES.items()}

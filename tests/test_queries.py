@@ -6,7 +6,7 @@ import pytest
 
 from checks.compare import connect, difference
 from checks.oracle import ORACLE
-from checks.queries import QUERIES
+from checks.queries import QUERIES, doubles
 
 # Heavy on a small machine; their parts are tested in test_cluster and test_stats.
 SLOW = {"k_evaluation", "cluster_gates", "correlation_tests", "hypothesis_tests"}
@@ -28,7 +28,7 @@ def test_every_query_has_sql_or_a_reason():
 
 @pytest.mark.parametrize("name", [n for n in QUERIES if n not in SLOW])
 def test_query(tables, con, name):
-    df = QUERIES[name](tables)
+    df = doubles(QUERIES[name](tables))
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     guard_windows(plan)
