@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 from functools import reduce
 from itertools import combinations
 
-from pyspark.ml.clustering import KMeans, KMeansModel
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -43,9 +45,9 @@ ACTIONS_BY_RECENCY = {
 
 SCALED = [f"z_{f}" for f in FEATURES]
 TILE = 2048
-# The exact silhouette is quadratic; above this many rows the linear one on
-# squared distances stands in unless the caller insists.
-EXACT_SILHOUETTE_ROWS = 200_000
+# Rows that the starting centres are drawn from, spread over all customers by hash.
+START_SAMPLE = 4096
+TOLERANCE = 1e-4
 
 
 def input_contract(rfm: DataFrame) -> DataFrame:
@@ -94,41 +96,138 @@ def vectors(scaled: DataFrame) -> DataFrame:
     return scaled.withColumn("features", array_to_vector(F.array(*SCALED)))
 
 
-def training_table(rfm: DataFrame, rows_per_task: int = 50_000) -> DataFrame:
-    """Vectors in memory, in as few partitions as their number allows.
+def training_table(rfm: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Pinned rows with their scaled features, in ``partitions`` parts if the caller says so."""
+    data = vectors(scaled_features(rfm))
+    return pin(data if partitions is None else data.repartition(partitions, "customer_id"))
+
+
+@dataclass(frozen=True)
+class Fit:
+    centres: np.ndarray
+    inertia: float
+    iterations: int
 
-    K-Means runs a job per iteration, so tiny partitions cost more than they
-    spread. Lost blocks are read again from the pinned copy.
-    """
-    data = pin(vectors(scaled_features(rfm)))
-    return data.coalesce(max(1, data.count() // rows_per_task)).persist()
 
+def _start(sample: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """Spread-out rows as first centres: each drawn by squared distance to those before."""
+    picked = [sample[rng.integers(len(sample))]]
+    near = ((sample - picked[0]) ** 2).sum(axis=1)
+    for _ in range(1, k):
+        total = near.sum()
+        at = rng.choice(len(sample), p=near / total) if total > 0 else rng.integers(len(sample))
+        picked.append(sample[at])
+        near = np.minimum(near, ((sample - sample[at]) ** 2).sum(axis=1))
+    return np.array(picked)
 
-def fit(data: DataFrame, k: int, seed: int, n_init: int = N_INIT) -> KMeansModel:
-    """Best of ``n_init`` starts by training cost."""
-    def once(i: int) -> KMeansModel:
-        start = seed * 1000 + i
-        return KMeans(k=k, seed=start, maxIter=MAX_ITER, initMode="k-means||").fit(data)
 
-    return min((once(i) for i in range(n_init)), key=lambda m: m.summary.trainingCost)
+def _step(data: DataFrame, models: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Of every centre of every model: rows and coordinate sums; of every model: cost.
 
+    One scan for all models. A task returns one row per centre that has rows.
+    """
+    spark, width = data.sparkSession, len(SCALED)
+    by_k: dict[int, list[int]] = {}
+    for i, m in enumerate(models):
+        by_k.setdefault(len(m), []).append(i)
+    first = np.cumsum([0, *map(len, models)])
+    blocks = [(np.array(ids), np.stack([models[i] for i in ids]), first[ids]) for ids in by_k.values()]
+    sent = spark.sparkContext.broadcast(blocks)
+    size, count = int(first[-1]), len(models)
+
+    def run(batches):
+        n, sums, cost = np.zeros(size), np.zeros((width, size)), np.zeros(count)
+        for batch in batches:
+            x = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in SCALED], axis=1)
+            for at in range(0, len(x), 1024):
+                rows = x[at : at + 1024]
+                square = (rows * rows).sum(axis=1)[:, None]
+                for ids, centres, offsets in sent.value:
+                    m, k, _ = centres.shape
+                    flat = centres.reshape(m * k, width)
+                    d = (square + (flat * flat).sum(axis=1) - 2 * rows @ flat.T).reshape(len(rows), m, k)
+                    own = d.argmin(axis=2)
+                    cost[ids] += np.maximum(np.take_along_axis(d, own[:, :, None], 2)[:, :, 0], 0).sum(axis=0)
+                    at_centre = (own + offsets).ravel()
+                    n += np.bincount(at_centre, minlength=size)
+                    for axis in range(width):
+                        sums[axis] += np.bincount(at_centre, np.repeat(rows[:, axis], m), minlength=size)
+        used = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.r_[used, size + np.arange(count)]), pa.array(np.r_[n[used], cost])]
+            + [pa.array(np.r_[sums[a][used], np.zeros(count)]) for a in range(width)],
+            names=["place", "n", *[f"s{a}" for a in range(width)]],
+        )
 
-def business_order(model: KMeansModel) -> dict[int, int]:
+    columns = ["n", *[f"s{a}" for a in range(width)]]
+    parts = data.select(*SCALED).mapInArrow(run, "place long, " + ", ".join(f"{c} double" for c in columns))
+    out = np.zeros((size + count, width + 1))
+    # Bounded: one row per centre and per model.
+    for r in parts.groupBy("place").agg(*[F.sum(c).alias(c) for c in columns]).collect():
+        out[r["place"]] = [r[c] for c in columns]
+    sent.unpersist()
+    return out[:size], out[size:, 0]
+
+
+def fit_all(data: DataFrame, jobs: list[tuple[int, int]], n_init: int = N_INIT) -> dict[tuple[int, int], Fit]:
+    """For each (k, seed) the cheapest of ``n_init`` starts.
+
+    All models move together: an iteration is one scan of the rows, whatever the
+    number of models, and models that have settled leave the scan.
+    """
+    rows = data.select(*SCALED).orderBy(F.xxhash64("customer_id"), "customer_id").limit(START_SAMPLE).collect()
+    sample = np.array([tuple(r) for r in rows])
+    models = [_start(sample, k, np.random.default_rng([seed, k, i])) for k, seed in jobs for i in range(n_init)]
+    moving, iterations = list(range(len(models))), [0] * len(models)
+    spread = float(np.mean(np.var(sample, axis=0)))
+    cost = np.zeros(len(models))
+    for _ in range(MAX_ITER):
+        sums, costs = _step(data, [models[i] for i in moving])
+        at, still = 0, []
+        for i, c in zip(moving, costs):
+            k = len(models[i])
+            n, total = sums[at : at + k, 0], sums[at : at + k, 1:]
+            at += k
+            new = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], models[i])
+            shift = float(((new - models[i]) ** 2).sum())
+            models[i], cost[i], iterations[i] = new, c, iterations[i] + 1
+            if shift > TOLERANCE * spread:
+                still.append(i)
+        moving = still
+        if not moving:
+            break
+    _, cost = _step(data, models)
+    out = {}
+    for j, job in enumerate(jobs):
+        best = min(range(j * n_init, (j + 1) * n_init), key=lambda i: cost[i])
+        out[job] = Fit(models[best], float(cost[best]), iterations[best])
+    return out
+
+
+def fit(data: DataFrame, k: int, seed: int, n_init: int = N_INIT) -> Fit:
+    return fit_all(data, [(k, seed)], n_init)[k, seed]
+
+
+def business_order(model: Fit) -> dict[int, int]:
     """Raw label -> 1..k by falling -R + F + M of the centre."""
-    value = [-c[0] + c[1] + c[2] for c in model.clusterCenters()]
+    value = [-c[0] + c[1] + c[2] for c in model.centres]
     ranked = sorted(range(len(value)), key=lambda i: (-value[i], i))
     return {raw: place + 1 for place, raw in enumerate(ranked)}
 
 
-def assign(data: DataFrame, model: KMeansModel) -> DataFrame:
+def nearest(model: Fit):
+    """Number of the nearest centre, the first on ties, as an expression over the scaled features."""
+    def distance(centre):
+        return reduce(lambda a, b: a + b, [(F.col(c) - F.lit(float(v))) ** 2 for c, v in zip(SCALED, centre)])
+
+    return F.array_min(F.array(*[F.struct(distance(c).alias("d"), F.lit(i).alias("i")) for i, c in enumerate(model.centres)]))["i"]
+
+
+def assign(data: DataFrame, model: Fit) -> DataFrame:
     """``cluster_id`` 1..k in business order."""
     places = business_order(model)
     order = F.array(*[F.lit(places[i]) for i in range(len(places))])
-    return (
-        model.transform(data)
-        .withColumn("cluster_id", F.element_at(order, F.col("prediction") + 1))
-        .drop("prediction")
-    )
+    return data.withColumn("cluster_id", F.element_at(order, nearest(model) + 1))
 
 
 # Quality of a labelling -----------------------------------------------------
@@ -149,7 +248,8 @@ def _squared(columns: list[str], other: str):
 
 
 def _to_centre(df: DataFrame, label: str, columns: list[str]) -> DataFrame:
-    centres = F.broadcast(_centres(df, label, columns))
+    # No hint: by the size of the centres Spark decides.
+    centres = _centres(df, label, columns)
     return df.join(centres, F.col(label) == F.col("_label")).withColumn(
         "_d2", _squared(columns, "_c_")
     )
@@ -343,8 +443,12 @@ def adjusted_rand(df: DataFrame, labels: list[str]) -> DataFrame:
     return joint.join(rows, by).join(cols, by).select(*by, F.coalesce(index, F.lit(1.0)).alias("adjusted_rand"))
 
 
-def label_quality(data: DataFrame, label: str, exact_silhouette: bool = True) -> dict:
-    """Inertia, silhouette, Calinski-Harabasz, Davies-Bouldin and smallest cluster."""
+def label_quality(data: DataFrame, label: str, exact_silhouette: bool = False) -> dict:
+    """Inertia, silhouette, Calinski-Harabasz, Davies-Bouldin and smallest cluster.
+
+    The silhouette is the linear one on squared distances at every size; the
+    exact one is quadratic and taken only if asked for.
+    """
     found = calinski_harabasz(data, label).first().asDict()
     found["davies_bouldin_score"] = davies_bouldin(data, label).first()[0]
     found["silhouette_score"] = (
@@ -359,7 +463,7 @@ EVALUATION_SCHEMA = (
     "k int, inertia double, inertia_reduction_from_previous_k_pct double, silhouette_score double, "
     "calinski_harabasz_score double, davies_bouldin_score double, minimum_cluster_count long, "
     "minimum_cluster_share_pct double, mean_pairwise_ari double, minimum_pairwise_ari double, "
-    "stability_seed_count int, stability_pair_count int, silhouette_distance string"
+    "stability_seed_count int, stability_pair_count int, silhouette_distance string, seed int"
 )
 
 
@@ -368,34 +472,29 @@ def evaluate_k(
     k_values=K_VALUES,
     seeds=SEEDS,
     n_init: int = N_INIT,
-    exact_silhouette: bool | None = None,
+    exact_silhouette: bool = False,
     workers: int = 8,
 ) -> DataFrame:
     """One row per k over a ``training_table``.
 
-    Fits are independent Spark jobs, submitted from a few driver threads. The
-    column silhouette_distance tells which silhouette was taken.
+    All fits share their scans. The column silhouette_distance tells which
+    silhouette was taken.
     """
     if len(seeds) < 5:
         raise ValueError("Label stability needs at least five seeds.")
     rows = data.count()
-    exact = rows <= EXACT_SILHOUETTE_ROWS if exact_silhouette is None else exact_silhouette
     for k in k_values:
         if k < 2 or k >= rows:
             raise ValueError(f"k={k} does not fit {rows} rows.")
-    jobs = [(k, s) for k in k_values for s in seeds]
-    with ThreadPoolExecutor(workers) as pool:
-        models = dict(zip(jobs, pool.map(lambda j: fit(data, *j, n_init), jobs)))
+    models = fit_all(data, [(k, s) for k in k_values for s in seeds], n_init)
 
     def judge(k: int):
-        labelled = data
         names = [f"_label_{s}" for s in seeds]
-        for s, name in zip(seeds, names):
-            labelled = models[k, s].transform(labelled).withColumnRenamed("prediction", name)
+        labelled = data.withColumns({name: nearest(models[k, s]) for s, name in zip(seeds, names)})
         agreement = adjusted_rand(labelled, names).agg(
             F.avg("adjusted_rand"), F.min("adjusted_rand"), F.count(F.lit(1))
         ).first()
-        return label_quality(labelled, names[0], exact), agreement
+        return label_quality(labelled, names[0], exact_silhouette), agreement
 
     with ThreadPoolExecutor(workers) as pool:
         judged = list(pool.map(judge, k_values))
@@ -408,7 +507,7 @@ def evaluate_k(
                 k, q["inertia"], drop, q["silhouette_score"], q["calinski_harabasz_score"],
                 q["davies_bouldin_score"], q["minimum_cluster_count"],
                 q["minimum_cluster_share_pct"], agreement[0], agreement[1], len(seeds), agreement[2],
-                "euclidean" if exact else "squared_euclidean",
+                "euclidean" if exact_silhouette else "squared_euclidean", seeds[0],
             )
         )
     return data.sparkSession.createDataFrame(result, EVALUATION_SCHEMA)
@@ -569,6 +668,7 @@ def cluster_labels(profiles: DataFrame, labels: dict[int, str] | None = None) ->
         }
     )
     k = len(labels)
+    # Fixed value: the text of the basis.
     basis = F.format_string(
         f"Median recency=%.1f days (rank %d/{k}); frequency=%.1f orders (rank %d/{k}); "
         f"monetary value=GBP %,.2f (rank %d/{k}).",
@@ -665,7 +765,7 @@ def build_clusters(
     k_values=K_VALUES,
     seeds=SEEDS,
     n_init: int = N_INIT,
-    exact_silhouette: bool | None = None,
+    exact_silhouette: bool = False,
 ) -> dict[str, DataFrame]:
     """Assignments, evaluation, profiles, labels and crosstab of one run."""
     check_input(rfm)
@@ -674,8 +774,8 @@ def build_clusters(
     metric_optimal_k(evaluation)
     evaluation = choose_k(evaluation, k)
     clusters = pin(assign(data, fit(data, k, seeds[0], n_init)).drop("features", *SCALED))
-    profiles = cluster_profiles(clusters, home)
-    labels = cluster_labels(profiles)
+    profiles = pin(cluster_profiles(clusters, home))
+    labels = pin(cluster_labels(profiles))
     check_labels(labels, k)
     # Bounded: k rows.
     named = clusters.join(F.broadcast(labels.select("cluster_id", "cluster_label")), "cluster_id")

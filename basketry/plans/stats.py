@@ -25,12 +25,10 @@ CORRELATIONS = "spearman_correlations"
 GROUP_TESTS = "confirmatory_group_tests"
 
 TEST_SCHEMA = (
-    "test_id string, family string, test_name string, comparison string, "
-    "null_hypothesis string, alternative_hypothesis string, sample_size_total long, "
+    "test_id string, family string, test_name string, comparison string, sample_size_total long, "
     "sample_size_group_1 long, sample_size_group_2 long, group_1 string, group_2 string, "
     "group_1_summary string, group_2_summary string, statistic_name string, statistic double, "
-    "raw_p_value double, effect_size_name string, effect_size double, "
-    "business_interpretation string, limitations string"
+    "raw_p_value double, effect_size_name string, effect_size double"
 )
 
 
@@ -196,16 +194,11 @@ def _correlation_rows(pairs: list, medians, n: int) -> list[tuple]:
     rows = []
     for a, b, rho in pairs:
         rho = float("nan") if rho is None else rho
-        direction = "rise together" if rho > 0 else "move in opposite directions"
         rows.append(
             (
                 f"spearman__{a}__{b}", CORRELATIONS, "Spearman rank correlation", f"{a} versus {b}",
-                f"{a} and {b} have a population Spearman correlation of zero.",
-                f"{a} and {b} have a population Spearman correlation other than zero.",
                 n, None, None, a, b, f"median={medians[a]:.4f}", f"median={medians[b]:.4f}",
                 "Spearman rho", rho, P.spearman_p(rho, n), "Spearman rho", rho,
-                f"Customers' {a} and {b} {direction} (rho={rho:.3f}).",
-                "Association only; ties and skewed buyers can move the coefficient.",
             )
         )
     return rows
@@ -217,13 +210,9 @@ def _mann_whitney_row(r, medians: dict, groups, names, test_id, what) -> tuple:
     u = r["u_statistic"] if n1 and n2 else float("nan")
     return (
         test_id, GROUP_TESTS, "Mann-Whitney U", f"{what}: {names[0]} versus {names[1]}",
-        f"{what} has the same distribution for {names[0]} and {names[1]}.",
-        f"{what} is distributed differently for {names[0]} and {names[1]}.",
         n1 + n2, n1, n2, names[0], names[1], *summaries, "Mann-Whitney U", u,
         P.mann_whitney_p(u, n1, n2, r["tie_term"] or 0.0), "Rank-biserial correlation",
         r["rank_biserial"],
-        f"{names[0]}: {summaries[0]}; {names[1]}: {summaries[1]}.",
-        "Groups are observed, not assigned, and their members are not fully independent.",
     )
 
 
@@ -275,13 +264,9 @@ def hypothesis_tests(customers: DataFrame, orders: DataFrame, home: str) -> Data
         (
             "chi_square__geography_vs_repeat_status", GROUP_TESTS,
             "Pearson chi-square test of independence", "Repeat status by geography",
-            "Repeat status is independent of geography.",
-            "Repeat status depends on geography.",
             chi["n"], sizes[home], sizes["International"], f"{home} customers",
             "International customers", *parts, "Chi-square", statistic,
             P.chi_square_one_df(statistic), "Cramer's V", chi["cramers_v"],
-            f"{home}: {parts[0]}; International: {parts[1]}.",
-            "One country per customer hides moves between countries.",
         )
     )
     tests = customers.sparkSession.createDataFrame(rows, TEST_SCHEMA)
@@ -301,15 +286,26 @@ def strongest(correlations: DataFrame, n: int = 5) -> DataFrame:
 
 
 def statistical_summary(tests: DataFrame) -> DataFrame:
+    """One row: counts, range of the correlations, the strongest five, the group tests, sample sizes.
+
+    Arrays hold one entry per test of a fixed list.
+    """
+    correlation, group = F.col("family") == CORRELATIONS, F.col("family") == GROUP_TESTS
+    brief = F.struct("test_id", "statistic", "raw_p_value", "adjusted_p_value", "effect_size", "effect_magnitude", "reject_null")
+    top = strongest(tests.where(correlation)).agg(
+        F.transform(
+            F.sort_array(F.collect_list(F.struct((-F.abs("effect_size")).alias("o"), "comparison", brief.alias("b")))),
+            lambda x: x["b"],
+        )
+    )
     return tests.agg(
         F.count(F.lit(1)).alias("tests"),
-        F.count_if(F.col("family") == CORRELATIONS).alias("correlations"),
-        F.count_if(F.col("family") == GROUP_TESTS).alias("confirmatory_group_tests"),
+        F.count_if(correlation).alias("correlations"),
+        F.count_if(group).alias("confirmatory_group_tests"),
         F.count_if(F.col("reject_null")).alias("holm_adjusted_significant"),
-        F.min(F.when(F.col("family") == CORRELATIONS, F.col("effect_size"))).alias(
-            "least_correlation"
-        ),
-        F.max(F.when(F.col("family") == CORRELATIONS, F.col("effect_size"))).alias(
-            "greatest_correlation"
-        ),
-    )
+        F.min(F.when(correlation, F.col("effect_size"))).alias("least_correlation"),
+        F.max(F.when(correlation, F.col("effect_size"))).alias("greatest_correlation"),
+        F.max(F.when(correlation, F.col("sample_size_total"))).alias("customers"),
+        F.max(F.when(F.col("test_id").startswith("mann_whitney__home"), F.col("sample_size_total"))).alias("orders"),
+        F.sort_array(F.collect_list(F.when(group, brief))).alias("group_tests"),
+    ).withColumn("strongest_correlations", top.scalar())

@@ -14,7 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from basketry.plans import clean, cluster, cohort, eda, gates, marts, rfm, star, stats
-from basketry.session import build_session, pin
+from basketry.session import build_session, pin, release
 from basketry.sources import named_sql, scan, sinks
 
 
@@ -24,9 +24,16 @@ def _need(gate_rows: DataFrame, stage: str) -> None:
         raise RuntimeError(f"{stage}: gates failed: {failed}")
 
 
-def clean_stage(spark: SparkSession, batches: dict[str, str], out: str, fmt: str = "csv") -> DataFrame:
-    """Raw batches to the canonical table, partitioned by line class."""
-    raw = scan.scan_batches(spark, batches, fmt)
+def clean_stage(
+    spark: SparkSession, batches: dict[str, str], out: str, fmt: str = "csv",
+    date_formats: dict[str, list[str]] | None = None, **options,
+) -> DataFrame:
+    """Raw batches to the canonical table, partitioned by line class.
+
+    Raw text is parsed once: everything here reads the typed lines that the scan
+    has written.
+    """
+    raw = scan.scan_batches(spark, batches, fmt, date_formats, **options)
     failures = clean.contract_failures(clean.classify(raw)).collect()
     if failures:
         raise RuntimeError(f"Raw table breaks its contract: {[r[0] for r in failures]}")
@@ -61,18 +68,22 @@ def sql_stage(spark: SparkSession, tables: dict[str, DataFrame], out: str) -> di
     star.register(tables)
     star.register({"ranked_customers": star.ranked_customers(tables["fact_sales"])})
     results = named_sql.run_named(spark, named_sql.FILES)
-    if not results["foreign_key_resolution"].where("failure_count > 0").isEmpty():
-        raise RuntimeError("Foreign keys do not resolve.")
+    written = {}
     for name, df in results.items():
         sinks.write_csv(df, f"{out}/sql_results/{name}")
-    listing = named_sql.manifest(spark, results, f"{out}/sql_results")
+        written[name] = scan.read_csv(spark, f"{out}/sql_results/{name}", df.schema)
+    if not written["foreign_key_resolution"].where("failure_count > 0").isEmpty():
+        raise RuntimeError("Foreign keys do not resolve.")
+    listing = named_sql.manifest(spark, written, f"{out}/sql_results")
     sinks.write_json_summary(listing, f"{out}/reports/sql_manifest")
-    return results
+    return written
 
 
 def eda_stage(lines: DataFrame, out: str) -> dict[str, DataFrame]:
     parts = sinks.datasets(lines)
     tables = eda.build_eda(parts["completed_sales"], parts["returns"])
+    # One row, used by the report and by the marts.
+    tables["eda_summary"] = pin(tables["eda_summary"])
     for name, df in tables.items():
         if name != "eda_summary":
             sinks.write_csv(df, f"{out}/eda/{name}")
@@ -92,7 +103,7 @@ def customer_stage(
     sinks.write_parquet(rfm.rfm_table(sales), f"{out}/customer_rfm")
     table = spark.read.parquet(f"{out}/customer_rfm")
     cohorts = pin(cohort.cohort_long(sales))
-    segments = rfm.segment_summary(table)
+    segments = pin(rfm.segment_summary(table))
     checks = gates.customer_gates(table, segments, cohorts, expected_customers, expected_value)
     _need(checks, "customer analytics")
     reports = {
@@ -115,7 +126,7 @@ def statistics_stage(table: DataFrame, orders: DataFrame, out: str, home: str) -
     stats.check_inputs(table, orders)
     checks = gates.stat_gates(table, orders)
     _need(checks, "statistics")
-    tests = stats.hypothesis_tests(table, orders, home)
+    tests = pin(stats.hypothesis_tests(table, orders, home))
     pairs = pin(stats.spearman_pairs(table, "customer_id", rfm.MEASURES))
     sinks.write_csv(tests, f"{out}/statistics/hypothesis_tests")
     sinks.write_csv(stats.correlation_matrix(pairs, rfm.MEASURES), f"{out}/statistics/correlation_matrix")
@@ -144,35 +155,46 @@ def cluster_stage(spark: SparkSession, table: DataFrame, out: str, home: str, **
 
 
 def mart_stage(
-    lines: DataFrame, tables: dict, customers: dict, clusters: dict, out: str, expected=None
+    spark: SparkSession, lines: DataFrame, tables: dict, customers: dict, clusters: dict, out: str,
+    expected=None, file_limit: int | None = None,
 ) -> dict[str, DataFrame]:
-    """Dashboard exports with their reconciliation and size gates."""
+    """Dashboard exports: written once to a fresh folder, checked as written, then put in place.
+
+    ``file_limit``: largest file in bytes that the receiver of the exports takes.
+    """
     parts = sinks.datasets(lines)
     built = marts.build_marts(
         parts["completed_sales"], parts["returns"], tables["order_summary"], customers["rfm"],
         clusters["customer_clusters"], customers["cohorts"], clusters["cluster_profiles"],
         tables["eda_summary"],
     )
-    checks = gates.mart_gates(built, expected)
-    _need(checks, "dashboard marts")
-    sizes = sinks.write_bundle(built, f"{out}/dashboard")
+    fresh = f"{out}/dashboard-{uuid.uuid4().hex}"
+    paths = sinks.write_bundle(built, fresh)
+    written = {n: scan.read_csv(spark, p, built[n].schema) for n, p in paths.items()}
+    checks = pin(gates.mart_gates(written, expected))
+    sizes = sinks.size_report(spark, paths, file_limit)
     sinks.write_json_summary(checks, f"{out}/reports/mart_gates")
     sinks.write_json_summary(sizes, f"{out}/reports/export_sizes")
+    _need(checks, "dashboard marts")
     _need(sizes, "export sizes")
-    return built
+    sinks.swap_in(spark, fresh, f"{out}/dashboard")
+    return {n: scan.read_csv(spark, f"{out}/dashboard/{n}", built[n].schema) for n in built}
 
 
 def run(
     spark: SparkSession, batches: dict[str, str], out: str, fmt: str = "csv",
-    home: str = "United Kingdom", **cluster_options,
+    home: str = "United Kingdom", date_formats: dict[str, list[str]] | None = None,
+    file_limit: int | None = None, **cluster_options,
 ) -> dict[str, DataFrame]:
-    lines = clean_stage(spark, batches, out, fmt)
+    lines = clean_stage(spark, batches, out, fmt, date_formats)
     sql_stage(spark, star_stage(spark, lines, out), out)
     tables = eda_stage(lines, out)
     customers = customer_stage(spark, lines, out)
     statistics_stage(customers["rfm"], tables["order_summary"], out, home)
     clusters = cluster_stage(spark, customers["rfm"], out, home, **cluster_options)
-    return mart_stage(lines, tables, customers, clusters, out)
+    built = mart_stage(spark, lines, tables, customers, clusters, out, file_limit=file_limit)
+    release(spark)
+    return built
 
 
 def main() -> None:

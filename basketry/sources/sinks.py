@@ -85,10 +85,14 @@ def swap_in(spark: SparkSession, fresh: str, final: str) -> None:
     replaced = fs.exists(target)
     if replaced and not fs.rename(target, aside):
         raise RuntimeError(f"Could not move {final} aside.")
-    fs.mkdirs(target.getParent())
-    if not fs.rename(source, target):
-        if replaced:
+    moved = False
+    try:
+        fs.mkdirs(target.getParent())
+        moved = fs.rename(source, target)
+        if not moved:
+            raise RuntimeError(f"Could not move {fresh} to {final}.")
+    finally:
+        if replaced and moved:
+            fs.delete(aside, True)
+        elif replaced:
             fs.rename(aside, target)
-        raise RuntimeError(f"Could not move {fresh} to {final}.")
-    if replaced:
-        fs.delete(aside, True)

@@ -693,6 +693,74 @@ add("group_summaries", [LINES, RFM, ORDER_SUMMARY, PEOPLE], f"""SELECT 'median_c
   UNION ALL SELECT 'median_order_value', {PLACE}, round(quantile_cont({dbl('order_value')}, 0.5), 6) FROM osum GROUP BY 2
   UNION ALL SELECT 'repeat_proportion', geography, round(AVG(CAST(is_repeat AS INTEGER)), 6) FROM people GROUP BY 2""")
 
+# Tail probabilities: the t tail of whole degrees of freedom is a finite sum, erfc a
+# series of positive terms, and the exact null of U the coefficients of a product.
+
+
+def t_tail(t: str, v: str) -> str:
+    th = f"atan(abs({t}) / sqrt({v}))"
+    odd = (f"2 / pi() * ({th} + sin({th}) * COALESCE(list_sum(list_transform(range(0, CAST(({v} - 1) / 2 AS BIGINT)), "
+           f"lambda j: exp(j * ln(4.0) + 2 * lgamma(j + 1) - lgamma(2 * j + 2) + (2 * j + 1) * ln(cos({th}))))), 0))")
+    even = (f"sin({th}) * COALESCE(list_sum(list_transform(range(0, CAST({v} / 2 AS BIGINT)), "
+            f"lambda j: exp(lgamma(2 * j + 1) - j * ln(4.0) - 2 * lgamma(j + 1) + 2 * j * ln(cos({th}))))), 0)")
+    return f"GREATEST(0, 1 - CASE WHEN {v} % 2 = 1 THEN {odd} ELSE {even} END)"
+
+
+def erfc(x: str) -> str:
+    series = (f"list_sum(list_transform(range(0, 300), lambda j: exp(j * ln(4.0) + lgamma(j + 1) - lgamma(2 * j + 2) + (2 * j + 1) * ln({x}))))")
+    return f"CASE WHEN {x} <= 0 THEN 1.0 WHEN {x} > 6 THEN 0.0 ELSE GREATEST(0, 1 - 2 / sqrt(pi()) * exp(-({x}) * ({x})) * {series}) END"
+
+
+def mann_whitney_p(name: str, source: str) -> str:
+    """CTE ``name`` with u, sizes, effect and p of the one-row CTE ``source``."""
+    return f"""{name}x AS (SELECT *, LEAST(n1, n2) AS small, GREATEST(n1, n2) AS large, CAST(LEAST(u, n1 * n2 - u) AS BIGINT) AS last,
+    LEAST(n1, n2) <= 8 AND ties = 0 AS exact FROM {source}),
+{name}r(i, c) AS (SELECT 0, CASE WHEN exact THEN list_transform(range(0, last + 1), lambda k: CASE WHEN k = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) END FROM {name}x
+  UNION ALL SELECT i + 1, list_transform(range(0, last + 1), lambda k: list_sum(list_transform(range(0, k // (i + 1) + 1),
+    lambda j: c[CAST(k - j * (i + 1) + 1 AS BIGINT)] - CASE WHEN k - j * (i + 1) - large - i - 1 >= 0 THEN c[CAST(k - j * (i + 1) - large - i AS BIGINT)] ELSE 0 END)))
+  FROM {name}r, {name}x WHERE exact AND i < small),
+{name} AS (SELECT *, CASE WHEN exact THEN LEAST(1, 2 * (SELECT list_sum(c) FROM {name}r WHERE i = small) / exp(lgamma(n1 + n2 + 1) - lgamma(small + 1) - lgamma(large + 1)))
+  ELSE LEAST(1, {erfc(f"((GREATEST(u, n1 * n2 - u) - n1 * n2 / 2 - 0.5) / sqrt(n1 * n2 / 12 * ((n1 + n2 + 1) - ties / ((n1 + n2) * (n1 + n2 - 1.0)))) / sqrt(2.0))")}) END AS p FROM {name}x)"""
+
+
+TESTS = [LINES, RFM, ORDER_SUMMARY, PEOPLE, CONT, ranks("cr", "rfm", MEASURES), "pn AS (SELECT COUNT(*) AS n FROM rfm)",
+    "sp AS (" + " UNION ALL ".join(f"SELECT 'spearman__{a}__{b}' AS test_id, corr({a}, {b}) AS rho FROM cr" for a, b in combinations(MEASURES, 2)) + ")",
+    f"""sq AS (SELECT test_id, 'spearman_correlations' AS family, n AS sample_size_total, NULL::BIGINT AS sample_size_group_1, NULL::BIGINT AS sample_size_group_2, rho AS statistic, rho AS effect,
+      CASE WHEN abs(rho) >= 1 THEN 0 ELSE {t_tail('(rho * sqrt((n - 2) / (1 - rho * rho)))', '(n - 2)')} END AS p FROM sp, pn)""",
+    "ua AS (SELECT n_group_1::DOUBLE AS n1, n_group_2::DOUBLE AS n2, tie_term::DOUBLE AS ties, u_statistic AS u FROM (" + mann_whitney("a", "rfm", "revenue", "frequency_orders >= 2") + "))",
+    "ub AS (SELECT n_group_1::DOUBLE AS n1, n_group_2::DOUBLE AS n2, tie_term::DOUBLE AS ties, u_statistic AS u FROM (" + mann_whitney("b", "osum", "order_value", f"country = '{HOME}'") + "))",
+    mann_whitney_p("va", "ua"), mann_whitney_p("vb", "ub"),
+    f"chc AS (SELECT geography, 0 AS c, {dbl('one_time_customers')} AS o FROM ct UNION ALL SELECT geography, 1, {dbl('repeat_customers')} FROM ct)",
+    "che AS (SELECT o, SUM(o) OVER (PARTITION BY geography) * SUM(o) OVER (PARTITION BY c) / SUM(o) OVER () AS x FROM chc)",
+    "chs AS (SELECT SUM((o - x) * (o - x) / x) AS x2, SUM(o) AS n FROM che)",
+    f"chp AS (SELECT *, {erfc('sqrt(x2 / 2)')} AS p FROM chs)",
+    f"""raw AS MATERIALIZED (SELECT * FROM sq
+      UNION ALL SELECT 'mann_whitney__repeat_vs_one_time_customer_value', 'confirmatory_group_tests', CAST(n1 + n2 AS BIGINT), CAST(n1 AS BIGINT), CAST(n2 AS BIGINT), u, 2 * u / (n1 * n2) - 1, p FROM va
+      UNION ALL SELECT 'mann_whitney__home_vs_international_order_value', 'confirmatory_group_tests', CAST(n1 + n2 AS BIGINT), CAST(n1 AS BIGINT), CAST(n2 AS BIGINT), u, 2 * u / (n1 * n2) - 1, p FROM vb
+      UNION ALL SELECT 'chi_square__geography_vs_repeat_status', 'confirmatory_group_tests', CAST(n AS BIGINT),
+        (SELECT one_time_customers + repeat_customers FROM ct WHERE geography = '{HOME}'), (SELECT one_time_customers + repeat_customers FROM ct WHERE geography = 'International'),
+        x2, sqrt(x2 / n), p FROM chp)""",
+    """stp AS (SELECT *, LEAST(1, p * (COUNT(*) OVER (PARTITION BY family) - ROW_NUMBER() OVER (PARTITION BY family ORDER BY p, test_id) + 1)) AS st FROM raw)""",
+    """adj AS (SELECT *, MAX(st) OVER (PARTITION BY family ORDER BY p, test_id ROWS UNBOUNDED PRECEDING) AS q FROM stp)"""]
+
+
+def tested(where: str = "TRUE") -> str:
+    return f"""SELECT test_id, family, sample_size_total, sample_size_group_1, sample_size_group_2, round(statistic, 6) AS statistic, round(effect, 6) AS effect_size,
+  round(p, 9) AS raw_p_value, round(q, 9) AS adjusted_p_value, {MAGNITUDE} AS effect_magnitude, q < 0.05 AS reject_null FROM adj WHERE {where}"""
+
+
+add("hypothesis_tests", TESTS, tested())
+add("correlation_tests", TESTS, tested("family = 'spearman_correlations'"))
+for _name in ("hypothesis_tests", "correlation_tests"):
+    ORACLE[_name] = ORACLE[_name].replace("WITH ", "WITH RECURSIVE ", 1)
+add("statistical_summary", TESTS, """SELECT COUNT(*) AS tests, COUNT(*) FILTER (family = 'spearman_correlations') AS correlations,
+  COUNT(*) FILTER (family <> 'spearman_correlations') AS confirmatory_group_tests, COUNT(*) FILTER (q < 0.05) AS holm_adjusted_significant,
+  MAX(sample_size_total) FILTER (family = 'spearman_correlations') AS customers, MAX(sample_size_total) FILTER (test_id LIKE '%order_value') AS orders,
+  round(MIN(effect) FILTER (family = 'spearman_correlations'), 6) AS least_correlation, round(MAX(effect) FILTER (family = 'spearman_correlations'), 6) AS greatest_correlation,
+  (SELECT string_agg(test_id, ',' ORDER BY abs(effect) DESC, test_id) FROM (SELECT * FROM raw WHERE family = 'spearman_correlations' ORDER BY abs(effect) DESC, test_id LIMIT 5)) AS strongest,
+  string_agg(test_id, ',' ORDER BY test_id) FILTER (family <> 'spearman_correlations') AS group_tests FROM adj""".replace("LIKE '%order_value'", "LIKE 'mann_whitney__home%'"))
+ORACLE["statistical_summary"] = ORACLE["statistical_summary"].replace("WITH ", "WITH RECURSIVE ", 1)
+
 # Clusters on fixed labels ---------------------------------------------------
 
 CONTRACT = ["customer_id", "primary_country", "average_order_value_gbp", "active_span_days", "units_purchased", "distinct_products", "segment", *RFM_FEATURES]
@@ -748,17 +816,50 @@ add("silhouette", [*CLUSTERS, """pd AS (SELECT a.customer_id, a.cluster_id AS ow
 add("adjusted_rand", CLUSTERS, " UNION ALL ".join(
     f"""SELECT '{a}' AS "left", '{b}' AS "right", round(ari, 9) AS adjusted_rand FROM ({rand_index('x', a, b)})"""
     for a, b in combinations(["by_value_4", "by_units_4", "by_orders_4"], 2)))
+KS = range(2, 11)
+_PLACES = ("all", "place_a"), ("most", "place_m"), ("many", "place_n")
+BINS = ("vp AS (SELECT sc.*, ROW_NUMBER() OVER (ORDER BY revenue DESC, customer_id) AS place_a, n + 1 - ROW_NUMBER() OVER (ORDER BY revenue, customer_id) AS place_m FROM sc),\n"
+        "vq AS (SELECT *, GREATEST(1, LEAST(n, place_a + CASE WHEN place_a % 2 = 0 THEN 1 ELSE -1 END)) AS place_n FROM vp),\n"
+        "vb AS MATERIALIZED (SELECT *, " + ", ".join(f"{qbin(p, 'n', k)} AS {name}_{k}" for k in KS for name, p in _PLACES) + " FROM vq)")
+BINNED = [LINES, RFM, LOGGED, SCALED.replace("sc AS", "sc0 AS").replace("FROM sc)", "FROM sc0)"),
+          BINS.replace("sc.*", "sc0.*").replace("FROM sc)", "FROM sc0)"), "sc AS (SELECT * FROM vb)"]
 EVALUATION = "ev AS (" + " UNION ALL ".join(
     f"""SELECT {k} AS k, sq AS sil, ch, db, share, (SELECT AVG(ari) FROM ({' UNION ALL '.join(rand_index(f'{a}{b}', f'{a}_{k}', f'{b}_{k}')
-    for a, b in combinations(['by_value', 'by_units', 'by_orders'], 2))})) AS ari FROM z{k}ch, z{k}db, z{k}sq""" for k in (2, 3, 4)) + ")"
-add("k_selection", [*CLUSTERS, *[quality(f"z{k}", f"by_value_{k}") for k in (2, 3, 4)], EVALUATION,
-    "el AS (SELECT *, COALESCE(share >= 2 AND ari >= 0.05, FALSE) AS eligible FROM ev)",
+    for a, b in combinations(['all', 'most', 'many'], 2))})) AS ari FROM z{k}ch, z{k}db, z{k}sq""" for k in KS) + ")"
+add("k_selection", [*BINNED, *[quality(f"z{k}", f"all_{k}") for k in KS], EVALUATION,
+    "el AS (SELECT *, COALESCE(share >= 2 AND ari >= 0.80, FALSE) AS eligible FROM ev)",
     """rk AS (SELECT *, CASE WHEN eligible THEN RANK() OVER (PARTITION BY eligible ORDER BY sil DESC) END AS r1,
       CASE WHEN eligible THEN RANK() OVER (PARTITION BY eligible ORDER BY ch DESC) END AS r2, CASE WHEN eligible THEN RANK() OVER (PARTITION BY eligible ORDER BY db) END AS r3,
       CASE WHEN eligible THEN RANK() OVER (PARTITION BY eligible ORDER BY ari DESC) END AS r4 FROM el)"""],
     """SELECT k, round(sil, 5) AS silhouette_score, round(ch, 5) AS calinski_harabasz_score, round(db, 5) AS davies_bouldin_score, round(share, 5) AS minimum_cluster_share_pct,
   round(ari, 5) AS mean_pairwise_ari, eligible, r1 AS rank_silhouette, r2 AS rank_calinski_harabasz, r3 AS rank_davies_bouldin, r4 AS rank_stability,
   r1 + r2 + r3 + r4 AS selection_rank_sum, eligible AND ROW_NUMBER() OVER (PARTITION BY eligible ORDER BY r1 + r2 + r3 + r4, sil DESC, db, k) = 1 AS metric_optimal FROM rk""")
+
+# Fits have no SQL form; what must hold of any fit has.
+PEOPLE_COUNT = "(SELECT COUNT(*) FROM rfm)"
+add("kmeans_assign", [LINES, RFM], f"SELECT {PEOPLE_COUNT} AS customers, {PEOPLE_COUNT} AS distinct_customers, 4 AS clusters, 0 AS not_nearest, 0 AS order_violations")
+add("k_evaluation", [], """SELECT k, 5 AS stability_seed_count, 10 AS stability_pair_count, 'squared_euclidean' AS silhouette_distance, 42 AS seed, TRUE AS inertia_falls,
+  TRUE AS scores_in_range, TRUE AS share_agrees, TRUE AS gates_agree, TRUE AS only_eligible_ranked FROM (SELECT unnest(range(2, 11)) AS k)""")
+add("k_metrics", [LINES, RFM], f"SELECT {PEOPLE_COUNT} AS customers, 4 AS clusters, TRUE AS calinski_harabasz, TRUE AS inertia, TRUE AS smallest, TRUE AS adjusted_rand")
+add("cluster_gates", [], "SELECT unnest(['customer_count', 'missing_clustering_features', 'one_assignment_per_customer', 'cluster_counts_reconcile', "
+    "'metric_optimal_benchmark', 'final_clusters', 'recorded_seed', 'stability_metrics', 'minimum_cluster_share', 'business_labels', "
+    "'monetary_value_reconciliation']) AS gate, TRUE AS passed")
+add("build_clusters", [LINES, RFM], f"""SELECT COUNT(*) AS customers, {dbl('SUM(revenue)')} AS value, COUNT(*) AS profiled_customers, TRUE AS profiles_are_k,
+  COUNT(*) AS crossed_customers, TRUE AS crosstab_is_full, 9 AS candidates, 1 AS chosen FROM rfm""")
+
+# Principal components of the three scaled features: eigenvalues of their symmetric
+# matrix in closed form, eigenvectors as cross products.
+PCA = f"""mm AS (SELECT VAR_SAMP(x0) AS a, VAR_SAMP(x1) AS b, VAR_SAMP(x2) AS c, COVAR_SAMP(x0, x1) AS d, COVAR_SAMP(x0, x2) AS e, COVAR_SAMP(x1, x2) AS f FROM sc),
+mq AS (SELECT *, (a + b + c) / 3 AS q, sqrt((power(a - (a + b + c) / 3, 2) + power(b - (a + b + c) / 3, 2) + power(c - (a + b + c) / 3, 2) + 2 * (d * d + e * e + f * f)) / 6) AS p FROM mm),
+mr AS (SELECT *, LEAST(1, GREATEST(-1, ((a - q) * ((b - q) * (c - q) - f * f) - d * (d * (c - q) - f * e) + e * (d * f - (b - q) * e)) / (2 * p * p * p))) AS r FROM mq),
+ml AS (SELECT *, q + 2 * p * cos(acos(r) / 3) AS l1, q + 2 * p * cos(acos(r) / 3 + 2 * pi() / 3) AS l3 FROM mr),
+me AS (SELECT *, 3 * q - l1 - l3 AS l2 FROM ml),
+mv AS (SELECT i, l, l / (3 * q) AS share, d * f - e * (b - l) AS v0, e * d - (a - l) * f AS v1, (a - l) * (b - l) - d * d AS v2
+  FROM (SELECT *, 1 AS i, l1 AS l FROM me UNION ALL SELECT *, 2 AS i, l2 AS l FROM me)),
+mu AS (SELECT i, share, v0 / sqrt(v0 * v0 + v1 * v1 + v2 * v2) AS v0, v1 / sqrt(v0 * v0 + v1 * v1 + v2 * v2) AS v1, v2 / sqrt(v0 * v0 + v1 * v1 + v2 * v2) AS v2 FROM mv)"""
+add("pca_projection", [*CLUSTERS, PCA], "SELECT customer_id, " + ", ".join(
+    f"round(abs(x0 * u{i}.v0 + x1 * u{i}.v1 + x2 * u{i}.v2), 5) AS component_{i}, round(100 * u{i}.share, 5) AS explained_pct_{i}" for i in (1, 2))
+    + " FROM sc, (SELECT * FROM mu WHERE i = 1) u1, (SELECT * FROM mu WHERE i = 2) u2")
 DOMINANT = f"""dm AS (SELECT cluster_id, segment AS dominant_rfm_segment, {ratio('c', 'n', 100)} AS dominant_rfm_segment_share_pct FROM (
   SELECT cluster_id, segment, COUNT(*) AS c, SUM(COUNT(*)) OVER (PARTITION BY cluster_id) AS n,
   ROW_NUMBER() OVER (PARTITION BY cluster_id ORDER BY COUNT(*) DESC, segment) AS rn FROM cl GROUP BY cluster_id, segment) WHERE rn = 1)"""
@@ -844,6 +945,22 @@ MONTHS = [f"{y}-{m:02d}" for y in range(1995, 2002) for m in range(1, 13) if (y,
 add("product_month_matrix", [LINES, "best AS (SELECT stock_code FROM sales GROUP BY 1 ORDER BY SUM(line_revenue) DESC, stock_code LIMIT 15)"],
     "SELECT stock_code, " + ", ".join(f"""{dbl(f"SUM(line_revenue) FILTER (year_month = '{m}')")} AS "{m}" """ for m in MONTHS) + " FROM sales JOIN best USING (stock_code) GROUP BY 1")
 
+add("scan_files", [TXN, SCANNED], f"""SELECT source_batch, COUNT(*) AS row_count, COUNT(*) AS positions, 0 AS first, COUNT(*) - 1 AS last,
+  {dbl('SUM(quantity)')} AS quantity_total, {dbl('SUM(unit_price)')} AS price_total FROM scanned GROUP BY source_batch""")
+add("json_roundtrip", [LINES], f"SELECT country, COUNT(*) AS row_count, {dbl('SUM(line_revenue)')} AS value FROM lines GROUP BY country")
+add("export_sizes", [], """SELECT * FROM (VALUES ('without_limit', 2, 1, TRUE, TRUE), ('limit_of_one_byte', 2, 1, TRUE, FALSE))
+  v(report, tables, totals, adds_up, all_passed)""")
+add("small_n_scores", [LINES, "nv AS (SELECT n_name AS name, r_regionkey, r_name, SUM(line_revenue) AS v FROM lines JOIN nation ON country = n_name JOIN region ON n_regionkey = r_regionkey GROUP BY ALL)",
+    "sv AS (SELECT 'nation' AS scope, name, v FROM nv UNION ALL SELECT 'region', r_name, SUM(v) FROM nv WHERE r_regionkey < 3 GROUP BY r_name)",
+    "pv AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY scope ORDER BY v, name) AS i, COUNT(*) OVER (PARTITION BY scope) AS n FROM sv)"],
+    f"SELECT scope, name, CAST(CASE WHEN n >= 5 THEN {qbin('i', 'n', 5)} ELSE LEAST(5, GREATEST(1, ceil(i * 5.0 / n))) END AS INTEGER) AS score FROM pv")
+add("filtered_measures", [LINES, ORDER_SUMMARY], f"""SELECT CAST(EXTRACT(year FROM invoice_date) AS INTEGER) AS year, country, {SALES_MEASURES} FROM osum
+  WHERE country IN ('NATION_1', 'NATION_7') AND EXTRACT(year FROM invoice_date) BETWEEN 1996 AND 1998 GROUP BY 1, 2""")
+add("product_trend", [LINES], f"""SELECT stock_code, month_start, {dbl('SUM(line_revenue)')} AS revenue_gbp, {big('SUM(quantity)')} AS units_sold
+  FROM sales WHERE stock_code IN ('P1', 'P7') GROUP BY 1, 2""")
+add("country_trend", [LINES], f"""SELECT country, month_start, {dbl('SUM(line_revenue)')} AS revenue_gbp, {big('SUM(quantity)')} AS units_sold
+  FROM sales GROUP BY 1, 2""")
+
 # Gates ----------------------------------------------------------------------
 
 

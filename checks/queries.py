@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from basketry.functions import columns as C
@@ -16,7 +16,6 @@ from basketry.sources import named_sql, sample_tables, scan, sinks
 
 HOME = sample_tables.HOME
 BATCHES = sample_tables.BATCHES
-QUICK_K, QUICK_STARTS = (2, 3, 4), 1
 
 
 class Tables:
@@ -120,6 +119,29 @@ class Tables:
 
         return self._staged("fixed_clusters", build).withColumn("cluster_id", F.col("by_value_4"))
 
+    def value_bins(self) -> DataFrame:
+        """Scaled RFM rows with value bins for every candidate k.
+
+        ``all_k`` bins all customers by value into k quantile bins; ``most_k`` and
+        ``many_k`` use ranks that ties in value break the other way, or by orders.
+        """
+
+        def build():
+            ranks = ranking.metric_ranks(
+                self.rfm(), "customer_id", {"_v": ("monetary_value_gbp", False), "_w": ("monetary_value_gbp", True)}
+            )
+            n = F.col("n")
+            near = F.greatest(F.lit(1), F.least(n, F.col("_v") + F.when(F.col("_v") % 2 == 0, 1).otherwise(-1)))
+            labels = {}
+            for k in cluster.K_VALUES:
+                labels[f"all_{k}"] = ranking.quantile_bin(F.col("_v"), n, k)
+                labels[f"most_{k}"] = ranking.quantile_bin(n + 1 - F.col("_w"), n, k)
+                labels[f"many_{k}"] = ranking.quantile_bin(near, n, k)
+            labelled = self.rfm().join(ranks, "customer_id").withColumns(labels)
+            return cluster.scaled_features(labelled.drop("_v", "_w", "n"))
+
+        return self._staged("value_bins", build)
+
     def labelled_clusters(self) -> DataFrame:
         labels = cluster.cluster_labels(self.cluster_profiles())
         return self.fixed_clusters().join(
@@ -197,6 +219,68 @@ def alias_columns(t: Tables) -> DataFrame:
     return both[0].unionByName(both[1])
 
 
+def scan_files(t: Tables) -> DataFrame:
+    """Raw batches written as CSV files and scanned: rows and positions per batch, which are dense from 0."""
+    paths = {}
+    for name, raw in t.raw().items():
+        paths[name] = t.scratch(f"raw-{name}")
+        sinks.write_csv(raw.drop("line_no").repartition(3, "Invoice"), paths[name])
+    lines = scan.scan_batches(t.spark, paths)
+    position = C.place_in_batch()
+    return lines.groupBy(C.batch_name(BATCHES).alias("source_batch")).agg(
+        F.count(F.lit(1)).alias("row_count"),
+        F.count_distinct(position).alias("positions"),
+        F.min(position).alias("first"),
+        F.max(position).alias("last"),
+        C.money(F.sum("quantity")).alias("quantity_total"),
+        C.money(F.sum("unit_price")).alias("price_total"),
+    )
+
+
+def json_roundtrip(t: Tables) -> DataFrame:
+    """A summary per country through JSON files."""
+    path = t.scratch("json")
+    summary = t.canonical().groupBy("country").agg(
+        F.count(F.lit(1)).alias("row_count"), C.money(F.sum("line_revenue")).alias("value")
+    )
+    sinks.write_json_summary(summary, path)
+    return scan.read_json_summary(t.spark, path, summary.schema)
+
+
+def export_sizes(t: Tables) -> DataFrame:
+    """What holds of the size report of written exports, with a limit none can meet and without one."""
+    folder = t.scratch("exports")
+    paths = sinks.write_bundle({"orders": order_fact(t), "calendar": marts.calendar(t.sales())}, folder)
+    free, tight = sinks.size_report(t.spark, paths), sinks.size_report(t.spark, paths, limit=1)
+    files = F.col("file").isNotNull()
+    total = F.sum(F.when(files, F.col("bytes"))) == F.max(F.when(~files, F.col("bytes")))
+
+    def facts(report: DataFrame, name: str) -> DataFrame:
+        return report.agg(
+            F.lit(name).alias("report"),
+            F.count_distinct(F.when(files, F.col("table"))).alias("tables"),
+            F.count_if(~files).alias("totals"),
+            total.alias("adds_up"),
+            F.every(F.when(files, F.col("passed"))).alias("all_passed"),
+        )
+
+    return facts(free, "without_limit").unionByName(facts(tight, "limit_of_one_byte"))
+
+
+def small_n_scores(t: Tables) -> DataFrame:
+    """Scores of the regions' value, fewer than the five bins; and of the nations', more than that."""
+    nations = t.source("nation").join(t.source("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    sums = t.canonical().groupBy("country").agg(F.sum("line_revenue").alias("value"))
+    by_nation = sums.join(nations, F.col("country") == F.col("n_name"))
+    by_region = by_nation.where("r_regionkey < 3").groupBy("r_name").agg(F.sum("value").alias("value"))
+    both = by_region.select(F.lit("region").alias("scope"), F.col("r_name").alias("name"), "value").unionByName(
+        by_nation.select(F.lit("nation").alias("scope"), "country", "value").withColumnRenamed("country", "name")
+    )
+    by_scope = Window.partitionBy("scope")
+    place = F.row_number().over(by_scope.orderBy("value", "name"))
+    return both.select("scope", "name", ranking.score_bin(place, F.count(F.lit(1)).over(by_scope)).alias("score"))
+
+
 def csv_roundtrip(t: Tables) -> DataFrame:
     path = t.scratch("csv")
     columns = [f.name for f in LINE if f.name != "load_seq"]
@@ -439,12 +523,16 @@ def holm_adjust(t: Tables) -> DataFrame:
 
 
 def k_selection(t: Tables) -> DataFrame:
-    """Evidence ranks over stand-in labellings for k = 2, 3, 4."""
-    data = cluster.vectors(t.fixed_clusters())
+    """Evidence ranks over stand-in labellings for k = 2 to 10, with the real gates.
+
+    A labelling bins the customers' value; its two neighbours, with which its
+    stability is measured, bin the same value after leaving out some customers.
+    """
+    data = cluster.vectors(t.value_bins())
     rows = []
-    for k in QUICK_K:
-        names = [f"by_value_{k}", f"by_units_{k}", f"by_orders_{k}"]
-        q = cluster.label_quality(data, names[0], exact_silhouette=False)
+    for k in cluster.K_VALUES:
+        names = [f"all_{k}", f"most_{k}", f"many_{k}"]
+        q = cluster.label_quality(data, names[0])
         agreement = cluster.adjusted_rand(data, names).agg(F.avg("adjusted_rand")).first()[0]
         rows.append(
             (
@@ -457,7 +545,7 @@ def k_selection(t: Tables) -> DataFrame:
         "k int, silhouette_score double, calinski_harabasz_score double, "
         "davies_bouldin_score double, minimum_cluster_share_pct double, mean_pairwise_ari double",
     )
-    return rounded(cluster.select_k(evaluation, min_mean_ari=0.05), 5)
+    return rounded(cluster.select_k(evaluation), 5)
 
 
 def top_n_by(t: Tables) -> DataFrame:
@@ -610,13 +698,31 @@ def chi_square(t: Tables) -> DataFrame:
 
 def hypothesis_tests(t: Tables) -> DataFrame:
     stats.check_inputs(t.rfm(), t.orders())
-    return stats.hypothesis_tests(t.rfm(), t.orders(), HOME)
+    tests = stats.hypothesis_tests(t.rfm(), t.orders(), HOME)
+    numbers = tests.select(
+        "test_id", "family", "sample_size_total", "sample_size_group_1", "sample_size_group_2",
+        F.round("statistic", 6).alias("statistic"), F.round("effect_size", 6).alias("effect_size"),
+        "raw_p_value", "adjusted_p_value", "effect_magnitude", "reject_null",
+    )
+    return numbers.withColumns({c: F.round(c, 9) for c in ("raw_p_value", "adjusted_p_value")})
 
 
 def correlation_tests(t: Tables) -> DataFrame:
     return hypothesis_tests(t).where(F.col("family") == stats.CORRELATIONS)
 
 
+def statistical_summary(t: Tables) -> DataFrame:
+    tests = stats.hypothesis_tests(t.rfm(), t.orders(), HOME)
+    summary = stats.statistical_summary(tests)
+    return summary.select(
+        "tests", "correlations", "confirmatory_group_tests", "holm_adjusted_significant", "customers", "orders",
+        F.round("least_correlation", 6).alias("least_correlation"),
+        F.round("greatest_correlation", 6).alias("greatest_correlation"),
+        F.array_join(F.transform("strongest_correlations", lambda r: r["test_id"]), ",").alias("strongest"),
+        F.array_join(F.transform("group_tests", lambda r: r["test_id"]), ",").alias("group_tests"),
+    )
+
+
 def group_summaries(t: Tables) -> DataFrame:
     return rounded(stats.group_summaries(t.rfm(), t.orders(), HOME))
 
@@ -626,29 +732,126 @@ def scaled_features(t: Tables) -> DataFrame:
 
 
 def kmeans_assign(t: Tables) -> DataFrame:
+    """What must hold of any assignment: all customers, k clusters, each at its nearest centre, in business order."""
     data = t.vectors()
-    model = cluster.fit(data, cluster.OPERATIONAL_K, cluster.SEEDS[0], QUICK_STARTS)
-    return cluster.assign(data, model).select("customer_id", "cluster_id")
+    model = cluster.fit(data, cluster.OPERATIONAL_K, cluster.SEEDS[0])
+    labelled = pin(cluster.assign(data, model).drop("features"))
+    places = {place: raw for raw, place in cluster.business_order(model).items()}
+    squares = {
+        place: sum((F.col(c) - F.lit(float(v))) ** 2 for c, v in zip(cluster.SCALED, model.centres[raw]))
+        for place, raw in places.items()
+    }
+    least = F.least(*squares.values())
+    own = F.element_at(F.array(*[squares[p] for p in sorted(squares)]), F.col("cluster_id"))
+    z = dict(zip(cluster.FEATURES, cluster.SCALED))
+    value = F.avg(F.col(z["frequency_orders"]) + F.col(z["monetary_value_gbp"]) - F.col(z["recency_days"]))
+    falling = labelled.groupBy("cluster_id").agg(value.alias("v")).agg(
+        F.sort_array(F.collect_list(F.struct("cluster_id", "v"))).alias("c")
+    )
+    rises = F.size(F.filter(F.sequence(F.lit(1), F.size("c") - 1), lambda i: F.col("c")[i]["v"] > F.col("c")[i - 1]["v"]))
+    return labelled.agg(
+        F.count(F.lit(1)).alias("customers"),
+        F.count_distinct("customer_id").alias("distinct_customers"),
+        F.count_distinct("cluster_id").alias("clusters"),
+        F.count_if(own > least + 1e-9).alias("not_nearest"),
+    ).withColumn("order_violations", falling.select(rises).scalar())
+
+
+def _clusters(t: Tables) -> dict[str, DataFrame]:
+    """The whole clustering run, once per input folder."""
+    key = (t.spark.sparkContext.applicationId, t.folder)
+    if key not in _BUILT:
+        _BUILT[key] = cluster.build_clusters(t.rfm(), HOME, k=_operational_k(t))
+    return _BUILT[key]
+
+
+_BUILT: dict[tuple, object] = {}
+
+
+def _evaluated(t: Tables) -> DataFrame:
+    return t._staged("k_evaluation", lambda: cluster.evaluate_k(t.vectors()))
+
+
+def _operational_k(t: Tables) -> int:
+    """The stated k where it is eligible on these tables, else the metric choice."""
+    ranked = cluster.select_k(_evaluated(t))
+    eligible = [r.k for r in ranked.where("eligible").select("k").collect()]
+    return cluster.OPERATIONAL_K if cluster.OPERATIONAL_K in eligible else cluster.metric_optimal_k(ranked)
 
 
 def k_evaluation(t: Tables) -> DataFrame:
-    evaluation = cluster.evaluate_k(t.vectors(), QUICK_K, cluster.SEEDS, QUICK_STARTS)
-    return cluster.select_k(evaluation, min_mean_ari=-1.0)
+    """All candidates with the real gates: what must hold of any evaluation, a row per k."""
+    ranked = cluster.select_k(_evaluated(t))
+    rows = t.rfm().count()
+    usable = (F.col("minimum_cluster_share_pct") >= cluster.MIN_SHARE_PCT) & (F.col("mean_pairwise_ari") >= cluster.MIN_MEAN_ARI)
+    falls = F.coalesce(F.col("inertia_reduction_from_previous_k_pct") > 0, F.lit(True))
+    return ranked.select(
+        "k", "stability_seed_count", "stability_pair_count", "silhouette_distance", "seed",
+        falls.alias("inertia_falls"),
+        (
+            F.col("silhouette_score").between(-1, 1) & F.col("mean_pairwise_ari").between(-1, 1)
+            & (F.col("minimum_pairwise_ari") <= F.col("mean_pairwise_ari") + 1e-12)
+            & (F.col("davies_bouldin_score") > 0) & (F.col("calinski_harabasz_score") > 0)
+        ).alias("scores_in_range"),
+        (F.abs(F.col("minimum_cluster_share_pct") - 100.0 * F.col("minimum_cluster_count") / rows) < 1e-9).alias("share_agrees"),
+        (F.col("eligible") == usable).alias("gates_agree"),
+        (F.col("selection_rank_sum").isNotNull() == F.col("eligible")).alias("only_eligible_ranked"),
+    )
 
 
-def cluster_gates(t: Tables) -> DataFrame:
+def k_metrics(t: Tables) -> DataFrame:
+    """Calinski-Harabasz, sizes and Rand index of a real labelling against their definitions, as differences."""
     data = t.vectors()
-    evaluation = cluster.select_k(
-        cluster.evaluate_k(data, QUICK_K, cluster.SEEDS, QUICK_STARTS, exact_silhouette=False),
-        min_mean_ari=-1.0,
+    models = cluster.fit_all(data, [(4, s) for s in cluster.SEEDS[:2]], n_init=1)
+    (first, second) = models.values()
+    labelled = pin(
+        data.withColumns({"a": cluster.nearest(first), "b": cluster.nearest(second)}).select("customer_id", "a", "b", *cluster.SCALED)
     )
-    k = cluster.OPERATIONAL_K
-    clusters = pin(
-        cluster.assign(data, cluster.fit(data, k, cluster.SEEDS[0], QUICK_STARTS)).drop("features")
+    got = cluster.calinski_harabasz(labelled, "a").first()
+    ari = cluster.adjusted_rand(labelled, ["a", "b"]).first()["adjusted_rand"]
+    rows = labelled.toPandas()
+    x, a, b = rows[cluster.SCALED].to_numpy(), rows["a"].to_numpy(), rows["b"].to_numpy()
+    centres = {k: x[a == k].mean(axis=0) for k in set(a)}
+    within = sum(((x[a == k] - c) ** 2).sum() for k, c in centres.items())
+    between = sum((a == k).sum() * ((c - x.mean(axis=0)) ** 2).sum() for k, c in centres.items())
+    k, n = len(centres), len(x)
+    want = between * (n - k) / (within * (k - 1))
+    two = lambda v: float((v * (v - 1) / 2).sum())
+    cells = rows.groupby(["a", "b"]).size().to_numpy(), rows.groupby("a").size().to_numpy(), rows.groupby("b").size().to_numpy()
+    both, left, right = (two(c.astype(float)) for c in cells)
+    expected = left * right / (n * (n - 1) / 2)
+    rand = (both - expected) / ((left + right) / 2 - expected)
+    return t.spark.createDataFrame(
+        [(n, k, bool(abs(got["calinski_harabasz_score"] / want - 1) < 1e-9), bool(abs(got["inertia"] / within - 1) < 1e-9),
+          bool(got["minimum_cluster_count"] == min(cells[1])), bool(abs(ari - rand) < 1e-9))],
+        "customers long, clusters int, calinski_harabasz boolean, inertia boolean, smallest boolean, adjusted_rand boolean",
+    )
+
+
+def cluster_gates(t: Tables) -> DataFrame:
+    built, k = _clusters(t), _operational_k(t)
+    rows = gates.cluster_gates(
+        built["customer_clusters"], built["k_evaluation"], built["cluster_profiles"], k, t.rfm().count()
+    )
+    return rows.select("gate", "passed")
+
+
+def build_clusters(t: Tables) -> DataFrame:
+    """The whole path, with the chosen k: rows of each table it returns, and how they tie up."""
+    built, k = _clusters(t), _operational_k(t)
+    people, profiles = built["customer_clusters"], built["cluster_profiles"]
+    crosstab, evaluation = built["rfm_cluster_comparison"], built["k_evaluation"]
+    chosen = evaluation.where("selected").agg(F.count(F.lit(1))).scalar()
+    return people.agg(F.count(F.lit(1)).alias("customers"), C.money(F.sum(F.col("monetary_value_gbp").cast("decimal(28,4)"))).alias("value")).withColumns(
+        {
+            "profiled_customers": profiles.agg(F.sum("customer_count")).scalar(),
+            "profiles_are_k": profiles.agg(F.count(F.lit(1))).scalar() == k,
+            "crossed_customers": crosstab.agg(F.sum("customer_count")).scalar(),
+            "crosstab_is_full": crosstab.agg(F.count(F.lit(1))).scalar() == 8 * k,
+            "candidates": evaluation.agg(F.count(F.lit(1))).scalar(),
+            "chosen": chosen,
+        }
     )
-    profiles = pin(cluster.cluster_profiles(clusters, HOME))
-    labelled = profiles.join(cluster.cluster_labels(profiles), "cluster_id")
-    return gates.cluster_gates(clusters, evaluation, labelled, k)
 
 
 def silhouette(t: Tables) -> DataFrame:
@@ -679,7 +882,9 @@ def cluster_profiles(t: Tables) -> DataFrame:
 
 
 def pca_projection(t: Tables) -> DataFrame:
-    return cluster.pca_projection(t.vectors())
+    """Components are defined up to their sign."""
+    placed = cluster.pca_projection(t.vectors())
+    return rounded(placed.withColumns({f"component_{i}": F.abs(f"component_{i}") for i in (1, 2)}), 5)
 
 
 # Marts and gates ------------------------------------------------------------
@@ -709,6 +914,27 @@ def measures_by_place(t: Tables) -> DataFrame:
     return measures.sales_measures(orders, ["year", "country"])
 
 
+def filtered_measures(t: Tables) -> DataFrame:
+    """Measures under slicer filters: two nations, the years 1996 to 1998."""
+    orders = order_fact(t).withColumn("year", F.year("order_date"))
+    chosen = measures.slice_by(orders, {"country": ["NATION_1", "NATION_7"], "year": [1996, 1997, 1998]})
+    return measures.sales_measures(chosen, ["country", "year"])
+
+
+def product_trend(t: Tables) -> DataFrame:
+    """Drill-through of two products."""
+    trend = measures.monthly_trend(
+        marts.product_month(t.sales()), "stock_code", {"stock_code": ["P1", "P7"]}
+    )
+    return trend.select("stock_code", "month_start", "revenue_gbp", "units_sold")
+
+
+def country_trend(t: Tables) -> DataFrame:
+    """Drill-through of all countries."""
+    trend = measures.monthly_trend(marts.country_month(t.sales()), "country")
+    return trend.select("country", "month_start", "revenue_gbp", "units_sold")
+
+
 def customer_detail(t: Tables) -> DataFrame:
     customers = marts.customer_dimension(t.rfm(), t.labelled_clusters(), check=False)
     return measures.customer_detail(order_fact(t), customers)
@@ -746,6 +972,13 @@ def mart_gates(t: Tables) -> DataFrame:
 QUERIES = {
     "scan_union_batches": scan_union_batches,
     "alias_columns": alias_columns,
+    "scan_files": scan_files,
+    "json_roundtrip": json_roundtrip,
+    "export_sizes": export_sizes,
+    "small_n_scores": small_n_scores,
+    "filtered_measures": filtered_measures,
+    "product_trend": product_trend,
+    "country_trend": country_trend,
     "csv_roundtrip": csv_roundtrip,
     "parquet_roundtrip": parquet_roundtrip,
     "partition_datasets": partition_datasets,
@@ -843,6 +1076,9 @@ QUERIES = {
     "scaled_features": scaled_features,
     "kmeans_assign": kmeans_assign,
     "k_evaluation": k_evaluation,
+    "k_metrics": k_metrics,
+    "build_clusters": build_clusters,
+    "statistical_summary": statistical_summary,
     "silhouette": silhouette,
     "silhouette_squared": silhouette_squared,
     "calinski_harabasz": calinski_harabasz,

@@ -8,16 +8,17 @@ from basketry.plans import cluster
 
 @pytest.fixture(scope="module")
 def blobs(spark):
-    rng = np.random.default_rng(1)
-    n = 90
+    """Three clouds of 64 customers around (days, orders, value), by lognormal factors."""
+    rng = np.random.default_rng(77)
+    middles, n = [(8, 60, 20000), (90, 9, 900), (700, 2, 45)], 64
+    near = [np.array(m) * np.exp(rng.normal(0, 0.08, (n, 3))) for m in middles]
+    rows = np.concatenate(near)
     data = pd.DataFrame({
-        "customer_id": [str(i) for i in range(2 * n)],
-        "recency_days": np.r_[rng.integers(150, 500, n), rng.integers(1, 50, n)],
-        "frequency_orders": np.r_[rng.integers(1, 5, n), rng.integers(10, 41, n)],
-        "monetary_value_gbp": np.round(np.r_[rng.uniform(20, 300, n), rng.uniform(3000, 12000, n)], 2),
-        "primary_country": ["United Kingdom"] * (2 * n), "average_order_value_gbp": 10.0, "active_span_days": 5,
-        "units_purchased": 7, "distinct_products": 3, "segment": ["Hibernating"] * n + ["Champions"] * n,
-        "truth": [1] * n + [2] * n,
+        "customer_id": [f"k{i}" for i in range(3 * n)],
+        "recency_days": rows[:, 0].round().astype(int), "frequency_orders": rows[:, 1].round().astype(int),
+        "monetary_value_gbp": rows[:, 2].round(2), "primary_country": "Utopia", "average_order_value_gbp": 1.5,
+        "active_span_days": 11, "units_purchased": 4, "distinct_products": 2,
+        "segment": np.repeat(["Champions", "At Risk", "Hibernating"], n), "truth": np.repeat([1, 2, 3], n),
     })
     return spark.createDataFrame(data)
 
@@ -43,23 +44,38 @@ def test_input_contract(blobs):
         cluster.check_input(blobs.drop("segment"))
 
 
-def test_k_evaluation_on_two_blobs(data):
-    evaluation = cluster.evaluate_k(data, (2, 3), n_init=1)
+def test_k_evaluation_on_three_clouds(data):
+    evaluation = cluster.evaluate_k(data, (2, 3, 4), n_init=4)
     rows = {r["k"]: r for r in evaluation.collect()}
-    assert rows[2]["mean_pairwise_ari"] == pytest.approx(1.0) and rows[2]["minimum_cluster_count"] == 90
+    assert rows[3]["mean_pairwise_ari"] == pytest.approx(1.0) and rows[3]["minimum_cluster_count"] == 64
     assert all(-1 <= r["minimum_pairwise_ari"] <= 1 and r["stability_pair_count"] == 10 for r in rows.values())
-    assert rows[3]["inertia"] < rows[2]["inertia"] and rows[2]["inertia_reduction_from_previous_k_pct"] is None
-    assert cluster.metric_optimal_k(cluster.select_k(evaluation)) == 2
+    assert rows[4]["inertia"] < rows[3]["inertia"] < rows[2]["inertia"]
+    assert rows[2]["inertia_reduction_from_previous_k_pct"] is None and rows[3]["seed"] == 42
+    assert cluster.metric_optimal_k(cluster.select_k(evaluation)) == 3
     with pytest.raises(ValueError, match="five seeds"):
         cluster.evaluate_k(data, (2,), seeds=(1, 2))
     with pytest.raises(ValueError, match="does not fit"):
         cluster.evaluate_k(data, (1,))
 
 
+def test_fits_share_their_scans(data):
+    """Each model of a joint fit is the one a fit of its own gives, and no row lies nearer to another centre."""
+    both = cluster.fit_all(data, [(3, 5), (4, 9)], n_init=3)
+    x = data.select(*cluster.SCALED).toPandas().to_numpy()
+    for (k, seed), model in both.items():
+        alone = cluster.fit(data, k, seed, 3)
+        np.testing.assert_allclose(model.centres, alone.centres, atol=1e-9)
+        d = ((x[:, None] - model.centres[None]) ** 2).sum(-1)
+        assert model.inertia == pytest.approx(d.min(1).sum())
+        own = d.argmin(1)
+        means = np.array([x[own == c].mean(0) for c in range(k)])
+        assert np.abs(means - model.centres).max() < 0.05
+
+
 def test_assignment_is_in_business_order(data):
-    got = cluster.assign(data, cluster.fit(data, 2, 42, 1)).groupBy("cluster_id").agg(F.avg("monetary_value_gbp").alias("m"))
-    means = {r["cluster_id"]: r["m"] for r in got.collect()}
-    assert set(means) == {1, 2} and means[1] > means[2]
+    got = cluster.assign(data, cluster.fit(data, 3, 42, 4)).groupBy("cluster_id").agg(
+        F.min("truth").alias("low"), F.max("truth").alias("high"))
+    assert sorted((r["cluster_id"], r["low"], r["high"]) for r in got.collect()) == [(1, 1, 1), (2, 2, 2), (3, 3, 3)]
 
 
 def brute_silhouette(x, labels):
@@ -78,7 +94,7 @@ def brute_silhouette(x, labels):
 
 @pytest.mark.parametrize("tile", [17, 64, 2048])
 def test_exact_silhouette_by_tiles(data, tile):
-    third = data.withColumn("lab", F.when(F.col("customer_id") == "0", 3).otherwise(F.col("truth")))
+    third = data.withColumn("lab", F.when(F.col("customer_id") == "k0", 4).otherwise(F.col("truth")))
     frame = third.select("lab", *cluster.SCALED).toPandas()
     want = brute_silhouette(frame[cluster.SCALED].to_numpy(), frame["lab"].to_numpy())
     assert cluster.silhouette_euclidean(third, "customer_id", "lab", tile=tile).first()[0] == pytest.approx(want, abs=1e-12)
@@ -87,14 +103,15 @@ def test_exact_silhouette_by_tiles(data, tile):
 def test_calinski_harabasz_and_davies_bouldin(data):
     frame = data.select("truth", *cluster.SCALED).toPandas()
     x, labels = frame[cluster.SCALED].to_numpy(), frame["truth"].to_numpy()
-    centres = {k: x[labels == k].mean(0) for k in (1, 2)}
-    within = sum(((x[labels == k] - centres[k]) ** 2).sum() for k in (1, 2))
-    between = sum((labels == k).sum() * ((centres[k] - x.mean(0)) ** 2).sum() for k in (1, 2))
+    centres = {k: x[labels == k].mean(0) for k in (1, 2, 3)}
+    within = sum(((x[labels == k] - centres[k]) ** 2).sum() for k in (1, 2, 3))
+    between = sum((labels == k).sum() * ((centres[k] - x.mean(0)) ** 2).sum() for k in (1, 2, 3))
     row = cluster.calinski_harabasz(data, "truth").first()
     assert row["inertia"] == pytest.approx(within)
-    assert row["calinski_harabasz_score"] == pytest.approx(between / (within / (len(x) - 2)))
-    spread = {k: np.sqrt(((x[labels == k] - centres[k]) ** 2).sum(1)).mean() for k in (1, 2)}
-    want = (spread[1] + spread[2]) / np.sqrt(((centres[1] - centres[2]) ** 2).sum())
+    assert row["calinski_harabasz_score"] == pytest.approx((between / 2) / (within / (len(x) - 3)))
+    spread = {k: np.sqrt(((x[labels == k] - centres[k]) ** 2).sum(1)).mean() for k in (1, 2, 3)}
+    ratio = {(a, b): (spread[a] + spread[b]) / np.sqrt(((centres[a] - centres[b]) ** 2).sum()) for a in spread for b in spread if a != b}
+    want = np.mean([max(v for (a, _), v in ratio.items() if a == k) for k in spread])
     assert cluster.davies_bouldin(data, "truth").first()[0] == pytest.approx(want)
 
 
@@ -109,32 +126,44 @@ def test_adjusted_rand(spark):
 EVALUATION = "k int, silhouette_score double, calinski_harabasz_score double, davies_bouldin_score double, minimum_cluster_share_pct double, mean_pairwise_ari double"
 
 
-def test_select_k_leaves_out_unusable_solutions(spark):
-    df = spark.createDataFrame([(2, 0.5, 100.0, 0.7, 20.0, 0.95), (3, 0.8, 200.0, 0.4, 0.5, 0.99)], EVALUATION)
-    ranked = cluster.select_k(df)
-    assert cluster.metric_optimal_k(ranked) == 2
-    three = ranked.where("k = 3").first()
-    assert not three["eligible"] and three["rank_silhouette"] is None and three["selection_rank_sum"] is None
+def candidates(spark, *changes):
+    """Candidates for k = 5, 6, 7: all metrics fall with k; each change is (k, column, value)."""
+    rows = {k: dict(k=k, sil=0.9 - k / 100, ch=1000.0 - k, db=0.1 * k, share=11.0, ari=0.99 - k / 1000) for k in (5, 6, 7)}
+    for k, column, value in changes:
+        rows[k][column] = value
+    return spark.createDataFrame([tuple(r.values()) for r in rows.values()], EVALUATION)
+
+
+@pytest.mark.parametrize("column, value", [("share", 1.99), ("ari", 0.79)])
+def test_select_k_leaves_out_unusable_solutions(spark, column, value):
+    assert cluster.metric_optimal_k(cluster.select_k(candidates(spark))) == 5
+    ranked = cluster.select_k(candidates(spark, (5, column, value)))
+    assert cluster.metric_optimal_k(ranked) == 6
+    out = ranked.where("k = 5").first()
+    assert not out["eligible"] and out["rank_silhouette"] is None and out["selection_rank_sum"] is None
     with pytest.raises(RuntimeError):
-        cluster.metric_optimal_k(cluster.select_k(df, min_mean_ari=1.0))
+        cluster.metric_optimal_k(cluster.select_k(candidates(spark), min_share_pct=50))
 
 
-def test_operational_k_overrides_the_metric_choice(spark):
-    df = spark.createDataFrame([(2, 0.438, 6205.0, 0.872, 39.95, 0.995), (4, 0.366, 5095.0, 0.929, 20.48, 0.997)], EVALUATION)
-    chosen = cluster.choose_k(cluster.select_k(df), 4)
-    assert cluster.metric_optimal_k(chosen) == 2
-    assert [r["k"] for r in chosen.where("selected").collect()] == [4]
+def test_a_stated_k_overrides_the_metric_choice(spark):
+    ranked = cluster.select_k(candidates(spark, (6, "share", 0.5)))
+    chosen = cluster.choose_k(ranked, 7)
+    assert cluster.metric_optimal_k(chosen) == 5
+    assert [r["k"] for r in chosen.where("selected").collect()] == [7]
     with pytest.raises(ValueError):
-        cluster.choose_k(cluster.select_k(df), 7)
+        cluster.choose_k(ranked, 8)
+    with pytest.raises(RuntimeError):
+        cluster.choose_k(ranked, 6)
 
 
 def test_cluster_labels(spark):
-    rows = [(1, 17.0, 13.0, 4965.48), (2, 25.0, 3.0, 729.25), (3, 186.0, 4.0, 1447.74), (4, 404.5, 1.0, 272.04)]
+    rows = [(4, 10.0, 2.5, 80.0), (3, 20.0, 7.0, 1234.5), (2, 30.0, 1.0, 40.0), (1, 40.0, 9.0, 60.0)]
     df = spark.createDataFrame(rows, "cluster_id int, median_recency_days double, median_frequency_orders double, median_monetary_value_gbp double")
     labels = cluster.cluster_labels(df)
     cluster.check_labels(labels)
-    first = labels.where("cluster_id = 1").first()
-    assert first["label_basis"] == "Median recency=17.0 days (rank 1/4); frequency=13.0 orders (rank 1/4); monetary value=GBP 4,965.48 (rank 1/4)."
-    assert first["cluster_label"] == "High-Value Champions"
+    third = labels.where("cluster_id = 3").first()
+    for part in ("20.0 days (rank 2/4)", "7.0 orders (rank 2/4)", "GBP 1,234.50 (rank 1/4)"):
+        assert part in third["label_basis"]
+    assert third["cluster_label"] == cluster.LABELS[3] and third["recommended_action"] == cluster.ACTIONS_BY_RECENCY[2]
     with pytest.raises(ValueError):
         cluster.check_labels(labels.limit(3))

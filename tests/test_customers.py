@@ -5,22 +5,28 @@ from pyspark.sql import functions as F
 
 from basketry.plans import cohort, gates, rfm
 
-SALES = [
-    ("1001", "A1", "2010-03-02", "P1", 5, 100.0), ("1001", "A2", "2011-12-09", "P2", 4, 200.0),
-    ("1002", "B1", "2010-04-01", "P1", 1, 20.0), ("1002", "B2", "2010-06-01", "P3", 2, 40.0),
-    ("1003", "C1", "2011-01-10", "P1", 1, 15.0), ("1004", "D1", "2011-02-11", "P2", 7, 70.0),
-    ("1004", "D2", "2011-11-30", "P2", 8, 90.0), ("1005", "E1", "2011-05-05", "P4", 3, 33.0),
-    ("1006", "F1", "2010-12-24", "P4", 3, 31.0), ("1007", "G1", "2010-03-20", "P5", 1, 5.0),
-    ("1008", "H1", "2011-10-10", "P6", 9, 300.0),
-]
+DAY = dt.date(2022, 1, 31)
+
+
+def made_sales():
+    """Customer n of 7 buys n times, every 40 n days before the last day, for n * 10 + order number."""
+    rows = []
+    for n in range(1, 8):
+        for order in range(n):
+            day = DAY - dt.timedelta(days=(n - 1) + 40 * n * order)
+            rows.append((f"cust-{n}", f"inv-{n}-{order}", day, f"item-{order % 3}", 2 * n + order, 10.0 * n + order))
+    return rows
+
+
+SALES = made_sales()
 
 
 @pytest.fixture
 def sales(spark):
-    df = spark.createDataFrame(SALES, "customer_id string, invoice_no string, d string, stock_code string, quantity int, r double")
+    df = spark.createDataFrame(SALES, "customer_id string, invoice_no string, d date, stock_code string, quantity int, r double")
     return df.select(
         "customer_id", "invoice_no", F.to_timestamp("d").alias("invoice_date"), "stock_code", "quantity",
-        F.col("r").cast("decimal(18,4)").alias("line_revenue"), F.lit("United Kingdom").alias("country"),
+        F.col("r").cast("decimal(18,4)").alias("line_revenue"), F.lit("Utopia").alias("country"),
         F.lit(True).alias("has_customer_id"), F.lit(True).alias("is_completed_sale"),
         F.lit("completed_sale").alias("transaction_type"),
     )
@@ -28,66 +34,103 @@ def sales(spark):
 
 def test_rfm_table(sales):
     table = {r["customer_id"]: r for r in rfm.rfm_table(rfm.identified_sales(sales)).collect()}
-    assert len(table) == 8
-    one = table["1001"]
-    assert one["recency_days"] == 1 and one["frequency_orders"] == 2 and one["monetary_value_gbp"] == 300.0
-    assert one["active_span_days"] == 647 and one["average_order_value_gbp"] == 150.0
-    assert one["r_score"] > table["1007"]["r_score"]
-    assert all(r["rfm_code"] == f"{r['r_score']}{r['f_score']}{r['m_score']}" for r in table.values())
+    assert len(table) == 7
+    for n in range(1, 8):
+        own, row = [s for s in SALES if s[0] == f"cust-{n}"], table[f"cust-{n}"]
+        value = sum(s[5] for s in own)
+        days = [s[2] for s in own]
+        assert row["recency_days"] == (DAY - max(days)).days + 1 == n
+        assert row["frequency_orders"] == n and row["monetary_value_gbp"] == value
+        assert row["active_span_days"] == (max(days) - min(days)).days
+        assert row["average_order_value_gbp"] == pytest.approx(value / n)
+        assert row["units_purchased"] == sum(s[4] for s in own) and row["distinct_products"] == min(n, 3)
+        assert row["rfm_code"] == f"{row['r_score']}{row['f_score']}{row['m_score']}"
+    assert table["cust-1"]["r_score"] == 5 == table["cust-7"]["f_score"] and table["cust-1"]["m_score"] == 1
 
 
 def test_identified_sales_uses_the_flags_that_exist(sales):
-    some = sales.withColumn("is_completed_sale", F.col("customer_id") != "1001")
-    assert rfm.identified_sales(some).count() == 9
-    assert rfm.identified_sales(some.drop("is_completed_sale")).count() == 11
+    some = sales.withColumn("is_completed_sale", F.col("customer_id") != "cust-7")
+    assert rfm.identified_sales(some).count() == 21
+    assert rfm.identified_sales(some.drop("is_completed_sale")).count() == 28
     with pytest.raises(ValueError, match="No identified"):
         rfm.require_identified_sales(sales.limit(0))
     with pytest.raises(ValueError, match="stock_code"):
         rfm.identified_sales(sales.drop("stock_code"))
 
 
-def test_segment_rules(spark):
-    rows = [
-        ("Champions", 5, 5, 5, 5), ("Loyal Customers", 3, 4, 3, 3), ("Potential Loyalists", 4, 3, 2, 2),
-        ("New Customers", 5, 1, 4, 1), ("Cannot Lose Them", 1, 5, 5, 5), ("At Risk", 1, 3, 2, 2),
-        ("Hibernating", 1, 1, 1, 1), ("Need Attention", 3, 2, 2, 2),
-    ]
+def segment_by_rule(r, f, m, orders):
+    """The ordered rules, stated once more."""
+    if orders >= 2 and min(r, f, m) >= 4:
+        return "Champions"
+    if orders >= 2 and r >= 3 and f >= 4 and m >= 3:
+        return "Loyal Customers"
+    if orders >= 2 and r >= 4 and f in (2, 3) and m >= 2:
+        return "Potential Loyalists"
+    if orders == 1 and r >= 4:
+        return "New Customers"
+    if orders >= 2 and r <= 2 and min(f, m) >= 4:
+        return "Cannot Lose Them"
+    if r <= 2 and max(f, m) >= 3:
+        return "At Risk"
+    return "Hibernating" if r <= 2 else "Need Attention"
+
+
+def test_segment_rules_for_every_score(spark):
+    scores = range(1, 6)
+    rows = [(segment_by_rule(r, f, m, n), r, f, m, n) for r in scores for f in scores for m in scores for n in (1, 2)]
     df = spark.createDataFrame(rows, "want string, r_score int, f_score int, m_score int, frequency_orders int")
     assert rfm.assign_segments(df).where("want <> segment").count() == 0
+    assert {r[0] for r in rows} == set(rfm.SEGMENT_NAMES)
 
 
 def test_segment_summary_keeps_empty_segments(sales):
     table = rfm.rfm_table(sales)
     rows = rfm.segment_summary(table).collect()
     assert [r["segment"] for r in rows] == rfm.SEGMENT_NAMES
-    assert sum(r["customer_count"] for r in rows) == 8
+    assert sum(r["customer_count"] for r in rows) == 7
     assert sum(r["customer_share_pct"] for r in rows) == pytest.approx(100)
     assert sum(r["revenue_share_pct"] for r in rows) == pytest.approx(100)
 
 
+def months_after(first, day):
+    return (day.year - first.year) * 12 + day.month - first.month
+
+
 def test_cohorts(sales):
     long = cohort.cohort_long(sales)
-    first = long.where("cohort_month_index = 0").collect()
-    assert all(r["retention_pct"] == 100.0 for r in first)
-    cells = {(str(r["acquisition_month"]), r["cohort_month_index"]): r["active_customers"] for r in long.collect()}
-    assert cells[("2010-03-01", 21)] == 1 and cells[("2010-03-01", 1)] == 0
-    assert ("2011-10-01", 3) not in cells
-    assert {str(r["purchase_month"]) for r in long.where("is_partial_period").collect()} == {"2011-12-01"}
+    starts = {c: min(s[2] for s in SALES if s[0] == c).replace(day=1) for c in {s[0] for s in SALES}}
+    active = {}
+    for customer, _, day, *_ in SALES:
+        active.setdefault((str(starts[customer]), months_after(starts[customer], day)), set()).add(customer)
+    cells = {(str(r["acquisition_month"]), r["cohort_month_index"]): r for r in long.collect()}
+    for (month, index), r in cells.items():
+        assert r["active_customers"] == len(active.get((month, index), ()))
+        assert r["cohort_size"] == sum(str(s) == month for s in starts.values())
+        assert index > 0 or r["retention_pct"] == 100.0
+    for start in set(starts.values()):
+        assert max(i for m, i in cells if m == str(start)) == months_after(start, DAY)
+    # The data reach the last day of their last month.
+    assert long.where("is_partial_period").count() == 0
+    cut = cohort.cohort_long(sales.where("invoice_date < '2022-01-31'"))
+    assert {str(r["purchase_month"]) for r in cut.where("is_partial_period").collect()} == {"2022-01-01"}
     wide = {r["acquisition_month"]: r for r in cohort.widen(long, "active_customers").collect()}
-    assert wide["2010-03"]["month_0"] == 2 and wide["2010-03"]["month_21"] == 1
-    assert wide["2011-10"]["month_2"] == 0 and wide["2011-10"]["month_3"] is None
+    newest = max(starts.values())
+    assert wide[str(newest)[:7]]["month_0"] >= 1 and wide[str(newest)[:7]]["month_1"] is None
     meta = cohort.cohort_metadata(long).first()
-    assert meta["max_cohort_month_index"] == 21 and meta["partial_month"] == "2011-12"
+    assert meta["max_cohort_month_index"] == max(i for _, i in cells)
+
+
+TOTAL = sum(s[5] for s in SALES)
 
 
 def test_customer_gates(sales):
     table = rfm.rfm_table(sales)
-    checks = gates.customer_gates(table, rfm.segment_summary(table), cohort.cohort_long(sales), 8, 904.0)
+    checks = gates.customer_gates(table, rfm.segment_summary(table), cohort.cohort_long(sales), 7, TOTAL)
     assert gates.all_passed(checks) and checks.count() == 6
-    wrong = gates.customer_gates(table, rfm.segment_summary(table), cohort.cohort_long(sales), 9, 904.5)
+    wrong = gates.customer_gates(table, rfm.segment_summary(table), cohort.cohort_long(sales), 6, TOTAL + 0.5)
     assert {r["gate"] for r in wrong.where("NOT passed").collect()} == {"customer_count", "monetary_value_reconciliation"}
 
 
 def test_summary_row(sales):
     row = rfm.customer_summary_stats(sales, rfm.rfm_table(sales)).first()
-    assert row["snapshot_date"] == dt.date(2011, 12, 10) and row["total_monetary_value_gbp"] == 904.0
+    assert row["snapshot_date"] == DAY + dt.timedelta(days=1) and row["total_monetary_value_gbp"] == TOTAL

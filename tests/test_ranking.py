@@ -92,10 +92,9 @@ def test_average_ranks_share_ties(spark, skewed):
     pd.testing.assert_series_equal(got["rank_w"].sort_index(), want["w"].sort_index(), check_names=False)
 
 
-@pytest.mark.parametrize("few", [True, False])
-def test_exact_quantiles_interpolate_per_group(spark, skewed, few):
+def test_exact_quantiles_interpolate_per_group(spark, skewed):
     wanted = {"q10": ("v", 0.1), "mid": ("v", 0.5), "q99": ("v", 0.99)}
-    got = ranking.exact_quantiles(spark.createDataFrame(skewed), ["g"], wanted, few_groups=few).toPandas().set_index("g").sort_index()
+    got = ranking.exact_quantiles(spark.createDataFrame(skewed), ["g"], wanted).toPandas().set_index("g").sort_index()
     for out, (_, p) in wanted.items():
         np.testing.assert_allclose(got[out], skewed.groupby("g")["v"].quantile(p).sort_index(), rtol=1e-12)
     whole = ranking.exact_quantiles(spark.createDataFrame(skewed), [], wanted).first()

@@ -1,8 +1,9 @@
 import pytest
 from pyspark.sql import functions as F
 
+from basketry.operators.dedup import drop_exact_copies
 from basketry.plans import clean
-from basketry.schema import header_map, pick_column
+from basketry.schema import BATCH_STEP, header_map, pick_column
 from basketry.sources import named_sql, scan, sinks
 
 
@@ -85,9 +86,63 @@ def test_json_summary_and_size_gate(spark, raw, tmp_path):
     path = str(tmp_path / "s")
     sinks.write_json_summary(raw.agg(F.count(F.lit(1)).alias("n")), path)
     assert scan.read_json_summary(spark, path).first()["n"] == 4
-    good = sinks.size_gate(spark, {"s": path}).first()
-    assert good["passed"] and good["bytes"] > 0
-    assert not sinks.size_gate(spark, {"s": path}, limit=1).first()["passed"]
+    rows = sinks.size_report(spark, {"s": path, "t": path}).collect()
+    total = [r for r in rows if r["table"] == "total"][0]["bytes"]
+    assert all(r["passed"] for r in rows) and total == sum(r["bytes"] for r in rows if r["file"]) > 0
+    limited = sinks.size_report(spark, {"s": path}, limit=1).where("file is not null")
+    assert limited.where("passed").count() == 0 and limited.count() >= 1
+
+
+def test_a_folder_is_swapped_in_and_the_old_one_survives_a_failure(spark, raw, tmp_path):
+    fresh, final = str(tmp_path / "fresh"), str(tmp_path / "final")
+    for n in (1, 2):
+        sinks.write_json_summary(raw.limit(n), fresh)
+        sinks.swap_in(spark, fresh, final)
+        assert spark.read.json(final).count() == n
+    with pytest.raises(Exception):
+        sinks.swap_in(spark, str(tmp_path / "missing"), final)
+    assert spark.read.json(final).count() == 2
+    assert [p.name for p in tmp_path.iterdir()] == ["final"]
+
+
+def test_fractions_large_numbers_and_many_digits_survive(raw):
+    rows = raw.where("Quantity = '1'").withColumn("Quantity", F.explode(F.array(*map(F.lit, ["1.5", "3000000000", "2e3"]))))
+    rows = rows.withColumn("Price", F.explode(F.array(*map(F.lit, ["1.234561", "1.234562"]))))
+    lines = scan.union_batches({"b": rows})
+    got = sorted((float(r["quantity"]), float(r["unit_price"])) for r in lines.collect())
+    assert got == [(q, p) for q in (1.5, 2000.0, 3e9) for p in (1.234561, 1.234562)]
+    unique = clean.classify(drop_exact_copies(lines))
+    assert unique.count() == 6
+    revenue = {str(r["line_revenue"]) for r in unique.collect()}
+    assert {"1.8518415", "1.8518430"} <= revenue
+
+
+def test_dates_in_stated_formats(raw):
+    dated = raw.withColumn("InvoiceDate", F.lit("12/1/2009 7:45"))
+    assert scan.union_batches({"b": dated}).where("invoice_date is not null").count() == 0
+    read = scan.union_batches({"b": dated}, date_formats={"b": ["M/d/yyyy H:mm"]})
+    assert {str(r["invoice_date"]) for r in read.collect()} == {"2009-12-01 07:45:00"}
+
+
+def test_line_ids_do_not_depend_on_the_splits(spark, tmp_path):
+    header = "Invoice,StockCode,Description,Quantity,InvoiceDate,Price,Customer ID,Country\n"
+    folder = tmp_path / "b"
+    folder.mkdir()
+    for name, first, n in (("part-b.csv", 5000, 3000), ("part-a.csv", 100, 200)):
+        lines = "".join(f"{first + i},S{i},text {i},1,2010-01-01 10:00,2.5,7,X\n" for i in range(n))
+        (folder / name).write_text(header + lines)
+    seen = []
+    for size in ("128m", "20k"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            lines = scan.scan_batches(spark, {"one": str(folder), "two": str(folder)})
+            seen.append({(int(r["load_seq"]) // BATCH_STEP, int(r["load_seq"]) % BATCH_STEP): r["invoice_no"] for r in lines.collect()})
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert seen[0] == seen[1]
+    # File names decide, then the place in the file.
+    assert [seen[0][0, i] for i in (0, 199, 200, 3199)] == ["100", "299", "5000", "7999"]
+    assert len(seen[0]) == 6400 and seen[0][1, 0] == "100"
 
 
 def test_named_statements(spark, tmp_path):

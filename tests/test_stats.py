@@ -111,11 +111,13 @@ def test_all_tests(people, orders):
     stats.check_inputs(people[1], orders[1])
     tests = stats.hypothesis_tests(people[1], orders[1], HOME).cache()
     rows = tests.collect()
-    assert len(rows) == 24 and len(tests.columns) == 25
+    assert len(rows) == 24 and len(tests.columns) == 21
     assert sum(r["family"] == stats.GROUP_TESTS for r in rows) == 3
     assert all(0 <= r["raw_p_value"] <= r["adjusted_p_value"] <= 1 for r in rows)
     summary = stats.statistical_summary(tests).first()
-    assert summary["correlations"] == 21 and summary["tests"] == 24
+    assert summary["correlations"] == 21 and summary["tests"] == 24 and summary["customers"] == 12
+    effects = [abs(r["effect_size"]) for r in summary["strongest_correlations"]]
+    assert len(effects) == 5 and effects == sorted(effects, reverse=True) and len(summary["group_tests"]) == 3
     assert gates.all_passed(gates.stat_gates(people[1], orders[1], 12))
 
 
