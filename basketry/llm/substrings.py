@@ -17,6 +17,7 @@ documents share) would fill one shard: its windows are dealt one by one instead.
 from __future__ import annotations
 
 import hashlib
+from itertools import compress
 
 import numpy as np
 import pandas as pd
@@ -64,7 +65,7 @@ def anchors(words: np.ndarray, counts: np.ndarray, window: int, seed: int):
 
 
 def _seeds(rows: DataFrame, window: int, seed: int) -> DataFrame:
-    """``seed, rid, n``: anchors of each document and how often it holds them."""
+    """``rid, held``: the distinct anchors of each document, each with how often it holds them."""
 
     def run(batches):
         for batch in batches:
@@ -72,19 +73,20 @@ def _seeds(rows: DataFrame, window: int, seed: int) -> DataFrame:
             for at, data, offsets in utf8_chunks(batch.column("text")):
                 starts, ends, counts = word_spans(data, offsets)
                 h, text, _, _ = anchors(span_hashes(data, starts, ends), counts, window, seed)
-                if len(h):
-                    order = np.lexsort((h, text))
-                    h, text = h[order], text[order]
-                    new = np.ones(len(h), dtype=bool)
-                    new[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
-                    first = np.flatnonzero(new)
-                    n = np.diff(np.append(first, len(h)))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(h[first].view(np.int64)), pa.array(rids[at + text[first]]), pa.array(n)],
-                        names=["seed", "rid", "n"],
-                    )
+                order = np.lexsort((h, text))
+                h, text = h[order], text[order]
+                new = np.ones(len(h), dtype=bool)
+                new[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
+                first = np.flatnonzero(new)
+                n = np.diff(np.append(first, len(h))).astype(np.int32)
+                bounds = np.searchsorted(text[first], np.arange(len(counts) + 1)).astype(np.int32)
+                held = pa.StructArray.from_arrays([pa.array(h[first].view(np.int64)), pa.array(n)], names=["seed", "n"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(rids[at : at + len(counts)]), pa.ListArray.from_arrays(pa.array(bounds), held)],
+                    names=["rid", "held"],
+                )
 
-    return rows.select("rid", "text").mapInArrow(run, "seed long, rid long, n long")
+    return rows.select("rid", "text").mapInArrow(run, "rid long, held array<struct<seed:bigint,n:int>>")
 
 
 def _digest(parts: list[bytes]) -> str:
@@ -109,26 +111,33 @@ def _stretches(rows: DataFrame, window: int, seed: int) -> DataFrame:
                 joint = mix64(known ^ mix64(owner.astype(np.uint64)))
                 hit = np.flatnonzero(np.isin(mix64(h ^ mix64(text.astype(np.uint64))), joint))
                 by_text = np.searchsorted(text[hit], np.arange(size + 1))
-                raw, texts, digests, parts = data.tobytes(), [], [], []
+                raw, texts, digests, pieces = data.tobytes(), [], [], []
                 for i in range(size):
                     own = hit[by_text[i] : by_text[i + 1]]
                     whole = raw[offsets[i] : offsets[i + 1]]
-                    words = whole.split()
-                    if len(own):
-                        texts.append(whole)
-                        digests.append(None)
-                        parts.append([
-                            {"seed": s, "start": a, "windows": n, "words": b" ".join(words[a : a + n + window - 1])}
-                            for s, a, n in zip(h[own].view(np.int64).tolist(), first[own].tolist(), windows[own].tolist())
-                        ])
-                    else:
+                    if not len(own):
                         texts.append(None)
-                        digests.append(_digest(words))
-                        parts.append(None)
+                        digests.append(_digest(whole.split()))
+                        continue
+                    texts.append(whole)
+                    digests.append(None)
+                    words = whole.split()
+                    plain = b" ".join(words)
+                    ends_at = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+                    begins_at = np.append(0, ends_at)
+                    low, high = begins_at[first[own]], ends_at[first[own] + windows[own] + window - 2] - 1
+                    pieces.extend(plain[x:y] for x, y in zip(low.tolist(), high.tolist()))
+                part = pa.StructArray.from_arrays(
+                    [
+                        pa.array(h[hit].view(np.int64)), pa.array(first[hit].astype(np.int32)),
+                        pa.array(windows[hit].astype(np.int32)), pa.array(pieces, pa.binary()),
+                    ],
+                    names=["seed", "start", "windows", "words"],
+                )
                 yield pa.RecordBatch.from_arrays(
                     [
                         rids.slice(at, size), ids.slice(at, size), pa.array(counts), pa.array(digests, pa.string()),
-                        pa.array(texts, pa.binary()), pa.array(parts, _PART_TYPE),
+                        pa.array(texts, pa.binary()), pa.ListArray.from_arrays(pa.array(by_text.astype(np.int32)), part),
                     ],
                     names=["rid", "key", "n_words", "digest", "text", "parts"],
                 )
@@ -137,9 +146,6 @@ def _stretches(rows: DataFrame, window: int, seed: int) -> DataFrame:
     return rows.mapInArrow(run, f"rid long, key {kind}, n_words long, digest string, text binary, parts {_PART}")
 
 
-_PART_TYPE = pa.list_(pa.struct([("seed", pa.int64()), ("start", pa.int32()), ("windows", pa.int32()), ("words", pa.binary())]))
-
-
 def first_windows(words: list[bytes], windows: np.ndarray, place: np.ndarray, start: np.ndarray, window: int) -> np.ndarray:
     """For each stretch the bits of its windows that are the earliest of their words in this shard.
 
@@ -214,12 +220,14 @@ def _split(df: DataFrame, key: str, text: str, window: int, seed: int, keep_text
     """Rows of documents without repeated anchors, and of those with; the latter with ``rid`` and their kept text if asked."""
     rows = df.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.withColumn("rid", F.xxhash64("key", "text"))
-    seeds = _seeds(rows, window, seed)
+    seeds, seeds_path = pinned(_seeds(rows, window, seed), "seeds")
+    seeds = seeds.select("rid", F.inline("held"))
     counted = seeds.groupBy("seed").agg(F.sum("n").alias("n")).filter("n > 1").select("seed")
     repeated, repeated_path = pinned(counted, "anchors")
     lists = seeds.select("seed", "rid").join(repeated, "seed").groupBy("rid").agg(F.collect_set("seed").alias("seeds"))
     lists, lists_path = pinned(lists, "anchor-lists")
     remove(df.sparkSession, repeated_path)
+    remove(df.sparkSession, seeds_path)
 
     found = rows.join(lists, "rid", "left").select("rid", "key", "text", "seeds")
     docs, _ = pinned(_stretches(found, window, seed), "stretches")
@@ -283,6 +291,14 @@ def without_repeats(
     return marked.join(changed, same, "left").withColumn(text, F.coalesce(new, text)).select(*df.columns)
 
 
+def _flat(lists: pa.Array, name: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``start``, field ``name`` and row of every entry of a column of lists; null: none."""
+    lengths = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    flat = lists.flatten()
+    values = (flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("start", name))
+    return (*values, np.repeat(np.arange(len(lists)), lengths))
+
+
 def _without(hit: DataFrame, window: int, keep_text: bool) -> DataFrame:
     """Texts without the words of the windows that go."""
     kind = hit.schema["key"].dataType.simpleString()
@@ -290,26 +306,28 @@ def _without(hit: DataFrame, window: int, keep_text: bool) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            removed, digests, texts = [], [], []
-            for text, parts, kept in zip(batch.column("text"), batch.column("parts"), batch.column("kept")):
+            size = len(batch)
+            sizes = batch.column("n_words").to_numpy(zero_copy_only=False)
+            base = np.cumsum(sizes) - sizes
+            total = int(sizes.sum())
+            gone = np.zeros(total, dtype=bool)
+            start, n, owner = _flat(batch.column("parts"), "windows")
+            gone[np.repeat(base[owner] + start, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)] = True
+            start, bits, owner = _flat(batch.column("kept"), "bits")
+            for j in range(window):
+                stays = (bits >> j) & 1 == 1
+                gone[(base[owner] + start)[stays] + j] = False
+            # A window ends before its document does, so no sum crosses a border.
+            cover = np.zeros(total + window + 1, dtype=np.int64)
+            at = np.flatnonzero(gone)
+            np.add.at(cover, at, 1)
+            np.add.at(cover, at + window, -1)
+            keep = (np.cumsum(cover)[:total] == 0).tolist()
+            removed, digests, texts = np.zeros(size, dtype=np.int64), [], []
+            for i, text in enumerate(batch.column("text")):
                 words = text.as_py().split()
-                gone = np.zeros(len(words) + 1, dtype=bool)
-                for p in parts.as_py():
-                    gone[p["start"] : p["start"] + p["windows"]] = True
-                for p in kept.as_py() or ():
-                    bits, at = p["bits"], p["start"]
-                    while bits:
-                        if bits & 1:
-                            gone[at] = False
-                        bits >>= 1
-                        at += 1
-                cover = np.zeros(len(words) + window + 1, dtype=np.int64)
-                at = np.flatnonzero(gone)
-                np.add.at(cover, at, 1)
-                np.add.at(cover, at + window, -1)
-                covered = np.cumsum(cover)[: len(words)] > 0
-                rest = [w for w, c in zip(words, covered.tolist()) if not c]
-                removed.append(len(words) - len(rest))
+                rest = list(compress(words, keep[base[i] : base[i] + len(words)]))
+                removed[i] = len(words) - len(rest)
                 digests.append(_digest(rest))
                 if keep_text:
                     texts.append(b" ".join(rest).decode("utf-8", "replace"))
