@@ -279,6 +279,8 @@ class WarcReader(DataSourceReader):
         return [WarcFile(x) for x in sorted(names) if x.endswith((".warc", ".warc.gz"))]
 
     def read(self, partition: WarcFile) -> Iterator[tuple]:
+        if partition is None:  # an archive without files
+            return
         tests = [header_test(f) for f in self.filters]
         where, _ = _files(self.folder)
         want_size = "payload_bytes" in self.columns
