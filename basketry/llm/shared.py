@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import uuid
 
 import numpy as np
@@ -38,6 +40,7 @@ def scratch(spark: SparkSession, name: str) -> str:
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a path made by ``scratch`` once nothing reads it any more."""
     jvm = spark.sparkContext._jvm
+    _PINNED.discard(path)
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
@@ -47,9 +50,21 @@ def pinned(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
+    _PINNED.add(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+_PINNED: set[str] = set()
+
+
+@atexit.register
+def _remove_at_exit() -> None:
+    spark = SparkSession.getActiveSession()
+    with contextlib.suppress(Exception):  # the context may be gone already
+        for path in sorted(_PINNED) if spark else ():
+            remove(spark, path)
+
+
 def words(text: Column) -> Column:
     """Words of a text as an array; null: none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), BLANKS), lambda w: w != F.lit(""))
