@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,7 +43,10 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Delete everything this application has pinned or staged; call it once nothing reads it any more."""
+    """Delete everything this application has pinned or staged; call it once nothing reads it any more.
+
+    What is left when the process ends is deleted then.
+    """
     app = spark.sparkContext.applicationId
     for path in (*_PINS.pop(app, []), *([_STAGES.pop(app).root] if app in _STAGES else [])):
         remove(spark, path)
@@ -50,6 +55,14 @@ def release(spark: SparkSession) -> None:
 _PINS: dict[str, list[str]] = {}
 
 
+@atexit.register
+def _release_at_exit() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        with contextlib.suppress(Exception):  # the context may be gone already
+            release(spark)
+
+
 def pin(df: DataFrame, wide: bool = False) -> DataFrame:
     """Compute ``df`` once into reliable storage and read it from there on.
 

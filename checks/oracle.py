@@ -714,12 +714,12 @@ def erfc(x: str) -> str:
 def mann_whitney_p(name: str, source: str) -> str:
     """CTE ``name`` with u, sizes, effect and p of the one-row CTE ``source``."""
     return f"""{name}x AS (SELECT *, LEAST(n1, n2) AS small, GREATEST(n1, n2) AS large, CAST(LEAST(u, n1 * n2 - u) AS BIGINT) AS last,
-    LEAST(n1, n2) <= 8 AND ties = 0 AS exact FROM {source}),
+    LEAST(n1, n2) BETWEEN 1 AND 8 AND ties = 0 AS exact FROM {source}),
 {name}r(i, c) AS (SELECT 0, CASE WHEN exact THEN list_transform(range(0, last + 1), lambda k: CASE WHEN k = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) END FROM {name}x
   UNION ALL SELECT i + 1, list_transform(range(0, last + 1), lambda k: list_sum(list_transform(range(0, k // (i + 1) + 1),
     lambda j: c[CAST(k - j * (i + 1) + 1 AS BIGINT)] - CASE WHEN k - j * (i + 1) - large - i - 1 >= 0 THEN c[CAST(k - j * (i + 1) - large - i AS BIGINT)] ELSE 0 END)))
   FROM {name}r, {name}x WHERE exact AND i < small),
-{name} AS (SELECT *, CASE WHEN exact THEN LEAST(1, 2 * (SELECT list_sum(c) FROM {name}r WHERE i = small) / exp(lgamma(n1 + n2 + 1) - lgamma(small + 1) - lgamma(large + 1)))
+{name} AS (SELECT *, CASE WHEN n1 = 0 OR n2 = 0 THEN NULL WHEN exact THEN LEAST(1, 2 * (SELECT list_sum(c) FROM {name}r WHERE i = small) / exp(lgamma(n1 + n2 + 1) - lgamma(small + 1) - lgamma(large + 1)))
   ELSE LEAST(1, {erfc(f"((GREATEST(u, n1 * n2 - u) - n1 * n2 / 2 - 0.5) / sqrt(n1 * n2 / 12 * ((n1 + n2 + 1) - ties / ((n1 + n2) * (n1 + n2 - 1.0)))) / sqrt(2.0))")}) END AS p FROM {name}x)"""
 
 
@@ -732,16 +732,16 @@ TESTS = [LINES, RFM, ORDER_SUMMARY, PEOPLE, CONT, ranks("cr", "rfm", MEASURES),
     mann_whitney_p("va", "ua"), mann_whitney_p("vb", "ub"),
     f"chc AS (SELECT geography, 0 AS c, {dbl('one_time_customers')} AS o FROM ct UNION ALL SELECT geography, 1, {dbl('repeat_customers')} FROM ct)",
     "che AS (SELECT o, SUM(o) OVER (PARTITION BY geography) * SUM(o) OVER (PARTITION BY c) / SUM(o) OVER () AS x FROM chc)",
-    "chs AS (SELECT SUM((o - x) * (o - x) / x) AS x2, SUM(o) AS n FROM che)",
-    f"chp AS (SELECT *, {erfc('sqrt(x2 / 2)')} AS p FROM chs)",
+    "chs AS (SELECT CASE WHEN MIN(x) > 0 THEN SUM((o - x) * (o - x) / x) END AS x2, SUM(o) AS n FROM che)",
+    f"chp AS (SELECT *, CASE WHEN x2 IS NOT NULL THEN {erfc('sqrt(x2 / 2)')} END AS p FROM chs)",
     f"""raw AS MATERIALIZED (SELECT * FROM sq
-      UNION ALL SELECT 'mann_whitney__repeat_vs_one_time_customer_value', 'confirmatory_group_tests', CAST(n1 + n2 AS BIGINT), CAST(n1 AS BIGINT), CAST(n2 AS BIGINT), u, 2 * u / (n1 * n2) - 1, p FROM va
-      UNION ALL SELECT 'mann_whitney__home_vs_international_order_value', 'confirmatory_group_tests', CAST(n1 + n2 AS BIGINT), CAST(n1 AS BIGINT), CAST(n2 AS BIGINT), u, 2 * u / (n1 * n2) - 1, p FROM vb
+      UNION ALL SELECT 'mann_whitney__repeat_vs_one_time_customer_value', 'confirmatory_group_tests', CAST(n1 + n2 AS BIGINT), CAST(n1 AS BIGINT), CAST(n2 AS BIGINT), CASE WHEN n1 > 0 AND n2 > 0 THEN u END, CASE WHEN n1 > 0 AND n2 > 0 THEN 2 * u / (n1 * n2) - 1 END, p FROM va
+      UNION ALL SELECT 'mann_whitney__home_vs_international_order_value', 'confirmatory_group_tests', CAST(n1 + n2 AS BIGINT), CAST(n1 AS BIGINT), CAST(n2 AS BIGINT), CASE WHEN n1 > 0 AND n2 > 0 THEN u END, CASE WHEN n1 > 0 AND n2 > 0 THEN 2 * u / (n1 * n2) - 1 END, p FROM vb
       UNION ALL SELECT 'chi_square__geography_vs_repeat_status', 'confirmatory_group_tests', CAST(n AS BIGINT),
         (SELECT one_time_customers + repeat_customers FROM ct WHERE geography = '{HOME}'), (SELECT one_time_customers + repeat_customers FROM ct WHERE geography = 'International'),
         x2, sqrt(x2 / n), p FROM chp)""",
-    """stp AS (SELECT *, LEAST(1, p * (COUNT(*) OVER (PARTITION BY family) - ROW_NUMBER() OVER (PARTITION BY family ORDER BY p, test_id) + 1)) AS st FROM raw)""",
-    """adj AS (SELECT *, MAX(st) OVER (PARTITION BY family ORDER BY p, test_id ROWS UNBOUNDED PRECEDING) AS q FROM stp)"""]
+    """stp AS (SELECT *, CASE WHEN p IS NOT NULL THEN LEAST(1, p * (COUNT(p) OVER (PARTITION BY family) - ROW_NUMBER() OVER (PARTITION BY family ORDER BY p NULLS LAST, test_id) + 1)) END AS st FROM raw)""",
+    """adj AS (SELECT *, CASE WHEN p IS NOT NULL THEN MAX(st) OVER (PARTITION BY family ORDER BY p NULLS LAST, test_id ROWS UNBOUNDED PRECEDING) END AS q FROM stp)"""]
 
 
 def tested(where: str = "TRUE") -> str:

@@ -121,3 +121,17 @@ def test_latest_text_and_most_common(spark):
     common = spark.createDataFrame([("a", "X"), ("a", "W"), ("b", None), ("c", None), ("c", "Z")], "k string, v string")
     got = {r["k"]: r["m"] for r in dedup.most_common(common, "k", "v", "m", "Unknown").collect()}
     assert got == {"a": "W", "b": "Unknown", "c": "Z"}
+
+
+def test_holm_leaves_undefined_tests_out(spark):
+    rows = [("f", "a", 0.01), ("f", "b", 0.02), ("f", "c", float("nan")), ("f", "d", None)]
+    got = {r["t"]: r["adjusted_p_value"] for r in ranking.holm(spark.createDataFrame(rows, "f string, t string, p double"), "f", "p", "t").collect()}
+    assert (got["a"], got["b"], got["c"], got["d"]) == (0.02, 0.02, None, None)
+
+
+def test_ranks_of_a_value_that_most_rows_hold(spark):
+    values = [1.0] * 5000 + [float(i) for i in range(2, 40)]
+    df = pd.DataFrame({"id": [f"r{i}" for i in range(len(values))], "v": values})
+    got = ranking.average_ranks(spark.createDataFrame(df), "id", ["v"]).toPandas().set_index("id")["rank_v"]
+    want = df.set_index("id")["v"].rank()
+    pd.testing.assert_series_equal(got.sort_index(), want.sort_index(), check_names=False)
