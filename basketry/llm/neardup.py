@@ -5,11 +5,12 @@ minimum and its maximum, so 120 values cost 60 hash evaluations. Bands of four
 values make 30 buckets per set; two sets of similarity 0.8 share none of them
 with probability 1.4e-7. Equal sets meet once, through their set hash.
 
-Pairs of a bucket are never all emitted. Every bucket with several components
-tests its members against one pivot; each round takes another pivot, until few
-pairs of different components are left or a round no longer makes them much
-fewer. What is left is tested outright. Links are confirmed on whole shingle
-sets, so only the buckets are a matter of chance.
+Pairs of a bucket are never all emitted. Every bucket tests its members against
+two pivots, those of least and of greatest set hash. What is then still apart is
+searched in blocks: open buckets of one least component make a family, and the
+stragglers outside a family's largest component are run against all its members,
+some hundreds of either in a task. Links are confirmed on whole shingle sets, so
+only the buckets are a matter of chance.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,8 +28,8 @@ from .minmax import band_hashes, min_max, overlap, set_hashes, shingle_sets
 from .shared import pinned, remove, utf8_chunks
 
 PERMUTATIONS, BAND_ROWS, SEED = 60, 4, 20011
-#: Pairs per bucket row up to which all pairs left are tested at once.
-PAIRS_PER_ROW = 4
+#: Stragglers and members of a family that meet in one task.
+STRAGGLERS, MEMBERS = 256, 512
 
 
 @dataclass(frozen=True)
@@ -153,32 +155,15 @@ def near_duplicates(df: DataFrame, spec: NearDuplicates = NearDuplicates()) -> D
     shared_keys = worded.groupBy("key").agg(F.min("sid").alias("u"), F.max("sid").alias("most")).filter("u <> most")
     edges, _ = pinned(worded.join(shared_keys, "key").select("u", F.col("sid").alias("v")).distinct(), "links")
 
-    tested = spark.createDataFrame([], "u long, v long")
-    rng = np.random.default_rng(SEED)
-    labels, labels_path, last, before = None, None, False, float("inf")
-    while True:
-        if labels is None:
-            marked = live.withColumn("component", F.col("sid"))
-        else:
-            found = labels.withColumnRenamed("node", "sid")
-            marked = live.join(found, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-        marked, marked_path = pinned(marked, "marked")
-        if last:
-            pairs = _all_pairs(marked)
-        else:
-            pairs = _pivot_pairs(marked, int(rng.integers(-(2**63), 2**63)))
-        pairs, _ = pinned(pairs.join(tested, ["u", "v"], "left_anti"), "pairs")
-        tested = tested.unionByName(pairs)
-        new, _ = pinned(_linked(pairs, sets, spec.percent), "links")
-        edges = edges.unionByName(new)
-        remove(spark, marked_path)
-        if labels_path:
-            remove(spark, labels_path)
-        labels, labels_path = components(edges)
-        if last:
-            break
-        left = _pairs_left(live, labels)
-        last, before = left <= PAIRS_PER_ROW or left > 0.8 * before, left
+    new, _ = pinned(_linked(_pivot_pairs(live), sets, spec.percent), "links")
+    edges = edges.unionByName(new)
+    labels, labels_path = components(edges)
+    # In buckets of up to three sets every pair has met.
+    marked, marked_path = pinned(_marked(live.filter("size > 3"), labels), "marked")
+    new, _ = pinned(_searched(marked, sets, spec.percent), "links")
+    remove(spark, marked_path)
+    remove(spark, labels_path)
+    labels, _ = components(edges.unionByName(new))
     least = labels.join(reps, labels["node"] == reps["sid"]).groupBy("component").agg(F.min("rep").alias("least"))
     named = labels.join(least, "component").select(F.col("node").alias("sid"), "least")
     every = reps.join(named, "sid", "left").select("sid", F.coalesce("least", "rep").alias("component_id"))
@@ -197,38 +182,66 @@ def near_duplicates(df: DataFrame, spec: NearDuplicates = NearDuplicates()) -> D
     )
 
 
-def _pivot_pairs(marked: DataFrame, mask: int) -> DataFrame:
-    """Members of open buckets with the pivot of their bucket, each pair once, ``u < v``."""
-    turned = F.col("sid").bitwiseXOR(F.lit(mask))
-    pivots = (
-        marked.groupBy("band")
-        .agg(F.min(turned).alias("p"), F.min("component").alias("low"), F.max("component").alias("high"))
-        .filter("low <> high")
-        .select("band", F.col("p").bitwiseXOR(F.lit(mask)).alias("pivot"))
-    )
-    pivots, _ = pinned(pivots, "pivots")
-    own = marked.select(F.col("sid").alias("pivot"), F.col("component").alias("pivot_component")).distinct()
-    pairs = marked.join(pivots, "band").filter("sid <> pivot")
-    pairs = pairs.select(F.col("pivot"), "sid", "component").distinct().join(own, "pivot")
-    pairs = pairs.filter("component <> pivot_component")
-    return pairs.select(F.least("pivot", "sid").alias("u"), F.greatest("pivot", "sid").alias("v")).distinct()
-
-
-def _all_pairs(marked: DataFrame) -> DataFrame:
-    """Pairs of different components in one bucket, each once; called when they are few."""
-    left = marked.select("band", F.col("sid").alias("u"), F.col("component").alias("cu"))
-    right = marked.select("band", F.col("sid").alias("v"), F.col("component").alias("cv"))
-    return left.join(right, "band").filter("u < v and cu <> cv").select("u", "v").distinct()
+def _pivot_pairs(live: DataFrame) -> DataFrame:
+    """Members of buckets with the two pivots of their bucket, each pair once, ``u < v``."""
+    ends = live.groupBy("band").agg(F.min("sid").alias("low"), F.max("sid").alias("high"))
+    ends, _ = pinned(ends, "pivots")
+    met = live.select("band", "sid").join(ends, "band")
+    low = met.filter("sid <> low").select(F.col("low").alias("u"), F.col("sid").alias("v"))
+    high = met.filter("sid <> high").select(F.col("sid").alias("u"), F.col("high").alias("v"))
+    return low.unionByName(high).distinct()
 
 
-def _pairs_left(live: DataFrame, labels: DataFrame) -> float:
-    """Pairs of different components in the buckets, over the rows of all buckets."""
+def _marked(live: DataFrame, labels: DataFrame) -> DataFrame:
+    """``band, sid, component`` of the bucket rows; sets without a link are their own component."""
     found = labels.withColumnRenamed("node", "sid")
-    marked = live.join(found, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-    by_part = marked.groupBy("band", "component").agg(F.count("*").cast("double").alias("n"))
-    by_band = by_part.groupBy("band").agg(((F.sum("n") ** 2 - F.sum(F.col("n") ** 2)) / 2).alias("pairs"), F.sum("n").alias("n"))
-    sums = by_band.agg(F.sum("pairs").alias("pairs"), F.sum("n").alias("n")).first()
-    return (sums.pairs or 0.0) / max(1.0, sums.n or 0.0)
+    return live.join(found, "sid", "left").select("band", "sid", F.coalesce("component", "sid").alias("component"))
+
+
+def _searched(marked: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links ``u, v`` between the components of every family, at least one for any two components that have one."""
+    spans = marked.groupBy("band").agg(F.min("component").alias("family"), F.max("component").alias("high"))
+    spans, _ = pinned(spans.filter("family <> high").select("band", "family"), "open")
+    members = marked.join(spans, "band").select("family", "sid", "component").distinct()
+    members, _ = pinned(members, "members")
+    parts = members.groupBy("family", "component").agg(F.count("*").alias("n"))
+    main = parts.groupBy("family").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
+    blocks = main.select(
+        "family", "main",
+        F.ceil((F.col("all") - F.col("most")) / STRAGGLERS).cast("int").alias("outer"),
+        F.ceil(F.col("all") / MEMBERS).cast("int").alias("inner"),
+    )
+    blocks, _ = pinned(blocks, "families")
+    held = members.join(blocks, "family")
+    outer_block = F.pmod(F.xxhash64("sid"), F.col("outer")).cast("int")
+    inner_block = F.pmod(F.xxhash64("sid"), F.col("inner")).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asked = held.filter("component <> main").select("family", "sid", "component", outer_block.alias("i"), every("inner").alias("j"))
+    known = held.select("family", "sid", "component", inner_block.alias("j"), every("outer").alias("i"))
+
+    def run(known: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        links = {}
+        if len(known) and len(asked):
+            lists = [np.frombuffer(x, np.uint64) for x in known["shingles"]]
+            sizes = np.array([len(x) for x in lists])
+            tokens, places = np.unique(np.concatenate(lists), return_inverse=True)
+            first = np.cumsum(sizes) - sizes
+            labels, sids = known["component"].to_numpy(), known["sid"].to_numpy()
+            for sid, label, shingles in zip(asked["a_sid"], asked["a_component"], asked["a_shingles"]):
+                own = np.frombuffer(shingles, np.uint64)
+                at = np.minimum(np.searchsorted(tokens, own), len(tokens) - 1)
+                mark = np.zeros(len(tokens), dtype=np.int64)
+                mark[at[tokens[at] == own]] = 1
+                both = np.add.reduceat(mark[places], first)
+                near = (100 * both >= percent * (sizes + len(own) - both)) & (labels != label)
+                for i in np.flatnonzero(near).tolist():
+                    links.setdefault((label, labels[i]), (sid, sids[i]))
+        return pd.DataFrame(list(links.values()), columns=["u", "v"], dtype="int64")
+
+    keys = ("family", "i", "j")
+    asked = asked.join(sets, "sid").select(*[F.col(c).alias(f"a_{c}") for c in (*keys, "sid", "component", "shingles")])
+    known = known.join(sets, "sid").groupBy(*keys)
+    return known.cogroup(asked.groupBy(*[f"a_{c}" for c in keys])).applyInPandas(run, "u long, v long")
 
 
 def without_near_duplicates(docs: DataFrame, spec: NearDuplicates = NearDuplicates()) -> DataFrame:

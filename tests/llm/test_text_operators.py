@@ -8,7 +8,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from basketry.llm import fmindex, mixing, neardup, packing, rules, substrings
+from basketry.llm import fmindex, graph, mixing, neardup, packing, rules, substrings
 from basketry.llm.minmax import band_hashes, min_max
 from tests.llm import brute
 from tests.llm.conftest import rows_of
@@ -116,18 +116,23 @@ def test_components_against_brute_force(docs, clashing, cases, k):
             assert r.repeats == sum(c[0] == r.doc_id for c in cases)
 
 
-def test_chains_of_near_copies(spark, monkeypatch):
-    """A family whose members are mostly linked through others, with several pivot rounds."""
-    monkeypatch.setattr(neardup, "PAIRS_PER_ROW", 0.01)
+@pytest.mark.parametrize("pivots", [True, False])
+def test_chains_of_near_copies(spark, monkeypatch, pivots):
+    """A family whose members are mostly linked through others; after the pivots, and by blocks alone."""
+    if not pivots:
+        found = neardup._pivot_pairs
+        monkeypatch.setattr(neardup, "_pivot_pairs", lambda live: found(live).limit(0))
+    monkeypatch.setattr(neardup, "STRAGGLERS", 7)
+    monkeypatch.setattr(neardup, "MEMBERS", 11)
     rng, rows = random.Random(8), []
     text = [f"w{rng.randrange(10**6)}" for _ in range(60)]
     for i in range(40):
         rows.append((i, " ".join(text)))
-        for _ in range(2):
+        for _ in range(rng.choice([1, 2, 2, 6])):
             text[rng.randrange(60)] = f"w{rng.randrange(10**6)}"
     df = spark.createDataFrame(rows, "doc_id long, text string")
     want = brute.components(rows, 2)
-    assert len(set(want.values())) < 20
+    assert 3 < len(set(want.values())) < 20
     got = neardup.near_duplicates(df, neardup.NearDuplicates(shingle=2)).collect()
     assert {r.doc_id: r.component_id for r in got} == want
 
@@ -261,3 +266,23 @@ def test_mixed_documents_repeat_rows(clashing, none):
     words = sum(len(brute.words(r.text)) for r in out.collect())
     assert abs(words - sum(r.taken for r in plan.collect())) <= 6000 and abs(out.count() - want) <= 12
     assert mixing.mixed_documents(none).count() == 0
+
+
+def test_components_of_random_graphs(spark):
+    rng = random.Random(12)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(230)] + [(500 + i, 501 + i) for i in range(60)] + [(7, 7)]
+    parent: dict = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        x, y = sorted((root(a), root(b)))
+        parent[y] = x
+    got, _ = graph.components(spark.createDataFrame(edges, "u long, v long"))
+    want = {x: root(x) for x in {n for e in edges if e[0] != e[1] for n in e}}
+    assert {r.node: r.component for r in got.collect()} == want
+    empty, _ = graph.components(spark.createDataFrame([], "u long, v long"))
+    assert empty.count() == 0
