@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .graph import components
 from .minmax import band_hashes, min_max, overlap, set_hashes, shingle_sets
-from .shared import pinned, remove, utf8_chunks
+from .shared import pinned, remove, text_batches, utf8_chunks
 
 PERMUTATIONS, BAND_ROWS, SEED = 60, 4, 20011
 #: Stragglers and members of a family that meet in one task.
@@ -130,6 +130,7 @@ def near_duplicates(df: DataFrame, spec: NearDuplicates = NearDuplicates()) -> D
     empty result; other columns don't matter.
     """
     spark = df.sparkSession
+    text_batches(spark)
     rows = df.select(F.col(spec.key).alias("key"), F.col(spec.text).alias("text"))
     signed, _ = pinned(_signed(rows, spec.shingle), "signed")
     worded = signed.filter("n > 0 and key is not null")

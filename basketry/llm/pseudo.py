@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import pinned, remove, span_hashes, utf8_chunks, word_spans
+from .shared import pinned, remove, span_hashes, text_batches, utf8_chunks, word_spans
 
 FREQUENT, ENDINGS = 95, 32
 #: Symbol 0 stands outside the document; then the frequent words; then the endings.
@@ -224,6 +224,7 @@ def pseudo_likelihood(df: DataFrame, key: str = "doc_id", text: str = "text") ->
     probabilities. Repeated rows get equal scores; other columns don't matter.
     """
     spark = df.sparkSession
+    text_batches(spark)
     rows = df.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("text"))
     words = vocabulary(rows)
     network = train(rows.filter(F.pmod(F.xxhash64(key, "text"), F.lit(SHARE)) == 0), words)

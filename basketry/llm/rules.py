@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import mix64, rolled, span_hashes, utf8_chunks, word_spans
+from .shared import mix64, rolled, span_hashes, text_batches, utf8_chunks, word_spans
 
 MEASURES = (
     "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -137,6 +137,7 @@ def ledger(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -
     """
     if len(rules) > 63:
         raise ValueError("a ledger has 63 bits")
+    text_batches(df.sparkSession)
     names = {text, "failures", *MEASURES}
     kept = df.select(*[c for c in df.columns if c not in names], text)
     schema = T.StructType([f for f in kept.schema.fields if f.name != text])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import uuid
 
 import numpy as np
@@ -65,6 +66,19 @@ def _remove_at_exit() -> None:
             remove(spark, path)
 
 
+def text_batches(spark: SparkSession, rows: int = 1024, size: int = 8 << 20) -> None:
+    """Batches to Python of at most ``rows`` rows and ``size`` bytes from now on, unless they are smaller already.
+
+    A batch is held several times over (by the JVM, on its way, and as arrays), so
+    texts call for smaller ones than the default of 10 000 rows and 64 MB.
+    """
+    for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = int(re.match(r"-?\d+", spark.conf.get(key))[0])
+        if not 0 < now <= most:
+            spark.conf.set(key, str(most))
+
+
 def words(text: Column) -> Column:
     """Words of a text as an array; null: none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), BLANKS), lambda w: w != F.lit(""))

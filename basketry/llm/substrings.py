@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .fmindex import FMIndex, range_minima
-from .shared import fresh, mix64, pinned, remove, rolled, span_hashes, utf8_chunks, word_spans
+from .shared import fresh, mix64, pinned, remove, rolled, span_hashes, text_batches, utf8_chunks, word_spans
 
 WINDOW, SEED = 20, 8
 #: Stretches of one anchor beyond which its windows are dealt one by one.
@@ -218,6 +218,7 @@ def _cut(stretch: DataFrame, window: int) -> DataFrame:
 
 def _split(df: DataFrame, key: str, text: str, window: int, seed: int, keep_text: bool) -> tuple[DataFrame, DataFrame]:
     """Rows of documents without repeated anchors, and of those with; the latter with ``rid`` and their kept text if asked."""
+    text_batches(df.sparkSession)
     rows = df.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.withColumn("rid", F.xxhash64("key", "text"))
     seeds, seeds_path = pinned(_seeds(rows, window, seed), "seeds")
