@@ -2,22 +2,28 @@
 
 A small network sees ``SIDE`` words on either side of a word and predicts it;
 a document's score is the sum of the conditional log-probabilities of all its
-words, each predicted from both sides. Words are symbols: the most frequent have
-one of their own, the others share one by their last letters, and inside such a
-symbol all distinct words of the corpus are equally likely. Word counts come from
-all documents. The network is trained in numpy, in every task on its own part of
-a fixed share of the documents, and the tasks' weights are averaged after each
-round, by a tree of sums.
+words, each predicted from both sides. The vocabulary grows with the corpus, as
+the root of its number of words. The most frequent words are symbols of the
+network's first softmax; the others are filed by their last letters, and a second
+softmax inside each ending, from the same hidden layer, tells the words of the
+vocabulary apart. A word below the vocabulary is its ending's rest times its own
+share in the rest's corpus count, which is joined by hash; words of fewer than
+``RARE`` uses share theirs equally. So the probabilities over all words of the
+corpus sum to one. Word counts come from all documents. The network is trained in
+numpy, in every task on its own part of a fixed share of the documents, and the
+tasks' weights are averaged after each round, by a tree of averages.
 """
 
 from __future__ import annotations
 
+import math
 import pickle
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import pinned, remove, span_hashes, text_batches, utf8_chunks, word_spans
@@ -25,6 +31,8 @@ from .shared import pinned, remove, span_hashes, text_batches, utf8_chunks, word
 FREQUENT, ENDINGS = 95, 32
 #: Symbol 0 stands outside the document; then the frequent words; then the endings.
 SYMBOLS = 1 + FREQUENT + ENDINGS
+#: Uses from which a word's count is its own, and words of text per vector of a task, so that the weights sent follow the text.
+RARE, TEXT = 5, 512
 SIDE, HIDDEN, SEED = 2, 32, 5
 #: One document in ``SHARE`` trains the network, so its training text grows with the corpus.
 SHARE, ROUNDS, BATCH, RATE = 16, 2, 2048, 0.08
@@ -41,25 +49,58 @@ def word_codes(data: np.ndarray, offsets: np.ndarray):
     return span_hashes(data, starts, ends).view(np.int64), (mark * 2654435761 >> 7) % ENDINGS, counts
 
 
+def without_vector(frequent: list[int], least: int) -> Column:
+    return (F.col("n") < least) & ~F.col("hash").isin(frequent)
+
+
 class Vocabulary:
-    """Frequent words by hash, and the log-probability of a word within its symbol."""
+    """Numbers of the words by hash: symbols first, then the words of each ending in turn.
+
+    ``known`` holds ``hash, ending, n`` of the words beyond the frequent that have
+    a vector; ``rest`` the ``ending: (uses, uses of rare words, rare words)`` of
+    all others. ``within`` is the log-probability of a rare word in its ending's
+    rest, ``least`` the count from which words have a vector.
+    """
 
-    def __init__(self, frequent: list[int], distinct: dict[int, int]):
-        order = np.argsort(np.array(frequent, dtype=np.int64), kind="stable")
-        self.hashes = np.array(frequent, dtype=np.int64)[order]
-        self.symbols = 1 + order
+    def __init__(self, frequent: list[int], known: list[tuple[int, int, int]], rest: dict[int, tuple[int, int, int]], least: int, total: int):
+        known = sorted(known, key=lambda w: (w[1], w[0]))
+        endings = np.array([w[1] for w in known], dtype=np.int64)
+        hashes = np.array([*frequent, *[w[0] for w in known]], dtype=np.int64)
+        numbers = np.r_[1 + np.arange(len(frequent)), SYMBOLS + np.arange(len(known))]
+        order = np.argsort(hashes, kind="stable")
+        self.hashes, self.numbers = hashes[order], numbers[order]
+        self.frequent, self.least, self.total, self.size = frequent, least, total, SYMBOLS + len(known)
+        self.symbol = np.r_[np.arange(SYMBOLS), 1 + FREQUENT + endings]
+        # An ending's outputs are its rest, then its words.
+        self.cuts = np.searchsorted(endings, np.arange(ENDINGS + 1)) + np.arange(ENDINGS + 1)
+        self.output = np.r_[np.zeros(1 + FREQUENT, dtype=np.int64), self.cuts[:-1], np.arange(len(known)) + endings + 1]
+        self.middle = np.zeros(ENDINGS)
         self.within = np.zeros(SYMBOLS)
-        for ending, n in distinct.items():
-            self.within[1 + FREQUENT + ending] = -np.log(max(1, n))
+        counts = np.full(len(known) + ENDINGS, 0.5)
+        counts[self.output[SYMBOLS:]] = [w[2] for w in known]
+        for ending, (uses, rare_uses, rare) in rest.items():
+            counts[self.cuts[ending]] = uses
+            self.middle[ending] = -np.log(uses)
+            if rare:
+                self.within[1 + FREQUENT + ending] = np.log(rare_uses / uses / rare)
+        #: The second softmax starts at the shares of the counts.
+        self.start = np.concatenate([np.log(c / c.sum()) for c in np.split(counts, self.cuts[1:-1])])
 
     def encode(self, hashes: np.ndarray, endings: np.ndarray) -> np.ndarray:
         out = 1 + FREQUENT + endings
         if len(self.hashes):
             at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
             known = self.hashes[at] == hashes
-            out[known] = self.symbols[at[known]]
+            out[known] = self.numbers[at[known]]
         return out
 
+    def above_rare(self, words: DataFrame) -> DataFrame:
+        """``_hash, _more`` of the words of ``RARE`` uses or more without a vector: what their own share adds to that of a rare word."""
+        base = F.array(*[F.lit(float(v)) for v in self.middle - self.within[1 + FREQUENT :]])
+        more = F.log(F.col("n")) + F.element_at(base, F.col("ending") + 1)
+        held = words.filter((F.col("n") >= RARE) & without_vector(self.frequent, self.least))
+        return held.select(F.col("hash").alias("_hash"), more.cast("decimal(18,9)").alias("_more"))
+
 
 def neighbours(symbols: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Symbols at ``OFFSETS`` from each word, 0 beyond its text."""
@@ -75,14 +116,17 @@ def neighbours(symbols: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 class Network:
-    """Position-wise embeddings summed into one hidden layer, then a softmax over all symbols."""
+    """Position-wise embeddings summed into one hidden layer, then a softmax over all symbols and one inside each ending."""
 
-    def __init__(self):
+    def __init__(self, words: Vocabulary):
         rng = np.random.default_rng(SEED)
-        self.embed = (rng.standard_normal((len(OFFSETS), SYMBOLS, HIDDEN)) * 0.3).astype(np.float32)
+        self.words = words
+        self.embed = (rng.standard_normal((len(OFFSETS), words.size, HIDDEN)) * 0.3).astype(np.float32)
         self.bias = np.zeros(HIDDEN, dtype=np.float32)
         self.out = (rng.standard_normal((HIDDEN, SYMBOLS)) / np.sqrt(HIDDEN)).astype(np.float32)
         self.out_bias = np.zeros(SYMBOLS, dtype=np.float32)
+        self.fine = np.zeros((len(words.start), HIDDEN), dtype=np.float32)
+        self.fine_bias = words.start.astype(np.float32)
 
     def hidden(self, around: np.ndarray) -> np.ndarray:
         h = self.embed[0][around[:, 0]]
@@ -90,40 +134,53 @@ class Network:
             h = h + self.embed[j][around[:, j]]
         return np.tanh(h + self.bias)
 
-    def log_probabilities(self, around: np.ndarray, symbols: np.ndarray) -> np.ndarray:
-        """Of each symbol given its neighbours."""
-        out = np.empty(len(symbols))
-        for at in range(0, len(symbols), 8192):
+    def by_ending(self, numbers: np.ndarray):
+        """Places of the words of each ending that has words of its own, and its outputs."""
+        endings = self.words.symbol[numbers] - 1 - FREQUENT
+        order = np.argsort(endings.astype(np.int16), kind="stable")
+        at = np.searchsorted(endings[order], np.arange(ENDINGS + 1))
+        for e in range(ENDINGS):
+            low, high = self.words.cuts[e : e + 2]
+            if at[e + 1] > at[e] and high - low > 1:
+                yield order[at[e] : at[e + 1]], slice(low, high)
+
+    def log_probabilities(self, around: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+        """Of each word's number given its neighbours."""
+        out = np.empty(len(numbers))
+        for at in range(0, len(numbers), 8192):
             rows = slice(at, at + 8192)
-            z = self.hidden(around[rows]) @ self.out + self.out_bias
-            z -= z.max(axis=1, keepdims=True)
-            own = z[np.arange(len(z)), symbols[rows]].astype(np.float64)
-            out[rows] = own - np.log(np.exp(z).sum(axis=1, dtype=np.float64))
+            own, h = numbers[rows], self.hidden(around[rows])
+            out[rows] = _log_softmax(h @ self.out + self.out_bias, self.words.symbol[own])
+            for some, outputs in self.by_ending(own):
+                z = h[some] @ self.fine[outputs].T + self.fine_bias[outputs]
+                out[at + some] += _log_softmax(z, self.words.output[own[some]] - outputs.start)
         return out
 
-    def step(self, around: np.ndarray, symbols: np.ndarray, rate: float, memory: list[np.ndarray]) -> None:
-        """One step of adaptive gradient descent."""
-        n = len(symbols)
+    def step(self, around: np.ndarray, numbers: np.ndarray, rate: float, memory: list[np.ndarray]) -> None:
+        """One step of adaptive gradient descent; only the vectors met move."""
+        n = len(numbers)
         h = self.hidden(around)
-        z = h @ self.out + self.out_bias
-        z -= z.max(axis=1, keepdims=True)
-        p = np.exp(z)
-        p /= p.sum(axis=1, keepdims=True)
-        p[np.arange(n), symbols] -= 1
-        p /= n
-        dh = p @ self.out.T * (1 - h * h)
-        grads = [np.zeros_like(self.embed), dh.sum(axis=0), h.T @ p, p.sum(axis=0)]
+        p = _slope(h @ self.out + self.out_bias, self.words.symbol[numbers], n)
+        dh = p @ self.out.T
+        embed, bias, out, out_bias, fine, fine_bias = memory
+        for some, outputs in self.by_ending(numbers):
+            near = h[some]
+            q = _slope(near @ self.fine[outputs].T + self.fine_bias[outputs], self.words.output[numbers[some]] - outputs.start, n)
+            dh[some] += q @ self.fine[outputs]
+            _move(self.fine, outputs, q.T @ near, rate, fine)
+            _move(self.fine_bias, outputs, q.sum(axis=0), rate, fine_bias)
+        dh *= 1 - h * h
+        _move(self.out, ..., h.T @ p, rate, out)
+        _move(self.out_bias, ..., p.sum(axis=0), rate, out_bias)
+        _move(self.bias, ..., dh.sum(axis=0), rate, bias)
         for j in range(around.shape[1]):
             order = np.argsort(around[:, j], kind="stable")
             keys = around[order, j]
             first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-            grads[0][j][keys[first]] = np.add.reduceat(dh[order], first, axis=0)
-        for value, grad, held in zip(self.parts(), grads, memory):
-            held += grad * grad
-            value -= (rate * grad / (np.sqrt(held) + 1e-6)).astype(np.float32)
+            _move(self.embed[j], keys[first], np.add.reduceat(dh[order], first, axis=0), rate, embed[j])
 
     def parts(self) -> list[np.ndarray]:
-        return [self.embed, self.bias, self.out, self.out_bias]
+        return [self.embed, self.bias, self.out, self.out_bias, self.fine, self.fine_bias]
 
     def flat(self) -> np.ndarray:
         return np.concatenate([p.ravel() for p in self.parts()])
@@ -136,6 +193,27 @@ class Network:
         return self
 
 
+def _log_softmax(z: np.ndarray, own: np.ndarray) -> np.ndarray:
+    z -= z.max(axis=1, keepdims=True)
+    return z[np.arange(len(z)), own].astype(np.float64) - np.log(np.exp(z).sum(axis=1, dtype=np.float64))
+
+
+def _slope(z: np.ndarray, own: np.ndarray, n: int) -> np.ndarray:
+    """Gradient of the mean loss over ``n`` words by ``z``, in its place."""
+    z -= z.max(axis=1, keepdims=True)
+    np.exp(z, out=z)
+    z /= z.sum(axis=1, keepdims=True)
+    z[np.arange(len(z)), own] -= 1
+    z /= n
+    return z
+
+
+def _move(value: np.ndarray, at, grad: np.ndarray, rate: float, held: np.ndarray) -> None:
+    own = held[at] + grad * grad
+    held[at] = own
+    value[at] -= rate * grad / (np.sqrt(own) + np.float32(1e-6))
+
+
 def _counted(texts: DataFrame) -> DataFrame:
     """``hash, ending, n`` of every word of all texts."""
 
@@ -153,35 +231,47 @@ def _counted(texts: DataFrame) -> DataFrame:
     return each.groupBy("hash", "ending").agg(F.sum("n").alias("n"))
 
 
-def vocabulary(texts: DataFrame) -> Vocabulary:
-    """Frequent words, and distinct others per ending, over all texts; at most ``FREQUENT + ENDINGS`` rows come back."""
-    words, path = pinned(_counted(texts), "words")
+def vocabulary(words: DataFrame) -> Vocabulary:
+    """From ``hash, ending, n`` of all words: the frequent, and those of at least the count that the root of the corpus size reaches."""
+    sizes = sorted(((r.n, r.m) for r in words.groupBy("n").agg(F.count("*").alias("m")).collect()), reverse=True)
+    total = sum(n * m for n, m in sizes)
+    room = max(FREQUENT, math.isqrt(total))
+    least = sizes[0][0] + 1 if sizes else 1
+    for n, m in sizes:
+        room -= m
+        if room < 0 or n < RARE:
+            break
+        least = n
     top = [r.hash for r in words.orderBy(F.desc("n"), "hash").limit(FREQUENT).collect()]
-    rest = words.filter(~F.col("hash").isin(top)) if top else words
-    distinct = {r.ending: r.m for r in rest.groupBy("ending").agg(F.count("*").alias("m")).collect()}
-    remove(texts.sparkSession, path)
-    return Vocabulary(top, distinct)
+    held = words.filter(F.col("n") >= least).toArrow()
+    frequent = set(top)
+    known = [w for w in zip(*[held[c].to_pylist() for c in ("hash", "ending", "n")]) if w[0] not in frequent]
+    rare = F.col("n") < RARE
+    others = words.filter(without_vector(top, least)).groupBy("ending")
+    rest = others.agg(F.sum("n").alias("uses"), F.sum(F.when(rare, F.col("n"))).alias("rare_uses"), F.count_if(rare).alias("rare"))
+    return Vocabulary(top, known, {r.ending: (r.uses, r.rare_uses, r.rare) for r in rest.collect()}, least, total)
 
 
-def _summed(rows: DataFrame) -> DataFrame:
-    """One row of weighted sums per partition."""
+def _averaged(rows: DataFrame) -> DataFrame:
+    """One row of weighted means per partition."""
 
     def run(frames):
         total, n = None, 0
         for pdf in frames:
             for weights, words in zip(pdf["weights"], pdf["n"]):
-                part = np.frombuffer(weights, np.float64)
-                total = part.copy() if total is None else total + part
+                part = np.frombuffer(weights, np.float32) * np.float64(words)
+                total = part if total is None else total + part
                 n += words
         if total is not None:
-            yield pd.DataFrame({"weights": [total.tobytes()], "n": [n]})
+            yield pd.DataFrame({"weights": [(total / n).astype(np.float32).tobytes()], "n": [n]})
 
     return rows.mapInPandas(run, "weights binary, n long")
 
 
 def train(texts: DataFrame, words: Vocabulary) -> Network:
     """Network averaged over the tasks' own, weighted by the words they have seen; ``texts`` are the training share."""
-    spark, network = texts.sparkSession, Network()
+    spark, network = texts.sparkSession, Network(words)
+    texts = texts.coalesce(max(1, words.total // (TEXT * words.size)))
     codes = pickle.dumps(words)
     for turn in range(ROUNDS):
         sent = spark.sparkContext.broadcast((codes, network.flat()))
@@ -189,7 +279,8 @@ def train(texts: DataFrame, words: Vocabulary) -> Network:
 
         def learn(batches):
             held, flat = sent.value
-            held, own, seen = pickle.loads(held), Network().load(flat), 0
+            held, seen = pickle.loads(held), 0
+            own = Network(held).load(flat)
             memory = [np.zeros_like(p) + 1e-6 for p in own.parts()]
             for batch in batches:
                 for _, data, offsets in utf8_chunks(batch.column("text")):
@@ -202,16 +293,15 @@ def train(texts: DataFrame, words: Vocabulary) -> Network:
                         own.step(around[rows], symbols[rows], rate, memory)
                     seen += len(symbols)
             if seen:
-                weights = own.flat().astype(np.float64) * seen
-                yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary()), pa.array([seen])], names=["weights", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([own.flat().tobytes()], pa.binary()), pa.array([seen])], names=["weights", "n"])
 
         each, path = pinned(texts.select("text").mapInArrow(learn, "weights binary, n long"), "weights")
         tasks = max(1, each.count())
-        both = _summed(_summed(each.repartition(max(1, int(tasks**0.5)))).coalesce(1)).collect()
+        both = _averaged(_averaged(each.repartition(max(1, int(tasks**0.5)))).coalesce(1)).collect()
         remove(spark, path)
         if not both:
             break
-        network.load(np.frombuffer(both[0].weights, np.float64) / both[0].n)
+        network.load(np.frombuffer(both[0].weights, np.float32))
     return network
 
 
@@ -226,29 +316,44 @@ def pseudo_likelihood(df: DataFrame, key: str = "doc_id", text: str = "text") ->
     spark = df.sparkSession
     text_batches(spark)
     rows = df.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    words = vocabulary(rows)
+    counted, _ = pinned(_counted(rows), "words")
+    words = vocabulary(counted)
     network = train(rows.filter(F.pmod(F.xxhash64(key, "text"), F.lit(SHARE)) == 0), words)
     sent = spark.sparkContext.broadcast((pickle.dumps(words), network.flat()))
     kind = rows.schema[key].dataType.simpleString()
 
     def run(batches):
         held, flat = sent.value
-        held, own = pickle.loads(held), Network().load(flat)
+        held, row = pickle.loads(held), TaskContext.get().partitionId() << 40
+        own = Network(held).load(flat)
         for batch in batches:
-            sums, sizes = [], []
+            sums, sizes, rest, ends = [], [], [], [np.zeros(1, np.int64)]
             for _, data, offsets in utf8_chunks(batch.column("text")):
                 hashes, endings, counts = word_codes(data, offsets)
-                symbols = held.encode(hashes, endings)
-                value = own.log_probabilities(neighbours(symbols, counts), symbols) + held.within[symbols]
-                total = np.concatenate([[0.0], np.cumsum(value)])
+                numbers = held.encode(hashes, endings)
+                value = own.log_probabilities(neighbours(numbers, counts), numbers)
+                bare = (numbers > FREQUENT) & (numbers < SYMBOLS)
+                value[bare] += held.within[numbers[bare]]
                 at = np.concatenate([[0], np.cumsum(counts)])
+                total = np.concatenate([[0.0], np.cumsum(value)])
                 sums.append(total[at[1:]] - total[at[:-1]])
                 sizes.append(counts)
+                rest.append(hashes[bare])
+                ends.append(ends[-1][-1] + np.concatenate([[0], np.cumsum(bare)])[at[1:]])
             if sums:
+                rows = pa.array(row + np.arange(len(batch)))
+                row += len(batch)
+                rest = pa.ListArray.from_arrays(pa.array(np.concatenate(ends).astype(np.int32)), pa.array(np.concatenate(rest)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(key), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(sums))],
-                    names=[key, "n_words", "log_likelihood"],
+                    [batch.column(key), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(sums)), rows, rest],
+                    names=[key, "n_words", "log_likelihood", "_row", "_rest"],
                 )
 
-    scored = rows.mapInArrow(run, f"`{key}` {kind}, n_words long, log_likelihood double")
-    return scored.withColumn("per_word", F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words")))
+    schema = f"`{key}` {kind}, n_words long, log_likelihood double, _row long, _rest array<long>"
+    scored, _ = pinned(rows.mapInArrow(run, schema), "scored")
+    # Own shares are added as decimals, so that repeated rows get equal sums.
+    shares = scored.select("_row", F.explode("_rest").alias("_hash")).join(words.above_rare(counted), "_hash")
+    shares = shares.groupBy("_row").agg(F.sum("_more").cast("double").alias("_more"))
+    both = scored.join(shares, "_row", "left").withColumn("log_likelihood", F.col("log_likelihood") + F.coalesce("_more", F.lit(0.0)))
+    per_word = F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words"))
+    return both.select(key, "n_words", "log_likelihood", per_word.alias("per_word"))

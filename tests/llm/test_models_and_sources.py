@@ -327,3 +327,48 @@ def test_word_order_counts(spark):
     df = spark.createDataFrame([*rows, *shuffled], "doc_id long, text string")
     got = {r.doc_id: r.per_word for r in pseudo.pseudo_likelihood(df).collect()}
     assert sum(got[i] > got[1000 + i] + 0.3 for i in range(50)) >= 48
+
+
+def test_every_word_is_predicted_by_its_own_count(spark):
+    """Words beyond the frequent: those of the vocabulary have outputs, the others their own count, and all sum to one."""
+    rng, names = random.Random(4), [f"{a}{b}ix" for a in "bcdfghjklm" for b in range(40)]
+    rows = [(i, " ".join(rng.choices(names, [1 / (r + 1) for r in range(400)], k=80))) for i in range(300)]
+    table = spark.createDataFrame([*rows, (1000, "oncewix")], "doc_id long, text string")
+    counted = pseudo._counted(table).cache()
+    words = pseudo.vocabulary(counted)
+    n = {r.hash: r.n for r in counted.collect()}
+    assert pseudo.FREQUENT < len(words.hashes) <= math.isqrt(words.total) and words.total == sum(n.values()) == 24001
+    assert {int(h) for h in words.hashes} >= {h for h, k in n.items() if k >= words.least}
+
+    def code(word):
+        data = np.frombuffer(word.encode(), np.uint8)
+        return pseudo.word_codes(data, np.array([0, len(data)]))[:2]
+
+    codes = {w: code(w) for w in [*names, "oncewix"]}
+    codes = {w: c for w, c in codes.items() if int(c[0][0]) in n}
+    more = {r._hash: float(r._more) for r in words.above_rare(counted).collect()}
+    assert more
+    network = pseudo.Network(words)
+    around, total, got = np.array([[1, 2, 130, 0]]), 0.0, {}
+    for w, (h, e) in codes.items():
+        number = words.encode(h, e)
+        value = network.log_probabilities(around, number)[0] + more.get(int(h[0]), 0.0)
+        value += words.within[number[0]] if number[0] < pseudo.SYMBOLS else 0.0
+        got[w] = value
+        total += np.exp(value)
+    # Symbols without a word of the corpus take the rest of the mass.
+    used = {int(words.symbol[words.encode(h, e)[0]]) for h, e in codes.values()}
+    z = network.hidden(around) @ network.out + network.out_bias
+    mass = np.exp(z - z.max())[0]
+    assert total == pytest.approx(mass[sorted(used)].sum() / mass.sum(), rel=2e-2)
+    by_ending = {}
+    for w, (h, e) in codes.items():
+        if words.encode(h, e)[0] > pseudo.FREQUENT:
+            by_ending.setdefault(int(e[0]), []).append((n[int(h[0])], got[w]))
+    for found in by_ending.values():
+        for a, x in found:
+            for b, y in found:
+                if min(a, b) >= pseudo.RARE:
+                    assert x - y == pytest.approx(math.log(a / b), abs=1e-3)
+    scores = {r.doc_id: r.n_words for r in pseudo.pseudo_likelihood(table).collect()}
+    assert scores == {**{i: 80 for i in range(300)}, 1000: 1}
