@@ -10,8 +10,8 @@ vocabulary apart. A word below the vocabulary is its ending's rest times its own
 share in the rest's corpus count, which is joined by hash; words of fewer than
 ``RARE`` uses share theirs equally. So the probabilities over all words of the
 corpus sum to one. Word counts come from all documents. The network is trained in
-numpy, in every task on its own part of a fixed share of the documents, and the
-tasks' weights are averaged after each round, by a tree of averages.
+numpy, in every task on all documents of its part, and the tasks' weights are
+averaged after each round, by a tree of averages.
 """
 
 from __future__ import annotations
@@ -34,8 +34,8 @@ SYMBOLS = 1 + FREQUENT + ENDINGS
 #: Uses from which a word's count is its own, and words of text per vector of a task, so that the weights sent follow the text.
 RARE, TEXT = 5, 512
 SIDE, HIDDEN, SEED = 2, 32, 5
-#: One document in ``SHARE`` trains the network, so its training text grows with the corpus.
-SHARE, ROUNDS, BATCH, RATE = 16, 2, 2048, 0.08
+#: One document in ``SHARE`` trains the network: all of them, in every round.
+SHARE, ROUNDS, BATCH, RATE = 1, 2, 2048, 0.08
 OFFSETS = tuple(o for o in range(-SIDE, SIDE + 1) if o)
 
 
@@ -269,7 +269,7 @@ def _averaged(rows: DataFrame) -> DataFrame:
 
 
 def train(texts: DataFrame, words: Vocabulary) -> Network:
-    """Network averaged over the tasks' own, weighted by the words they have seen; ``texts`` are the training share."""
+    """Network averaged over the tasks' own, weighted by the words they have seen."""
     spark, network = texts.sparkSession, Network(words)
     texts = texts.coalesce(max(1, words.total // (TEXT * words.size)))
     codes = pickle.dumps(words)
@@ -309,16 +309,14 @@ def pseudo_likelihood(df: DataFrame, key: str = "doc_id", text: str = "text") ->
     """``key, n_words, log_likelihood, per_word``: sums over all words of each text, a row per row.
 
     Null and empty texts have no words, log-likelihood 0 and no value per word.
-    The documents whose hash of key and text is divisible by ``SHARE`` train the
-    network; with none of them it stays at its start, which still gives
-    probabilities. Repeated rows get equal scores; other columns don't matter.
+    All documents train the network. Repeated rows get equal scores; other columns don't matter.
     """
     spark = df.sparkSession
     text_batches(spark)
     rows = df.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("text"))
     counted, _ = pinned(_counted(rows), "words")
     words = vocabulary(counted)
-    network = train(rows.filter(F.pmod(F.xxhash64(key, "text"), F.lit(SHARE)) == 0), words)
+    network = train(rows if SHARE == 1 else rows.filter(F.pmod(F.xxhash64(key, "text"), F.lit(SHARE)) == 0), words)
     sent = spark.sparkContext.broadcast((pickle.dumps(words), network.flat()))
     kind = rows.schema[key].dataType.simpleString()
 

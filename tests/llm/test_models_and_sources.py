@@ -372,3 +372,14 @@ def test_every_word_is_predicted_by_its_own_count(spark):
                     assert x - y == pytest.approx(math.log(a / b), abs=1e-3)
     scores = {r.doc_id: r.n_words for r in pseudo.pseudo_likelihood(table).collect()}
     assert scores == {**{i: 80 for i in range(300)}, 1000: 1}
+
+
+def test_all_documents_train(spark, monkeypatch):
+    """Every document reaches the network, as few as there are: order is learned where no key and text hash to a multiple of 16."""
+    rows = [(i, " ".join(["old", "grey", "wolf"] * 200)) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(16)) != 0)
+    given, train = {}, pseudo.train
+    monkeypatch.setattr(pseudo, "train", lambda t, w: given.setdefault("network", train(given.setdefault("texts", t), w)))
+    got = [r.per_word for r in pseudo.pseudo_likelihood(df).collect()]
+    assert given["texts"].count() == df.count() == len(got) > 0
+    assert min(got) > -0.2
