@@ -49,6 +49,18 @@ def test_toxic_words_are_found_in_held_out_documents(labelled):
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got)
 
 
+def test_expressions_of_one_document_are_counted(spark):
+    texts = spark.createDataFrame([(1, "qqzvx oak"), (0, "oak elm"), (0, "oak elm")], "toxic int, text string")
+    counts = toxicity._counts(texts)
+    want = {}
+    for toxic, word in [(1, "qqzvx"), (1, "oak"), (0, "oak"), (0, "elm")]:
+        for g in kneserney.grams(word):
+            p, n = want.get(g, (0, 0))
+            want[g] = (p + toxic, n + 1 - toxic)
+    assert counts == want
+    assert kneserney.fit(counts).word("qqzvx") > 1
+
+
 def test_labels_of_one_class_or_none(labelled, none, spark):
     docs, labels = labelled
     few = docs.filter("doc_id > 695")
