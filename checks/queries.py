@@ -802,28 +802,29 @@ def k_evaluation(t: Tables) -> DataFrame:
 def k_metrics(t: Tables) -> DataFrame:
     """Calinski-Harabasz, sizes and Rand index of a real labelling against their definitions, as differences."""
     data = t.vectors()
-    models = cluster.fit_all(data, [(4, s) for s in cluster.SEEDS[:2]], n_init=1)
+    models = cluster.fit_all(data, [(4, s) for s in cluster.SEEDS[:2]])
     (first, second) = models.values()
     labelled = pin(
         data.withColumns({"a": cluster.nearest(first), "b": cluster.nearest(second)}).select("customer_id", "a", "b", *cluster.SCALED)
     )
     got = cluster.calinski_harabasz(labelled, "a").first()
     ari = cluster.adjusted_rand(labelled, ["a", "b"]).first()["adjusted_rand"]
-    rows = labelled.toPandas()
-    x, a, b = rows[cluster.SCALED].to_numpy(), rows["a"].to_numpy(), rows["b"].to_numpy()
-    centres = {k: x[a == k].mean(axis=0) for k in set(a)}
-    within = sum(((x[a == k] - c) ** 2).sum() for k, c in centres.items())
-    between = sum((a == k).sum() * ((c - x.mean(axis=0)) ** 2).sum() for k, c in centres.items())
-    k, n = len(centres), len(x)
+    # A row per cluster and one per pair of labels come to the driver.
+    sums = [f for c in cluster.SCALED for f in (F.sum(c).alias(c), F.sum(F.col(c) * F.col(c)).alias(f"{c}_2"))]
+    parts = labelled.groupBy("a").agg(F.count(F.lit(1)).alias("n"), *sums).collect()
+    k, n = len(parts), sum(r["n"] for r in parts)
+    within = sum(r[f"{c}_2"] - r[c] ** 2 / r["n"] for r in parts for c in cluster.SCALED)
+    overall = {c: sum(r[c] for r in parts) / n for c in cluster.SCALED}
+    between = sum(r["n"] * (r[c] / r["n"] - overall[c]) ** 2 for r in parts for c in cluster.SCALED)
     want = between * (n - k) / (within * (k - 1))
-    two = lambda v: float((v * (v - 1) / 2).sum())
-    cells = rows.groupby(["a", "b"]).size().to_numpy(), rows.groupby("a").size().to_numpy(), rows.groupby("b").size().to_numpy()
-    both, left, right = (two(c.astype(float)) for c in cells)
+    cells = labelled.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).collect()
+    rights = [sum(r["n"] for r in cells if r["b"] == label) for label in {r["b"] for r in cells}]
+    both, left, right = (sum(c * (c - 1) / 2 for c in v) for v in ([r["n"] for r in cells], [r["n"] for r in parts], rights))
     expected = left * right / (n * (n - 1) / 2)
     rand = (both - expected) / ((left + right) / 2 - expected)
     return t.spark.createDataFrame(
         [(n, k, bool(abs(got["calinski_harabasz_score"] / want - 1) < 1e-9), bool(abs(got["inertia"] / within - 1) < 1e-9),
-          bool(got["minimum_cluster_count"] == min(cells[1])), bool(abs(ari - rand) < 1e-9))],
+          bool(got["minimum_cluster_count"] == min(r["n"] for r in parts)), bool(abs(ari - rand) < 1e-9))],
         "customers long, clusters int, calinski_harabasz boolean, inertia boolean, smallest boolean, adjusted_rand boolean",
     )
 

@@ -54,6 +54,28 @@ def test_raw_profile_shuffles_lines_once(tables):
     assert len(wide) == 1
 
 
+def test_metrics_keep_customers_off_the_driver(tables, monkeypatch):
+    """Rows per cluster and per label pair come back, at most 16 at once; no customer rows."""
+    frame, sizes = type(tables.rfm()), []
+    collect = frame.collect
+
+    def counted(self):
+        rows = collect(self)
+        if {"customer_id", "a"} & set(self.columns):
+            sizes.append(len(rows))
+        return rows
+
+    def refused(self):
+        raise AssertionError("customers come to the driver")
+
+    monkeypatch.setattr(frame, "toPandas", refused)
+    monkeypatch.setattr(frame, "collect", counted)
+    got = QUERIES["k_metrics"](tables)
+    monkeypatch.undo()
+    assert sizes and max(sizes) <= 16
+    assert [tuple(r)[1:] for r in got.collect()] == [(4, True, True, True, True)]
+
+
 def guard_windows(plan: str) -> None:
     """Windows over one partition may only order bounded tables."""
     bounded = ("_part#", "year_month#", "median_", "cluster_id#", "_w0#", "sum(_w0")
