@@ -10,6 +10,9 @@ precision.
 Parts are dealt in blocks of bounded size, and so are the queries: a task holds
 one block of either. Of equal vectors only as many as can be asked for are kept
 in a block; the others could never be among the nearest.
+
+With fewer than ``PART_ROWS`` vectors there is one part: nothing is learned, and
+every query is compared with all vectors.
 """
 
 from __future__ import annotations

@@ -269,6 +269,21 @@ def test_learned_parts(spark, monkeypatch):
     assert len(want & {(r.query_id, r.vec_id) for r in got}) >= 0.95 * len(want)
 
 
+def test_recall_on_the_sample_table_over_parts(spark, monkeypatch):
+    """The sample table with parts small enough that it has several, and not all of them are visited."""
+    monkeypatch.setattr(ann, "PART_ROWS", 128)
+    seen, learn = {}, ann.learn_router
+    monkeypatch.setattr(ann, "learn_router", lambda *a, **b: seen.setdefault("router", learn(*a, **b)))
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    got = {(r.query_id, r.vec_id) for r in ann.search(df, F.col("id") % 100 == 0).collect()}
+    router, probes = seen["router"]
+    assert router.w2.shape[1] > 1 and probes < router.w2.shape[1]
+    table = df.orderBy("vec_id").collect()
+    ids, x = np.array([r.vec_id for r in table]), np.array([r.embedding for r in table], dtype=np.float64)
+    want = {(int(ids[q]), i) for q in np.flatnonzero(ids % 100 == 0) for i, _ in brute_nearest(ids, x, q, 10)}
+    assert len(want & got) >= 0.9 * len(want)
+
+
 def test_vectors_that_take_no_part(spark):
     nan, inf = float("nan"), float("inf")
     rows = [
