@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, mixing, neardup, packing, pseudo, rules, substrings, toxicity, urls, warc
+from . import ann, mixing, neardup, packing, pseudo, quality, rules, spelling, substrings, toxicity, turns, urls, warc
 from .shared import table
 
 
@@ -77,7 +77,26 @@ def op10_pseudo_likelihood(spark: SparkSession, folder: str) -> DataFrame:
     return pseudo.pseudo_likelihood(table(spark, folder, "documents").select("doc_id", "text"))
 
 
+def op11_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    """Damaged conversations, repaired."""
+    rows = table(spark, folder, "conversations")
+    return turns.repaired_conversations(rows, turns.damaged(rows))
+
+
+def op12_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return quality.judged(docs, table(spark, folder, "labels"))
+
+
+def op13_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_best_fit_packing, op2_toxicity, op3_warc, op4_learned_partitions, op5_quality_rules, op6_substring_dedup, op7_minmax_near_duplicates, op8_source_mixing, op9_url_filters, op10_pseudo_likelihood)
+    for f in (
+        op1_best_fit_packing, op2_toxicity, op3_warc, op4_learned_partitions, op5_quality_rules, op6_substring_dedup,
+        op7_minmax_near_duplicates, op8_source_mixing, op9_url_filters, op10_pseudo_likelihood, op11_conversation_repair,
+        op12_quality, op13_spelling_variants,
+    )
 }

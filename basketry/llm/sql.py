@@ -115,10 +115,119 @@ SELECT page_id, host, path, rule, CASE
 FROM v
 """
 
+#: The table of the reflected polynomial, by which a checksum is a fold over the bytes.
+CRC = """crc AS (
+ SELECT list_transform(range(0, 256), lambda i: list_reduce(list_prepend(i, range(0, 8)),
+  lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS tab
+)"""
+
+
+def crc32(text: str) -> str:
+    """Unsigned CRC-32 of the UTF-8 of ``text``, an SQL expression; reads ``crc``."""
+    code = f"hex(encode({text}))"
+    bytes_ = f"list_transform(range(0, length({code}) // 2), lambda i: ('0x' || substr({code}, 2 * i + 1, 2))::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295, {bytes_}), lambda a, y: xor(a // 256, tab[1 + xor(a % 256, y)])), 4294967295)"
+
+
+def _after(edit: str, cost: str, state: str, line: str | None = None) -> str:
+    """The repair ``state`` with one more edit, as a value that is ordered by (cost, audit)."""
+    out = f"r.{state}.o" if line is None else f"r.{state}.o || chr(10) || {line}"
+    return f"{{'c': r.{state}.c + {cost}, 'a': r.{state}.a || '{edit}', 'o': {out}}}"
+
+
+def _insert(state: str, role: str) -> str:
+    return f"{{'c': {state}.c + 2, 'a': {state}.a || 'I', 'o': {state}.o || chr(10) || '{role}:'}}"
+
+
+_FAR = "{'c': 1000000000::BIGINT, 'a': '', 'o': ''}"
+_START = "{'c': 0::BIGINT, 'a': '', 'o': ''}"
+
+
+def _turn(state: str, froms: tuple[str, ...], initial: str, role: str | None) -> str:
+    """Least repair that ends in ``state`` after the row: it is deleted, kept or reroled."""
+    kept = f"CASE WHEN n.f < 2 AND n.i = '{initial}' THEN [{', '.join(_after('K', 'n.f', q, 'n.line') for q in froms)}] ELSE [] END"
+    all_ = f"list_concat([{_after('D', '3', state)}], {kept})"
+    if role:
+        reroled = ", ".join(_after("R", "2 + n.f", q, f"'{role}:' || n.text") for q in froms)
+        all_ = f"list_concat({all_}, CASE WHEN n.f < 2 THEN [{reroled}] ELSE [] END)"
+    return f"list_min({all_}) AS {state}"
+
+
+OP11 = rf"""
+WITH RECURSIVE {CRC}, d AS (
+ SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  {crc32("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS h FROM conversations, crc
+), e AS (
+ SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role,
+  CASE WHEN h = 1 THEN '' WHEN h = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+  unnest(CASE WHEN h = 0 THEN [] WHEN h = 3 THEN [0, 1] ELSE [0] END) AS copy FROM d
+), g AS (SELECT conv_id, row_number() OVER () AS g FROM (SELECT DISTINCT conv_id FROM conversations)
+), o AS (
+ SELECT g, turn, role, text, row_number() OVER (PARTITION BY g ORDER BY turn NULLS FIRST, role, text, copy) AS pos
+ FROM e JOIN g ON g.conv_id IS NOT DISTINCT FROM e.conv_id
+), f AS (
+ SELECT *, left(role, 1) AS i, role || ':' || text AS line, CASE
+   WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 3
+   WHEN row_number() OVER (PARTITION BY g, role, text ORDER BY pos) > 1 THEN 2
+   WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 1 ELSE 0 END AS f,
+  lag(left(role, 1)) OVER (PARTITION BY g ORDER BY pos) AS before FROM o
+), r AS (
+ SELECT g, 0 AS pos, {_START} AS s0, {_FAR} AS s1, {_insert(_START, "user")} AS s2, {_insert(_insert(_START, "user"), "assistant")} AS s3 FROM g
+ UNION ALL
+ SELECT g, pos, s0, s1, s2, list_min([s3, {_insert("s2", "assistant")}]) AS s3 FROM (
+  SELECT g, pos, s0, s1, list_min([s2, {_insert("s0", "user")}, {_insert("s1", "user")}, {_insert("s3", "user")}]) AS s2, s3 FROM (
+   SELECT r.g AS g, r.pos + 1 AS pos, {_turn("s0", (), "", None)}, {_turn("s1", ("s0",), "s", None)},
+    {_turn("s2", ("s0", "s1", "s3"), "u", "user")}, {_turn("s3", ("s2",), "a", "assistant")}
+   FROM r JOIN f AS n ON n.g = r.g AND n.pos = r.pos + 1))
+), z AS (
+ SELECT g, list_min([s0, s3]) AS b FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY pos DESC) AS last FROM r) WHERE last = 1
+), c AS (
+ SELECT g, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (f = 3) AS blank, count(*) FILTER (f = 2) AS duplicate,
+  count(*) FILTER (f = 1) AS truncated, count(*) FILTER (before IS NOT NULL AND before || i NOT IN ('su', 'ua', 'au')) AS illegal
+ FROM f GROUP BY g
+)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+ coalesce(illegal, 0) AS illegal, b.c AS cost, b.a AS audit, sha256(substr(b.o, 2)) AS repaired_sha256
+FROM g JOIN z ON z.g = g.g LEFT JOIN c ON c.g = g.g
+"""
+
+OP13 = rf"""
+WITH RECURSIVE {CRC}, r AS (
+ SELECT k, run, count(*) AS c FROM (
+  SELECT coalesce(doc_id::VARCHAR, '') AS k, unnest(regexp_extract_all(
+   translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')) AS run FROM documents)
+ GROUP BY k, run
+), h AS (SELECT run, c, {crc32("k || ':' || run")} AS h FROM r, crc
+), w AS MATERIALIZED (
+ SELECT word, sum(c)::BIGINT AS n FROM (
+  SELECT c, CASE WHEN h % 199 = 0 THEN substr(run, 1, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word FROM h)
+ WHERE length(word) >= 6 GROUP BY word HAVING sum(c) >= 5
+), s AS MATERIALIZED (
+ SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS short FROM (SELECT word, n, unnest(range(0, length(word))) AS i FROM w)
+), p AS MATERIALIZED (
+ SELECT DISTINCT u, v, nv FROM (
+  SELECT a.word AS u, b.word AS v, b.n AS nv FROM s a JOIN s b ON a.short = b.short AND a.i = b.i AND a.word <> b.word
+  UNION ALL SELECT s.word, w.word, w.n FROM s JOIN w ON w.word = s.short
+  UNION ALL SELECT w.word, s.word, s.n FROM s JOIN w ON w.word = s.short)
+), b AS (
+ SELECT u, count(*) AS n_near, max(nv) AS most, min({{'less': -nv, 'v': v}}).v AS best FROM p GROUP BY u
+), f AS MATERIALIZED (
+ SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= 5 * n THEN best END AS form, CASE WHEN most >= 5 * n THEN most END AS form_n
+ FROM w LEFT JOIN b ON b.u = w.word
+), t AS (
+ SELECT word, word AS root, form AS next FROM f
+ UNION ALL
+ SELECT t.word, f.word, f.form FROM t JOIN f ON f.word = t.next
+)
+SELECT f.word AS word, f.form AS form, t.root AS root, n, n_near, form_n FROM f JOIN t ON t.word = f.word AND t.next IS NULL
+"""
+
 ORACLE = {
     "op3_warc": OP3,
     "op5_quality_rules": OP5,
     "op6_substring_dedup": OP6,
     "op7_minmax_near_duplicates": OP7,
     "op9_url_filters": OP9,
+    "op11_conversation_repair": OP11,
+    "op13_spelling_variants": OP13,
 }
