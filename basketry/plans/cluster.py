@@ -16,7 +16,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketry.functions import columns as C
+from basketry.operators.cells import TILE, Tile, build_cells, tiles
 from basketry.operators.ranking import exact_quantiles
+from basketry.operators.silhouette import silhouettes
 from basketry.plans.rfm import SEGMENT_NAMES
 from basketry.schema import require_columns
 from basketry.session import pin
@@ -44,10 +46,9 @@ ACTIONS_BY_RECENCY = {
 }
 
 SCALED = [f"z_{f}" for f in FEATURES]
-TILE = 2048
-# Rows that the starting centres are drawn from, spread over all customers by hash.
-START_SAMPLE = 4096
 TOLERANCE = 1e-4
+# Candidates for first centres: rounds of drawing, rows a round (for many clusters twice their number), and groups of rows they settle on.
+ROUNDS, DRAWN, NODES = 5, 24, 16384
 
 
 def input_contract(rfm: DataFrame) -> DataFrame:
@@ -109,24 +110,220 @@ class Fit:
     iterations: int
 
 
-def _start(sample: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
-    """Spread-out rows as first centres: each drawn by squared distance to those before."""
-    picked = [sample[rng.integers(len(sample))]]
-    near = ((sample - picked[0]) ** 2).sum(axis=1)
-    for _ in range(1, k):
-        total = near.sum()
-        at = rng.choice(len(sample), p=near / total) if total > 0 else rng.integers(len(sample))
-        picked.append(sample[at])
-        near = np.minimum(near, ((sample - sample[at]) ** 2).sum(axis=1))
+def _uniform(x: np.ndarray, *salt: int) -> np.ndarray:
+    """A number in (0, 1) from the coordinates of each row, so that draws do not depend on the layout."""
+    mixed = np.zeros(len(x), dtype=np.uint64)
+    for value in (*salt, *np.ascontiguousarray(x.T + 0.0).view(np.uint64)):
+        mixed = mixed ^ np.asarray(value, dtype=np.uint64)
+        for shift, factor in ((33, 0xFF51AFD7ED558CCD), (33, 0xC4CEB9FE1A85EC53)):
+            mixed = (mixed ^ (mixed >> np.uint64(shift))) * np.uint64(factor)
+        mixed ^= mixed >> np.uint64(33)
+    return (mixed >> np.uint64(11)).astype(float) * 2.0**-53 + 2.0**-54
+
+
+def _squares_to(x: np.ndarray, points: np.ndarray) -> np.ndarray:
+    d = (x * x).sum(axis=1)[:, None] + (points * points).sum(axis=1) - 2 * x @ points.T
+    return np.maximum(d, 0)
+
+
+def _drawn(cells: DataFrame, held: dict[int, np.ndarray], round_: int, most: int) -> dict[int, np.ndarray]:
+    """For each seed ``most`` further rows, drawn by squared distance to those held already, in one scan of all rows.
+
+    The rows of smallest -log(u) / mass are a sample by mass without
+    replacement, and taking the smallest ones can be done piece by piece.
+    """
+    width = len(SCALED)
+    sent = cells.sparkSession.sparkContext.broadcast(held)
+
+    def run(batches):
+        kept = {seed: np.zeros((0, width + 1)) for seed in sent.value}
+        for t in tiles(batches, width):
+            for seed, points in sent.value.items():
+                mass = t.w * (_squares_to(t.x, points).min(axis=1) if len(points) else 1.0)
+                far = np.flatnonzero(mass > 1e-24)
+                key = -np.log(_uniform(t.x[far], seed + 1, round_ + 1)) / mass[far]
+                both = np.concatenate([kept[seed], np.column_stack([key, t.x[far]])])
+                kept[seed] = both[np.lexsort(both.T[::-1])[:most]]
+        for seed, rows in kept.items():
+            columns = [pa.array(np.full(len(rows), seed)), *[pa.array(np.ascontiguousarray(c)) for c in rows.T]]
+            yield pa.RecordBatch.from_arrays(columns, names=["seed", "key", *SCALED])
+
+    fields = "seed long, key double, " + ", ".join(f"{c} double" for c in SCALED)
+    first = Window.partitionBy("seed").orderBy("key", *SCALED)
+    found = cells.mapInArrow(run, fields).withColumn("place", F.row_number().over(first)).where(F.col("place") <= most)
+    out = {seed: [] for seed in held}
+    # Bounded: ``most`` rows a seed.
+    for r in found.orderBy("seed", "place").collect():
+        out[r["seed"]].append([r[c] for c in SCALED])
+    sent.unpersist()
+    return {seed: np.array(rows).reshape(-1, width) for seed, rows in out.items()}
+
+
+def _weights(cells: DataFrame, held: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
+    """Rows nearest to each candidate of each seed, in one scan."""
+    width = len(SCALED)
+    sent = cells.sparkSession.sparkContext.broadcast(held)
+
+    def run(batches):
+        counts = {seed: np.zeros(len(points)) for seed, points in sent.value.items()}
+        for t in tiles(batches, width):
+            for seed, points in sent.value.items():
+                counts[seed] += np.bincount(_squares_to(t.x, points).argmin(axis=1), t.w, len(points))
+        for seed, n in counts.items():
+            yield pa.RecordBatch.from_pydict({"seed": np.full(len(n), seed), "place": np.arange(len(n)), "n": n})
+
+    found = cells.mapInArrow(run, "seed long, place long, n double").groupBy("seed", "place").agg(F.sum("n").alias("n"))
+    out = {seed: np.zeros(len(points)) for seed, points in held.items()}
+    for r in found.collect():
+        out[r["seed"]][r["place"]] = r["n"]
+    sent.unpersist()
+    return out
+
+
+def _coarse(cells: DataFrame, most: int) -> np.ndarray:
+    """Groups of neighbouring rows: count, coordinate sums, sum of squares; ``most`` of them, and one more a sorted partition."""
+    width = len(SCALED)
+    rows = cells.agg(F.sum(F.size("w"))).first()[0] or 0
+    group = max(1, -(-rows // most))
+
+    def run(batches):
+        for t in tiles(batches, width):
+            node = (t.at * TILE + np.arange(len(t.x))) // group
+            first = np.flatnonzero(np.diff(node, prepend=-1))
+            weighted = [t.w, *(t.x * t.w[:, None]).T, (t.x * t.x).sum(axis=1) * t.w]
+            columns = [pa.array(np.add.reduceat(c, first)) for c in weighted]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(first), t.part)), pa.array(node[first]), *columns], names=["part", "node", "n", *SCALED, "q"]
+            )
+
+    fields = "part long, node long, n double, " + ", ".join(f"{c} double" for c in (*SCALED, "q"))
+    sums = cells.mapInArrow(run, fields).groupBy("part", "node").agg(*[F.sum(c).alias(c) for c in ("n", *SCALED, "q")])
+    # Bounded: ``most`` rows and one for each sorted partition.
+    found = sums.orderBy("part", "node").select("n", *SCALED, "q").collect()
+    return np.array([tuple(r) for r in found]).reshape(-1, width + 2)
+
+
+def _spread_out(points: np.ndarray, weights: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """``k`` of the weighted points, drawn by weight and squared distance to those before; of a few draws the one that helps most."""
+    picked, near = [], None
+    tries = 2 + int(np.log(k))
+    for _ in range(k):
+        mass = weights if near is None else weights * near
+        share = mass / mass.sum() if mass.sum() > 0 else None
+        drawn = rng.choice(len(points), size=1 if near is None else tries, p=share)
+        d = _squares_to(points[drawn], points)
+        left = d if near is None else np.minimum(near, d)
+        best = int(np.argmin(left @ weights))
+        near = left[best]
+        picked.append(points[drawn[best]])
     return np.array(picked)
 
 
-def _step(data: DataFrame, models: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def _settle(nodes: np.ndarray, centres: np.ndarray, tolerance: float) -> np.ndarray:
+    """Lloyd steps over groups of rows, each taken at its mean."""
+    n, sums = nodes[:, 0], nodes[:, 1:-1]
+    means = sums / n[:, None]
+    for _ in range(MAX_ITER):
+        own = _squares_to(means, centres).argmin(axis=1)
+        count = np.bincount(own, n, len(centres))
+        total = np.stack([np.bincount(own, sums[:, a], len(centres)) for a in range(sums.shape[1])], axis=1)
+        new = np.where(count[:, None] > 0, total / np.maximum(count, 1)[:, None], centres)
+        shift = ((new - centres) ** 2).sum()
+        centres = new
+        if shift <= tolerance:
+            break
+    return centres
+
+
+def starts(cells: DataFrame, jobs: list[tuple[int, int]], n_init: int) -> tuple[list[np.ndarray], float]:
+    """First centres of every model, and the mean variance of the features.
+
+    Candidates come from all rows, by a few joint rounds of drawing far rows for
+    every seed, and are weighed by the rows they stand for. Each model draws its
+    centres from the weighted candidates of its seed and settles them on groups
+    of neighbouring rows; models are spread over the tasks.
+    """
+    spark, seeds = cells.sparkSession, sorted({seed for _, seed in jobs})
+    held = {seed: np.zeros((0, len(SCALED))) for seed in seeds}
+    most = max(DRAWN, *(2 * k for k, _ in jobs))
+    for i in range(ROUNDS + 1):
+        new = _drawn(cells, held, i, most if i else 1)
+        held = {seed: np.concatenate([held[seed], new[seed]]) for seed in seeds}
+    weights, nodes = _weights(cells, held), _coarse(cells, NODES)
+    total = nodes[:, 0].sum()
+    variance = float(np.mean(nodes[:, -1].sum() / total - ((nodes[:, 1:-1].sum(axis=0) / total) ** 2).sum())) / len(SCALED)
+    tasks = [(k, seed, i) for k, seed in jobs for i in range(n_init)]
+    sent = spark.sparkContext.broadcast((held, weights, nodes, tasks))
+
+    def run(batches):
+        held, weights, nodes, tasks = sent.value
+        for batch in batches:
+            found = []
+            for number in batch.column("id").to_pylist():
+                k, seed, i = tasks[number]
+                first = _spread_out(held[seed], weights[seed], k, np.random.default_rng([seed, k, i]))
+                found.append((number, _settle(nodes, first, TOLERANCE * variance).ravel().tolist()))
+            yield pa.RecordBatch.from_pydict({"id": [f[0] for f in found], "centres": [f[1] for f in found]})
+
+    parts = min(len(tasks), 4 * spark.sparkContext.defaultParallelism)
+    rows = spark.range(0, len(tasks), 1, parts).mapInArrow(run, "id long, centres array<double>").collect()
+    sent.unpersist()
+    return [np.array(r["centres"]).reshape(-1, len(SCALED)) for r in sorted(rows, key=lambda r: r["id"])], variance
+
+
+def _leaf_sums(t: Tile, centres: np.ndarray):
+    """For models of equal k: counts, coordinate sums and cost of every centre, leaf by leaf where one centre owns the leaf."""
+    m, k, width = centres.shape
+    low, high = t.low, t.high
+    middle = (low + high) / 2
+    flat = centres.reshape(m * k, width)
+    own = _squares_to(middle, flat).reshape(len(middle), m, k).argmin(axis=2)
+    best = np.take_along_axis(np.broadcast_to(centres, (len(middle), m, k, width)), own[:, :, None, None], 2)
+    # A centre z owns no row of the box if its corner farthest towards z lies nearer to the best centre.
+    gap = np.zeros((len(middle), m, k))
+    for a in range(width):
+        z, c = centres[None, :, :, a], best[:, :, :, a]
+        u = z - c
+        corner = np.where(u > 0, high[:, a, None, None], low[:, a, None, None])
+        gap += u * (z + c - 2 * corner)
+    np.put_along_axis(gap, own[:, :, None], np.inf, 2)
+    settled = (gap > 1e-12).all(axis=2)
+
+    place = own + np.arange(m) * k
+    n, sums, cost = np.zeros(m * k), np.zeros((width, m * k)), np.zeros(m)
+    leaf, model = np.nonzero(settled)
+    at = place[leaf, model]
+    n += np.bincount(at, t.n[leaf], m * k)
+    for a in range(width):
+        sums[a] += np.bincount(at, t.sums[leaf, a], m * k)
+    owner = flat[at]
+    within = t.squares[leaf] - 2 * (owner * t.sums[leaf]).sum(axis=1) + t.n[leaf] * (owner * owner).sum(axis=1)
+    cost += np.bincount(model, np.maximum(within, 0), m)
+
+    x, w = t.padded
+    leaf, model = np.nonzero(~settled)
+    for i in range(0, len(leaf), 512):
+        rows, near = x[leaf[i : i + 512]], centres[model[i : i + 512]]
+        weight = w[leaf[i : i + 512]]
+        d = (rows * rows).sum(axis=2)[:, :, None] + (near * near).sum(axis=2)[:, None, :] - 2 * rows @ near.transpose(0, 2, 1)
+        mine = d.argmin(axis=2)
+        cost += np.bincount(model[i : i + 512], (np.maximum(np.take_along_axis(d, mine[:, :, None], 2)[:, :, 0], 0) * weight).sum(axis=1), m)
+        at = (mine + (model[i : i + 512] * k)[:, None]).ravel()
+        n += np.bincount(at, weight.ravel(), m * k)
+        for a in range(width):
+            sums[a] += np.bincount(at, (rows[:, :, a] * weight).ravel(), m * k)
+    return n, sums, cost
+
+
+def _step(cells: DataFrame, models: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Of every centre of every model: rows and coordinate sums; of every model: cost.
 
-    One scan for all models. A task returns one row per centre that has rows.
+    One scan for all models. A leaf that lies on one side of all borders of a
+    model counts as a whole; rows are looked at only where a border crosses
+    their leaf, so the sums are those of all rows. A task returns one row per
+    centre that has rows.
     """
-    spark, width = data.sparkSession, len(SCALED)
+    spark, width = cells.sparkSession, len(SCALED)
     by_k: dict[int, list[int]] = {}
     for i, m in enumerate(models):
         by_k.setdefault(len(m), []).append(i)
@@ -137,21 +334,14 @@ def _step(data: DataFrame, models: list[np.ndarray]) -> tuple[np.ndarray, np.nda
 
     def run(batches):
         n, sums, cost = np.zeros(size), np.zeros((width, size)), np.zeros(count)
-        for batch in batches:
-            x = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in SCALED], axis=1)
-            for at in range(0, len(x), 1024):
-                rows = x[at : at + 1024]
-                square = (rows * rows).sum(axis=1)[:, None]
-                for ids, centres, offsets in sent.value:
-                    m, k, _ = centres.shape
-                    flat = centres.reshape(m * k, width)
-                    d = (square + (flat * flat).sum(axis=1) - 2 * rows @ flat.T).reshape(len(rows), m, k)
-                    own = d.argmin(axis=2)
-                    cost[ids] += np.maximum(np.take_along_axis(d, own[:, :, None], 2)[:, :, 0], 0).sum(axis=0)
-                    at_centre = (own + offsets).ravel()
-                    n += np.bincount(at_centre, minlength=size)
-                    for axis in range(width):
-                        sums[axis] += np.bincount(at_centre, np.repeat(rows[:, axis], m), minlength=size)
+        for t in tiles(batches, width):
+            for ids, centres, offsets in sent.value:
+                k = centres.shape[1]
+                some, parts, costs = _leaf_sums(t, centres)
+                to = (offsets[:, None] + np.arange(k)).ravel()
+                n[to] += some
+                sums[:, to] += parts
+                cost[ids] += costs
         used = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.r_[used, size + np.arange(count)]), pa.array(np.r_[n[used], cost])]
@@ -160,7 +350,7 @@ def _step(data: DataFrame, models: list[np.ndarray]) -> tuple[np.ndarray, np.nda
         )
 
     columns = ["n", *[f"s{a}" for a in range(width)]]
-    parts = data.select(*SCALED).mapInArrow(run, "place long, " + ", ".join(f"{c} double" for c in columns))
+    parts = cells.mapInArrow(run, "place long, " + ", ".join(f"{c} double" for c in columns))
     out = np.zeros((size + count, width + 1))
     # Bounded: one row per centre and per model.
     for r in parts.groupBy("place").agg(*[F.sum(c).alias(c) for c in columns]).collect():
@@ -172,17 +362,15 @@ def _step(data: DataFrame, models: list[np.ndarray]) -> tuple[np.ndarray, np.nda
 def fit_all(data: DataFrame, jobs: list[tuple[int, int]], n_init: int = N_INIT) -> dict[tuple[int, int], Fit]:
     """For each (k, seed) the cheapest of ``n_init`` starts.
 
-    All models move together: an iteration is one scan of the rows, whatever the
+    All models move together: an iteration is one scan of the cells, whatever the
     number of models, and models that have settled leave the scan.
     """
-    rows = data.select(*SCALED).orderBy(F.xxhash64("customer_id"), "customer_id").limit(START_SAMPLE).collect()
-    sample = np.array([tuple(r) for r in rows])
-    models = [_start(sample, k, np.random.default_rng([seed, k, i])) for k, seed in jobs for i in range(n_init)]
+    cells = build_cells(data, SCALED)
+    models, spread = starts(cells, jobs, n_init)
     moving, iterations = list(range(len(models))), [0] * len(models)
-    spread = float(np.mean(np.var(sample, axis=0)))
     cost = np.zeros(len(models))
     for _ in range(MAX_ITER):
-        sums, costs = _step(data, [models[i] for i in moving])
+        sums, costs = _step(cells, [models[i] for i in moving])
         at, still = 0, []
         for i, c in zip(moving, costs):
             k = len(models[i])
@@ -196,7 +384,7 @@ def fit_all(data: DataFrame, jobs: list[tuple[int, int]], n_init: int = N_INIT)
         moving = still
         if not moving:
             break
-    _, cost = _step(data, models)
+    _, cost = _step(cells, models)
     out = {}
     for j, job in enumerate(jobs):
         best = min(range(j * n_init, (j + 1) * n_init), key=lambda i: cost[i])
@@ -329,83 +517,9 @@ def silhouette_squared(data: DataFrame, label: str) -> float:
     ).evaluate(data.withColumn(label, F.col(label).cast("double")))
 
 
-def silhouette_euclidean(
-    df: DataFrame, key: str, label: str, columns: list[str] = SCALED, tile: int = TILE
-) -> DataFrame:
-    """Mean Euclidean silhouette over all rows, in one row.
-
-    Its definition needs every distance, so the work is quadratic. Rows are
-    hashed to tiles; each task gets two tiles, forms their distances in memory
-    and gives back one partial sum per row and label. No pair becomes a row,
-    and tiles, not labels, split the work, so a large cluster is no hot key.
-    Use ``silhouette_squared`` beyond some million rows.
-    """
-    points = df.select(
-        F.col(key).cast("string").alias("id"),
-        F.col(label).cast("int").alias("label"),
-        *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)],
-    )
-    tiles = max(1, -(-df.count() // tile))
-    mine = F.pmod(F.xxhash64(F.col("id"), F.lit(1)), F.lit(tiles)).cast("int")
-    points = points.withColumn("t", mine)
-    other = F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))
-    pairs = points.withColumn("o", other).select(
-        "*", F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j")
-    )
-    axes = [f"x{i}" for i in range(len(columns))]
-
-    def partial_sums(block):
-        import numpy as np
-        import pandas as pd
-
-        left = block[block["t"] == block["i"]]
-        right = block[block["t"] == block["j"]]
-        a, b = left[axes].to_numpy(), right[axes].to_numpy()
-        squares = np.zeros((len(a), len(b)))
-        for axis in range(a.shape[1]):
-            squares += (a[:, axis, None] - b[None, :, axis]) ** 2
-        distance = np.sqrt(squares)
-        sides = [(left, right, distance)]
-        if int(block["i"].iloc[0]) != int(block["j"].iloc[0]):
-            sides.append((right, left, distance.T))
-        out = []
-        for rows, others, d in sides:
-            labels = others["label"].to_numpy()
-            for other_label in np.unique(labels):
-                chosen = labels == other_label
-                out.append(
-                    pd.DataFrame(
-                        {
-                            "id": rows["id"].to_numpy(),
-                            "label": rows["label"].to_numpy(),
-                            "other": other_label,
-                            "total": d[:, chosen].sum(axis=1),
-                            "n": int(chosen.sum()),
-                        }
-                    )
-                )
-        return pd.concat(out, ignore_index=True)
-
-    sums = (
-        pairs.groupBy("i", "j")
-        .applyInPandas(partial_sums, "id string, label int, other int, total double, n long")
-        .groupBy("id", "label", "other")
-        .agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
-    )
-    own = F.col("label") == F.col("other")
-    per_row = sums.groupBy("id").agg(
-        F.max(F.when(own, F.try_divide(F.col("total"), (F.col("n") - 1).cast("double")))).alias("a"),
-        F.max(F.when(own, F.col("n"))).alias("size"),
-        F.min(F.when(~own, F.col("total") / F.col("n"))).alias("b"),
-    )
-    a, b = F.col("a"), F.col("b")
-    return per_row.agg(
-        F.avg(
-            F.when(F.col("size") == 1, 0.0).otherwise(
-                F.coalesce(F.try_divide(b - a, F.greatest(a, b)), F.lit(0.0))
-            )
-        ).alias("silhouette_score")
-    )
+def silhouette_euclidean(df: DataFrame, label: str, columns: list[str] = SCALED) -> DataFrame:
+    """Mean Euclidean silhouette over all rows, with the bound of what the tree leaves out, in one row."""
+    return silhouettes(df, [label], columns).drop("labelling")
 
 
 def adjusted_rand(df: DataFrame, labels: list[str]) -> DataFrame:
@@ -443,19 +557,14 @@ def adjusted_rand(df: DataFrame, labels: list[str]) -> DataFrame:
     return joint.join(rows, by).join(cols, by).select(*by, F.coalesce(index, F.lit(1.0)).alias("adjusted_rand"))
 
 
-def label_quality(data: DataFrame, label: str, exact_silhouette: bool = False) -> dict:
+def label_quality(data: DataFrame, label: str, silhouette: float | None = None) -> dict:
     """Inertia, silhouette, Calinski-Harabasz, Davies-Bouldin and smallest cluster.
 
-    The silhouette is the linear one on squared distances at every size; the
-    exact one is quadratic and taken only if asked for.
+    A silhouette that is known already may be handed in; else it is the linear one on squared distances.
     """
     found = calinski_harabasz(data, label).first().asDict()
     found["davies_bouldin_score"] = davies_bouldin(data, label).first()[0]
-    found["silhouette_score"] = (
-        silhouette_euclidean(data, "customer_id", label).first()[0]
-        if exact_silhouette
-        else silhouette_squared(data, label)
-    )
+    found["silhouette_score"] = silhouette_squared(data, label) if silhouette is None else silhouette
     return found
 
 
@@ -467,37 +576,40 @@ EVALUATION_SCHEMA = (
 )
 
 
-def evaluate_k(
-    data: DataFrame,
-    k_values=K_VALUES,
-    seeds=SEEDS,
-    n_init: int = N_INIT,
-    exact_silhouette: bool = False,
-    workers: int = 8,
-) -> DataFrame:
-    """One row per k over a ``training_table``.
+def _with_labels(data: DataFrame, models: dict[tuple[int, int], Fit]) -> DataFrame:
+    """Scaled features, their vector, and the nearest centre in each model as ``label_<k>_<seed>``; pinned."""
+    centres = {f"label_{k}_{seed}": fit.centres for (k, seed), fit in models.items()}
+    sent = data.sparkSession.sparkContext.broadcast(centres)
+
+    def run(batches):
+        for batch in batches:
+            x = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in SCALED], axis=1)
+            labels = [pa.array(((x[:, None] - c) ** 2).sum(axis=2).argmin(axis=1), pa.int32()) for c in sent.value.values()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *labels], names=[*batch.schema.names, *sent.value])
+
+    fields = ", ".join([*[f"{c} double" for c in SCALED], *[f"{name} int" for name in centres]])
+    return vectors(pin(data.select(*SCALED).mapInArrow(run, fields), wide=True))
 
-    All fits share their scans. The column silhouette_distance tells which
-    silhouette was taken.
-    """
-    if len(seeds) < 5:
-        raise ValueError("Label stability needs at least five seeds.")
-    rows = data.count()
-    for k in k_values:
-        if k < 2 or k >= rows:
-            raise ValueError(f"k={k} does not fit {rows} rows.")
-    models = fit_all(data, [(k, s) for k in k_values for s in seeds], n_init)
 
-    def judge(k: int):
-        names = [f"_label_{s}" for s in seeds]
-        labelled = data.withColumns({name: nearest(models[k, s]) for s, name in zip(seeds, names)})
+def judge(
+    data: DataFrame, models: dict[tuple[int, int], Fit], k_values=K_VALUES, seeds=SEEDS, squared: bool = False, workers: int = 8
+) -> DataFrame:
+    """One row per k: quality of the first seed's model, agreement of all seeds' labels."""
+    labelled = _with_labels(data, models)
+    first = {k: f"label_{k}_{seeds[0]}" for k in k_values}
+    scores = {}
+    if not squared:
+        scores = {r["labelling"]: r["silhouette_score"] for r in silhouettes(labelled, list(first.values()), SCALED).collect()}
+
+    def one(k: int):
+        names = [f"label_{k}_{s}" for s in seeds]
         agreement = adjusted_rand(labelled, names).agg(
             F.avg("adjusted_rand"), F.min("adjusted_rand"), F.count(F.lit(1))
         ).first()
-        return label_quality(labelled, names[0], exact_silhouette), agreement
+        return label_quality(labelled, first[k], scores.get(first[k])), agreement
 
     with ThreadPoolExecutor(workers) as pool:
-        judged = list(pool.map(judge, k_values))
+        judged = list(pool.map(one, k_values))
     result, previous = [], None
     for k, (q, agreement) in zip(k_values, judged):
         drop = None if previous is None else 100 * (previous - q["inertia"]) / previous
@@ -507,12 +619,42 @@ def evaluate_k(
                 k, q["inertia"], drop, q["silhouette_score"], q["calinski_harabasz_score"],
                 q["davies_bouldin_score"], q["minimum_cluster_count"],
                 q["minimum_cluster_share_pct"], agreement[0], agreement[1], len(seeds), agreement[2],
-                "euclidean" if exact_silhouette else "squared_euclidean", seeds[0],
+                "squared_euclidean" if squared else "euclidean", seeds[0],
             )
         )
     return data.sparkSession.createDataFrame(result, EVALUATION_SCHEMA)
 
 
+@dataclass(frozen=True)
+class Evaluation:
+    """The rows that were fitted, one row per k, and the models behind these rows."""
+
+    data: DataFrame
+    frame: DataFrame
+    models: dict[tuple[int, int], Fit]
+    seeds: tuple[int, ...]
+
+
+def evaluate(data: DataFrame, k_values=K_VALUES, seeds=SEEDS, n_init: int = N_INIT, squared: bool = False) -> Evaluation:
+    """Fit and judge every k over a ``training_table``. All fits share their scans.
+
+    The silhouette is the Euclidean one, or the linear one on squared distances;
+    the column silhouette_distance tells which.
+    """
+    if len(seeds) < 5:
+        raise ValueError("Label stability needs at least five seeds.")
+    rows = data.count()
+    for k in k_values:
+        if k < 2 or k >= rows:
+            raise ValueError(f"k={k} does not fit {rows} rows.")
+    models = fit_all(data, [(k, s) for k in k_values for s in seeds], n_init)
+    return Evaluation(data, judge(data, models, k_values, seeds, squared), models, tuple(seeds))
+
+
+def evaluate_k(data: DataFrame, k_values=K_VALUES, seeds=SEEDS, n_init: int = N_INIT, squared: bool = False) -> DataFrame:
+    return evaluate(data, k_values, seeds, n_init, squared).frame
+
+
 # Metric behind each rank, and whether less is better.
 _RANKINGS = {
     "rank_silhouette": ("silhouette_score", False),
@@ -765,15 +907,22 @@ def build_clusters(
     k_values=K_VALUES,
     seeds=SEEDS,
     n_init: int = N_INIT,
-    exact_silhouette: bool = False,
+    squared: bool = False,
+    evaluated: Evaluation | None = None,
 ) -> dict[str, DataFrame]:
-    """Assignments, evaluation, profiles, labels and crosstab of one run."""
-    check_input(rfm)
-    data = training_table(rfm)
-    evaluation = select_k(evaluate_k(data, k_values, seeds, n_init, exact_silhouette))
+    """Assignments, evaluation, profiles, labels and crosstab of one run.
+
+    The assignment is the model that was evaluated for ``k``. An evaluation of
+    the same rows may be handed in; nothing is fitted then.
+    """
+    if evaluated is None:
+        check_input(rfm)
+        evaluated = evaluate(training_table(rfm), k_values, seeds, n_init, squared)
+    evaluation = select_k(evaluated.frame)
     metric_optimal_k(evaluation)
     evaluation = choose_k(evaluation, k)
-    clusters = pin(assign(data, fit(data, k, seeds[0], n_init)).drop("features", *SCALED))
+    model = evaluated.models[k, evaluated.seeds[0]]
+    clusters = pin(assign(evaluated.data, model).drop("features", *SCALED))
     profiles = pin(cluster_profiles(clusters, home))
     labels = pin(cluster_labels(profiles))
     check_labels(labels, k)

@@ -838,12 +838,52 @@ add("k_selection", [*BINNED, *[quality(f"z{k}", f"all_{k}") for k in KS], EVALUA
 # Fits have no SQL form; what must hold of any fit has.
 PEOPLE_COUNT = "(SELECT COUNT(*) FROM rfm)"
 add("kmeans_assign", [LINES, RFM], f"SELECT {PEOPLE_COUNT} AS customers, {PEOPLE_COUNT} AS distinct_customers, 4 AS clusters, 0 AS not_nearest, 0 AS order_violations")
-add("k_evaluation", [], """SELECT k, 5 AS stability_seed_count, 10 AS stability_pair_count, 'squared_euclidean' AS silhouette_distance, 42 AS seed, TRUE AS inertia_falls,
-  TRUE AS scores_in_range, TRUE AS share_agrees, TRUE AS gates_agree, TRUE AS only_eligible_ranked FROM (SELECT unnest(range(2, 11)) AS k)""")
+STATED = ("sp AS (SELECT *, (x1 + x2 - x0) / 3 AS p FROM sc0),\nsc AS MATERIALIZED (SELECT *, " + ", ".join(
+    f"LEAST({k - 1}, GREATEST(0, CAST(floor((p - ({-1.5 + 1.5 / k + 0.02 * i!r})) / {3 / k!r} + 0.5) AS INTEGER))) AS st{i}_{k}"
+    for k in KS for i in range(5)) + " FROM sp)")
+APART = "ap AS MATERIALIZED (SELECT a.customer_id AS u, b.customer_id AS v, sqrt(" + " + ".join(
+    f"(a.x{i} - b.x{i}) * (a.x{i} - b.x{i})" for i in range(3)) + ") AS d FROM sc a, sc b)"
+
+
+def euclidean(k: int) -> str:
+    """CTEs for the mean Euclidean silhouette of the first stated labelling with k centres."""
+    lab = f"st0_{k}"
+    return f"""e{k}n AS (SELECT {lab} AS lab, COUNT(*) AS size FROM sc GROUP BY 1),
+e{k}s AS (SELECT u, {lab} AS lab, SUM(d) AS t FROM ap JOIN sc ON customer_id = v GROUP BY 1, 2),
+e{k}p AS (SELECT u, MAX(t / NULLIF(c.size - 1, 0)) FILTER (s.lab = {lab}) AS a, MAX(c.size) FILTER (s.lab = {lab}) AS size, MIN(t / c.size) FILTER (s.lab <> {lab}) AS b
+  FROM e{k}s s JOIN e{k}n c ON c.lab = s.lab JOIN sc ON customer_id = u GROUP BY u),
+e{k} AS (SELECT AVG(CASE WHEN size = 1 THEN 0 ELSE COALESCE((b - a) / GREATEST(a, b), 0) END) AS sil FROM e{k}p)"""
+
+
+SCORES = "sv AS (" + " UNION ALL ".join(
+    f"""SELECT {k} AS k, q.inertia, sil, ch, db, smallest, share, r.mean_ari, r.least_ari FROM (SELECT * FROM y{k}ch) q, y{k}db, e{k},
+  (SELECT AVG(ari) AS mean_ari, MIN(ari) AS least_ari FROM ({' UNION ALL '.join(rand_index(f'{a}{b}', f'st{a}_{k}', f'st{b}_{k}') for a, b in combinations(range(5), 2))})) r"""
+    for k in KS) + (
+    "), ss AS (SELECT *, 100 * (LAG(inertia) OVER (ORDER BY k) - inertia) / LAG(inertia) OVER (ORDER BY k) AS falls, "
+    "COALESCE(share >= 2 AND mean_ari >= 0.80, FALSE) AS eligible FROM sv)")
+STATED_SCORES = [LINES, RFM, LOGGED, SCALED.replace("sc AS", "sc0 AS").replace("FROM sc)", "FROM sc0)"), STATED, APART,
+                 *[quality(f"y{k}", f"st0_{k}") for k in KS], *[euclidean(k) for k in KS], SCORES]
+add("k_scores", [*STATED_SCORES,
+    """sr AS (SELECT *, CASE WHEN eligible THEN RANK() OVER (PARTITION BY eligible ORDER BY sil DESC) END AS r1,
+      CASE WHEN eligible THEN RANK() OVER (PARTITION BY eligible ORDER BY ch DESC) END AS r2, CASE WHEN eligible THEN RANK() OVER (PARTITION BY eligible ORDER BY db) END AS r3,
+      CASE WHEN eligible THEN RANK() OVER (PARTITION BY eligible ORDER BY mean_ari DESC) END AS r4 FROM ss)"""],
+    """SELECT k, round(inertia, 5) AS inertia, round(falls, 5) AS inertia_reduction_from_previous_k_pct, round(sil, 5) AS silhouette_score, round(ch, 5) AS calinski_harabasz_score,
+  round(db, 5) AS davies_bouldin_score, smallest AS minimum_cluster_count, round(share, 5) AS minimum_cluster_share_pct, round(mean_ari, 5) AS mean_pairwise_ari,
+  round(least_ari, 5) AS minimum_pairwise_ari, 5 AS stability_seed_count, 10 AS stability_pair_count, 'euclidean' AS silhouette_distance, 42 AS seed, eligible,
+  r1 AS rank_silhouette, r2 AS rank_calinski_harabasz, r3 AS rank_davies_bouldin, r4 AS rank_stability, r1 + r2 + r3 + r4 AS selection_rank_sum,
+  eligible AND ROW_NUMBER() OVER (PARTITION BY eligible ORDER BY r1 + r2 + r3 + r4, sil DESC, db, k) = 1 AS metric_optimal FROM sr""")
+add("k_evaluation", STATED_SCORES, """SELECT k, 5 AS stability_seed_count, 10 AS stability_pair_count, 'euclidean' AS silhouette_distance, 42 AS seed, TRUE AS inertia_falls,
+  TRUE AS scores_in_range, TRUE AS share_agrees, TRUE AS gates_agree, TRUE AS only_eligible_ranked, TRUE AS cheaper_than_stated, round(inertia, 5) AS stated_inertia,
+  round(sil, 5) AS stated_silhouette_score, round(mean_ari, 5) AS stated_mean_pairwise_ari, smallest AS stated_minimum_cluster_count FROM ss""")
 add("k_metrics", [LINES, RFM], f"SELECT {PEOPLE_COUNT} AS customers, 4 AS clusters, TRUE AS calinski_harabasz, TRUE AS inertia, TRUE AS smallest, TRUE AS adjusted_rand")
-add("cluster_gates", [], "SELECT unnest(['customer_count', 'missing_clustering_features', 'one_assignment_per_customer', 'cluster_counts_reconcile', "
-    "'metric_optimal_benchmark', 'final_clusters', 'recorded_seed', 'stability_metrics', 'minimum_cluster_share', 'business_labels', "
-    "'monetary_value_reconciliation']) AS gate, TRUE AS passed")
+add("cluster_gates", [LINES, RFM], """SELECT gate, CAST(actual AS DOUBLE) AS actual, TRUE AS passed FROM (
+  SELECT 'customer_count' AS gate, COUNT(*)::DOUBLE AS actual FROM rfm
+  UNION ALL SELECT 'missing_clustering_features', COUNT(*) FILTER (recency_days IS NULL OR frequency_orders IS NULL OR monetary_value_gbp IS NULL) FROM rfm
+  UNION ALL SELECT 'one_assignment_per_customer', COUNT(*) - COUNT(DISTINCT customer_id) FROM rfm
+  UNION ALL SELECT 'cluster_counts_reconcile', COUNT(*) FROM rfm
+  UNION ALL SELECT 'recorded_seed', 42
+  UNION ALL SELECT 'monetary_value_reconciliation', CAST(SUM(revenue) AS DOUBLE) FROM rfm
+  UNION ALL SELECT unnest(['metric_optimal_benchmark', 'final_clusters', 'stability_metrics', 'minimum_cluster_share', 'business_labels']), NULL)""")
 add("build_clusters", [LINES, RFM], f"""SELECT COUNT(*) AS customers, {dbl('SUM(revenue)')} AS value, COUNT(*) AS profiled_customers, TRUE AS profiles_are_k,
   COUNT(*) AS crossed_customers, TRUE AS crosstab_is_full, 9 AS candidates, 1 AS chosen FROM rfm""")
 

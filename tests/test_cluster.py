@@ -3,6 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from basketry.operators import cells, silhouette
 from basketry.plans import cluster
 
 
@@ -92,12 +93,137 @@ def brute_silhouette(x, labels):
     return float(np.mean(scores))
 
 
-@pytest.mark.parametrize("tile", [17, 64, 2048])
-def test_exact_silhouette_by_tiles(data, tile):
-    third = data.withColumn("lab", F.when(F.col("customer_id") == "k0", 4).otherwise(F.col("truth")))
-    frame = third.select("lab", *cluster.SCALED).toPandas()
-    want = brute_silhouette(frame[cluster.SCALED].to_numpy(), frame["lab"].to_numpy())
-    assert cluster.silhouette_euclidean(third, "customer_id", "lab", tile=tile).first()[0] == pytest.approx(want, abs=1e-12)
+@pytest.fixture(scope="module")
+def clouds(spark):
+    """Rows in uneven clouds, a few equal ones and a far group; their coordinates, and four labellings."""
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(0, 1, (900, 3)), rng.normal(2.5, 0.5, (700, 3)), np.full((30, 3), 1.0), rng.normal(40, 0.1, (20, 3))])
+    labels = {
+        "side": (x[:, 0] > 1).astype(int), "turn": np.arange(len(x)) % 3, "one": np.zeros(len(x), dtype=int),
+        "apart": np.where(x[:, 0] > 20, 9, np.where(np.arange(len(x)) == 5, 4, 2)),
+    }
+    columns = {**{f"z{i}": x[:, i] for i in range(3)}, **labels}
+    return spark.createDataFrame(pd.DataFrame(columns)).repartition(4), x, labels
+
+
+@pytest.mark.parametrize("near, fan_bits, tile", [(0.0, 6, 1024), (0.25, 1, 64), (0.25, 2, 128), (0.25, 6, 1024)])
+def test_silhouettes_by_the_tree(clouds, monkeypatch, near, fan_bits, tile):
+    df, x, labels = clouds
+    monkeypatch.setattr(cells, "TILE", tile)
+    got = {r[0]: r for r in silhouette.silhouettes(df, list(labels), ["z0", "z1", "z2"], near, fan_bits).collect()}
+    for name, own in labels.items():
+        want = 0.0 if name == "one" else brute_silhouette(x, own)
+        off = abs(got[name]["silhouette_score"] - want)
+        assert off < 1e-7 and off <= got[name]["error_bound"] + 1e-12
+        assert got[name]["error_bound"] < 1e-4
+    if near == 0:
+        assert all(r["error_bound"] == 0 for r in got.values())
+
+
+def test_moments_stand_for_far_rows():
+    rng = np.random.default_rng(8)
+    y, w, x = rng.normal(0, 0.2, (40, 3)), rng.integers(1, 5, 40).astype(float), rng.normal(0, 1, (25, 3)) + 4
+    sums = silhouette.moments(y, w)
+    want = (np.sqrt(((x[:, None] - y[None]) ** 2).sum(-1)) * w).sum(1)
+    d, radius = np.sqrt((x * x).sum(1)), np.sqrt((y * y).sum(1)).max()
+    bound = 2 / 9 * sums[-1] / d**4 / (1 - radius / d)
+    off = np.abs(silhouette.expansion(x) @ sums[:-1] - want)
+    assert (off <= bound).all() and off.max() < 1e-3
+
+
+def test_silhouettes_of_no_rows(clouds):
+    df, _, labels = clouds
+    assert silhouette.silhouettes(df.limit(0), ["side"], ["z0", "z1", "z2"]).count() == 0
+    few = df.limit(0).unionByName(df.limit(1))
+    assert silhouette.silhouettes(few, ["side"], ["z0", "z1", "z2"]).first()["silhouette_score"] == 0
+
+
+# Cells, starts and steps
+
+
+@pytest.fixture(scope="module")
+def grouped(spark):
+    """A third of the rows share one vector, the others lie in two wide clouds."""
+    rng = np.random.default_rng(12)
+    x = np.concatenate([np.zeros((1000, 3)), rng.normal(1, 1, (1200, 3)), rng.normal(-2, 0.7, (800, 3))])
+    return spark.createDataFrame(pd.DataFrame(x, columns=cluster.SCALED)).repartition(5), x
+
+
+def test_cells_hold_every_row(grouped, monkeypatch):
+    df, x = grouped
+    monkeypatch.setattr(cells, "TILE", 128)
+    table = cells.build_cells(df, cluster.SCALED)
+    assert table.agg(F.sum(F.aggregate("w", F.lit(0.0), lambda a, b: a + b))).first()[0] == len(x)
+    assert table.agg(F.sum(F.size("w"))).first()[0] == 2001
+    found = list(cells.tiles(table.select("*").toArrow().to_batches(), 3))
+    assert all(t.sizes.max() <= cells.LEAF and len(t.x) <= 128 for t in found)
+    want = {tuple(r) for r in x}
+    assert {tuple(r) for t in found for r in t.x} == want
+    spread = [np.prod(np.maximum(t.x.max(0) - t.x.min(0), 1e-9)) for t in found]
+    assert np.median(spread) < 0.2 * np.prod(x.max(0) - x.min(0))
+
+
+def test_steps_over_cells_are_those_over_rows(grouped, monkeypatch):
+    df, x = grouped
+    rng = np.random.default_rng(1)
+    models = [x[rng.choice(len(x), k)] + rng.normal(0, 0.01, (k, 3)) for k in (2, 3, 3, 5, 8) for _ in range(3)]
+    table = cells.build_cells(df, cluster.SCALED)
+    sums, costs = cluster._step(table, models)
+    at = 0
+    for model, cost in zip(models, costs):
+        d = ((x[:, None] - model[None]) ** 2).sum(-1)
+        own = d.argmin(1)
+        assert cost == pytest.approx(d.min(1).sum(), rel=1e-9)
+        for c in range(len(model)):
+            assert sums[at + c, 0] == (own == c).sum()
+            np.testing.assert_allclose(sums[at + c, 1:], x[own == c].sum(0), atol=1e-9)
+        at += len(model)
+
+
+def test_most_leaves_are_settled_as_a_whole():
+    rng = np.random.default_rng(2)
+    x = rng.normal(0, 1, (1024, 3))
+    order, first = cells.split_leaves(x)
+    tile = cells.Tile(0, 0, x[order], np.ones(len(x)), first)
+    model = np.array([[[-3.0, 0, 0], [3.0, 0, 0]]])
+    n, _, _ = cluster._leaf_sums(tile, model)
+    assert n.tolist() == [(x[:, 0] <= 0).sum(), (x[:, 0] > 0).sum()]
+    crossed = ((tile.low[:, 0] <= 0) & (tile.high[:, 0] >= 0)).sum()
+    assert crossed < 0.6 * len(first)
+
+
+def test_a_far_group_gets_a_centre(spark):
+    """One row in 50 000 lies far away: starts that see all rows put a centre there."""
+    rows = spark.range(0, 50_000, 1, 8)
+    near = [((F.col("id") * f) % 1009 / 1009.0).alias(c) for f, c in zip((17, 31, 47), cluster.SCALED)]
+    df = rows.select(*near).unionByName(spark.createDataFrame([(60.0, 60.0, 60.0)], cluster.SCALED))
+    for model in cluster.fit_all(df, [(3, 1), (3, 2)], n_init=6).values():
+        assert np.abs(model.centres - 60.0).max(axis=1).min() < 1e-6
+
+
+def test_starts_do_not_depend_on_the_layout(grouped):
+    df, _ = grouped
+    one, other = (cluster.fit(df.repartition(p), 4, 9, 2) for p in (1, 7))
+    np.testing.assert_allclose(one.centres, other.centres, atol=1e-9)
+
+
+def test_an_evaluation_is_used_again(blobs, monkeypatch):
+    rfm = blobs
+    done = cluster.evaluate(cluster.training_table(rfm), (2, 3, 4), n_init=2)
+
+    def never(*args, **kwargs):
+        raise AssertionError("fitted twice")
+
+    monkeypatch.setattr(cluster, "fit_all", never)
+    monkeypatch.setattr(cluster, "check_labels", lambda *a: None)
+    built = cluster.build_clusters(rfm, "Utopia", 3, evaluated=done)
+    assert built["customer_clusters"].groupBy("cluster_id").count().where("count = 64").count() == 3
+    distances = {r["silhouette_distance"] for r in built["k_evaluation"].collect()}
+    assert distances == {"euclidean"}
+    x = done.data.select(*cluster.SCALED).toPandas().to_numpy()
+    for row in done.frame.collect():
+        own = ((x[:, None] - done.models[row["k"], 42].centres[None]) ** 2).sum(-1).argmin(1)
+        assert row["silhouette_score"] == pytest.approx(brute_silhouette(x, own), abs=1e-6)
 
 
 def test_calinski_harabasz_and_davies_bouldin(data):
