@@ -12,14 +12,17 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from basketry.schema import require_columns
 from basketry.session import pin
 
 _PARTITION_BITS = 33
-_HOT = 1000
 
 
 def _place(df: DataFrame, order_by: list, wide: bool = False) -> DataFrame:
@@ -107,12 +110,6 @@ def ntile_bin(rank: Column, n: Column, q: int) -> Column:
     )
 
 
-def _unpivot(df: DataFrame, keys: list[str], columns: list[str], name: str) -> DataFrame:
-    return df.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
-        keys, columns, name, "_value"
-    )
-
-
 def metric_ranks(df: DataFrame, key: str, metrics: dict[str, tuple[str, bool]]) -> DataFrame:
     """Unique rank 1..n of every row under several metrics, in one sort.
 
@@ -149,45 +146,116 @@ def metric_ranks(df: DataFrame, key: str, metrics: dict[str, tuple[str, bool]])
 def average_ranks(
     df: DataFrame, key: str, features: list[str], prefix: str = "rank_"
 ) -> DataFrame:
-    """Tie-shared ranks of several features: start + (count + 1) / 2 per value.
+    """Tie-shared ranks of several features: rows before the value + (its rows + 1) / 2.
 
-    Works on the histogram of distinct values, then joins the ranks back. Values
-    held by more than one row in ``_HOT`` of their feature are joined apart: there
-    are at most ``_HOT`` of them per feature, so they are broadcast, and no shuffle
-    gathers their rows.
+    One sort of all features. A sorted partition knows the runs of equal values
+    inside it; only its first and its last run may go on next door, so their
+    lengths are handed over first, two numbers a partition. A value that many
+    rows hold fills whole partitions, and its rows pass without being gathered.
     """
-    long = _unpivot(df, [key], features, "_feature").where(F.col("_value").isNotNull())
-    histogram = long.groupBy("_feature", "_value").agg(F.count(F.lit(1)).alias("_count"))
-    totals = running_total(histogram, ["_feature", "_value"], "_count")
-    # Bounded: one row per feature.
-    starts = totals.groupBy("_feature").agg(F.min("before").alias("_start"))
-    ranks = totals.join(F.broadcast(starts), "_feature").select(
-        "_feature",
-        "_value",
-        (F.col("before") - F.col("_start") + (F.col("_count") + 1) / 2).alias("_rank"),
-        "_count",
+    kind = df.schema[key].dataType
+    values = F.array(*[F.col(c).cast("double") for c in features])
+    long = df.select(F.col(key).alias("_key"), F.posexplode(values).alias("_feature", "_value")).where(
+        F.col("_value").isNotNull()
     )
-    ranks = pin(ranks)
-    sizes = ranks.groupBy("_feature").agg(F.sum("_count").alias("_rows"))
-    hot = F.col("_count") * _HOT > F.col("_rows")
-    marked = ranks.join(F.broadcast(sizes), "_feature").withColumn("_hot", hot)
-    few = marked.where("_hot").select("_feature", "_value", F.col("_rank").alias("_hot_rank"))
-    rest = marked.where("NOT _hot").select("_feature", "_value", "_rank")
-    matched = long.join(F.broadcast(few), ["_feature", "_value"], "left")
-    common = matched.where(F.col("_hot_rank").isNotNull()).withColumnRenamed("_hot_rank", "_rank")
-    rare = matched.where(F.col("_hot_rank").isNull()).drop("_hot_rank").join(rest, ["_feature", "_value"])
+    rows = pin(long.select("_key", "_feature", (F.col("_value") + F.lit(0.0)).alias("_value")).orderBy("_feature", "_value", "_key"))
+    edges = rows.select("_feature", "_value").mapInArrow(
+        _partition_edges, "part int, feature int, n long, first double, n_first long, last double, n_last long"
+    )
+    # Bounded: a row for each sorted partition, and one more for each feature.
+    starts, borders = _borders(edges.collect())
+    sent = df.sparkSession.sparkContext.broadcast((starts, borders))
+
+    def run(batches):
+        yield from _ranked(batches, *sent.value)
+
+    schema = T.StructType([T.StructField("_key", kind), T.StructField("_feature", T.IntegerType()), T.StructField("_rank", T.DoubleType())])
     return (
-        common.unionByName(rare)
-        .groupBy(key)
-        .agg(
-            *[
-                F.max(F.when(F.col("_feature") == f, F.col("_rank"))).alias(prefix + f)
-                for f in features
-            ]
-        )
+        rows.mapInArrow(run, schema)
+        .groupBy(F.col("_key").alias(key))
+        .agg(*[F.max(F.when(F.col("_feature") == i, F.col("_rank"))).alias(prefix + f) for i, f in enumerate(features)])
     )
 
 
+def _runs(feature: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """First position of every run of equal values of a feature."""
+    new = np.ones(len(value), dtype=bool)
+    new[1:] = (feature[1:] != feature[:-1]) | (value[1:] != value[:-1])
+    return np.flatnonzero(new)
+
+
+def _partition_edges(batches):
+    """Per feature of a sorted partition: its rows, and its first and last value with their rows."""
+    part, found = TaskContext.get().partitionId(), {}
+    for batch in batches:
+        feature, value = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("_feature", "_value"))
+        first = _runs(feature, value)
+        for at, size in zip(first.tolist(), np.diff(np.append(first, len(value))).tolist()):
+            f, v = int(feature[at]), float(value[at])
+            e = found.setdefault(f, [0, v, 0, v, 0])
+            e[0] += size
+            e[2] += size if v == e[1] else 0
+            e[3], e[4] = v, size + (e[4] if v == e[3] else 0)
+    names = ("part", "feature", "n", "first", "n_first", "last", "n_last")
+    types = (pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.int64(), pa.float64(), pa.int64())
+    table = [(part, f, *e) for f, e in found.items()]
+    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in table], t) for i, t in enumerate(types)], names=names)
+
+
+def _borders(edges) -> tuple[dict, dict]:
+    """Rows of a feature before each partition; and of each value at a border, the rows before it and its rows."""
+    starts, borders, before = {}, {}, {}
+    for e in sorted(edges, key=lambda e: (e["feature"], e["part"])):
+        f = e["feature"]
+        at = before.get(f, 0)
+        starts[e["part"], f] = at
+        ends = [(e["first"], at, e["n_first"])]
+        if e["last"] != e["first"]:
+            ends.append((e["last"], at + e["n"] - e["n_last"], e["n_last"]))
+        for v, start, n in ends:
+            known = borders.setdefault((f, v), (start, 0))
+            borders[f, v] = (known[0], known[1] + n)
+        before[f] = at + e["n"]
+    return starts, borders
+
+
+def _ranked(batches, starts: dict, borders: dict):
+    """``_key, _feature, _rank`` of a sorted partition; holds the rows of one run that lies within it, and no more."""
+    part, seen, held = TaskContext.get().partitionId(), {}, None
+
+    def ranks(feature, value, last: bool):
+        first = _runs(feature, value)
+        sizes = np.diff(np.append(first, len(value)))
+        rank = np.empty(len(value))
+        for at, size in zip(first.tolist(), sizes.tolist()):
+            f, v = int(feature[at]), float(value[at])
+            border = borders.get((f, v))
+            if border is None and not last and at + size == len(value):
+                return rank[:at], at
+            start, n = border or (starts[part, f] + seen.get(f, 0), size)
+            rank[at : at + size] = start + (n + 1) / 2
+            seen[f] = seen.get(f, 0) + size
+        return rank, len(value)
+
+    def told(table, last):
+        feature, value = (table.column(c).to_numpy() for c in ("_feature", "_value"))
+        rank, done = ranks(feature, value, last)
+        keys = pa.concat_arrays([pa.array([], table.schema.field("_key").type), *table.slice(0, done).column("_key").chunks])
+        out = pa.RecordBatch.from_arrays([keys, pa.array(feature[:done], pa.int32()), pa.array(rank)], names=["_key", "_feature", "_rank"])
+        return out, table.slice(done)
+
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        out, held = told(pa.concat_tables([held, table]) if held is not None and held.num_rows else table, False)
+        yield out
+    if held is not None and held.num_rows:
+        yield told(held, True)[0]
+
+
+#: Places a sketch may be off by, as a share of the rows, and the margin taken on either side.
+SKETCH_ACCURACY, MARGIN = 10_000, 3
+
+
 def exact_quantiles(
     df: DataFrame,
     groups: list[str],
@@ -195,73 +263,79 @@ def exact_quantiles(
 ) -> DataFrame:
     """Exact linear-interpolated quantiles per group, as one row per group.
 
-    ``wanted`` maps an output column to (measure, probability). Counts of
-    distinct values replace the per-group value map of the built-in exact
-    percentile, which has to fit one task. Missing values are left out; a
-    group without any value is absent, and with no groups one row comes back.
+    ``wanted`` maps an output column to (measure, probability). A mergeable
+    sketch gives two values that a quantile lies between; one pass counts the
+    rows below them and the rows of each value inside, and the value at the wanted
+    place is read off these counts. Both passes combine on the map side, nothing
+    is sorted as a whole, and only a few rows in ten thousand become counts of
+    their own. Should a place lie outside the sketch's values the run stops.
+    Missing values are left out; a group without any value is absent, and with
+    no groups one row comes back.
     """
     require_columns(df, [*groups, *{m for m, _ in wanted.values()}], "Quantile input")
-    measures = list(dict.fromkeys(m for m, _ in wanted.values()))
-    code = {m: i for i, m in enumerate(measures)}
-    values = F.explode(
+    places = list(dict.fromkeys(wanted.values()))
+    margin = MARGIN / SKETCH_ACCURACY
+
+    def bracket(measure: str, p: float) -> str:
+        ends = f"array({max(0.0, p - margin)!r}D, {min(1.0, p + margin)!r}D)"
+        return f"percentile_approx(CAST(`{measure}` AS DOUBLE), {ends}, {SKETCH_ACCURACY})"
+
+    brackets = [F.expr(bracket(m, p)).alias(f"_b{j}") for j, (m, p) in enumerate(places)]
+    if groups:
+        # One row per group; Spark decides by their size, and splits hot groups.
+        sketched = df.groupBy(*groups).agg(*brackets)
+        renamed = sketched.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)], *[f"_b{j}" for j in range(len(places))])
+        same = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(groups)])
+        measures = {m: f"_v{i}" for i, m in enumerate(dict.fromkeys(m for m, _ in places))}
+        narrow = df.select(*groups, *[F.col(m).cast("double").alias(v) for m, v in measures.items()])
+        met, between = narrow.join(renamed, same), [F.col(f"_b{j}") for j in range(len(places))]
+    else:
+        measures = {m: m for m, _ in places}
+        both = df.agg(F.struct(*brackets).alias("s")).scalar()
+        met, between = df, [both[f"_b{j}"] for j in range(len(places))]
+    rows = F.explode(
         F.array(
             *[
-                F.struct(F.lit(i).alias("_measure"), F.col(m).cast("double").alias("_value"))
-                for m, i in code.items()
+                F.struct(F.lit(j).alias("j"), F.col(measures[m]).cast("double").alias("v"), between[j].alias("b"))
+                for j, (m, _) in enumerate(places)
             ]
         )
     )
-    histogram = (
-        df.select(*groups, values.alias("_v"))
-        .select(*groups, "_v._measure", "_v._value")
-        .where(F.col("_value").isNotNull())
-        .groupBy(*groups, "_measure", "_value")
-        .agg(F.count(F.lit(1)).alias("_count"))
-    )
-    totals = running_total(histogram, [*groups, "_measure", "_value"], "_count")
-    blocks = totals.groupBy(*groups, "_measure").agg(
-        F.min("before").alias("_start"), F.sum("_count").alias("_n")
-    )
-    renamed = blocks.select(
-        *[F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)],
-        F.col("_measure").alias("_bm"),
-        "_start",
-        "_n",
-    )
-    same_block = reduce(
-        lambda a, b: a & b,
-        [F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(groups)],
-        F.col("_measure") == F.col("_bm"),
+    side = F.expr("CASE WHEN _r.v < _r.b[0] THEN -1 WHEN _r.v <= _r.b[1] THEN 0 ELSE 1 END")
+    counted = (
+        met.select(*groups, rows.alias("_r"))
+        .where("_r.v IS NOT NULL")
+        .select(*groups, F.col("_r.j").alias("_j"), F.col("_r.v").alias("_v"), side.alias("_side"))
+        .groupBy(*groups, "_j", "_side", F.expr("CASE WHEN _side = 0 THEN _v END").alias("_value"))
+        .agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_least"), F.max("_v").alias("_most"))
     )
-    # One block per group and measure; without groups, one per measure. With
-    # groups Spark decides by the real size and splits hot groups.
-    blocks_side = renamed if groups else F.broadcast(renamed)
-    placed = totals.join(blocks_side, same_block).withColumn(
-        "_first", F.col("before") - F.col("_start")
+    # Bounded: the values of one group between its two ends.
+    own = Window.partitionBy(*groups, "_j")
+    upto = own.orderBy("_side", "_value")
+    chance = "element_at(array(" + ", ".join(f"{float(p)!r}D" for _, p in places) + "), _j + 1)"
+    placed = counted.withColumns(
+        {
+            "_first": F.coalesce(F.sum("_n").over(upto.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+            "_h": (F.sum("_n").over(own) - 1) * F.expr(chance),
+        }
     )
 
-    # SQL text here: many small expressions are slow to build one by one.
-    def position(p: float) -> str:
-        return f"((_n - 1) * {float(p)!r}D)"
-
-    def holds(index: str) -> str:
-        return f"(_first <= {index} AND {index} < _first + _count)"
+    def value_at(place: str) -> Column:
+        """The value at a place, where this row holds it."""
+        return F.expr(
+            f"""CASE WHEN _first <= {place} AND {place} < _first + _n THEN
+            CASE WHEN _side = 0 THEN _value WHEN _side < 0 AND {place} = _n - 1 THEN _most WHEN _side > 0 AND {place} = _first THEN _least
+            ELSE CAST(raise_error('a quantile lies outside the values of its sketch') AS DOUBLE) END END"""
+        )
 
-    probabilities = sorted({p for _, p in wanted.values()})
-    picked = placed.where(
-        " OR ".join(holds(f"{f}({position(p)})") for p in probabilities for f in ("floor", "ceil"))
-    )
+    ends = placed.select(*groups, "_j", "_h", value_at("floor(_h)").alias("_lo"), value_at("ceil(_h)").alias("_hi"))
     parts, results = [], []
-    for i, (out, (measure, p)) in enumerate(wanted.items()):
-        h, own = position(p), f"_measure = {code[measure]}"
-        parts += [
-            F.expr(f"max(CASE WHEN {own} AND {holds(f'floor({h})')} THEN _value END) AS _lo{i}"),
-            F.expr(f"max(CASE WHEN {own} AND {holds(f'ceil({h})')} THEN _value END) AS _hi{i}"),
-            F.expr(f"max(CASE WHEN {own} THEN {h} - floor({h}) END) AS _part{i}"),
-        ]
-        results.append(F.expr(f"_lo{i} + (_hi{i} - _lo{i}) * _part{i}").alias(out))
-    aggregated = picked.groupBy(*groups).agg(*parts) if groups else picked.agg(*parts)
-    return aggregated.select(*groups, *results)
+    for out, place in wanted.items():
+        j = places.index(place)
+        parts += [F.expr(f"max(CASE WHEN _j = {j} THEN {e} END) AS `{out}{e}`") for e in ("_lo", "_hi", "_h")]
+        results.append(F.expr(f"`{out}_lo` + (`{out}_hi` - `{out}_lo`) * (`{out}_h` - floor(`{out}_h`))").alias(out))
+    found = ends.groupBy(*groups).agg(*parts) if groups else ends.agg(*parts)
+    return found.select(*groups, *results)
 
 
 def holm(df: DataFrame, family: str, p: str, test: str, out: str = "adjusted_p_value") -> DataFrame:

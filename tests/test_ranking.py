@@ -107,6 +107,72 @@ def test_exact_quantiles_skip_nulls_and_empty_input(spark):
     assert ranking.exact_quantiles(df.limit(0), [], {"m": ("v", 0.5)}).first()["m"] is None
 
 
+def test_quantiles_of_hot_values_nulls_and_gaps(spark):
+    """A value held by a third of all rows, groups of one and two rows, a null group, and places at the very ends."""
+    rng = np.random.default_rng(6)
+    v = np.where(rng.random(30_000) < 0.34, 7.0, rng.normal(0, 100, 30_000).round(4))
+    g = rng.choice(["a", "b", None], 30_000, p=[0.8, 0.1, 0.1])
+    data = pd.DataFrame({"g": g, "v": v, "w": -v})
+    extra = pd.DataFrame({"g": ["one", "two", "two", "none"], "v": [3.0, 1.0, 2.0, np.nan], "w": [1.0, 2.0, np.nan, np.nan]})
+    data = pd.concat([data, extra], ignore_index=True)
+    df = spark.createDataFrame(data).withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("v", "w")}).repartition(7)
+    wanted = {f"{c}_{i}": (c, p) for c in ("v", "w") for i, p in enumerate((0.0, 0.001, 0.25, 0.5, 0.66, 0.75, 0.9999, 1.0))}
+    got = {r["g"]: r for r in ranking.exact_quantiles(df, ["g"], wanted).collect()}
+    assert set(got) == {"a", "b", "one", "two", None}
+    for name, rows in data.groupby("g", dropna=False):
+        name = None if pd.isna(name) else name
+        for out, (c, p) in wanted.items():
+            if name != "none":
+                assert got[name][out] == pytest.approx(rows[c].quantile(p), rel=1e-12, abs=1e-12)
+    whole = ranking.exact_quantiles(df, [], wanted).first()
+    for out, (c, p) in wanted.items():
+        assert whole[out] == pytest.approx(data[c].quantile(p), rel=1e-12, abs=1e-12)
+
+
+@pytest.mark.parametrize("n", range(1, 9))
+def test_quantiles_of_few_rows(spark, n):
+    values = [float(i * i) for i in range(n)]
+    wanted = {f"q{i}": ("v", i / 40) for i in range(41)}
+    got = ranking.exact_quantiles(spark.createDataFrame([(v,) for v in values], "v double"), [], wanted).first()
+    for out, (_, p) in wanted.items():
+        assert got[out] == pytest.approx(pd.Series(values).quantile(p), abs=1e-12)
+
+
+def test_quantiles_sort_nothing_as_a_whole(spark, skewed):
+    df = ranking.exact_quantiles(spark.createDataFrame(skewed), ["g"], {"q": ("v", 0.5)})
+    assert "rangepartitioning" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ranks_over_many_partitions(spark):
+    """Runs of equal values that lie in one partition, end at its border, or fill several."""
+    rng = np.random.default_rng(11)
+    n = 6000
+    data = pd.DataFrame(
+        {"id": rng.permutation(n), "hot": np.where(rng.random(n) < 0.4, 5.0, rng.integers(0, 40, n)), "rare": rng.normal(0, 1, n),
+         "two": rng.integers(0, 2, n).astype(float), "gaps": np.where(rng.random(n) < 0.3, np.nan, rng.integers(0, 9, n))}
+    )
+    features = ["hot", "rare", "two", "gaps"]
+    df = spark.createDataFrame(data).withColumn("gaps", F.when(~F.isnan("gaps"), F.col("gaps")))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.execution.arrow.maxRecordsPerBatch")}
+    try:
+        for k, v in zip(before, ("13", "false", "100")):
+            spark.conf.set(k, v)
+        got = ranking.average_ranks(df, "id", features).toPandas().set_index("id").sort_index()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    want = data.set_index("id")[features].rank().sort_index()
+    for f in features:
+        pd.testing.assert_series_equal(got[f"rank_{f}"], want[f], check_names=False, check_index_type=False)
+
+
+def test_ranks_of_no_rows(spark):
+    none = spark.createDataFrame([], "id string, v double")
+    assert ranking.average_ranks(none, "id", ["v"]).count() == 0
+    some = spark.createDataFrame([("a", None), ("b", 2.0)], "id string, v double")
+    assert {r["id"]: r["rank_v"] for r in ranking.average_ranks(some, "id", ["v"]).collect()} == {"b": 1.0}
+
+
 def test_holm(spark):
     df = spark.createDataFrame([("f", "a", 0.04), ("f", "b", 0.001), ("f", "c", 0.03), ("g", "d", 0.9)], "f string, t string, p double")
     got = {r["t"]: r["adjusted_p_value"] for r in ranking.holm(df, "f", "p", "t").collect()}
