@@ -1,15 +1,19 @@
 """Slice-aware measures and detail views over the marts.
 
 Orders and customers are counted from order and customer rows, never summed
-from month marts: distinct counts do not add up over slices.
+from month marts: distinct counts do not add up over slices. Bitmaps of customers
+do, so ``slice_table`` answers any filter without the orders.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketry.functions import columns as C
+from basketry.operators.ranking import global_row_number
 
 
 def slice_by(df: DataFrame, filters: dict[str, list] | None) -> DataFrame:
@@ -106,6 +110,76 @@ def measures_by_customer_slice(
     return sales.join(people, same, "left").drop(*[f"_d{i}" for i in range(len(dims))])
 
 
+def slice_table(orders: DataFrame, customers: DataFrame, dims: list[str], traits: list[str]) -> DataFrame:
+    """Finest slices by order columns ``dims`` and customer columns ``traits``, ready for any filter and total.
+
+    Revenue, orders and units add up; customers do not, so a slice holds the bits
+    of its customers' numbers, in buckets of fixed size, and the bits of those who
+    buy repeatedly. An order lies in one slice. Orders shrink to one row per
+    customer and slice before they meet the numbers, so a very large buyer is a
+    few rows; orders without a customer have no bits.
+    """
+    revenue = F.col("order_revenue_gbp").cast("decimal(28,4)")
+    sums = orders.groupBy("customer_id", *dims).agg(
+        F.sum(revenue).alias("_revenue"), F.count_distinct("order_id").alias("_orders"), F.sum("units_sold").alias("_units")
+    )
+    known = F.col("customer_id").isNotNull()
+    ids = sums.where(known).select("customer_id").distinct().join(
+        customers.select("customer_id", F.col("is_repeat_customer").alias("_repeat"), *traits), "customer_id", "left"
+    )
+    numbered = global_row_number(ids, ["customer_id"], "_number")
+    both = sums.where(known).join(numbered, "customer_id").unionByName(sums.where(~known), allowMissingColumns=True)
+    place = F.bitmap_bit_position("_number")
+    return (
+        both.withColumns({"_bucket": F.bitmap_bucket_number("_number"), "_place": place})
+        .groupBy(*dims, *traits, "_bucket")
+        .agg(
+            F.sum("_revenue").alias("_revenue"),
+            F.sum("_orders").alias("_orders"),
+            F.sum("_units").alias("_units"),
+            F.sum(F.when(~known, F.col("_revenue"))).alias("_anonymous"),
+            F.bitmap_construct_agg("_place").alias("_customers"),
+            F.bitmap_construct_agg(F.when(F.col("_repeat"), F.col("_place"))).alias("_repeats"),
+        )
+    )
+
+
+def measures_from_slices(slices: DataFrame, dims: list[str], filters=None, totals: bool = False) -> DataFrame:
+    """Measures by any of the slices' columns under any filter on them, from the slices alone.
+
+    With ``totals`` every subset of ``dims`` is grouped by; ``grouped_by`` names
+    it, since a blank slice and a total both show as null.
+    """
+    subsets = [list(c) for n in range(len(dims), -1 if totals else len(dims) - 1, -1) for c in combinations(dims, n)]
+    label = F.concat_ws(",", *[F.when(F.grouping(d) == 0, F.lit(d)) for d in dims])
+    zero = F.lit(0).cast("decimal(38,4)")
+    merged = (
+        slice_by(slices, filters)
+        .groupingSets([[*s, "_bucket"] for s in subsets], *dims, "_bucket")
+        .agg(
+            label.alias("grouped_by"),
+            *[F.sum(c).alias(c) for c in ("_revenue", "_orders", "_units", "_anonymous")],
+            F.bitmap_count(F.bitmap_or_agg("_customers")).alias("_customers"),
+            F.bitmap_count(F.bitmap_or_agg("_repeats")).alias("_repeats"),
+        )
+    )
+    return (
+        merged.groupBy("grouped_by", *dims)
+        .agg(
+            F.sum("_revenue").alias("_revenue"),
+            F.sum("_orders").alias("total_orders"),
+            F.sum("_units").alias("units_sold"),
+            F.sum("_customers").alias("identified_customers"),
+            F.coalesce(F.sum("_anonymous"), zero).alias("_anonymous"),
+            F.sum("_repeats").alias("repeat_customers"),
+        )
+        .select(
+            "grouped_by", *dims, *_sales_output(), "repeat_customers",
+            C.ratio("repeat_customers", "identified_customers").alias("repeat_customer_rate"),
+        )
+    )
+
+
 def time_measures(orders: DataFrame, returns_month: DataFrame) -> DataFrame:
     """Month revenue against the previous calendar month, and return ratios.
 

@@ -641,6 +641,15 @@ for name, value in (("cohort_counts_wide", "active_customers"), ("cohort_retenti
 add("cohort_metadata", [LINES, COHORT], """SELECT COUNT(DISTINCT acquisition_month) AS acquisition_months, strftime(MIN(acquisition_month), '%Y-%m') AS first_acquisition_month,
   strftime(MAX(purchase_month), '%Y-%m') AS latest_purchase_month, MAX(cohort_month_index) AS max_cohort_month_index,
   strftime(MAX(purchase_month) FILTER (is_partial_period), '%Y-%m') AS partial_month FROM cohort""")
+add("customer_flow", [LINES, COHORT, """fa AS (SELECT c.purchase_month AS m, COUNT(*) AS active_customers, COUNT(*) FILTER (acquisition_month = c.purchase_month) AS new_customers,
+  COUNT(*) FILTER (p.customer_id IS NOT NULL) AS retained_customers, COUNT(*) FILTER (p.customer_id IS NULL AND acquisition_month < c.purchase_month) AS reactivated_customers
+  FROM cm c JOIN cf ON cf.customer_id = c.customer_id LEFT JOIN cm p ON p.customer_id = c.customer_id AND p.purchase_month + INTERVAL 1 MONTH = c.purchase_month GROUP BY 1)""",
+    """fl AS (SELECT CAST(p.purchase_month + INTERVAL 1 MONTH AS DATE) AS m, COUNT(*) AS lapsed_customers FROM cm p
+  LEFT JOIN cm c ON p.customer_id = c.customer_id AND p.purchase_month + INTERVAL 1 MONTH = c.purchase_month WHERE c.customer_id IS NULL GROUP BY 1)"""],
+    """SELECT month_start, COALESCE(active_customers, 0) AS active_customers, COALESCE(new_customers, 0) AS new_customers, COALESCE(retained_customers, 0) AS retained_customers,
+  COALESCE(reactivated_customers, 0) AS reactivated_customers, COALESCE(lapsed_customers, 0) AS lapsed_customers
+  FROM (SELECT CAST(UNNEST(generate_series(MIN(purchase_month), MAX(purchase_month), INTERVAL 1 MONTH)) AS DATE) AS month_start FROM cm)
+  LEFT JOIN fa ON fa.m = month_start LEFT JOIN fl ON fl.m = month_start""")
 add("retention_curve", [LINES, COHORT], f"""SELECT EXTRACT(year FROM acquisition_month) AS acquisition_year, cohort_month_index, COUNT(*) AS cohorts,
   {ratio('SUM(CAST(retention_pct AS DECIMAL(9,2)))', 'COUNT(*)')} AS mean_retention_pct FROM cohort GROUP BY 1, 2""")
 HOMEP = f"CASE WHEN primary_country = '{HOME}' THEN '{HOME}' ELSE 'International' END"
@@ -973,6 +982,12 @@ SALES_MEASURES = f"""{dbl('SUM(order_value)')} AS total_revenue, COUNT(*) AS tot
   {dbl('SUM(CASE WHEN customer_id IS NULL THEN order_value ELSE 0 END)')} AS anonymous_revenue,
   {ratio('SUM(CASE WHEN customer_id IS NULL THEN order_value ELSE 0 END)', 'SUM(order_value)')} AS anonymous_revenue_share"""
 add("measures_by_place", [LINES, ORDER_SUMMARY], f"SELECT EXTRACT(year FROM invoice_date) AS year, country, {SALES_MEASURES} FROM osum GROUP BY 1, 2")
+_GROUPED = ", ".join(f"CASE WHEN GROUPING({d}) = 0 THEN '{n}' END" for d, n in (("yr", "year"), ("country", "country"), ("seg", "rfm_segment")))
+add("measures_any_slice", [LINES, ORDER_SUMMARY, RFM, """os AS (SELECT osum.*, CAST(EXTRACT(year FROM invoice_date) AS INTEGER) AS yr, segment AS seg, r.frequency_orders AS freq
+  FROM osum LEFT JOIN (SELECT customer_id, segment, frequency_orders FROM rfm) r ON r.customer_id = osum.customer_id)"""],
+    f"""SELECT concat_ws(',', {_GROUPED}) AS grouped_by, yr AS year, country, seg AS rfm_segment, {SALES_MEASURES},
+  COUNT(DISTINCT customer_id) FILTER (freq >= 2) AS repeat_customers, {ratio('COUNT(DISTINCT customer_id) FILTER (freq >= 2)', 'COUNT(DISTINCT customer_id)')} AS repeat_customer_rate
+  FROM os GROUP BY CUBE (yr, country, seg)""")
 add("measures_by_slice", [LINES, ORDER_SUMMARY, RFM, f"""sm AS (SELECT segment AS rfm_segment, frequency_orders >= 2 AS is_repeat_customer, {SALES_MEASURES}
   FROM osum LEFT JOIN (SELECT customer_id, segment, frequency_orders FROM rfm) USING (customer_id) GROUP BY 1, 2)""",
     f"""pm AS (SELECT segment AS rfm_segment, frequency_orders >= 2 AS is_repeat_customer, COUNT(*) AS customers, COUNT(*) FILTER (frequency_orders >= 2) AS repeat_customers,

@@ -944,6 +944,14 @@ def measures_by_place(t: Tables) -> DataFrame:
     return measures.sales_measures(orders, ["year", "country"])
 
 
+def measures_any_slice(t: Tables) -> DataFrame:
+    """Year x country x segment with all totals, from bitmaps of the finest slices."""
+    orders = order_fact(t).withColumn("year", F.year("order_date"))
+    customers = t.rfm().select("customer_id", (F.col("frequency_orders") >= 2).alias("is_repeat_customer"), F.col("segment").alias("rfm_segment"))
+    slices = t._staged("slices", lambda: measures.slice_table(orders, customers, ["year", "country"], ["rfm_segment"]))
+    return measures.measures_from_slices(slices, ["year", "country", "rfm_segment"], totals=True)
+
+
 def filtered_measures(t: Tables) -> DataFrame:
     """Measures under slicer filters: two nations, the years 1996 to 1998."""
     orders = order_fact(t).withColumn("year", F.year("order_date"))
@@ -1091,6 +1099,7 @@ QUERIES = {
     "cohort_counts_wide": cohort_wide("active_customers"),
     "cohort_retention_wide": cohort_wide("retention_pct"),
     "cohort_metadata": lambda t: cohort.cohort_metadata(t.cohorts()),
+    "customer_flow": lambda t: cohort.customer_flow(t.identified()),
     "retention_curve": lambda t: cohort.retention_curve(t.cohorts()),
     "geo_repeat_rate": lambda t: rounded(stats.geo_repeat_rate(t.rfm(), HOME)),
     "spearman_pairs": spearman_pairs,
@@ -1132,6 +1141,7 @@ QUERIES = {
     "previous_month_revenue": previous_month_revenue,
     "measures_by_slice": measures_by_slice,
     "measures_by_place": measures_by_place,
+    "measures_any_slice": measures_any_slice,
     "customer_detail": customer_detail,
     "product_month_matrix": product_month_matrix,
     "minimum_contract": minimum_contract,

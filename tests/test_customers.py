@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -120,6 +121,45 @@ def test_cohorts(sales):
     assert meta["max_cohort_month_index"] == max(i for _, i in cells)
 
 
+def test_bitmaps_over_many_years(spark):
+    """Months in several words, a customer with many lines in one month, gaps, and months without any buyer."""
+    rng = random.Random(5)
+    months = sorted(rng.sample(range(240), 40))
+    active = {f"c{i}": sorted(rng.sample(months, rng.randint(1, 9))) for i in range(60)}
+    rows = [(c, dt.datetime(1990 + m // 12, m % 12 + 1, rng.randint(1, 28))) for c, own in active.items() for m in own for _ in range(3)]
+    rows += [("c0", dt.datetime(1990 + active["c0"][0] // 12, active["c0"][0] % 12 + 1, 3))] * 300
+    lines = spark.createDataFrame(rows, "customer_id string, invoice_date timestamp").repartition(5)
+    base, last = min(m for own in active.values() for m in own), max(m for own in active.values() for m in own)
+
+    def place(day):
+        return (day.year - 1990) * 12 + day.month - 1
+
+    cells = {(place(r["acquisition_month"]), place(r["purchase_month"])): r for r in cohort.cohort_long(lines).collect()}
+    firsts = {own[0] for own in active.values()}
+    assert set(cells) == {(f, m) for f in firsts for m in range(f, last + 1)}
+    for (first, month), r in cells.items():
+        assert r["active_customers"] == sum(own[0] == first and month in own for own in active.values())
+        assert r["cohort_size"] == sum(own[0] == first for own in active.values())
+    flow = {place(r["month_start"]): r for r in cohort.customer_flow(lines).collect()}
+    assert set(flow) == set(range(base, last + 1))
+    for m, r in flow.items():
+        now, before = ({c for c, own in active.items() if i in own} for i in (m, m - 1))
+        new = {c for c, own in active.items() if own[0] == m}
+        assert r["active_customers"] == len(now) and r["new_customers"] == len(new)
+        assert r["retained_customers"] == len(now & before) and r["lapsed_customers"] == len(before - now)
+        assert r["reactivated_customers"] == len(now - before - new)
+
+
+def test_cohorts_of_no_lines(sales):
+    assert cohort.cohort_long(sales.limit(0)).count() == 0 and cohort.customer_flow(sales.limit(0)).count() == 0
+
+
+def test_lines_are_shuffled_once_for_cohorts(sales):
+    found = cohort.histories(sales)
+    plan = cohort.customer_bitmaps(sales, found.base, found.base + found.last)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(customer_id") == 1 and plan.count("partial_bit_or") >= 1
+
+
 TOTAL = sum(s[5] for s in SALES)
 
 

@@ -108,3 +108,37 @@ def test_month_without_predecessor_has_no_growth(spark):
     back = spark.createDataFrame([], "month_start date, absolute_return_value_gbp double")
     got = {str(r["month_start"]): r["month_over_month_growth"] for r in measures.time_measures(orders, back).collect()}
     assert got == {"2020-01-01": None, "2020-03-01": None, "2020-04-01": 0.5}
+
+
+def test_slices_answer_any_filter(spark):
+    """Distinct customers from bitmaps against distinct counts, under filters and totals, over several buckets."""
+    people = 70_000
+    number = F.col("id")
+    customers = spark.range(people).select(
+        F.format_string("k%06d", number).alias("customer_id"), (number % 3 == 0).alias("is_repeat_customer"),
+        F.when(number % 5 == 0, "Champions").when(number % 5 == 1, "At Risk").otherwise("Hibernating").alias("rfm_segment"),
+    )
+    buyer = F.when(number % 11 == 0, None).when(number % 4 == 0, 7).otherwise(number % people)
+    orders = spark.range(150_000).select(
+        number.alias("order_id"), F.format_string("k%06d", buyer.cast("long")).alias("customer_id"), buyer.isNotNull().alias("is_identified_customer"),
+        (2000 + number % 3).cast("int").alias("year"), F.concat(F.lit("N"), (number % 7).cast("string")).alias("country"),
+        (number % 100 / 4).cast("decimal(18,4)").alias("order_revenue_gbp"), (number % 9).alias("units_sold"),
+    ).withColumn("customer_id", F.when(F.col("is_identified_customer"), F.col("customer_id")))
+    slices = measures.slice_table(orders, customers, ["year", "country"], ["rfm_segment"]).cache()
+    assert slices.select("_bucket").distinct().count() == 3  # two buckets, and orders without a customer
+    wide = orders.join(customers, "customer_id", "left")
+    for dims, filters in ((["year"], {"country": ["N1", "N4"]}), (["country", "rfm_segment"], {"year": [2001]}), (["rfm_segment"], {"rfm_segment": ["At Risk"]}), ([], None)):
+        got = {tuple(r[d] for d in dims): r for r in measures.measures_from_slices(slices, dims, filters).collect()}
+        want = measures.slice_by(wide, filters).groupBy(*dims).agg(
+            F.count_distinct("customer_id").alias("c"), F.count_distinct(F.when(F.col("is_repeat_customer"), F.col("customer_id"))).alias("r"),
+            F.count_distinct("order_id").alias("o"), F.sum("order_revenue_gbp").cast("double").alias("v"),
+        ).collect()
+        assert len(got) == len(want)
+        for w in want:
+            g = got[tuple(w[d] for d in dims)]
+            assert (g["identified_customers"], g["repeat_customers"], g["total_orders"]) == (w["c"], w["r"], w["o"])
+            assert g["total_revenue"] == pytest.approx(w["v"])
+    cube = measures.measures_from_slices(slices, ["year", "rfm_segment"], totals=True).collect()
+    assert {r["grouped_by"] for r in cube} == {"year,rfm_segment", "year", "rfm_segment", ""}
+    total = next(r for r in cube if r["grouped_by"] == "")
+    assert total["identified_customers"] == orders.select("customer_id").distinct().count() - 1
