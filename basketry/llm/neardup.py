@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .graph import components
 from .minmax import band_hashes, min_max, overlap, set_hashes, shingle_sets
-from .shared import pinned, remove, text_batches, utf8_chunks
+from .shared import fresh, pinned, remove, text_batches, utf8_chunks
 
 PERMUTATIONS, BAND_ROWS, SEED = 60, 4, 20011
 #: Stragglers and members of a family that meet in one task.
@@ -246,15 +246,19 @@ def _searched(marked: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def without_near_duplicates(docs: DataFrame, spec: NearDuplicates = NearDuplicates()) -> DataFrame:
-    """One document of each group: the rows of ``docs`` that are their component's least key.
+    """One document of each group: of the rows linked by their texts the one of least key stays.
 
-    Rows that repeat a key count as one document, of which one row stays.
+    A document here is a key with a text, so rows of one key and unlike texts
+    are judged apart and none is lost; of rows that repeat both one stays. Rows
+    without a key stay.
     """
-    found = near_duplicates(docs, spec).filter("kept").select(
-        F.col(spec.key).alias("_kept_key"), F.col("repeats").alias("_repeats")
-    )
-    keys = found.filter("_kept_key is not null").distinct()
-    joined = docs.join(keys, docs[spec.key] == F.col("_kept_key"))
-    alone = joined.filter("_repeats = 1").select(*docs.columns)
-    several = joined.filter("_repeats > 1").select(*docs.columns).dropDuplicates([spec.key])
+    one, key, repeats = fresh(docs, "one", "kept_one", "repeats")
+    text = F.col(spec.text)
+    identity = F.struct(F.col(spec.key).alias("key"), F.xxhash64(text).alias("a"), F.xxhash64(text, F.lit(1)).alias("b"))
+    marked = docs.withColumn(one, F.when(F.col(spec.key).isNotNull(), identity))
+    judged = near_duplicates(marked, NearDuplicates(spec.shingle, spec.percent, one, spec.text))
+    kept = judged.filter(F.col("kept") & F.col(one).isNotNull()).select(F.col(one).alias(key), F.col("repeats").alias(repeats)).distinct()
+    joined = marked.join(kept, F.col(one) == F.col(key))
+    alone = joined.filter(F.col(repeats) == 1).select(*docs.columns)
+    several = joined.filter(F.col(repeats) > 1).dropDuplicates([one]).select(*docs.columns)
     return alone.unionByName(several).unionByName(docs.filter(F.col(spec.key).isNull()))

@@ -11,7 +11,7 @@ import pytest
 from basketry.llm import fmindex, graph, mixing, neardup, packing, rules, substrings
 from basketry.llm.minmax import band_hashes, min_max
 from tests.llm import brute
-from tests.llm.conftest import rows_of
+from tests.llm.conftest import prose, rows_of
 
 
 # Quality rules --------------------------------------------------------------------
@@ -42,6 +42,15 @@ def test_ablations_against_the_ledger(docs, none):
     assert rules.ablations(book, []).count() == 0
 
 
+def test_rows_of_one_key_with_unlike_texts_are_judged_apart(spark):
+    """A copies nothing and stays, though its key also holds B; of the copies of B the least key stays, once."""
+    a, b = prose(41, 60), prose(42, 60)
+    rows = [(1, a), (1, b), (1, b), (2, b), (3, None), (3, ""), (None, a), (None, a)]
+    for order in (rows, rows[::-1]):
+        got = rows_of(neardup.without_near_duplicates(spark.createDataFrame(order, "doc_id long, text string")))
+        assert got == sorted([(1, a), (1, b), (3, None), (3, ""), (None, a), (None, a)], key=repr)
+
+
 # Substrings -----------------------------------------------------------------------
 
 
@@ -140,8 +149,8 @@ def test_chains_of_near_copies(spark, monkeypatch, pivots):
 def test_one_document_of_each_group_stays(docs, clashing, none, cases):
     out = neardup.without_near_duplicates(clashing)
     assert out.columns == clashing.columns
-    groups = brute.components([(c[0], c[1]) for c in cases], 5)
-    assert sorted(r.doc_id for r in out.collect() if r.doc_id) == sorted(set(groups.values()))
+    groups = brute.components([((c[0], c[1] or ""), c[1]) for c in cases if c[0] is not None], 5)
+    assert sorted(r.doc_id for r in out.collect() if r.doc_id) == sorted(key for key, _ in set(groups.values()))
     assert out.filter("doc_id is null").count() == 2
     assert neardup.without_near_duplicates(none).count() == 0
 
