@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from basketry.functions import columns as C
@@ -235,17 +236,20 @@ _REQUIRED = {
 }
 
 
-def constraint_report(tables: dict[str, DataFrame]) -> DataFrame:
-    """Rows that break a NOT NULL, UNIQUE or CHECK rule: (table, rule, failures)."""
+# Gaps that raw lines may have and cleaning keeps: reported, but no reason to stop.
+_GAPS = {("fact_returns", "quantity_not_null")}
+
+
+def _rules(name: str) -> dict[str, Column]:
+    """Failures of a table's NOT NULL and CHECK rules, as aggregates of one pass."""
+    rules = {f"{c}_not_null": F.count_if(F.col(c).isNull()) for c in _REQUIRED[name]}
+    for rule, condition in _CHECKS.get(name, {}).items():
+        rules[rule] = F.count_if(~F.coalesce(F.expr(condition), F.lit(True)))
+    return rules
+
+
+def _unique_report(tables: dict[str, DataFrame]) -> list[DataFrame]:
     reports = []
-    for name, df in tables.items():
-        rules = {f"{c}_not_null": F.count_if(F.col(c).isNull()) for c in _REQUIRED[name]}
-        for rule, condition in _CHECKS.get(name, {}).items():
-            rules[rule] = F.count_if(~F.coalesce(F.expr(condition), F.lit(True)))
-        counted = df.agg(*[failures.alias(rule) for rule, failures in rules.items()])
-        reports.append(counted.unpivot([], list(rules), "rule", "failures").select(
-            F.lit(name).alias("table_name"), "rule", "failures"
-        ))
     for name, column in _UNIQUE_COLUMNS:
         # Surplus rows per value: copies meet in the partial aggregate.
         surplus = tables[name].groupBy(column).agg((F.count(F.lit(1)) - 1).alias("_surplus"))
@@ -254,28 +258,82 @@ def constraint_report(tables: dict[str, DataFrame]) -> DataFrame:
                 F.lit(name).alias("table_name"), F.lit(f"{column}_unique").alias("rule"), "failures"
             )
         )
-    return reduce(DataFrame.unionByName, reports)
+    return reports
 
 
-def publish(lines: DataFrame, folder: str) -> dict[str, DataFrame]:
-    """Write the star tables, check them, and hand them out only if they hold.
+def constraint_report(tables: dict[str, DataFrame]) -> DataFrame:
+    """Rows that break a NOT NULL, UNIQUE or CHECK rule: (table, rule, failures)."""
+    reports = []
+    for name, df in tables.items():
+        rules = _rules(name)
+        counted = df.agg(*[failures.alias(rule) for rule, failures in rules.items()])
+        reports.append(counted.unpivot([], list(rules), "rule", "failures").select(
+            F.lit(name).alias("table_name"), "rule", "failures"
+        ))
+    return reduce(DataFrame.unionByName, [*reports, *_unique_report(tables)])
+
+
+@dataclass(frozen=True)
+class Published:
+    """Star tables, and what was counted while they were written: rows, and failures by rule."""
+
+    tables: dict[str, DataFrame]
+    rows: dict[str, int]
+    failures: dict[tuple[str, str], int]
+
+    def row_counts(self) -> DataFrame:
+        return self._spark().createDataFrame(list(self.rows.items()), "table_name string, row_count long")
+
+    def constraint_report(self) -> DataFrame:
+        """As the function of this name; only the UNIQUE rules read the tables again, and of them the keys alone."""
+        counted = [(*place, n) for place, n in self.failures.items()]
+        frame = self._spark().createDataFrame(counted, "table_name string, rule string, failures long")
+        return reduce(DataFrame.unionByName, [frame, *_unique_report(self.tables)])
+
+    def _spark(self) -> SparkSession:
+        return next(iter(self.tables.values())).sparkSession
+
+
+def write_observed(df: DataFrame, metrics: dict[str, Column], write) -> dict:
+    """``write(df)``, and the aggregates ``metrics`` of the rows that pass on the way."""
+    seen = Observation()
+    write(df.observe(seen, *[c.alias(name) for name, c in metrics.items()]))
+    return seen.get
+
+
+def publish_observed(lines: DataFrame, folder: str) -> Published:
+    """Write the star tables, counted as they are written, and hand them out only if their rules hold.
 
     Facts look their keys up in the written dimensions, whose file sizes let
-    Catalyst broadcast the small ones. Swap ``folder`` in after this returns.
+    Catalyst broadcast the small ones.
     """
     spark = lines.sparkSession
+    rows, failures = {}, {}
 
     def written(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
         for name, df in tables.items():
-            df.write.mode("overwrite").parquet(f"{folder}/{name}")
+            rules = _rules(name)
+            taken = write_observed(
+                df, {"rows": F.count(F.lit(1)), **rules}, lambda d: d.write.mode("overwrite").parquet(f"{folder}/{name}")
+            )
+            rows[name] = taken["rows"]
+            failures.update({(name, rule): taken[rule] for rule in rules})
         return {name: spark.read.parquet(f"{folder}/{name}") for name in tables}
 
     dims = written(dimensions(lines))
-    tables = {**dims, **written(facts(lines, dims))}
-    broken = orphan_counts(tables).where("failure_count > 0").collect()
+    found = Published({**dims, **written(facts(lines, dims))}, rows, failures)
+    broken = orphan_counts(found.tables).where("failure_count > 0").collect()
     if broken:
         raise RuntimeError(f"Foreign keys do not resolve: {broken}")
-    return tables
+    broken = [r for r in found.constraint_report().where("failures > 0").collect() if (r["table_name"], r["rule"]) not in _GAPS]
+    if broken:
+        raise RuntimeError(f"Star tables break their rules: {broken}")
+    return found
+
+
+def publish(lines: DataFrame, folder: str) -> dict[str, DataFrame]:
+    """The tables of ``publish_observed``."""
+    return publish_observed(lines, folder).tables
 
 
 def register(tables: dict[str, DataFrame]) -> None:

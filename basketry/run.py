@@ -9,13 +9,13 @@ gates fails. From the command line:
 from __future__ import annotations
 
 import argparse
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from basketry.plans import clean, cluster, cohort, eda, gates, marts, rfm, star, stats
 from basketry.session import build_session, pin, release
-from basketry.sources import named_sql, scan, sinks
+from basketry.sources import named_sql, scan, sinks, versions
 
 
 def _need(gate_rows: DataFrame, stage: str) -> None:
@@ -52,15 +52,18 @@ def clean_stage(
 
 
 def star_stage(spark: SparkSession, lines: DataFrame, out: str) -> dict[str, DataFrame]:
-    """Star tables, published only after their keys resolve."""
-    fresh = f"{out}/star-{uuid.uuid4().hex}"
-    star.publish(lines, fresh)
-    sinks.swap_in(spark, fresh, f"{out}/star")
-    names = ["dim_date", "dim_product", "dim_customer", "dim_country", "fact_sales", "fact_returns",
-             "audit_exclusions"]
-    tables = {n: spark.read.parquet(f"{out}/star/{n}") for n in names}
-    sinks.write_json_summary(star.row_counts(tables), f"{out}/reports/star_row_counts")
-    return tables
+    """Star tables as one version, published only after their keys resolve and their rules hold."""
+    version = versions.begin(spark, f"{out}/star")
+    try:
+        found = star.publish_observed(lines, f"{version.root}/{version.folder}")
+    except Exception:
+        versions.discard(spark, version)
+        raise
+    version = versions.publish(spark, version, {n: {"rows": r} for n, r in found.rows.items()})
+    sinks.write_json_summary(found.row_counts(), f"{out}/reports/star_row_counts")
+    failures = spark.createDataFrame([(*k, n) for k, n in found.failures.items()], "table_name string, rule string, failures long")
+    sinks.write_json_summary(failures, f"{out}/reports/star_rules")
+    return {n: version.read(spark, n) for n in found.rows}
 
 
 def sql_stage(spark: SparkSession, tables: dict[str, DataFrame], out: str) -> dict[str, DataFrame]:
@@ -158,7 +161,7 @@ def mart_stage(
     spark: SparkSession, lines: DataFrame, tables: dict, customers: dict, clusters: dict, out: str,
     expected=None, file_limit: int | None = None,
 ) -> dict[str, DataFrame]:
-    """Dashboard exports: written once to a fresh folder, checked as written, then put in place.
+    """Dashboard exports: one version, its totals taken while it is written, checked, then published.
 
     ``file_limit``: largest file in bytes that the receiver of the exports takes.
     """
@@ -168,17 +171,23 @@ def mart_stage(
         clusters["customer_clusters"], customers["cohorts"], clusters["cluster_profiles"],
         tables["eda_summary"],
     )
-    fresh = f"{out}/dashboard-{uuid.uuid4().hex}"
-    paths = sinks.write_bundle(built, fresh)
-    written = {n: scan.read_csv(spark, p, built[n].schema) for n, p in paths.items()}
-    checks = pin(gates.mart_gates(written, expected))
-    sizes = sinks.size_report(spark, paths, file_limit)
-    sinks.write_json_summary(checks, f"{out}/reports/mart_gates")
-    sinks.write_json_summary(sizes, f"{out}/reports/export_sizes")
-    _need(checks, "dashboard marts")
-    _need(sizes, "export sizes")
-    sinks.swap_in(spark, fresh, f"{out}/dashboard")
-    return {n: scan.read_csv(spark, f"{out}/dashboard/{n}", built[n].schema) for n in built}
+    version, totals, observed = versions.begin(spark, f"{out}/dashboard"), gates.mart_totals(), {}
+    try:
+        for name, df in built.items():
+            metrics = {"_rows": F.count(F.lit(1)), **totals.get(name, {})}
+            observed[name] = star.write_observed(df, metrics, lambda d: sinks.write_csv(d, version.path(name)))
+        written = {n: scan.read_csv(spark, version.path(n), built[n].schema) for n in built}
+        checks = pin(gates.mart_gates(written, expected, {n: v for n, v in observed.items() if n in totals}))
+        sizes = sinks.size_report(spark, {n: version.path(n) for n in built}, file_limit)
+        sinks.write_json_summary(checks, f"{out}/reports/mart_gates")
+        sinks.write_json_summary(sizes, f"{out}/reports/export_sizes")
+        _need(checks, "dashboard marts")
+        _need(sizes, "export sizes")
+    except Exception:
+        versions.discard(spark, version)
+        raise
+    versions.publish(spark, version, {n: {"rows": v["_rows"]} for n, v in observed.items()})
+    return written
 
 
 def run(

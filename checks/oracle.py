@@ -770,6 +770,9 @@ add("statistical_summary", TESTS, """SELECT COUNT(*) AS tests, COUNT(*) FILTER (
   string_agg(test_id, ',' ORDER BY test_id) FILTER (family <> 'spearman_correlations') AS group_tests FROM adj""".replace("LIKE '%order_value'", "LIKE 'mann_whitney__home%'"))
 ORACLE["statistical_summary"] = ORACLE["statistical_summary"].replace("WITH ", "WITH RECURSIVE ", 1)
 
+ORACLE["published_star"] = f"""SELECT table_name, 'rows' AS rule, row_count AS failures FROM ({ORACLE['star_row_counts']})
+UNION ALL SELECT table_name, rule, failures FROM ({ORACLE['constraint_report']})"""
+
 # Clusters on fixed labels ---------------------------------------------------
 
 CONTRACT = ["customer_id", "primary_country", "average_order_value_gbp", "active_span_days", "units_purchased", "distinct_products", "segment", *RFM_FEATURES]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 import numpy as np
@@ -12,7 +13,7 @@ from basketry.functions import columns as C
 from basketry.operators import dedup, ranking
 from basketry.plans import clean, cluster, cohort, eda, gates, marts, measures, rfm, star, stats
 from basketry.schema import IDENTITY, LINE, LOAD_SEQ, QUANTITY
-from basketry.session import pin, stage_of
+from basketry.session import pin, remove, shared_folder, stage_of
 from basketry.sources import named_sql, sample_tables, scan, sinks
 
 HOME = sample_tables.HOME
@@ -944,6 +945,16 @@ def measures_by_place(t: Tables) -> DataFrame:
     return measures.sales_measures(orders, ["year", "country"])
 
 
+def published_star(t: Tables) -> DataFrame:
+    """What was counted while the star tables were written, and their UNIQUE rules."""
+    folder = f"{shared_folder(t.spark)}/basketry-published-{uuid.uuid4().hex}"
+    found = star.publish_observed(t.canonical(), folder)
+    rows = found.row_counts().select("table_name", F.lit("rows").alias("rule"), F.col("row_count").alias("failures"))
+    told = pin(rows.unionByName(found.constraint_report()))
+    remove(t.spark, folder)
+    return told
+
+
 def measures_any_slice(t: Tables) -> DataFrame:
     """Year x country x segment with all totals, from bitmaps of the finest slices."""
     orders = order_fact(t).withColumn("year", F.year("order_date"))
@@ -1088,6 +1099,7 @@ QUERIES = {
     "fact_sales": lambda t: doubles(star.fact_sales(t.canonical(), t.dims())),
     "fact_returns": lambda t: doubles(star.fact_returns(t.canonical(), t.dims())),
     "audit_exclusions": lambda t: doubles(star.audit_exclusions(t.canonical())),
+    "published_star": published_star,
     "constraint_report": lambda t: star.constraint_report(t.star()),
     "rfm_features": lambda t: rfm.rfm_features(t.identified()),
     "rfm_scores": rfm_scores,

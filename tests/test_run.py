@@ -5,7 +5,7 @@ from pathlib import Path
 from pyspark.sql import functions as F
 
 from basketry import run
-from basketry.sources import sample_tables, scan, sinks
+from basketry.sources import sample_tables, scan, sinks, versions
 
 
 def test_run_from_raw_batches_to_exports(spark, folder, tmp_path, monkeypatch):
@@ -35,7 +35,9 @@ def test_run_from_raw_batches_to_exports(spark, folder, tmp_path, monkeypatch):
     assert reports["mart_gates"].where("NOT passed").count() == 0
     assert reports["clustering_summary"].first()["operational_chosen"]["k"] == 4
     kpi = marts["kpi_snapshot"].first()
-    exported = spark.read.option("header", True).csv(f"{out}/o/dashboard/fact_orders")
+    dashboard = versions.latest(spark, f"{out}/o/dashboard")
+    exported = dashboard.read(spark, "fact_orders", "csv", header=True)
+    assert dashboard.tables["fact_orders"]["rows"] == kpi["completed_orders"] and dashboard.number == 1
     assert exported.count() == kpi["completed_orders"]
     lines = spark.read.parquet(f"{out}/o/canonical")
     sold = lines.where("transaction_type = 'completed_sale'").agg(F.sum("line_revenue")).first()[0]
