@@ -82,18 +82,45 @@ def mann_whitney_p(u1: float, n1: int, n2: int, tie_term: float, method: str = "
     return min(1.0, math.erfc(z / math.sqrt(2.0)))
 
 
+def _partitions(k: int):
+    """The number of ways to write n with parts 1, 1, 2, .., k, as a function of n.
+
+    With L a multiple of all parts the generating function is a polynomial over
+    (1 - x^L)^(k + 1), so a value is a sum of at most k + 1 binomials, whatever n.
+    """
+    parts = [1, *range(1, k + 1)]
+    step = math.lcm(*parts)
+    top = [1] + [0] * (step * len(parts))
+    for d in parts:  # times (1 - x^step) / (1 - x^d)
+        for i in range(len(top) - 1, step - 1, -1):
+            top[i] -= top[i - step]
+        for i in range(d, len(top)):
+            top[i] += top[i - d]
+
+    def count(n: int) -> int:
+        if n < 0:
+            return 0
+        return sum(top[j] * math.comb((n - j) // step + k, k) for j in range(n % step, min(n, len(top) - 1) + 1, step))
+
+    return count
+
+
 def _mann_whitney_exact(u1: float, n1: int, n2: int) -> float:
+    """Twice the lower tail, in exact integers; memory follows the smaller group alone.
+
+    The counts of U are the coefficients of a Gaussian binomial, the product of
+    (1 - x^(large + i)) / (1 - x^i) for i up to the smaller group. Their sums up
+    to a place follow from the numerator's 2^small terms and from partitions
+    into small parts.
+    """
     small, large = min(n1, n2), max(n1, n2)
-    # The null counts are symmetric: the upper tail equals the lower one, and
-    # coefficients beyond it are not needed.
+    # The null counts are symmetric: the upper tail equals the lower one.
     last = int(min(u1, small * large - u1))
-    # Counts of each U are the coefficients of a Gaussian binomial, built one
-    # factor (1 - x^(large+i)) / (1 - x^i) at a time in exact integers.
-    counts = [0] * (last + 1)
-    counts[0] = 1
+    count = _partitions(small)
+    terms = {0: 1}  # the numerator, without the powers beyond the last place
     for i in range(1, small + 1):
-        for k in range(last, large + i - 1, -1):
-            counts[k] -= counts[k - large - i]
-        for k in range(i, last + 1):
-            counts[k] += counts[k - i]
-    return min(1.0, 2.0 * sum(counts) / math.comb(n1 + n2, small))
+        for power, sign in list(terms.items()):
+            if power + large + i <= last:
+                terms[power + large + i] = terms.get(power + large + i, 0) - sign
+    tail = sum(sign * count(last - power) for power, sign in terms.items())
+    return min(1.0, 2.0 * tail / math.comb(n1 + n2, small))

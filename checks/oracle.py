@@ -263,6 +263,9 @@ scanned AS MATERIALIZED (SELECT invoice_no, stock_code, description,
 
 add("scan_union_batches", [TXN, SCANNED], f"""SELECT source_batch, country, COUNT(*) AS row_count, COUNT(quantity) AS quantities,
   {dbl('SUM(unit_price)')} AS price_total FROM scanned GROUP BY source_batch, country""")
+add("picked_columns", [], " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, '{c}' AS picked, COUNT({c}) AS known, {dbl(f'MAX({c})')} AS greatest FROM {t}"
+    for t, c in (("orders", "o_totalprice"), ("customer", "c_acctbal"), ("lineitem", "l_quantity"), ("part", "p_retailprice"))))
 add("alias_columns", [TXN], f"""SELECT '  ' || invoice_no || chr(9) AS invoice_no, ' ' || stock_code AS stock_code,
   ' ' || replace(description, ' ', '  ') || ' ' AS description,
   CASE WHEN {CODE} % 97 = 0 THEN 'n/a' ELSE CAST(quantity AS VARCHAR) END AS quantity,

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from basketry.functions import columns as C
 from basketry.operators import dedup, ranking
 from basketry.plans import clean, cluster, cohort, eda, gates, marts, measures, rfm, star, stats
-from basketry.schema import IDENTITY, LINE, LOAD_SEQ, QUANTITY
+from basketry.schema import IDENTITY, LINE, LOAD_SEQ, QUANTITY, pick_column
 from basketry.session import pin, remove, shared_folder, stage_of
 from basketry.sources import named_sql, sample_tables, scan, sinks
 
@@ -221,6 +221,25 @@ def alias_columns(t: Tables) -> DataFrame:
     return both[0].unionByName(both[1])
 
 
+def picked_columns(t: Tables) -> DataFrame:
+    """The column of each table that a reader with other names for it would pick: its values and the largest."""
+    wanted = {
+        "orders": ["Revenue", "O_TotalPrice", "o_custkey"],
+        "customer": ["balance", "C_ACCTBAL"],
+        "lineitem": ["Units", "L_QUANTITY", "L_TAX"],
+        "part": ["p_retailprice"],
+    }
+    parts = []
+    for table, names in wanted.items():
+        df = t.spark.read.parquet(f"{t.folder}/{table}.parquet")
+        column = pick_column(df, names)
+        parts.append(
+            df.select(F.col(column).cast("double").alias("v")).agg(F.count("v").alias("known"), F.max("v").alias("greatest"))
+            .select(F.lit(table).alias("table_name"), F.lit(column).alias("picked"), "known", "greatest")
+        )
+    return reduce(DataFrame.unionByName, parts)
+
+
 def scan_files(t: Tables) -> DataFrame:
     """Raw batches written as CSV files and scanned: rows and positions per batch, which are dense from 0."""
     paths = {}
@@ -1021,6 +1040,7 @@ def mart_gates(t: Tables) -> DataFrame:
 QUERIES = {
     "scan_union_batches": scan_union_batches,
     "alias_columns": alias_columns,
+    "picked_columns": picked_columns,
     "scan_files": scan_files,
     "json_roundtrip": json_roundtrip,
     "export_sizes": export_sizes,

@@ -1,5 +1,6 @@
 import itertools
 import math
+import tracemalloc
 
 import numpy as np
 import pandas as pd
@@ -64,6 +65,38 @@ def test_mann_whitney_statistic(orders):
     assert row["tie_term"] == float((sizes**3 - sizes).sum())
 
 
+def plain_tail(u, n1, n2):
+    """Counts of every U by the usual recursion, then the sum."""
+    counts = {(0, m): [1] for m in range(n2 + 1)} | {(k, 0): [1] for k in range(n1 + 1)}
+    for k in range(1, n1 + 1):
+        for m in range(1, n2 + 1):
+            one, other = counts[k, m - 1], [0] * m + counts[k - 1, m]
+            size = k * m + 1
+            counts[k, m] = [(one[i] if i < len(one) else 0) + (other[i] if i < len(other) else 0) for i in range(size)]
+    last = int(min(u, n1 * n2 - u))
+    return min(1.0, 2.0 * sum(counts[n1, n2][: last + 1]) / math.comb(n1 + n2, n1))
+
+
+@pytest.mark.parametrize("n1, n2", [(1, 1), (1, 9), (2, 7), (3, 3), (4, 11), (5, 6), (7, 12), (8, 9), (8, 20), (10, 10)])
+def test_exact_p_equals_the_plain_recursion(n1, n2):
+    for u in range(n1 * n2 + 1):
+        assert P._mann_whitney_exact(u, n1, n2) == pytest.approx(plain_tail(u, n1, n2), rel=1e-14)
+        assert P._mann_whitney_exact(u, n2, n1) == P._mann_whitney_exact(u, n1, n2)
+
+
+def test_exact_p_against_a_very_large_group():
+    """8 against 10^8, in bounded memory, next to the normal form."""
+    tracemalloc.start()
+    small, large = 8, 10**8
+    for share in (0.05, 0.3, 0.5):
+        u = share * small * large
+        exact = P.mann_whitney_p(u, small, large, 0.0)
+        assert exact == pytest.approx(P.mann_whitney_p(u, small, large, 0.0, "normal"), abs=0.02)
+    assert tracemalloc.get_traced_memory()[1] < 100 * 2**20
+    tracemalloc.stop()
+    assert P.mann_whitney_p(0, small, large, 0.0) == pytest.approx(2 / math.comb(small + large, small))
+
+
 def test_exact_p_by_enumeration():
     values = [1.0, 2.5, 3.0, 4.0, 7.0, 9.0, 11.0]
     a = [2.5, 9.0, 11.0]
