@@ -7,6 +7,7 @@ import hashlib
 import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -306,10 +307,20 @@ def test_vectors_that_take_no_part(spark):
 # Pseudo-likelihood ----------------------------------------------------------------
 
 
+def conditional(words, network, around, number):
+    """Log-probability of one number: its symbol in the softmax, then every fork on the way to its leaf."""
+    h = np.tanh(network.bias + sum(network.embed[j][s].astype(np.float64) for j, s in enumerate(around)))
+    z = network.out @ h + network.out_bias
+    value = z[words.symbol[number]] - z.max() - np.log(np.exp(z - z.max()).sum())
+    for at in range(words.path[number], words.path[number + 1]):
+        f = words.forks[at]
+        value -= np.log1p(np.exp(-words.sides[at] * (network.fork[f] @ h + network.fork_bias[f])))
+    return value
+
+
 def test_scores_against_a_word_by_word_loop(spark, docs, clashing, none, cases, monkeypatch):
     kept = {}
     vocabulary, train = pseudo.vocabulary, pseudo.train
-    monkeypatch.setattr(pseudo, "SHARE", 2)
     monkeypatch.setattr(pseudo, "vocabulary", lambda t: kept.setdefault("words", vocabulary(t)))
     monkeypatch.setattr(pseudo, "train", lambda t, w: kept.setdefault("network", train(t, w)))
     got = rows_of(pseudo.pseudo_likelihood(docs))
@@ -325,11 +336,8 @@ def test_scores_against_a_word_by_word_loop(spark, docs, clashing, none, cases,
             symbols.append(int(words.encode(h, e)[0]))
         total = 0.0
         for i, s in enumerate(symbols):
-            z = network.bias.astype(np.float64).copy()
-            for j, o in enumerate(pseudo.OFFSETS):
-                z += network.embed[j][symbols[i + o] if 0 <= i + o < len(symbols) else 0]
-            z = np.tanh(z) @ network.out + network.out_bias
-            total += z[s] - np.log(np.exp(z - z.max()).sum()) - z.max() + words.within[s]
+            near = [symbols[i + o] if 0 <= i + o < len(symbols) else 0 for o in pseudo.OFFSETS]
+            total += conditional(words, network, near, s) + (words.within[s] if s < pseudo.SYMBOLS else 0.0)
         want.append((c[0], len(text), total))
     lookup = sorted((r[0] or -1, r[1], r[2]) for r in got)
     for a, b in zip(lookup, sorted((r[0] or -1, *r[1:]) for r in want)):
@@ -385,7 +393,7 @@ def test_every_word_is_predicted_by_its_own_count(spark):
         total += np.exp(value)
     # Symbols without a word of the corpus take the rest of the mass.
     used = {int(words.symbol[words.encode(h, e)[0]]) for h, e in codes.values()}
-    z = network.hidden(around) @ network.out + network.out_bias
+    z = network.hidden(around) @ network.out.T + network.out_bias
     mass = np.exp(z - z.max())[0]
     assert total == pytest.approx(mass[sorted(used)].sum() / mass.sum(), rel=2e-2)
     by_ending = {}
@@ -401,6 +409,63 @@ def test_every_word_is_predicted_by_its_own_count(spark):
     assert scores == {**{i: 80 for i in range(300)}, 1000: 1}
 
 
+@pytest.mark.parametrize("held", [0, 1, 32])
+def test_forks_and_shares_against_a_loop(spark, monkeypatch, held):
+    """Words with a vector, words whose count a task holds and words whose count is joined: sums of single conditionals."""
+    monkeypatch.setattr(pseudo, "HELD", held)
+    rng, names = random.Random(9), [f"{a}{b}ix" for a in "bcdfghjklm" for b in range(60)]
+    rows = [(i, " ".join(rng.choices(names, [1 / (r + 1) for r in range(600)], k=70))) for i in range(300)]
+    table = spark.createDataFrame([*rows, (1000, "oncewix"), (1000, "oncewix"), (1001, None)], "doc_id long, text string")
+    kept, vocabulary, train = {}, pseudo.vocabulary, pseudo.train
+    monkeypatch.setattr(pseudo, "vocabulary", lambda t: kept.setdefault("words", vocabulary(t)))
+    monkeypatch.setattr(pseudo, "train", lambda t, w: kept.setdefault("network", train(t, w)))
+    got = {r.doc_id: r.log_likelihood for r in pseudo.pseudo_likelihood(table).collect()}
+    words, network = kept["words"], kept["network"]
+    counts = Counter(w for r in table.collect() for w in (r.text or "").split())
+    codes = {}
+    for w in counts:
+        data = np.frombuffer(w.encode(), np.uint8)
+        h, e, _ = pseudo.word_codes(data, np.array([0, len(data)]))
+        codes[w] = (int(words.encode(h, e)[0]), int(e[0]))
+    rest = {w for w, (s, _) in codes.items() if pseudo.FREQUENT < s < pseudo.SYMBOLS}
+    middle = {w for w in rest if counts[w] >= pseudo.RARE}
+    assert max(s for s, _ in codes.values()) >= pseudo.SYMBOLS and middle and rest - middle
+    assert bool(len(words.held)) == (held > 0) and (len(words.held) == len(middle)) == (held == 32)
+
+    def value_of(around, w):
+        number, ending = codes[w]
+        value = conditional(words, network, around, number)
+        if w in rest:
+            uses = [counts[v] for v in rest if codes[v][1] == ending]
+            few = [u for u in uses if u < pseudo.RARE]
+            value += math.log((counts[w] if w in middle else sum(few) / len(few)) / sum(uses))
+        return value
+
+    for i in [*range(0, 300, 12), 1000]:
+        text = dict(rows).get(i, "oncewix").split()
+        total = 0.0
+        for at, w in enumerate(text):
+            near = [at + o for o in pseudo.OFFSETS]
+            total += value_of([codes[text[j]][0] if 0 <= j < len(text) else 0 for j in near], w)
+        assert got[i] == pytest.approx(total, rel=1e-4, abs=1e-3)
+    assert got[1001] == 0.0
+
+
+def test_a_wider_tree_of_averages(spark, monkeypatch):
+    """Weights of many tasks meet level by level in the mean by words."""
+    monkeypatch.setattr(pseudo, "FAN", 3)
+    rows = [(np.full(4, i, np.float32).tobytes(), i + 1) for i in range(20)]
+    each, levels = spark.createDataFrame(rows, "weights binary, n long"), 0
+    tasks = 20
+    while tasks > 1:
+        tasks, levels = -(-tasks // pseudo.FAN), levels + 1
+        each = spark.createDataFrame(pseudo._averaged(each.repartition(tasks)).collect(), "weights binary, n long")
+        assert each.count() <= tasks
+    (last,) = each.collect()
+    want = np.average(np.arange(20), weights=np.arange(1, 21))
+    assert levels == 3 and last.n == 210 and np.frombuffer(last.weights, np.float32) == pytest.approx([want] * 4, rel=1e-5)
+
+
 def test_all_documents_train(spark, monkeypatch):
     """Every document reaches the network, as few as there are: order is learned where no key and text hash to a multiple of 16."""
     rows = [(i, " ".join(["old", "grey", "wolf"] * 200)) for i in range(40)]
