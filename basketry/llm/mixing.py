@@ -13,45 +13,22 @@ source has one left, which goes to the nearer whole number.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.ranking import global_row_number
 from .shared import fresh, pinned, word_count
 
-#: Sources are weighed on the driver, one number each; more are refused, not cut.
-MAX_SOURCES = 200_000
 #: Rows of one block, and residuals that meet in one block of the next level.
 BLOCK_ROWS = 4096
 CYCLE = (5, 2, 1)
 MOST_COPIES = 3
 
 
-def targets(sizes: dict, weights: dict, total: int, most: float = MOST_COPIES) -> dict:
-    """Words per source: shares of ``total`` by weight, none above ``most`` times its size."""
-    out, free = {}, set(sizes)
-    left = float(total)
-    while free:
-        weight = sum(weights[s] for s in free)
-        over = {s for s in free if left * weights[s] / weight > most * sizes[s]} if weight else free
-        if not over:
-            return out | {s: left * weights[s] / weight for s in free}
-        out |= {s: float(most * sizes[s]) for s in over}
-        left -= sum(out[s] for s in over)
-        free -= over
-    return out
-
-
-def cycle_weights(sources: Iterable, cycle: tuple[float, ...] = CYCLE) -> dict:
-    """Weights by code point order of the source, null last."""
-    ordered = sorted(sources, key=lambda s: (s is None, s or ""))
-    return {s: cycle[i % len(cycle)] for i, s in enumerate(ordered)}
-
-
 def pair_off(size: np.ndarray, share: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, int | None]:
     """Round ``share`` (expected copies, 0 to 1) pair by pair; the place of the one left fractional, if any.
 
@@ -84,15 +61,30 @@ def pair_off(size: np.ndarray, share: np.ndarray, rng: np.random.Generator) -> t
     return out, held
 
 
-def _weighed(spark: SparkSession, sized: DataFrame, most: float, cycle, share: float) -> DataFrame:
-    sums = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
-    rows = sums.limit(MAX_SOURCES + 1).collect()
-    if len(rows) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    sizes = {r.source: r.size for r in rows}
-    goal = targets(sizes, cycle_weights(sizes, cycle), share * sum(sizes.values()), most)
-    table = [(r.source, r.size, goal[r.source], -(-r.n // BLOCK_ROWS)) for r in rows]
-    return spark.createDataFrame(table, "_source string, source_size long, target double, _blocks long")
+def source_targets(sized: DataFrame, most: float = MOST_COPIES, cycle=CYCLE, share: float = 1.0) -> DataFrame:
+    """``source, source_size, n, target`` from rows of ``source, size``.
+
+    Sources in code point order, null last, weigh as ``cycle`` repeats. They share
+    ``share`` of all words by weight, none above ``most`` times its size: the level is
+    found by rounds of sums over all sources, each of which stops more of them.
+    """
+    sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
+    placed = global_row_number(sums, [F.col("source").asc_nulls_last()], "_place")
+    weights = F.array(*[F.lit(float(w)) for w in cycle])
+    place = F.pmod(F.col("_place") - 1, F.lit(len(cycle))).cast("int") + 1
+    weighed, _ = pinned(placed.withColumn("_weight", F.element_at(weights, place)).drop("_place"), "sources")
+    whole = weighed.agg(F.sum("source_size"), F.sum("_weight")).first()
+    total, ceiling = share * float(whole[0] or 0), F.col("source_size").cast("double") * F.lit(float(most))
+    left, weight, stopped = total, whole[1] or 0.0, 0
+    while True:
+        free = F.lit(left) * F.col("_weight") / F.lit(weight) if weight else F.lit(0.0)
+        over = free > ceiling if weight else F.lit(True)
+        row = weighed.agg(
+            F.sum(F.when(over, ceiling)), F.sum(F.when(~over, F.col("_weight"))), F.count_if(over)
+        ).first()
+        if row[2] == stopped:
+            return weighed.withColumn("target", F.when(over, ceiling).otherwise(free)).drop("_weight")
+        left, weight, stopped = total - row[0], row[1] or 0.0, row[2]
 
 
 def mix(
@@ -107,15 +99,19 @@ def mix(
     nearest whole number of copies and no words; a source without words has
     target 0. Null sources are one source, the last; null text has size 0.
     """
-    spark = df.sparkSession
     size = word_count(F.col(text)) if size is None else size
     named = [F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)]
     sized, _ = pinned(df.select(*named, F.col(source).cast("string").alias("source"), size.alias("size")), "sizes")
-    goals = _weighed(spark, sized, most, cycle, share)
+    goals, _ = pinned(
+        source_targets(sized, most, cycle, share).select(
+            F.col("source").alias("_source"), "source_size", "target", F.ceil(F.col("n") / BLOCK_ROWS).alias("_blocks")
+        ),
+        "targets",
+    )
     key_columns = [f"_key{i}" for i in range(len(keys))]
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     rows = (
-        sized.join(F.broadcast(goals), F.col("source").eqNullSafe(F.col("_source")))
+        sized.join(goals, F.col("source").eqNullSafe(F.col("_source")))
         .drop("_source")
         .withColumn("_rate", F.least(rate, F.lit(float(most))))
         .withColumn("_whole", F.floor("_rate"))

@@ -205,3 +205,24 @@ def variants(rows, slip=199):
         return w
 
     return [(w, form[w], root(w), n[w], len(near[w]), n[form[w]] if form[w] else None) for w in n]
+
+
+def targets(sizes: dict, weights: dict, total: int, most: float = 3) -> dict:
+    """Words per source: shares of ``total`` by weight, none above ``most`` times its size."""
+    out, free = {}, set(sizes)
+    left = float(total)
+    while free:
+        weight = sum(weights[s] for s in free)
+        over = {s for s in free if left * weights[s] / weight > most * sizes[s]} if weight else free
+        if not over:
+            return out | {s: left * weights[s] / weight for s in free}
+        out |= {s: float(most * sizes[s]) for s in over}
+        left -= sum(out[s] for s in over)
+        free -= over
+    return out
+
+
+def cycle_weights(sources, cycle: tuple[float, ...] = (5, 2, 1)) -> dict:
+    """Weights by code point order of the source, null last."""
+    ordered = sorted(sources, key=lambda s: (s is None, s or ""))
+    return {s: cycle[i % len(cycle)] for i, s in enumerate(ordered)}

@@ -8,7 +8,6 @@ import duckdb
 import pytest
 
 import corpus_pipeline
-from basketry.llm import mixing
 from basketry.llm.queries import QUERIES
 from basketry.llm.sql import ORACLE
 from checks.compare import difference
@@ -83,7 +82,7 @@ def test_stages(spark):
     copies = Counter(r.doc_id for r in mixed.collect())
     for r in mixed.collect():
         words[r.source] += len(brute.words(r.text))
-    goal = mixing.targets(sizes, mixing.cycle_weights(sizes), sum(sizes.values()))
+    goal = brute.targets(sizes, brute.cycle_weights(sizes), sum(sizes.values()))
     longest = max(len(brute.words(r.text)) for r in cut.collect())
     assert max(copies.values()) <= 3 and all(abs(words[s] - goal[s]) <= longest for s in sizes)
     assert mixed.columns == start.columns

@@ -222,14 +222,31 @@ def test_packed_bins(docs, clashing, none, cases):
 # Mixing ---------------------------------------------------------------------------
 
 
+def test_targets_of_many_sources(spark, monkeypatch):
+    """Levels found by sums over sources equal those found source by source, whatever the number of sources."""
+    rng = random.Random(6)
+    rows = [(rng.choice([None, "", f"s{i % 3000}", f"é{i % 7}"]), rng.choice([0, 1, 5, 40, 9000])) for i in range(20000)]
+    df = spark.createDataFrame([*rows, *[("hot", 30)] * 9000], "source string, size long")
+    sizes = defaultdict(int)
+    for r in df.collect():
+        sizes[r.source] += r.size
+    for cycle, share in (((5, 2, 1), 1.0), ((1, 0, 0), 2.0), ((3, 1), 0.25)):
+        want = brute.targets(sizes, brute.cycle_weights(sizes, cycle), share * sum(sizes.values()))
+        got = {r.source: (r.source_size, r.target) for r in mixing.source_targets(df, cycle=cycle, share=share).collect()}
+        assert set(got) == set(want)
+        assert all(got[s][0] == sizes[s] and got[s][1] == pytest.approx(want[s], rel=1e-9) for s in want)
+    assert mixing.source_targets(df.limit(0)).count() == 0
+    assert [r.target for r in mixing.source_targets(spark.createDataFrame([("a", 0)], df.schema)).collect()] == [0.0]
+
+
 def test_targets_by_water_filling():
     sizes = {"a": 10, "b": 1000, "c": 1000, None: 100}
-    goal = mixing.targets(sizes, mixing.cycle_weights(sizes), 2110)
-    assert mixing.cycle_weights(sizes) == {"a": 5, "b": 2, "c": 1, None: 5}
+    goal = brute.targets(sizes, brute.cycle_weights(sizes), 2110)
+    assert brute.cycle_weights(sizes) == {"a": 5, "b": 2, "c": 1, None: 5}
     assert goal["a"] == 30 and goal[None] == 300
     assert goal["b"] == pytest.approx(1780 * 2 / 3) and goal["c"] == pytest.approx(1780 / 3)
-    assert mixing.targets({}, {}, 0) == {}
-    assert mixing.targets({"a": 0}, {"a": 5}, 0) == {"a": 0}
+    assert brute.targets({}, {}, 0) == {}
+    assert brute.targets({"a": 0}, {"a": 5}, 0) == {"a": 0}
 
 
 def test_pairing_keeps_words_and_expectations():
@@ -255,7 +272,7 @@ def test_mix(docs, clashing, none, cases, monkeypatch):
         n = len(brute.words(c[1]))
         by_source[c[3]] += n
         largest[c[3]] = max(largest[c[3]], n)
-    goal = mixing.targets(by_source, mixing.cycle_weights(by_source), sum(by_source.values()))
+    goal = brute.targets(by_source, brute.cycle_weights(by_source), sum(by_source.values()))
     assert len(got) == len(cases)
     for r in got:
         assert r.taken == r.copies * r.size and 0 <= r.copies <= 3
