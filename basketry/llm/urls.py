@@ -4,27 +4,27 @@ Each rule is a regular expression over ``host + path`` and carries the literal
 tokens that every URL it fits must hold as whole tokens. One pass counts, over
 all URLs, how many hold each of these tokens; a rule is filed under the one held
 by fewest. In the second pass the tokens of a URL fetch the rules filed under
-them, and only these run their regular expression. Rules without a literal token
-are always candidates.
+them, and only these run their regular expression, compiled when a task first
+meets it. Rules without a literal token are always candidates.
 """
 
 from __future__ import annotations
 
 import re
 from collections import defaultdict
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import fresh
+from .shared import fresh, pinned
 
 TOKEN = "[A-Za-z0-9]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: The rule set is sent to every task; larger ones are refused, not cut.
-MAX_RULES = 200_000
+#: Rules sent to the tasks at once; larger sets are judged in that many at a time, one pass over the urls each.
+SENT_RULES = 200_000
 
 
 @dataclass(frozen=True)
@@ -93,27 +93,37 @@ def judge_urls(df: DataFrame, rules: Iterable[Rule], url: str = "url", otherwise
     Rows are judged one by one: repeated rows, null ids and other columns stay.
     """
     rules = list(rules)
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"{len(rules)} rules; at most {MAX_RULES} are sent to the tasks")
     parsed = df.drop("host", "path", "rule", "verdict")
     parsed = parsed.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
-    counts = token_counts(parsed, "host", "path", (t for r in rules for t in r.tokens))
-    filed = file_rules(rules, counts)
-
-    @F.pandas_udf("rule string, verdict string")
-    def decide(host: pd.Series, path: pd.Series) -> pd.DataFrame:
-        compiled = {
-            t: [((-r.weight, r.action != "block", r.name), re.compile(r.pattern), r) for r in held]
-            for t, held in filed.items()
-        }
-        tokens, out = re.compile(TOKEN).findall, []
-        for text in host + path:
-            held = {"", *tokens(text)}
-            fit = [c for t in held for c in compiled.get(t, ()) if c[1].match(text)]
-            best = min(fit, key=lambda c: c[0])[2] if fit else None
-            out.append((best.name, best.action) if best else (None, otherwise))
-        return pd.DataFrame(out, columns=["rule", "verdict"])
-
     (judged,) = fresh(parsed, "judged")
-    out = parsed.withColumn(judged, decide("host", "path"))
-    return out.withColumns({"rule": F.col(f"{judged}.rule"), "verdict": F.col(f"{judged}.verdict")}).drop(judged)
+    out = parsed.withColumn(judged, _decided(parsed, rules[:SENT_RULES]))
+    for at in range(SENT_RULES, len(rules), SENT_RULES):
+        out, _ = pinned(out, "judged")
+        more = _decided(out, rules[at : at + SENT_RULES])
+        out = out.withColumn(judged, F.least(judged, more))
+    verdict = F.coalesce(F.col(f"{judged}.verdict"), F.lit(otherwise))
+    return out.withColumns({"rule": F.col(f"{judged}.rule"), "verdict": verdict}).drop(judged)
+
+
+def _decided(urls: DataFrame, rules: list[Rule]) -> Column:
+    """The first of ``rules`` in the order in which they decide, as ``(order, other than block, rule, verdict)``; null: none fits."""
+    filed = file_rules(rules, token_counts(urls, "host", "path", (t for r in rules for t in r.tokens)))
+
+    @F.pandas_udf("order long, open boolean, rule string, verdict string")
+    def decide(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        tokens, compiled = re.compile(TOKEN).findall, {}
+
+        def fits(rule: Rule, text: str) -> bool:
+            if rule not in compiled:
+                compiled[rule] = re.compile(rule.pattern).match
+            return compiled[rule](text) is not None
+
+        for host, path in batches:
+            out = []
+            for text in host + path:
+                fit = (r for t in {"", *tokens(text)} for r in filed.get(t, ()) if fits(r, text))
+                out.append(min(((-r.weight, r.action != "block", r.name, r.action) for r in fit), default=(None,) * 4))
+            yield pd.DataFrame(out, columns=["order", "open", "rule", "verdict"]).astype({"order": "Int64", "open": "boolean"})
+
+    found = decide("host", "path")
+    return F.when(found["rule"].isNotNull(), found)
