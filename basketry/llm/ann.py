@@ -28,8 +28,8 @@ from .shared import pinned
 
 #: Vectors the partitions and the network are fitted on.
 SAMPLE = 8192
-#: Rows aimed at per part; parts are a power of two, at most ``SAMPLE / 64``.
-PART_ROWS = 4096
+#: Least rows aimed at per part; parts are a power of two, at most ``SAMPLE / 64``.
+PART_ROWS = 128
 BLOCK_ROWS, QUERY_ROWS = 8192, 2048
 TARGET = 0.93
 GRAPH_NEIGHBOURS, HIDDEN, EPOCHS, SEED = 16, 96, 40, 11
