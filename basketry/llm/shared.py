@@ -49,12 +49,16 @@ def remove(spark: SparkSession, path: str) -> None:
 def pinned(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """``df`` written to the shared folder and read from there, and the path."""
     spark = df.sparkSession
-    path = scratch(spark, name)
+    path = removed_at_exit(scratch(spark, name))
     df.write.parquet(path)
-    _PINNED.add(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def removed_at_exit(path: str) -> str:
+    _PINNED.add(path)
+    return path
+
+
 _PINNED: set[str] = set()
 
 

@@ -30,7 +30,7 @@ from pyspark.sql.datasource import (
     Not, StringContains, StringEndsWith, StringStartsWith, WriterCommitMessage,
 )
 
-from .shared import scratch
+from .shared import removed_at_exit, scratch
 
 SCHEMA = (
     "page_id long, record_type string, url string, refers_to long,"
@@ -79,7 +79,10 @@ def record(kind: str, page_id, url, payload: bytes, size: int, digest: str, refe
         f"WARC-Payload-Digest: sha256:{digest}",
     ]
     if url is not None:
-        lines.append(f"WARC-Target-URI: {quote(url, safe=_URL_SAFE)}")
+        written = quote(url, safe=_URL_SAFE)
+        lines.append(f"WARC-Target-URI: {written}")
+        if written != url:  # an extension field has the url itself
+            lines.append(f"{_OWN_URL}: {json.dumps(url)}")
     if kind == "revisit":
         lines += [f"WARC-Profile: {_PROFILE}", f"WARC-Refers-To: <{_RECORD_ID}{refers_to}>"]
     lines.append(f"Content-Length: {len(block)}")
@@ -87,6 +90,7 @@ def record(kind: str, page_id, url, payload: bytes, size: int, digest: str, refe
 
 
 _URL_SAFE = "!#$&'()*+,/:;=?@[]~%"
+_OWN_URL = "X-Source-URL"
 
 
 class _Members:
@@ -242,6 +246,11 @@ def header_test(f):
 # The source ---------------------------------------------------------------------
 
 
+def _url(fields: dict[str, str]) -> str | None:
+    own = fields.get(_OWN_URL.lower())
+    return fields.get("warc-target-uri") if own is None else json.loads(own)
+
+
 class WarcFile(InputPartition):
     def __init__(self, path: str):
         super().__init__(path)
@@ -293,7 +302,7 @@ class WarcReader(DataSourceReader):
                 row = {
                     "page_id": _page(fields.get("warc-record-id")),
                     "record_type": fields.get("warc-type"),
-                    "url": fields.get("warc-target-uri"),
+                    "url": _url(fields),
                     "refers_to": _page(fields.get("warc-refers-to")),
                     "payload_digest": digest and digest.partition(":")[2],
                     "payload_bytes": None,
@@ -437,8 +446,8 @@ def read_archive(spark: SparkSession, path: str, columns: str = SCHEMA, verify:
 
 
 def archived(pages: DataFrame) -> DataFrame:
-    """Pages written to an archive in the shared folder and its headers read back, payloads checked."""
-    path = scratch(pages.sparkSession, "warc")
+    """Pages written to an archive in the shared folder and its headers read back, payloads checked; it goes at exit."""
+    path = removed_at_exit(scratch(pages.sparkSession, "warc"))
     write_archive(pages, path)
     columns = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
     return read_archive(pages.sparkSession, path, columns, verify=True)

@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from basketry.llm import ann, kneserney, pseudo, toxicity, urls, warc
+from basketry.llm import ann, kneserney, pseudo, shared, toxicity, urls, warc
 from basketry.llm.queries import URL_RULES
 from basketry.llm.shared import scratch
 from tests.llm.conftest import prose, rows_of
@@ -166,6 +166,24 @@ def test_uncommitted_files_and_plain_members(spark, pages, tmp_path):
     assert [tuple(r) for r in headers] == [(77, "response")] * 3
 
 
+def test_urls_come_back_as_written(spark):
+    """Blanks, breaks, letters beyond ASCII and escapes that the page itself has; filters see the url itself."""
+    given = ["http://c.org/é x", "http://c.org/%C3%A9%20x", "http://c.org/a\r\nb: c", "http://c.org/", "", " ", None, '"q"', "100%"]
+    pages = spark.createDataFrame([(i, u, "z" * (i + 100)) for i, u in enumerate(given)], "page_id long, url string, html string")
+    path = scratch(spark, "warc-test")
+    warc.write_archive(pages, path)
+    back = warc.read_archive(spark, path, verify=True)
+    assert {r.page_id: r.url for r in back.collect()} == dict(enumerate(given))
+    assert [r.page_id for r in back.filter(F.col("url") == given[0]).collect()] == [0]
+
+
+def test_the_archive_goes_at_exit(spark, pages):
+    before = set(shared._PINNED)
+    warc.archived(pages).count()
+    (path,) = [p for p in shared._PINNED - before if "warc" in p]
+    shared.remove(spark, path)
+
+
 def test_empty_archive(spark, pages):
     assert warc.archived(pages.limit(0)).count() == 0
 
@@ -210,6 +228,17 @@ def test_url_verdicts_against_plain_rules(spark):
     assert urls.judge_urls(df.limit(0), URL_RULES).count() == 0
 
 
+def test_more_rules_than_are_sent_at_once(spark, monkeypatch):
+    """Sets judged some rules at a time give the verdicts of the whole set, ties included."""
+    rules = [*URL_RULES, urls.word_rule("allow", "casino"), *[urls.host_rule("block", f"h{i}.net", "/") for i in range(40)]]
+    rows = [(i, f"http://w.h{i % 50}.net/casino/{i}") for i in range(100)] + [(None, None), *enumerate(URLS)]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    want = sorted(urls.judge_urls(df, rules).collect(), key=repr)
+    monkeypatch.setattr(urls, "SENT_RULES", 7)
+    assert sorted(urls.judge_urls(df, rules).collect(), key=repr) == want
+    assert {r.rule for r in want} >= {"casino", "h7.net/", "org/"}
+
+
 def test_rules_lie_under_their_rarest_token():
     rules = URL_RULES[:5]
     assert [r.tokens for r in rules] == [("org",), ("example", "org", "es"), ("example", "org", "en"), ("com", "fr"), ("com", "de")]
