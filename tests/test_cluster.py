@@ -120,6 +120,18 @@ def test_silhouettes_by_the_tree(clouds, monkeypatch, near, fan_bits, tile):
         assert all(r["error_bound"] == 0 for r in got.values())
 
 
+def test_tiles_are_dealt_to_the_cores_and_walked_in_blocks(spark, clouds, monkeypatch):
+    many = spark.range(0, 30_000, 1, 4).select(*[F.rand(i).alias(f"z{i}") for i in range(3)])
+    parts = cells.build_cells(many, ["z0", "z1", "z2"])
+    assert parts.select("part").distinct().count() >= 4
+    df, _, labels = clouds
+    monkeypatch.setattr(cells, "TILE", 64)
+    alone = {r[0]: r[1] for r in silhouette.silhouettes(df, list(labels), ["z0", "z1", "z2"]).collect()}
+    monkeypatch.setattr(silhouette, "BLOCKS_A_CORE", 0)
+    blocks = {r[0]: r[1] for r in silhouette.silhouettes(df, list(labels), ["z0", "z1", "z2"]).collect()}
+    assert blocks == pytest.approx(alone, abs=1e-6)
+
+
 def test_moments_stand_for_far_rows():
     rng = np.random.default_rng(8)
     y, w, x = rng.normal(0, 0.2, (40, 3)), rng.integers(1, 5, 40).astype(float), rng.normal(0, 1, (25, 3)) + 4
