@@ -142,3 +142,22 @@ def test_slices_answer_any_filter(spark):
     assert {r["grouped_by"] for r in cube} == {"year,rfm_segment", "year", "rfm_segment", ""}
     total = next(r for r in cube if r["grouped_by"] == "")
     assert total["identified_customers"] == orders.select("customer_id").distinct().count() - 1
+
+
+def test_wide_tables_are_written_without_a_sort(spark):
+    from basketry.session import Stage
+
+    key, seen = "spark.sql.maxConcurrentOutputFileWriters", []
+
+    def build():
+        seen.append(spark.conf.get(key, None))
+        return spark.range(0, 30_000, 1, 1).selectExpr("id", "concat('t', id % 3) AS kind")
+
+    back = Stage(spark).table(("wide",), build, "kind")
+    # Three folders side by side: rows keep their order, and nothing is left set.
+    assert seen == ["8"] and spark.conf.get(key, None) is None
+    plan = spark._jsparkSession.sharedState().statusStore()
+    last = plan.executionsList().last().executionId()
+    nodes = plan.planGraph(last).allNodes()
+    assert "Sort" not in [nodes.apply(i).name() for i in range(nodes.size())]
+    assert {r[0]: r[1] for r in back.groupBy("kind").count().collect()} == {f"t{i}": 10_000 for i in range(3)}
