@@ -161,3 +161,13 @@ def test_wide_tables_are_written_without_a_sort(spark):
     nodes = plan.planGraph(last).allNodes()
     assert "Sort" not in [nodes.apply(i).name() for i in range(nodes.size())]
     assert {r[0]: r[1] for r in back.groupBy("kind").count().collect()} == {f"t{i}": 10_000 for i in range(3)}
+
+
+def test_a_named_statement_builds_only_its_tables(spark, folder):
+    from basketry.session import stage_of
+    from checks.queries import Tables
+
+    place = f"{folder}/."
+    assert Tables(spark, place).named({"executive_kpis"})["executive_kpis"].count() == 1
+    built = {name for where, name in stage_of(spark)._paths if where == place}
+    assert "fact_sales" in built and not built & {"fact_returns", "audit_exclusions", "dim_date"}
