@@ -4,6 +4,8 @@ import re
 
 import pytest
 
+from basketry.operators import dedup
+from basketry.sources import sample_tables
 from checks.compare import connect, difference
 from checks.oracle import ORACLE
 from checks.queries import QUERIES, Tables, doubles
@@ -83,3 +85,22 @@ def guard_windows(plan: str) -> None:
     for i, line in enumerate(lines):
         if re.search(r"\bWindow \[", line) and "SinglePartition" in "\n".join(lines[i : i + 4]):
             assert any(word in line for word in bounded), line
+
+
+def _shuffles(df) -> int:
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return len(re.findall(r"Exchange hashpartitioning", plan))
+
+
+def test_canonical_lines_are_not_shuffled_again_for_copies(spark, folder):
+    """Lines joined with their orders lie by order, and copies share one."""
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lines = sample_tables.transaction_lines(spark, folder, [sample_tables.ORDER_KEY])
+        unique = dedup.drop_exact_copies(lines, [sample_tables.ORDER_KEY])
+        assert _shuffles(unique) == _shuffles(lines)
+        plain = dedup.drop_exact_copies(sample_tables.transaction_lines(spark, folder))
+        assert unique.columns == plain.columns and unique.exceptAll(plain).isEmpty() and plain.exceptAll(unique).isEmpty()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
