@@ -104,3 +104,7 @@ def test_canonical_lines_are_not_shuffled_again_for_copies(spark, folder):
         assert unique.columns == plain.columns and unique.exceptAll(plain).isEmpty() and plain.exceptAll(unique).isEmpty()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+
+
+def test_order_summary_shuffles_twice(tables):
+    assert _shuffles(QUERIES["order_summary"](tables)) == 2
