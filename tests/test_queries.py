@@ -5,6 +5,7 @@ import re
 import pytest
 
 from basketry.operators import dedup
+from basketry.plans import star
 from basketry.sources import sample_tables
 from checks.compare import connect, difference
 from checks.oracle import ORACLE
@@ -108,3 +109,10 @@ def test_canonical_lines_are_not_shuffled_again_for_copies(spark, folder):
 
 def test_order_summary_shuffles_twice(tables):
     assert _shuffles(QUERIES["order_summary"](tables)) == 2
+
+
+def test_small_keys_go_into_the_large_look_ups(tables):
+    """The country's key is found first, so that no name is shuffled with the lines."""
+    plan = star.with_keys(tables.sales(), tables.dims())._jdf.queryExecution().optimizedPlan().toString()
+    keys = re.findall(r"AS _dim_id#\d+, (\w+_key)#", plan)
+    assert keys == ["country_key", "product_key", "customer_key"]
