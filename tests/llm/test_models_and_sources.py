@@ -504,3 +504,29 @@ def test_all_documents_train(spark, monkeypatch):
     got = [r.per_word for r in pseudo.pseudo_likelihood(df).collect()]
     assert given["texts"].count() == df.count() == len(got) > 0
     assert min(got) > -0.2
+
+
+def test_models_of_a_table_are_those_of_memory(spark):
+    texts = spark.createDataFrame(
+        [(i % 2, " ".join(f"{a}{b}{'x' * (i % 3)}" for a in ("oak", "elm", "é", "vile") for b in ("", "s", "ish", str(i)))) for i in range(40)],
+        "toxic int, text string",
+    )
+    counts = toxicity._counts(texts)
+    table = toxicity._gram_counts(texts)
+    plain, found = kneserney.fit(counts), kneserney.fit_table(table)
+    words = ["oak", "oaks", "vilexx", "villain", "é", "", "unseen", "elm7"]
+    assert np.allclose(found.words(words), [plain.word(w) for w in words], atol=1e-5)
+    assert found.words([]).tolist() == [] and not found.ratio.modulus
+    # More grams than entries: all of them are in the shared ones.
+    few = kneserney.fit_table(table, 64)
+    assert len(few.ratio.keys) == 64 and np.isfinite(few.words(words)).all()
+
+
+def test_all_labelled_documents_are_learned_from(spark):
+    """No document outside the held-out fold is left out, and equal texts of a class count once."""
+    docs = spark.range(30_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("w"), F.when(F.col("id") < 100, 0).otherwise(F.col("id"))).alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
+    found = toxicity._labelled(docs, labels, "doc_id", "text", "toxic")
+    want = docs.filter("pmod(crc32(cast(doc_id as string)), 5) <> 0")
+    assert found.count() == want.count()
+    assert found.filter("first").count() == want.filter("doc_id >= 100").count() + 2
