@@ -201,3 +201,11 @@ def test_ranks_of_a_value_that_most_rows_hold(spark):
     got = ranking.average_ranks(spark.createDataFrame(df), "id", ["v"]).toPandas().set_index("id")["rank_v"]
     want = df.set_index("id")["v"].rank()
     pd.testing.assert_series_equal(got.sort_index(), want.sort_index(), check_names=False)
+
+
+def test_a_measure_is_sketched_once(spark, skewed):
+    """All quantiles of a measure come from one sketch of it."""
+    df = ranking.exact_quantiles(spark.createDataFrame(skewed), ["g"], {"a": ("v", 0.25), "b": ("v", 0.75)})
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    sketches = [line for line in plan.split("\n") if "partial_percentile_approx" in line]
+    assert [line.count("partial_percentile_approx") for line in sketches] == [1]

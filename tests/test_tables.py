@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from basketry.functions import columns as C
 from basketry.plans import clean, eda, gates, marts, measures, star
 from basketry.sources import scan, sinks
 
@@ -171,3 +172,13 @@ def test_a_named_statement_builds_only_its_tables(spark, folder):
     assert Tables(spark, place).named({"executive_kpis"})["executive_kpis"].count() == 1
     built = {name for where, name in stage_of(spark)._paths if where == place}
     assert "fact_sales" in built and not built & {"fact_returns", "audit_exclusions", "dim_date"}
+
+
+def test_date_parts_are_not_formatted_and_equal_the_formatted_text(spark):
+    days = ["0999-12-31", "1000-01-01", "1969-12-31", "1992-02-29", "1998-10-01", "9999-12-31", "+12345-02-03", None]
+    df = spark.createDataFrame([(d,) for d in days], "d string").select(F.col("d").cast("timestamp_ntz").alias("v"))
+    parts = C.date_parts("v")
+    wrong = [~parts[p].eqNullSafe(F.date_format("v", form)) for p, form in (("year_month", "yyyy-MM"), ("day_of_week", "EEEE"))]
+    assert df.where(wrong[0] | wrong[1]).isEmpty()
+    plan = df.select(parts["day_of_week"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "date_format" not in plan
